@@ -160,3 +160,88 @@ def whole_windows(word_offsets: np.ndarray, width: int) -> np.ndarray:
         edge = edge[(edge >= 0) & (edge < len(fits))]
         fits[edge] = False
     return np.flatnonzero(fits)
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' bytes with one blank after each word, offsets of the words in them)."""
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts + 1, out=offsets[1:])
+    inside = np.ones(int(offsets[-1]), bool)
+    inside[offsets[1:] - 1] = False
+    out = np.full(len(inside), 0x20, np.uint8)
+    out[inside] = data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    return out, offsets
+
+
+def pack(values: np.ndarray) -> bytes:
+    """The array byte plane by byte plane: planes that vary little take no room once compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unpack(packed: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+def segment_count(text_size: int, spark: SparkSession, each: int = 8 << 20) -> int:
+    """Into how many hash ranges to deal what is gathered from ``text_size`` bytes of text."""
+    return int(min(max(parallelism(spark), text_size // each), 1 << 16))
+
+
+def segment_edges(hashes: np.ndarray, segments: int) -> np.ndarray:
+    """Offsets of the segments in sorted hashes; segment s holds hashes with floor(h / 2**32 * segments / 2**32) = s."""
+    high = (hashes >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+    return np.searchsorted(high, np.arange(segments + 1, dtype=np.uint64))
+
+
+def spark_hash_of_longs(values: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for one column of longs (XXH64 of eight bytes, seed 42), as int64."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        k = values.astype(np.int64).view(np.uint64) * two
+        k = ((k << np.uint64(31)) | (k >> np.uint64(33))) * one
+        h = (np.uint64(42) + five + np.uint64(8)) ^ k
+        h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * one + four
+        h ^= h >> np.uint64(33)
+        h *= two
+        h ^= h >> np.uint64(29)
+        h *= three
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+class BloomBits:
+    """A Bloom filter over 64-bit hashes as a flat array of 64-bit words.
+
+    It is made of parts by hash range (the same ranges as ``segment_edges``), so that each part can be
+    filled by the task that holds its hashes.
+    """
+
+    def __init__(self, words: np.ndarray, parts: int, probes: int) -> None:
+        self.words, self.parts, self.probes = words, parts, probes
+
+    @staticmethod
+    def places(hashes: np.ndarray, part_words: int, parts: int, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each probe (index of the 64-bit word in the whole filter, bit in it)."""
+        part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        base = part * np.uint64(part_words)
+        state = mix64(hashes)
+        for _ in range(probes):
+            yield base + ((state >> np.uint64(32)) * np.uint64(part_words) >> np.uint64(32)), np.uint64(1) << (state & np.uint64(63))
+            state = mix64(state + _BASE)
+
+    @classmethod
+    def filled_part(cls, hashes: np.ndarray, part: int, part_words: int, parts: int, probes: int) -> bytes:
+        words = np.zeros(part_words, np.uint64)
+        for at, bit in cls.places(hashes, part_words, parts, probes):
+            np.bitwise_or.at(words, (at - np.uint64(part * part_words)).astype(np.int64), bit)
+        return words.tobytes()
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for at, bit in self.places(hashes, len(self.words) // self.parts, self.parts, self.probes):
+            found &= (self.words[at.astype(np.int64)] & bit) != 0
+        return found

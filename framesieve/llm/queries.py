@@ -6,11 +6,13 @@ from framesieve.llm.byte_bpe import op3_byte_bpe
 from framesieve.llm.mixing import op10_mixing
 from framesieve.llm.secrets import op5_secret_scan
 from framesieve.llm.simhash import op7_simhash
+from framesieve.llm.substring_dedup import op4_substring_dedup
 from framesieve.llm.token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op7_simhash": op7_simhash,
     "op10_mixing": op10_mixing,

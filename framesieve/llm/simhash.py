@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import durable, find_words, flat_text, lower_ascii, parallelism, text_pieces, whole_windows
+from framesieve.llm.common import durable, find_words, flat_text, joined_words, lower_ascii, parallelism, text_pieces, whole_windows
 from framesieve.llm.components import component_labels
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
@@ -42,18 +42,7 @@ def fingerprints(column: pa.Array, words: int = SHINGLE_WORDS, seed: int = SEED)
     out = np.zeros(len(counts), np.uint64)
     if not len(starts):
         return out
-    keep = np.zeros(len(data) + 1, bool)
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1
-    word = np.cumsum(inside[:-1]).astype(bool)
-    keep[:-1] = word
-    gaps = ends[ends < len(data)]
-    gaps = gaps[~word[gaps]]
-    keep[gaps] = True
-    plain = np.where(word, lower_ascii(data), np.uint8(0x20))[keep[:-1]]
-    moved = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(keep[:-1], out=moved[1:])
+    plain, moved = joined_words(lower_ascii(data), starts, ends)
     first = whole_windows(at, words)
     short = np.flatnonzero((counts > 0) & (counts < words))
     begin = np.concatenate([first, at[short]])
@@ -61,7 +50,7 @@ def fingerprints(column: pa.Array, words: int = SHINGLE_WORDS, seed: int = SEED)
     order = np.argsort(begin, kind="stable")
     begin, stop = begin[order], stop[order]
     raw, digest = plain.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(raw[s:e], seed) for s, e in zip(moved[starts[begin]].tolist(), moved[ends[stop]].tolist(), strict=True)), np.uint64, len(begin))
+    hashes = np.fromiter((digest(raw[s:e], seed) for s, e in zip(moved[begin].tolist(), (moved[stop + 1] - 1).tolist(), strict=True)), np.uint64, len(begin))
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     full = np.flatnonzero(counts)
     group = np.searchsorted(begin, at[full])
