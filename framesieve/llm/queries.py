@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from framesieve.llm.byte_bpe import op3_byte_bpe
 from framesieve.llm.mixing import op10_mixing
+from framesieve.llm.order_minhash import op6_order_minhash
 from framesieve.llm.secrets import op5_secret_scan
 from framesieve.llm.simhash import op7_simhash
 from framesieve.llm.substring_dedup import op4_substring_dedup
+from framesieve.llm.threshold_topk import ORACLE as TOPK_SQL
+from framesieve.llm.threshold_topk import op9_threshold_topk
 from framesieve.llm.token_counts import op2_token_counts
 
 QUERIES = {
@@ -14,8 +17,12 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_order_minhash": op6_order_minhash,
     "op7_simhash": op7_simhash,
+    "op9_threshold_topk": op9_threshold_topk,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_threshold_topk": TOPK_SQL,
+}
