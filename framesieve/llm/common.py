@@ -137,15 +137,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: i
 
 
 def window_hashes(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """For each i the hash of hashes[i : i + width]; the last width - 1 windows are left out."""
+    """For each i the hash of hashes[i : i + width]; the last width - 1 windows are left out.
+
+    A polynomial in an odd base that ``seed`` picks; windows of powers of two are joined, so it takes log(width) passes.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, mix64(np.array([seed + 1], np.uint64))[0], np.uint64)
-    for i in range(width):
-        out *= _BASE
-        out += hashes[i : i + n]
-        out ^= out >> np.uint64(29)
+    base = int(mix64(np.array([seed + 1], np.uint64))[0]) | 1
+    part, length, out, done = hashes, 1, None, 0
+    while done < width:
+        if width & length:
+            out = part[:n] if out is None else out * np.uint64(pow(base, length, 1 << 64)) + part[done : done + n]
+            done += length
+        if done < width:
+            part = part[: len(part) - length] * np.uint64(pow(base, length, 1 << 64)) + part[length:]
+            length *= 2
     return mix64(out)
 
 
