@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framesieve.llm.bloom_lm import op8_bloom_lm
 from framesieve.llm.byte_bpe import op3_byte_bpe
 from framesieve.llm.mixing import op10_mixing
 from framesieve.llm.order_minhash import op6_order_minhash
@@ -19,10 +20,12 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_order_minhash": op6_order_minhash,
     "op7_simhash": op7_simhash,
+    "op8_bloom_lm": op8_bloom_lm,
     "op9_threshold_topk": op9_threshold_topk,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_bloom_lm": op8_bloom_lm,
     "op9_threshold_topk": TOPK_SQL,
 }
