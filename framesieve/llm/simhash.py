@@ -103,15 +103,16 @@ class _Forest:
                 self.label = jumped
 
 
-def _close(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(x ^ y) <= most
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Set bits of fingerprints; the last axis holds a fingerprint's 64-bit words."""
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int32)
 
 
 def _link_small(fps: np.ndarray, ends: np.ndarray, forest: _Forest, most: int) -> None:
     """Links within groups of a few members: each with the next, the next but one, and so on."""
     left, step = np.flatnonzero(ends - np.arange(len(fps)) > 1), 1
     while len(left):
-        near = left[_close(fps[left], fps[left + step], most)]
+        near = left[_bits(fps[left] ^ fps[left + step]) <= most]
         forest.join(near, near + step)
         step += 1
         left = left[left + step < ends[left]]
@@ -119,19 +120,18 @@ def _link_small(fps: np.ndarray, ends: np.ndarray, forest: _Forest, most: int) -
 
 def _link_tree(low: int, fps: np.ndarray, forest: _Forest, most: int) -> None:
     """Links among fps (in Gray order; numbered from ``low``) by descending pairs of tree nodes."""
-    n = -(-len(fps) // LEAF) * LEAF
-    padded = np.append(fps, np.full(n - len(fps), fps[-1], np.uint64))
-    member = np.append(np.arange(len(fps)), np.full(n - len(fps), len(fps) - 1)) + low
-    every, some = [np.bitwise_and.reduce(padded.reshape(-1, LEAF), axis=1)], [np.bitwise_or.reduce(padded.reshape(-1, LEAF), axis=1)]
+    words = fps.shape[1]
+    index = np.minimum(np.arange(-(-len(fps) // LEAF) * LEAF), len(fps) - 1).reshape(-1, LEAF)
+    leaves = fps[index]
+    every, some = [np.bitwise_and.reduce(leaves, axis=1)], [np.bitwise_or.reduce(leaves, axis=1)]
     while len(every[-1]) > FAN:
         starts = np.arange(0, len(every[-1]), FAN)
         every.append(np.bitwise_and.reduceat(every[-1], starts))
         some.append(np.bitwise_or.reduceat(some[-1], starts))
-    top = len(every[-1])
-    a, b = np.triu_indices(top)
+    a, b = np.triu_indices(len(every[-1]))
     for level in range(len(every) - 1, -1, -1):
         shared = ~(every[level] ^ some[level])
-        keep = np.bitwise_count((every[level][a] ^ every[level][b]) & shared[a] & shared[b]) <= most
+        keep = _bits((every[level][a] ^ every[level][b]) & shared[a] & shared[b]) <= most
         a, b = a[keep], b[keep]
         if level:
             below = len(every[level - 1])
@@ -139,73 +139,88 @@ def _link_tree(low: int, fps: np.ndarray, forest: _Forest, most: int) -> None:
             y = np.tile(b[:, None] * FAN + np.arange(FAN), (1, FAN)).ravel()
             inside = (x <= y) & (x < below) & (y < below)
             a, b = x[inside], y[inside]
-    leaves, members = padded.reshape(-1, LEAF), member.reshape(-1, LEAF)
-    for at in range(0, len(a), 512):
-        i, j = a[at : at + 512], b[at : at + 512]
+    members = index + low
+    for at in range(0, len(a), 256):
+        i, j = a[at : at + 256], b[at : at + 256]
         own = forest.label[members]
         whole = (own[i] == own[i, :1]).all(axis=1) & (own[j] == own[i, :1]).all(axis=1)
         i, j = i[~whole], j[~whole]
-        pair, x, y = np.nonzero(_close(leaves[i][:, :, None], leaves[j][:, None, :], most))
+        apart = np.zeros((len(i), LEAF, LEAF), np.int32)
+        for w in range(words):
+            apart += np.bitwise_count(leaves[i, :, None, w] ^ leaves[j, None, :, w])
+        pair, x, y = np.nonzero(apart <= most)
         forest.join(members[i[pair], x], members[j[pair], y])
 
 
 def link_sorted(groups: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each group. groups: sorted; fps: in Gray order within a group."""
+    """(rows, rows): a spanning forest of the links within each group.
+
+    groups: sorted; fps: one row of 64-bit words each, in Gray order of the first word within a group.
+    """
     starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     stops = np.append(starts[1:], len(groups))
     forest = _Forest(len(fps))
     small = np.repeat(stops - starts <= 2 * LEAF, stops - starts)
-    ends = np.where(small, np.repeat(stops, stops - starts), 0)
-    _link_small(fps, ends, forest, most)
+    _link_small(fps, np.where(small, np.repeat(stops, stops - starts), 0), forest, most)
     for s, e in zip(starts, stops, strict=True):
         if e - s > 2 * LEAF:
             _link_tree(s, fps[s:e], forest, most)
     child = np.flatnonzero(forest.label != np.arange(len(fps)))
-    return fps[forest.label[child]], fps[child]
+    return forest.label[child], child
 
 
-def close_links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """(a, b): links that connect every two of the distinct fingerprints ``nodes`` (column fp) that differ in at most
-    ``most_bits`` bits, perhaps through others; each link is one of two such close fingerprints.
+def link_nodes(spread: DataFrame, names: list[str], most_bits: int) -> DataFrame:
+    """(a_<name>..., b_<name>...): links that connect, perhaps through others, all close fingerprints that share an upper node.
 
-    Fingerprints that share an upper node (mask, pattern) come to one task. A node of more than PART
-    members is dealt into parts by hash, and every two parts into a task; so a task holds two parts at
-    most, whatever a node holds.
+    spread: node, pattern (longs that name an upper node) and the fingerprint's words ``names``; read more
+    than once. A node comes to one task. A node of more than PART members is dealt into parts by
+    hash, and every two parts into a task; so a task holds two parts at most, whatever a node holds.
     """
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(most_bits)]
-    spread = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("node", "mask"))
-    spread = spread.select("node", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
     large = durable(spread.groupBy("node", "pattern").count().where(F.col("count") > PART).select(F.col("node").alias("n"), F.col("pattern").alias("p"), F.ceil(F.col("count") / PART).alias("parts")))
     if large.head(1):
         joined = spread.join(large, (spread["node"] == large["n"]) & (spread["pattern"] == large["p"]), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
-        spread = joined.withColumn("own", own).withColumn("other", other).select("node", "pattern", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        dealt = joined.withColumn("own", F.pmod(F.xxhash64(*names), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+        keyed = dealt.select(F.xxhash64("node", "pattern", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
     else:
-        spread = spread.select("node", "pattern", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "fp")
-    key = ["node", "pattern", "i", "j"]
-    dealt = spread.repartition(parallelism(nodes.sparkSession), *key).withColumn("key", F.xxhash64(*key)).select("key", "fp").sortWithinPartitions("key")
+        keyed = spread.select(F.xxhash64("node", "pattern").alias("key"), *names)
+    dealt = keyed.repartition(parallelism(spread.sparkSession), "key").sortWithinPartitions("key")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        keys, fps = np.zeros(0, np.int64), np.zeros((0, len(names)), np.uint64)
 
         def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((gray_rank(fps), keys))
-            a, b = link_sorted(keys[order], fps[order], most_bits) if len(keys) else (fps, fps)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a = b = fps
+            if len(keys):
+                order = np.lexsort((gray_rank(fps[:, 0]), keys))
+                fps = fps[order]
+                x, y = link_sorted(keys[order], fps, most_bits)
+                a, b = fps[x], fps[y]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(side[:, w]).view(np.int64)) for side in (a, b) for w in range(len(names))], names=[f"{side}_{n}" for side in "ab" for n in names])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.append(keys, batch.column(0).to_numpy())
-            fps = np.append(fps, batch.column(1).to_numpy().view(np.uint64))
+            fps = np.concatenate([fps, np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)])
             done = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
             if done:
                 yield links(keys[:done], fps[:done])
                 keys, fps = keys[done:], fps[done:]
         yield links(keys, fps)
 
-    return dealt.mapInArrow(linked, "a long, b long")
+    return dealt.mapInArrow(linked, ", ".join(f"{side}_{n} long" for side in "ab" for n in names))
+
+
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >= 1 << 63 else word
+
+
+def close_links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(a, b): links that connect every two of the distinct fingerprints ``nodes`` (column fp) that differ in at most
+    ``most_bits`` bits, perhaps through others; each link is one of two such close fingerprints."""
+    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in block_masks(most_bits)])
+    spread = nodes.select("fp", F.posexplode(masks).alias("node", "mask")).select("node", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
+    return link_nodes(spread, ["fp"], most_bits).toDF("a", "b")
 
 
 def near_duplicate_groups(fingerprinted: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
