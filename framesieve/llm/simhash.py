@@ -85,7 +85,7 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Forest:
+class Forest:
     """Sets of 0..n-1 that links join; labels are the least members."""
 
     def __init__(self, n: int) -> None:
@@ -108,7 +108,7 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int32)
 
 
-def _link_small(fps: np.ndarray, ends: np.ndarray, forest: _Forest, most: int) -> None:
+def _link_small(fps: np.ndarray, ends: np.ndarray, forest: Forest, most: int) -> None:
     """Links within groups of a few members: each with the next, the next but one, and so on."""
     left, step = np.flatnonzero(ends - np.arange(len(fps)) > 1), 1
     while len(left):
@@ -118,7 +118,7 @@ def _link_small(fps: np.ndarray, ends: np.ndarray, forest: _Forest, most: int) -
         left = left[left + step < ends[left]]
 
 
-def _link_tree(low: int, fps: np.ndarray, forest: _Forest, most: int) -> None:
+def _link_tree(low: int, fps: np.ndarray, forest: Forest, most: int) -> None:
     """Links among fps (in Gray order; numbered from ``low``) by descending pairs of tree nodes."""
     words = fps.shape[1]
     index = np.minimum(np.arange(-(-len(fps) // LEAF) * LEAF), len(fps) - 1).reshape(-1, LEAF)
@@ -159,7 +159,7 @@ def link_sorted(groups: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndar
     """
     starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     stops = np.append(starts[1:], len(groups))
-    forest = _Forest(len(fps))
+    forest = Forest(len(fps))
     small = np.repeat(stops - starts <= 2 * LEAF, stops - starts)
     _link_small(fps, np.where(small, np.repeat(stops, stops - starts), 0), forest, most)
     for s, e in zip(starts, stops, strict=True):
