@@ -32,11 +32,16 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one
     machine) a temporary one is made.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for checkpoints."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()
 
 
 def text_bytes(spark_df: DataFrame, column: str = "text") -> int:

@@ -6,6 +6,7 @@ from framesieve.llm.bloom_lm import op8_bloom_lm
 from framesieve.llm.byte_bpe import op3_byte_bpe
 from framesieve.llm.mixing import op10_mixing
 from framesieve.llm.order_minhash import op6_order_minhash
+from framesieve.llm.quality import op1_quality
 from framesieve.llm.secrets import op5_secret_scan
 from framesieve.llm.simhash import op7_simhash
 from framesieve.llm.substring_dedup import op4_substring_dedup
@@ -14,6 +15,7 @@ from framesieve.llm.threshold_topk import op9_threshold_topk
 from framesieve.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
