@@ -120,3 +120,30 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+#: The same by sorting every source's documents, for DuckDB.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), r AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, [3.0, 1.0, 2.0][place % 3 + 1]::DOUBLE AS weight FROM s
+), l AS (
+  SELECT *, cap / weight AS ratio,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r
+), t AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, (ratio, place)) FROM l WHERE level <= ratio) * weight, cap)) AS target FROM l
+), q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 1) ELSE 0 END::BIGINT AS copies FROM t
+), c AS (
+  SELECT d.*, q.source_size, q.target, q.copies, q.target - q.copies * q.source_size AS quota,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far,
+    sum(size) OVER (PARTITION BY d.source, h) AS own
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, target, (size * (copies + (so_far - own / 2 <= quota)::BIGINT))::BIGINT AS taken FROM c
+"""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from framesieve.llm.bloom_lm import op8_bloom_lm
 from framesieve.llm.byte_bpe import op3_byte_bpe
+from framesieve.llm.mixing import ORACLE as MIX_SQL
 from framesieve.llm.mixing import op10_mixing
 from framesieve.llm.order_minhash import op6_order_minhash
 from framesieve.llm.quality import op1_quality
 from framesieve.llm.secrets import op5_secret_scan
 from framesieve.llm.simhash import op7_simhash
+from framesieve.llm.substring_dedup import ORACLE as REPEATS_SQL
 from framesieve.llm.substring_dedup import op4_substring_dedup
 from framesieve.llm.threshold_topk import ORACLE as TOPK_SQL
 from framesieve.llm.threshold_topk import op9_threshold_topk
@@ -28,6 +30,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op8_bloom_lm": op8_bloom_lm,
+    "op4_substring_dedup": REPEATS_SQL,
     "op9_threshold_topk": TOPK_SQL,
+    "op10_mixing": MIX_SQL,
 }

@@ -314,3 +314,24 @@ def _without(batch: pa.RecordBatch, marks: tuple[np.ndarray, np.ndarray, np.ndar
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by hashing every window, for DuckDB.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)
+), later AS (
+  SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM later
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.p) AS text
+  FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id AND w.p = c.p WHERE c.p IS NULL GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
