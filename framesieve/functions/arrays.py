@@ -48,8 +48,8 @@ def mean(values: Column) -> Column:
 
 def median(values: Column) -> Column:
     """The middle value, or the mean of the middle two; null for an empty array."""
-    ordered, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+    n = F.size(values)
+    return _let(F.array_sort(values), lambda s: F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2))
 
 
 def median_upper(values: Column) -> Column:
@@ -58,8 +58,8 @@ def median_upper(values: Column) -> Column:
 
 
 def population_sigma(values: Column) -> Column:
-    m = mean(values)
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.nullif(F.size(values), F.lit(0)))
+    squares = _let(mean(values), lambda m: F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)))
+    return F.sqrt(squares / F.nullif(F.size(values), F.lit(0)))
 
 
 def _let(value: Column, body) -> Column:
@@ -122,7 +122,18 @@ def stretch_parameters(values: Column, clip: float = -2.8, target: float = 0.15)
 
 
 def stretch(values: Column, parameters: Column) -> Column:
-    return F.transform(values, lambda v: midtone(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - parameters["shadow"]) / (1 - parameters["shadow"]))), parameters["midtone"]))
+    """Values with shadows clipped and midtones lifted by the given parameters."""
+
+    def lifted(s: Column) -> Column:
+        return F.transform(values, lambda v: midtone(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - s["shadow"]) / (1 - s["shadow"]))), s["midtone"]))
+
+    return _let(parameters, lifted)
+
+
+def min_max(values: Column) -> Column:
+    """Values between the least and the greatest as 0 to 1; null without spread."""
+    ends = F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+    return _let(ends, lambda e: F.transform(values, lambda v: (v - e["low"]) / F.nullif(e["high"] - e["low"], F.lit(0.0))))
 
 
 def to_byte(values: Column) -> Column:

@@ -1,4 +1,198 @@
-"""Queries."""
+"""Queries on header maps, paths, labels, logs, script values and cameras."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framesieve.functions import cameras as CA
+from framesieve.functions import keywords as K
+from framesieve.functions import paths as P
+from framesieve.functions import values as V
+from framesieve.plans import sql
+from framesieve.plans.session_queries import rounded
+from framesieve.sources.adapters import headers, page_paths
+from framesieve.sources.logs import parse_lines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+HD = f"WITH {sql.HEADERS}"
+
+
+def query(oracle: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select("event_id", F.explode(F.map_entries("keywords")).alias("e")).select("event_id", F.col("e.key").alias("name"), F.col("e.value.value").alias("value"), F.col("e.value.comment").alias("comment"))
+
+
+@query("SELECT event_id FROM events WHERE lower(trim(event_type)) = 'click'")
+def q_filter_by_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headers(spark, sf_dir).where(K.matches(F.col("keywords"), "filter", " Click ")).select("event_id")
+
+
+@query(f"{HD} SELECT * FROM keywords UNION ALL SELECT event_id, 'OBSERVER', 'user ' || user_id, 'who' FROM headers")
+def q_add_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = headers(spark, sf_dir)
+    return _entries(h.withColumn("keywords", K.added(F.col("keywords"), "observer", F.concat(F.lit("user "), F.col("user_id").cast("string")), "who")))
+
+
+@query(f"{HD} SELECT * FROM keywords WHERE name <> 'GAIN'")
+def q_delete_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = headers(spark, sf_dir)
+    return _entries(h.withColumn("keywords", K.deleted(F.col("keywords"), "gain")))
+
+
+@query(f"{HD} SELECT event_id, name, CASE WHEN name = 'ROTATOR' THEN '0' ELSE value END AS value, comment FROM keywords")
+def q_modify_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new value where the keyword is; frames without it stay as they are."""
+    h = headers(spark, sf_dir)
+    return _entries(h.withColumn("keywords", K.modified(F.col("keywords"), "rotator", F.lit("0"))))
+
+
+@query(f"{HD} SELECT * FROM keywords UNION ALL SELECT event_id, 'ANGLE', value, comment FROM keywords WHERE name = 'ROTATOR'")
+def q_copy_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = headers(spark, sf_dir)
+    return _entries(h.withColumn("keywords", K.copied(F.col("keywords"), "rotator", "angle")))
+
+
+@query(f"{HD} SELECT event_id, trim(gain) AS gain, coalesce(rotator, 'none') AS rotator FROM headers")
+def q_get_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("keywords")
+    return headers(spark, sf_dir).select("event_id", K.value(k, "gain").alias("gain"), K.value(k, "rotator", "none").alias("rotator"))
+
+
+@query(f"{HD} SELECT event_id, name, rpad(name, 10, ' ') || ' = ' || value || CASE WHEN comment IS NULL THEN '' ELSE '  / ' || comment END AS line FROM keywords")
+def q_list_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = headers(spark, sf_dir).select("event_id", F.explode(K.listed(F.col("keywords"))).alias("k"))
+    return listed.select("event_id", "k.name", "k.line")
+
+
+@query(f"{HD} SELECT a.event_id, rotator IS NULL OR filter = 'click' AS same FROM headers a")
+def q_same_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unknown filter (here: of frames without an angle) matches any."""
+    k = F.col("keywords")
+    known = F.when(K.value(k, "rotator").isNotNull(), K.value(k, "filter"))
+    return headers(spark, sf_dir).select("event_id", K.same_filter(known, F.lit(" CLICK")).alias("same"))
+
+
+@query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS observed FROM events")
+def q_observed_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header dates, with and without a fraction, as seconds."""
+    whole, fraction = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    h = headers(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, whole).otherwise(fraction).alias("date"))
+    return h.select("event_id", K.observed_at(F.col("date")).alias("observed"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE round([3.76, 3.76, 2.4, 4.63][event_id % 5 + 1] * (CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END) / (400 + event_id % 300) * 206.265, 6) END AS scale FROM events"""
+)
+def q_plate_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arc seconds per pixel from camera name, binning and focal length."""
+    key = F.col("event_id")
+    names = F.array(*map(F.lit, ("ZWO ASI533MC Pro", "zwo asi2600mm", "Sony IMX183 based", "QHY294MC", "Canon EOS 6D")))
+    size = CA.pixel_size(F.get(names, (key % 5).cast("int")))
+    binning = F.when(key % 2 == 0, 2.0)
+    return rounded(headers(spark, sf_dir).select("event_id", CA.plate_scale(400.0 + key % 300, size, binning).alias("scale")))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 3.76 WHEN p_size % 3 = 1 THEN 2.4 END AS size_um FROM part"""
+)
+def q_camera_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras by the first table entry that the name holds: a join of the small fixed table, then the least place."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    third = F.col("p_size") % 3
+    named = part.select("p_partkey", F.concat(F.col("p_name"), F.when(third == 0, " asi533mc imx183").when(third == 1, " IMX183").otherwise("")).alias("name"))
+    table = F.broadcast(CA.camera_table(spark))  # a fixed table of a few rows
+    joined = named.join(table, F.contains(F.lower("name"), F.col("pattern")), "left")
+    return joined.groupBy("p_partkey").agg(F.min_by("size_um", "ord").alias("size_um"))
+
+
+@query(
+    r"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, CASE WHEN contains(url, '/') THEN regexp_extract(url, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir,
+url || '/frame.FITS' AS cut FROM pages"""
+)
+def q_path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return page_paths(spark, sf_dir).select("page_id", P.basename(url).alias("base"), P.dirof(url).alias("dir"), P.stripext(F.concat(url, F.lit("\\frame.FITS.session"))).alias("cut"))
+
+
+@query("SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, count(*) AS files FROM pages GROUP BY 1")
+def q_source_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's folders with the number of files in each."""
+    return page_paths(spark, sf_dir).groupBy(P.dirof(F.col("url")).alias("dir")).agg(F.count("*").alias("files"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN right('light_' || event_type || '_x', 8) ELSE event_id::VARCHAR END AS label FROM events"""
+)
+def q_frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, key = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    name = F.when(key % 3 == 2, F.concat(F.lit("light_"), F.col("event_type"), F.lit("_x.fit"))).otherwise(F.concat(F.lit("a.light_"), F.lpad(key.cast("string"), 6, "0"), F.lit(".xisf")))
+    return events.select("event_id", P.frame_label(name).alias("label"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || '_' || strftime(ts, '%Y%m%d') || '_analysis.json' WHEN event_id % 3 = 1 THEN event_type || '_analysis.json' ELSE 'session.json' END AS report FROM events"""
+)
+def q_report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, key = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    light = F.concat(F.lit("/data/Light_"), F.col("event_type"))
+    name = F.when(key % 3 == 0, F.concat(light, F.lit("_60s_"), F.date_format("ts", "yyyyMMdd-HHmmss"), F.lit("_1.fit"))).when(key % 3 == 1, F.concat(light, F.lit("_60s.fit"))).otherwise("dark_1.fit")
+    return events.select("event_id", P.report_name(name).alias("report"))
+
+
+@query(r"""SELECT p_partkey, regexp_replace(replace(p_name || ' #' || p_size || '!', ' ', '-'), '[^\p{L}\p{N}_-]', '', 'g') AS slug FROM part""")
+def q_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", P.slug(F.concat(F.col("p_name"), F.lit(" #"), F.col("p_size").cast("string"), F.lit("!"))).alias("slug"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS timestamp, CASE WHEN event_id % 10 = 0 THEN 'RAW' WHEN event_id % 2 = 0 THEN 'WARN' ELSE 'INFO' END AS level,
+CASE WHEN event_id % 10 = 0 OR event_id % 5 = 1 THEN '' ELSE event_type END AS module, CASE WHEN event_id % 10 = 0 THEN 'raw ' || props ELSE 'value of user ' || user_id END AS message FROM events"""
+)
+def q_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines to time, level, module and message; other lines are raw."""
+    events, key = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    message = F.concat(F.lit("value of user "), F.col("user_id").cast("string"))
+    line = F.concat(stamp, F.when(key % 2 == 0, "  WARN ").otherwise(" "), F.when(key % 5 == 1, "").otherwise(F.concat(F.col("event_type"), F.lit(": "))), message)
+    line = F.when(key % 10 == 0, F.concat(F.lit("raw "), F.col("props"))).otherwise(line)
+    return parse_lines(events.select("event_id", line.alias("line"))).select("event_id", "timestamp", "level", "module", "message")
+
+
+_SIDES = "s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE (event_id % 40)::VARCHAR END AS a, CASE WHEN event_id % 4 = 0 THEN 'Click' ELSE (event_id % 7)::VARCHAR END AS b FROM events)"
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, key = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    return events.select("event_id", F.when(key % 3 == 0, F.col("event_type")).otherwise((key % 40).cast("string")).alias("a"), F.when(key % 4 == 0, "Click").otherwise((key % 7).cast("string")).alias("b"))
+
+
+@query(f"WITH {_SIDES} SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN (a::BIGINT + b::BIGINT)::VARCHAR ELSE a || b END AS total, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 AND b <> '0' THEN round(a::DOUBLE / b::DOUBLE, 6) END AS ratio, NOT (a IN ('', '0') OR lower(a) = 'false') AS truth FROM s")
+def q_script_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script values: numbers add, other strings join; division of numbers; what counts as true."""
+    a, b = F.col("a"), F.col("b")
+    return rounded(_sides(spark, sf_dir).select("event_id", V.plus(a, b).alias("total"), V.arithmetic(a, b, "/").alias("ratio"), V.truth(a).alias("truth")))
+
+
+@query(f"WITH {_SIDES}, n AS (SELECT *, event_id % 3 <> 0 AND event_id % 4 <> 0 AS num FROM s) SELECT event_id, CASE WHEN num THEN try_cast(a AS DOUBLE) = try_cast(b AS DOUBLE) ELSE upper(a) = upper(b) END AS equal, CASE WHEN num THEN try_cast(a AS DOUBLE) < try_cast(b AS DOUBLE) ELSE upper(a) < upper(b) END AS less FROM n")
+def q_script_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _sides(spark, sf_dir).select("event_id", V.compare(a, b, "==").alias("equal"), V.compare(a, b, "<").alias("less"))
+
+
+@query("SELECT event_id, round(value)::BIGINT AS nearest, ceil(value)::BIGINT AS up, floor(value)::BIGINT AS down, round(sqrt(abs(value)), 6) AS root, round(least(value, 50), 6) AS low FROM events")
+def q_script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounding goes away from zero at a half."""
+    v = F.col("value")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rounded(events.select("event_id", F.round(v).cast("long").alias("nearest"), F.ceil(v).alias("up"), F.floor(v).alias("down"), F.sqrt(F.abs(v)).alias("root"), F.least(v, F.lit(50.0)).alias("low")))

@@ -29,8 +29,8 @@ def query(oracle: str):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that sums taken in another order compare equal."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded (and -0 as 0), so that sums taken in another order compare equal."""
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _text(df: DataFrame) -> DataFrame:

@@ -1,4 +1,163 @@
-"""Queries."""
+"""Queries on stars: maxima, shapes, triangles, neighbours, transforms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framesieve.functions import geometry as GE
+from framesieve.operators import matching as M
+from framesieve.operators import stars as S
+from framesieve.plans import sql
+from framesieve.plans.session_queries import rounded
+from framesieve.sources.adapters import pixels
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_MAXIMA = f"""WITH {sql.PIXELS}, o AS (SELECT p.vec_id, p.label, p.i, p.x, p.y, p.v, max(q.v) AS other FROM pixels p JOIN pixels q ON q.vec_id = p.vec_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 AND q.i <> p.i GROUP BY ALL),
+maxima AS (SELECT vec_id, label, i, x, y, v FROM o WHERE v > other)"""
+
+
+@query(f"{_MAXIMA} SELECT vec_id, x, y, round(v, 6) AS v FROM maxima")
+def q_local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.local_maxima(pixels(spark, sf_dir), ["vec_id"]))
+
+
+_SHAPES = f"""WITH {sql.PIXELS}, w AS (SELECT vec_id, label, x, y, v - 0.5 AS w FROM pixels WHERE v > 0.5), c AS (SELECT vec_id, sum(w) AS m, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy FROM w GROUP BY 1), k AS (
+  SELECT w.vec_id, label, cx, cy, sum(w * (x - cx) * (x - cx)) / m AS xx, sum(w * (y - cy) * (y - cy)) / m AS yy, sum(w * (x - cx) * (y - cy)) / m AS xy, max(x) - min(x) AS dx, max(y) - min(y) AS dy
+  FROM w JOIN c ON c.vec_id = w.vec_id GROUP BY w.vec_id, label, cx, cy, m), e AS (
+  SELECT *, (xx + yy) / 2 AS h, sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS t FROM k), shapes AS (
+  SELECT vec_id, label, cx, cy, CASE WHEN dx >= 1 AND dy >= 1 THEN 2.355 * sqrt(h) END AS fwhm, CASE WHEN h + t > 0 AND h - t >= 0 THEN sqrt(1 - (h - t) / (h + t)) END AS eccentricity FROM e)"""
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bright = pixels(spark, sf_dir).select("vec_id", "label", "x", "y", (F.col("v") - 0.5).alias("w"))
+    return S.moment_shapes(bright, ["vec_id", "label"])
+
+
+@query(f"{_SHAPES} SELECT vec_id, label, round(cx, 6) AS cx, round(cy, 6) AS cy, round(fwhm, 6) AS fwhm, round(eccentricity, 6) AS eccentricity FROM shapes")
+def q_moment_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_shapes(spark, sf_dir))
+
+
+@query(f"{_SHAPES} SELECT label, count(*) AS detected_stars, count(*) FILTER (fwhm > 0.5 AND fwhm < 50) AS star_count, round(median(fwhm) FILTER (fwhm > 0.5 AND fwhm < 50), 6) AS fwhm, round(median(eccentricity), 6) AS eccentricity FROM shapes GROUP BY 1")
+def q_frame_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.frame_shapes(_shapes(spark, sf_dir), "label"))
+
+
+@query(
+    f"""{_SHAPES}, p AS (SELECT label, least(floor(cx / (7.0 / 5)), 4)::INT AS gx, least(floor(cy / (7.0 / 5)), 4)::INT AS gy, fwhm FROM shapes), m AS (SELECT label, gx, gy, avg(fwhm) AS c FROM p GROUP BY ALL), a AS (SELECT label, avg(fwhm) AS w FROM shapes GROUP BY 1)
+SELECT a.label, g.gx, h.gy, round(coalesce(c, w), 6) AS fwhm FROM a CROSS JOIN (SELECT unnest(range(5))::INT AS gx) g CROSS JOIN (SELECT unnest(range(5))::INT AS gy) h LEFT JOIN m ON m.label = a.label AND m.gx = g.gx AND m.gy = h.gy"""
+)
+def q_heat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean FWHM on a grid of 5 by 5 cells over the images of a label."""
+    return rounded(S.heat_grid(_shapes(spark, sf_dir), "label", 7.0, 7.0, 5))
+
+
+@query(f"{_MAXIMA} SELECT vec_id, i AS star_id, round(v, 6) AS peak FROM maxima QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) <= 4")
+def q_brightest_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.brightest(_peaks(spark, sf_dir).withColumnRenamed("v", "peak"), "vec_id", 4).select("vec_id", "star_id", "peak"))
+
+
+def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.local_maxima(pixels(spark, sf_dir), ["vec_id"])
+    return found.select("vec_id", (F.col("y") * 8 + F.col("x")).alias("star_id"), "x", "y", "v")
+
+
+_TRIANGLES = f"""{_MAXIMA}, sides AS (SELECT a.vec_id, a.i, b.i AS j, c.i AS k, list_sort([sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)), sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2))]) AS d,
+  (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS z FROM maxima a JOIN maxima b ON b.vec_id = a.vec_id AND b.i > a.i JOIN maxima c ON c.vec_id = a.vec_id AND c.i > b.i), triangles AS (
+  SELECT vec_id, i, j, k, d[2] / d[3] AS r1, d[1] / d[3] AS r2, CASE WHEN z >= 0 THEN 1 ELSE -1 END AS orientation FROM sides WHERE d[1] >= 1)"""
+
+
+@query(f"{_TRIANGLES} SELECT vec_id, i, j, k, round(r1, 6) AS r1, round(r2, 6) AS r2, orientation FROM triangles")
+def q_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.triangles(_peaks(spark, sf_dir), ["vec_id"]))
+
+
+@query(
+    f"""{_TRIANGLES} SELECT l.vec_id // 2 AS pair, count(*) AS matches, round(avg(sqrt(pow(l.r1 - r.r1, 2) + pow(l.r2 - r.r2, 2))), 6) AS gap FROM triangles l JOIN triangles r
+ON r.vec_id = l.vec_id + 1 AND l.vec_id % 2 = 0 AND l.orientation = r.orientation WHERE sqrt(pow(l.r1 - r.r1, 2) + pow(l.r2 - r.r2, 2)) <= 0.02 GROUP BY 1"""
+)
+def q_triangle_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alike triangles between every two neighbouring images."""
+    t = M.triangles(_peaks(spark, sf_dir), ["vec_id"]).withColumn("pair", F.floor(F.col("vec_id") / 2))
+    left, right = t.where("vec_id % 2 = 0").drop("vec_id"), t.where("vec_id % 2 = 1").drop("vec_id")
+    return rounded(M.match_triangles(left, right, ["pair"]).groupBy("pair").agg(F.count("*").alias("matches"), F.avg("gap").alias("gap")))
+
+
+_NEAREST = f"""{_MAXIMA}, n AS (SELECT a.vec_id // 2 AS pair, a.i AS star_id, b.i AS ref_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance, a.x AS fx, a.y AS fy, b.x AS rx, b.y AS ry
+  FROM maxima a JOIN maxima b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0), nearest AS (SELECT * FROM n WHERE distance < 3 QUALIFY row_number() OVER (PARTITION BY pair, star_id ORDER BY distance, ref_id) = 1)"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = _peaks(spark, sf_dir).withColumn("pair", F.floor(F.col("vec_id") / 2))
+    left, right = p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1")
+    return M.nearest(left, right, ["pair"], 3.0), left, right
+
+
+@query(f"{_NEAREST} SELECT pair, star_id, ref_id, round(distance, 6) AS distance FROM nearest")
+def q_nearest_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_nearest(spark, sf_dir)[0])
+
+
+@query(
+    f"""{_NEAREST}, m AS (SELECT pair, count(*) AS n, avg(fx) AS mfx, avg(fy) AS mfy, avg(rx) AS mrx, avg(ry) AS mry FROM nearest GROUP BY 1), s AS (
+  SELECT m.pair, m.n, mfx, mfy, mrx, mry, sum(pow(fx - mfx, 2) + pow(fy - mfy, 2)) AS ff, sum((fx - mfx) * (rx - mrx) + (fy - mfy) * (ry - mry)) AS sa, sum((fx - mfx) * (ry - mry) - (fy - mfy) * (rx - mrx)) AS sb
+  FROM nearest q JOIN m ON m.pair = q.pair GROUP BY ALL), t AS (SELECT *, CASE WHEN n >= 2 AND ff >= 1e-10 THEN sa / ff END AS a, CASE WHEN n >= 2 AND ff >= 1e-10 THEN sb / ff END AS b FROM s)
+SELECT pair, n, round(a, 6) + 0 AS a, round(b, 6) + 0 AS b, round(mrx - a * mfx + b * mfy, 6) + 0 AS tx, round(mry - b * mfx - a * mfy, 6) + 0 AS ty FROM t"""
+)
+def q_similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform between neighbouring images from their matched stars."""
+    near, left, right = _nearest(spark, sf_dir)
+    pairs = near.join(left.select("pair", "star_id", F.col("x").alias("fx"), F.col("y").alias("fy")), ["pair", "star_id"])
+    pairs = pairs.join(right.select("pair", F.col("star_id").alias("ref_id"), F.col("x").alias("rx"), F.col("y").alias("ry")), ["pair", "ref_id"])
+    return rounded(M.similarity_of_pairs(pairs, ["pair"]))
+
+
+_SOLVED = """WITH p AS (SELECT event_id, value + 40 AS rx0, value / 2 AS ry0, value AS fx0, value / 3 AS fy0, 3 * value AS rx1, value / 4 + 20 AS ry1, 3 * value - 41 + event_id % 5 AS fx1, value / 5 AS fy1 FROM events), d AS (
+  SELECT *, pow(fx0 - fx1, 2) + pow(fy0 - fy1, 2) AS q FROM p), s AS (SELECT *, CASE WHEN q >= 100 THEN ((fx0 - fx1) * (rx0 - rx1) + (fy0 - fy1) * (ry0 - ry1)) / q END AS a, CASE WHEN q >= 100 THEN ((fx0 - fx1) * (ry0 - ry1) - (fy0 - fy1) * (rx0 - rx1)) / q END AS b FROM d), t AS (
+  SELECT event_id, a, b, rx0 - a * fx0 + b * fy0 AS tx, ry0 - b * fx0 - a * fy0 AS ty FROM s WHERE abs(a * a + b * b - 1) <= 0.05)"""
+
+
+def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = F.col("value"), F.col("event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    solved = GE.solve_two(v + 40, v / 2, v, v / 3, 3 * v, v / 4 + 20, 3 * v - 41 + e % 5, v / 5)
+    return events.select("event_id", solved.alias("t")).where("t IS NOT NULL")
+
+
+@query(f"{_SOLVED} SELECT event_id, round(a, 6) AS a, round(b, 6) AS b, round(tx, 4) AS tx, round(ty, 4) AS ty FROM t")
+def q_two_point_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _solved(spark, sf_dir).select("event_id", "t.*")
+    return df.select("event_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("tx", 4).alias("tx"), F.round("ty", 4).alias("ty"))
+
+
+@query(
+    f"""{_SOLVED}, i AS (SELECT *, a / (a * a + b * b) AS ia, -b / (a * a + b * b) AS ib FROM t), j AS (SELECT *, -(ia * tx - ib * ty) AS itx, -(ib * tx + ia * ty) AS ity FROM i)
+SELECT event_id, round(atan2(b, a), 6) AS theta, round(sqrt(a * a + b * b), 6) AS scale, round(a * 3 - b * 4 + tx, 4) AS x, round(b * 3 + a * 4 + ty, 4) AS y, round(ia, 6) AS ia, round(itx, 4) AS itx, round(ity, 4) AS ity FROM j"""
+)
+def q_affine_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angle, scale, a point moved forward, and the inverse of each transform."""
+    t = F.col("t")
+    point, back = GE.forward(t, F.lit(3.0), F.lit(4.0)), GE.inverse(t)
+    return _solved(spark, sf_dir).select(
+        "event_id", F.round(GE.angle(t), 6).alias("theta"), F.round(GE.scale(t), 6).alias("scale"), F.round(point["x"], 4).alias("x"), F.round(point["y"], 4).alias("y"), F.round(back["a"], 6).alias("ia"), F.round(back["tx"], 4).alias("itx"), F.round(back["ty"], 4).alias("ity")
+    )
+
+
+@query(f"""{_SOLVED}, v AS (SELECT event_id % 20 AS grp, floor(tx / 3)::BIGINT AS vx, floor(ty / 3)::BIGINT AS vy, floor(atan2(b, a) / 0.005)::BIGINT AS va, count(*) AS votes FROM t GROUP BY ALL)
+SELECT grp, vx, vy, va, votes FROM v QUALIFY row_number() OVER (PARTITION BY grp ORDER BY votes DESC, vx, vy, va) = 1""")
+def q_transform_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _solved(spark, sf_dir).select((F.col("event_id") % 20).alias("grp"), F.col("t.tx").alias("tx"), F.col("t.ty").alias("ty"), GE.angle(F.col("t")).alias("theta"))
+    return M.vote(t, ["grp"])

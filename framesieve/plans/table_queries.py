@@ -1,4 +1,138 @@
-"""Queries."""
+"""Queries that join, order and merge tables of frames, and read and write reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from framesieve.operators import classify as C
+from framesieve.operators import tables as TB
+from framesieve.plans import sql
+from framesieve.plans.session_queries import rounded
+from framesieve.sources.adapters import frames
+from framesieve.sources.reports import export_sessions, import_frames
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+
+
+@query(f"WITH {sql.CLASSIFIED} SELECT o_orderkey AS frame_id, flag, rejection_category FROM orders JOIN classified ON frame_id = o_orderkey")
+def q_export_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the session that have results."""
+    results = C.classify_frames(frames(spark, sf_dir)).select("frame_id", "flag", "rejection_category")
+    return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("frame_id")).join(results, "frame_id")
+
+
+@query(f"WITH {sql.CLASSIFIED} SELECT o_orderkey AS frame_id, flag FROM orders LEFT JOIN classified ON frame_id = o_orderkey")
+def q_results_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of the session, with results where there are some."""
+    results = C.classify_frames(frames(spark, sf_dir)).select("frame_id", "flag")
+    return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("frame_id")).join(results, "frame_id", "left")
+
+
+@query("SELECT o_orderkey AS frame_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def q_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that are not loaded yet."""
+    loaded = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 45").select(F.col("l_orderkey").alias("frame_id"))
+    return TB.not_loaded(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("frame_id")), loaded, "frame_id")
+
+
+@query("SELECT o_orderkey AS frame_id, 'loaded' AS outcome FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'unreadable' FROM orders WHERE o_orderstatus = 'P'")
+def q_read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames read and frames that failed, in one table."""
+    orders = _orders(spark, sf_dir)
+    read = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("frame_id"), F.lit("loaded").alias("outcome"))
+    failed = orders.where("o_orderstatus = 'P'").select(F.lit("unreadable").alias("outcome"), F.col("o_orderkey").alias("frame_id"))
+    return read.unionByName(failed)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT -n_nationkey - 1, n_name FROM nation")
+def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings: new values win, new keys are added, the rest stays."""
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value"))
+    added = spark.read.parquet(f"{sf_dir}/nation.parquet").select((-F.col("n_nationkey") - 1).cast("long").alias("id"), F.col("n_name").alias("value"))
+    return TB.upsert(old, old.where("id % 3 = 0").withColumn("value", F.lit("changed")).unionByName(added), "id")
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS value FROM customer UNION ALL SELECT -n_nationkey - 1, n_name FROM nation")
+def q_seed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults are inserted only where there is no value."""
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value"))
+    added = spark.read.parquet(f"{sf_dir}/nation.parquet").select((-F.col("n_nationkey") - 1).cast("long").alias("id"), F.col("n_name").alias("value"))
+    return TB.insert_missing(old, old.where("id % 3 = 0").withColumn("value", F.lit("default")).unionByName(added), "id")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10")
+def q_keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten newest entries of each list stay."""
+    return TB.newest(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id", 10).select("user_id", "event_id")
+
+
+@query("SELECT user_id, event_type AS name, arg_max(event_id, (ts, event_id)) AS version, count(*) AS versions FROM events GROUP BY 1, 2")
+def q_latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version of each macro that was saved last."""
+    return TB.latest(spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "name"), ["user_id", "name"], "ts", "event_id").withColumnRenamed("event_id", "version")
+
+
+@query("SELECT o_orderkey AS frame_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate::DATE::VARCHAR || '.fit', o_orderkey) - 1 AS frame_index FROM orders")
+def q_frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a session in the order of their file names; equal names keep the order in which they were loaded."""
+    orders = _orders(spark, sf_dir).select("o_orderpriority", F.col("o_orderkey").alias("frame_id"), F.concat(F.lit("/data/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".fit")).alias("path"))
+    return TB.frame_index(orders, "o_orderpriority", "path", "frame_id").select("frame_id", F.col("frame_index").cast("long"))
+
+
+@query("SELECT o_orderkey AS frame_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate::DATE::VARCHAR || '.fit', o_orderkey) = 8")
+def q_set_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame at index 7 of each session."""
+    orders = _orders(spark, sf_dir).select("o_orderpriority", F.col("o_orderkey").alias("frame_id"), F.concat(F.lit("/data/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".fit")).alias("path"))
+    return TB.frame_index(orders, "o_orderpriority", "path", "frame_id").where("frame_index = 7").select("frame_id")
+
+
+@query("SELECT o_orderpriority AS session, count(*) AS files FROM orders GROUP BY 1")
+def q_count_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("session")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT c_custkey, round(greatest(0.5, least(5, c_acctbal / 1000)), 6) AS fwhm_sigma, round(greatest(0, least(1, c_acctbal / 10000)), 6) AS eccentricity FROM customer")
+def q_threshold_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds are held to their bounds on saving."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rounded(c.select("c_custkey", TB.clamped(F.col("c_acctbal") / 1000, 0.5, 5.0).alias("fwhm_sigma"), TB.clamped(F.col("c_acctbal") / 10000, 0.0, 1.0).alias("eccentricity")))
+
+
+@query(
+    f"""WITH {sql.CLASSIFIED} SELECT session, frame_id, CASE WHEN flag = 'REJECT' THEN 'REJECT' ELSE 'PASS' END AS flag, triggered_by, rejection_category, star_count FROM classified"""
+)
+def q_report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified frames through the report's JSON, one document for each slice of a session, and back."""
+    reports = export_sessions(C.classify_frames(frames(spark, sf_dir)).withColumn("slice", F.col("frame_id") % 64), ["session", "slice"])
+    back = import_frames(reports, "report", ["session"])
+    return back.select("session", F.col("filename").cast("long").alias("frame_id"), "flag", F.array_join("triggered_by", ",").alias("triggered_by"), "rejection_category", "star_count")
+
+
+@query(f"WITH {sql.FRAMES} SELECT session, frame_id, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN frame_id % 5 = 0 THEN NULL ELSE star_count END DESC NULLS LAST, frame_id) AS place FROM frames")
+def q_sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in a results table sorted by a column that some frames lack; those come last."""
+    f = frames(spark, sf_dir).withColumn("shown", F.when(F.col("frame_id") % 5 != 0, F.col("star_count")))
+    order = W.partitionBy("session").orderBy(F.col("shown").desc_nulls_last(), "frame_id")
+    return f.select("session", "frame_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("SELECT o_orderpriority AS session, quantile_disc(o_totalprice, 0.5) AS lower_middle FROM orders GROUP BY 1")
+def q_nth_element(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower middle value of each session."""
+    return _orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("session")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)").alias("lower_middle"))
