@@ -35,7 +35,7 @@ def category(triggered: Column) -> Column:
 
 def quality_score(fwhm: str = "fwhm", eccentricity: str = "eccentricity") -> Column:
     """1 / max(fwhm, 0.1) + (1 - eccentricity); a null term counts 0."""
-    return F.coalesce(1 / F.greatest(F.col(fwhm), F.lit(0.1)), F.lit(0.0)) + F.coalesce(1 - F.col(eccentricity), F.lit(0.0))
+    return F.coalesce(F.when(F.col(fwhm).isNotNull(), 1 / F.greatest(F.col(fwhm), F.lit(0.1))), F.lit(0.0)) + F.coalesce(1 - F.col(eccentricity), F.lit(0.0))
 
 
 def classify_frames(frames: DataFrame, stats: DataFrame | None = None, thresholds: dict[str, float] | None = None, by: str = "session") -> DataFrame:
