@@ -103,7 +103,7 @@ def q_plate_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 3.76 WHEN p_size % 3 = 1 THEN 2.4 END AS size_um FROM part"""
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 3.76 WHEN p_size % 3 = 1 THEN 2.4 END::DOUBLE AS size_um FROM part"""
 )
 def q_camera_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cameras by the first table entry that the name holds: a join of the small fixed table, then the least place."""
