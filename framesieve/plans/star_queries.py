@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from framesieve.functions import geometry as GE
 from framesieve.operators import matching as M
+from framesieve.operators import registration as R
 from framesieve.operators import stars as S
 from framesieve.plans import sql
 from framesieve.plans.session_queries import rounded
-from framesieve.sources.adapters import pixels
+from framesieve.sources.adapters import SIDE, images, pixels
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,3 +162,28 @@ SELECT grp, vx, vy, va, votes FROM v QUALIFY row_number() OVER (PARTITION BY grp
 def q_transform_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _solved(spark, sf_dir).select((F.col("event_id") % 20).alias("grp"), F.col("t.tx").alias("tx"), F.col("t.ty").alias("ty"), GE.angle(F.col("t")).alias("theta"))
     return M.vote(t, ["grp"])
+
+
+def q_phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shift of every odd image against the even one before it."""
+    df = images(spark, sf_dir).withColumn("pair", F.floor(F.col("vec_id") / 2))
+    left = df.where("vec_id % 2 = 0").select("pair", F.col("pixels").alias("reference"))
+    right = df.where("vec_id % 2 = 1").select("pair", F.col("pixels").alias("target"))
+    return R.phase_shift(left.join(right, "pair").withColumns({"width": F.lit(SIDE), "height": F.lit(SIDE)}), "pair")
+
+
+def q_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of every even image matched to free peaks of the next within three pixels."""
+    p = _peaks(spark, sf_dir).withColumn("pair", F.floor(F.col("vec_id") / 2))
+    return R.one_to_one(p.where("vec_id % 2 = 0").drop("vec_id"), p.where("vec_id % 2 = 1").drop("vec_id"), "pair", 3.0)
+
+
+def q_stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of each label registered to the label's first and combined."""
+    df = images(spark, sf_dir)
+    first = df.groupBy("label").agg(F.min_by("pixels", "vec_id").alias("pixels"))
+    return rounded(R.stack_frames(df, first, "label", "vec_id", SIDE, SIDE))
+
+
+#: Walks over whole images or over matches in order, which SQL cannot say; tests hold them against known shifts and loops.
+QUERIES |= {f.__name__: f for f in (q_phase_shift, q_one_to_one, q_stack_frames)}
