@@ -30,60 +30,87 @@ def bimodality_coefficient(value: str) -> Column:
     return F.when((n >= 4) & (F.var_pop(value) >= EPSILON), (F.skewness(value) * F.skewness(value) + 1) / (F.kurtosis(value) + bend))
 
 
+def _ranges(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, low, high, many, bc): one row per group."""
+    v = F.col(value).cast("double")
+    return df.groupBy(by).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(value).alias("many"), bimodality_coefficient(value).alias("bc"))
+
+
+def _binned(df: DataFrame, by: str, value: str, bins: int) -> DataFrame:
+    """(by, low, width, bc, bin, n): two passes, one for the ranges, one that counts; every bin of a group is there."""
+    ranged = _ranges(df, by, value).where((F.col("high") - F.col("low") >= EPSILON) & (F.col("many") >= 4)).withColumn("width", (F.col("high") - F.col("low")) / bins)
+    joined = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v")).join(ranged.select(by, "low", "width", "bc"), by)
+    placed = joined.withColumn("bin", F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int"))
+    counted = placed.groupBy(by, "low", "width", "bc", "bin").agg(F.count("*").alias("n"))
+    rows = counted.groupBy(by, "low", "width", "bc").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(b.alias("bin"), F.coalesce(F.try_element_at("counts", b), F.lit(0)).cast("long").alias("n")))
+    return rows.select(by, "low", "width", "bc", F.explode(every).alias("b")).select(by, "low", "width", "bc", "b.bin", "b.n")
+
+
 def histogram(df: DataFrame, by: str, value: str, bins: int = BINS) -> DataFrame:
     """(by, low, width, bin, n) for every bin of every group with at least 4 values and some spread; the top value lies in the last bin."""
-    group = W.partitionBy(by)
-    ranged = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v")).withColumns({"low": F.min("v").over(group), "high": F.max("v").over(group), "many": F.count("v").over(group)})
-    ranged = ranged.where((F.col("high") - F.col("low") >= EPSILON) & (F.col("many") >= 4)).withColumn("width", (F.col("high") - F.col("low")) / bins)
-    placed = ranged.withColumn("bin", F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int"))
-    counted = placed.groupBy(by, "low", "width", "bin").agg(F.count("*").alias("n"))
-    places = counted.select(by, "low", "width").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return places.join(counted, [by, "low", "width", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return _binned(df, by, value, bins).drop("bc")
 
 
-def valley(df: DataFrame, by: str, value: str, bins: int = BINS) -> DataFrame:
-    """(by, peak1, peak2, valley_bin, valley, depth): the deepest bin between the tallest bin of each half.
-
-    Bins are smoothed with their neighbours (whole numbers; the outer two stay). Of equal peaks the last
-    counts, of equal valleys the first. depth is the valley's height over the lower peak's.
-    """
-    order = W.partitionBy(by).orderBy("bin")
+def _valleys(df: DataFrame, by: str, value: str, bins: int) -> DataFrame:
+    """As ``valley``, with bc. Beyond the bins it works on ``bins`` rows a group."""
+    order, group = W.partitionBy(by).orderBy("bin"), W.partitionBy(by)
     three = F.lag("n").over(order) + F.col("n") + F.lead("n").over(order)
-    smooth = histogram(df, by, value, bins).withColumns({"whole": F.coalesce(F.floor(three / 3), F.col("n")), "exact": F.coalesce(three / 3, F.col("n").cast("double"))})
-    half = F.col("bin") < bins // 2
-    peaks = smooth.groupBy(by).agg(
-        F.max(F.when(half, F.struct("whole", "bin", "exact"))).alias("first"),
-        F.max(F.when(~half, F.struct("whole", "bin", "exact"))).alias("second"),
-    )
-    between = smooth.join(peaks, by).where((F.col("bin") >= F.col("first.bin")) & (F.col("bin") <= F.col("second.bin")))
-    lowest = F.min(F.struct("whole", "bin", "exact", "low", "width"))
-    found = between.groupBy(by).agg(F.any_value("first").alias("first"), F.any_value("second").alias("second"), lowest.alias("least"))
+    smooth = _binned(df, by, value, bins).withColumns({"whole": F.coalesce(F.floor(three / 3), F.col("n")), "exact": F.coalesce(three / 3, F.col("n").cast("double"))})
+    half, height = F.col("bin") < bins // 2, F.struct("whole", "bin", "exact")
+    peaks = smooth.withColumns({"first": F.max(F.when(half, height)).over(group), "second": F.max(F.when(~half, height)).over(group)})
+    between = peaks.where((F.col("bin") >= F.col("first.bin")) & (F.col("bin") <= F.col("second.bin")))
+    found = between.groupBy(by, "low", "width", "bc", "first", "second").agg(F.min(height).alias("least"))
     smaller = F.least(F.col("first.exact"), F.col("second.exact"))
     return found.select(
         by,
         F.col("first.bin").alias("peak1"),
         F.col("second.bin").alias("peak2"),
         F.col("least.bin").alias("valley_bin"),
-        (F.col("least.low") + (F.col("least.bin") + 0.5) * F.col("least.width")).alias("valley"),
+        (F.col("low") + (F.col("least.bin") + 0.5) * F.col("width")).alias("valley"),
         F.when(smaller > EPSILON, F.col("least.exact") / smaller).otherwise(1.0).alias("depth"),
+        "bc",
     )
 
 
+def valley(df: DataFrame, by: str, value: str, bins: int = BINS) -> DataFrame:
+    """(by, peak1, peak2, valley_bin, valley, depth): the deepest bin between the tallest bin of each half.
+
+    Bins are smoothed with their neighbours (whole numbers; the outer two stay). Of equal peaks the last
+    counts, of equal valleys the first. depth is the valley's height over the lower peak's.
+    """
+    return _valleys(df, by, value, bins).drop("bc")
+
+
+def _with_cut(df: DataFrame, by: str, value: str) -> DataFrame:
+    """df with ``_cut``: the value at which a clear valley parts two clusters of its group, or null."""
+    cuts = _valleys(df, by, value, BINS).where((F.col("bc") > BIMODAL) & (F.col("depth") <= DEPTH)).select(by, F.col("valley").alias("_cut"))
+    return df.join(cuts, by, "left")
+
+
+def _anchored(value: str, higher_is_better: bool) -> list[Column]:
+    """Aggregates over rows with ``_cut``: mean and sigma of the better cluster if it has two values or more, else of all; whether it has."""
+    better = F.when(F.col(value) > F.col("_cut") if higher_is_better else F.col(value) < F.col("_cut"), F.col(value))
+    clear = F.count(better) >= 2
+    return [
+        F.coalesce(F.when(clear, F.avg(better)), F.avg(value), F.lit(0.0)).alias(f"{value}_mean"),
+        F.coalesce(F.when(clear, F.stddev_pop(better)), F.stddev_pop(value), F.lit(0.0)).alias(f"{value}_sigma"),
+        clear.alias("anchored"),
+    ]
+
+
 def anchored_stats(df: DataFrame, by: str, value: str, higher_is_better: bool = True) -> DataFrame:
     """(by, <value>_mean, <value>_sigma, anchored): of the better cluster where a clear valley parts two, else of all values."""
-    plain = df.groupBy(by).agg(bimodality_coefficient(value).alias("bc"), *mean_and_sigma(value, "plain"))
-    parted = valley(df, by, value).where(F.col("depth") <= DEPTH).select(by, "valley")
-    bounds = plain.where(F.col("bc") > BIMODAL).select(by).join(parted, by)
-    better = F.col(value) > F.col("valley") if higher_is_better else F.col(value) < F.col("valley")
-    cluster = df.select(by, value).join(bounds, by).where(better).groupBy(by).agg(F.count(value).alias("many"), *mean_and_sigma(value, "cluster"))
-    joined = plain.join(cluster.where("many >= 2"), by, "left")
-    return joined.select(by, F.coalesce("cluster_mean", "plain_mean").alias(f"{value}_mean"), F.coalesce("cluster_sigma", "plain_sigma").alias(f"{value}_sigma"), F.col("many").isNotNull().alias("anchored"))
+    return _with_cut(df.select(by, value), by, value).groupBy(by).agg(*_anchored(value, higher_is_better))
 
 
 def session_stats(frames: DataFrame, by: str = "session") -> DataFrame:
-    """One row per session: mean and sigma of each metric; the star count's are anchored to the clear cluster."""
-    plain = frames.groupBy(by).agg(*(c for m in METRICS[:3] for c in mean_and_sigma(m)))
-    return plain.join(anchored_stats(frames, by, "star_count").drop("anchored"), by)
+    """One row per session: mean and sigma of each metric; the star count's are anchored to the clear cluster.
+
+    Reads ``frames`` three times: ranges, bins, statistics.
+    """
+    cut = _with_cut(frames, by, "star_count")
+    return cut.groupBy(by).agg(*(c for m in METRICS[:3] for c in mean_and_sigma(m)), *_anchored("star_count", True)[:2])
 
 
 def deviation(value: Column, mean: Column, sigma: Column) -> Column:
@@ -91,24 +118,31 @@ def deviation(value: Column, mean: Column, sigma: Column) -> Column:
     return F.when(sigma < EPSILON, 0.0).otherwise((value - mean) / F.when(sigma >= EPSILON, sigma))
 
 
-def mark_outliers(frames: DataFrame, stats: DataFrame, by: str = "session") -> DataFrame:
-    """frames with ``outlier``: background, FWHM or star count beyond OUTLIER_SIGMA of the first pass."""
+def _outlier() -> Column:
     far = F.lit(False)
     for m in ("background_median", "fwhm", "star_count"):
         z = (F.col(m) - F.col(f"{m}_mean")) / F.when(F.col(f"{m}_sigma") > EPSILON, F.col(f"{m}_sigma"))
         far = far | F.coalesce(F.abs(z) > OUTLIER_SIGMA, F.lit(False))
-    return frames.join(stats, by).withColumn("outlier", far).select(*frames.columns, "outlier")
+    return far
+
+
+def mark_outliers(frames: DataFrame, stats: DataFrame, by: str = "session") -> DataFrame:
+    """frames with ``outlier``: background, FWHM or star count beyond OUTLIER_SIGMA of the first pass."""
+    return frames.join(stats, by).withColumn("outlier", _outlier()).select(*frames.columns, "outlier")
 
 
 def two_pass_stats(frames: DataFrame, by: str = "session") -> DataFrame:
     """One row per session: statistics without the outliers of the first pass; the star count keeps its first ones.
 
-    A session of outliers alone keeps the first pass.
+    A session of outliers alone keeps the first pass. ``frames`` is read once more than for the first
+    pass; persist it if its metrics are dear.
     """
     first = session_stats(frames, by)
-    marked = mark_outliers(frames, first, by)
-    clean = marked.where(~F.col("outlier")).groupBy(by).agg(*(c for m in METRICS[:3] for c in mean_and_sigma(m, f"clean_{m}")))
-    counts = marked.groupBy(by).agg(F.sum(F.col("outlier").cast("long")).alias("outliers"))
-    joined = first.join(clean, by, "left").join(counts, by)
-    pairs = [F.coalesce(f"clean_{m}_{s}", f"{m}_{s}").alias(f"{m}_{s}") for m in METRICS[:3] for s in ("mean", "sigma")]
-    return joined.select(by, *pairs, "star_count_mean", "star_count_sigma", "outliers")
+    names = [c for c in first.columns if c != by]
+    marked = frames.join(first, by).withColumn("_clean", ~_outlier())
+    clean = [c for m in METRICS[:3] for c in (F.avg(F.when(F.col("_clean"), F.col(m))).alias(f"clean_{m}_mean"), F.stddev_pop(F.when(F.col("_clean"), F.col(m))).alias(f"clean_{m}_sigma"))]
+    kept = F.count(F.when(F.col("_clean"), 1))
+    joined = marked.groupBy(by, *names).agg(*clean, kept.alias("_kept"), F.count("*").alias("_all"))
+    some = F.col("_kept") > 0
+    pairs = [F.when(some, F.coalesce(f"clean_{m}_{s}", F.lit(0.0))).otherwise(F.col(f"{m}_{s}")).alias(f"{m}_{s}") for m in METRICS[:3] for s in ("mean", "sigma")]
+    return joined.select(by, *pairs, "star_count_mean", "star_count_sigma", (F.col("_all") - F.col("_kept")).alias("outliers"))
