@@ -27,6 +27,7 @@ from framesieve.llm.common import (
     pack,
     segment_count,
     segment_edges,
+    small_batches,
     text_bytes,
     text_pieces,
     unpack,
@@ -306,4 +307,5 @@ def score_documents(docs: DataFrame, lean: float = LEAN, id_col: str = "doc_id",
 
 
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

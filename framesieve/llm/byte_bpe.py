@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import flat_text, text_pieces
+from framesieve.llm.common import flat_text, small_batches, text_pieces
 
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -34,7 +34,7 @@ S_LETTER, S_NUMBER, S_OTHER, S_BLANK_LAST, S_SPACE_LAST, S_SPACE_MORE, S_SHORT,
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, BLANK, IN_SPACE, TWO_MORE, ONE_MORE = range(8)
 
 #: Merge results kept per worker, and the longest slice kept, in bytes.
-CACHE_SLICES, CACHE_BYTES = 300_000, 48
+CACHE_SLICES, CACHE_BYTES = 200_000, 48
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -303,4 +303,5 @@ def token_digests(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

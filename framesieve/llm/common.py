@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Sub-batches handed to numpy code hold about so many bytes of text.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
+    """Arrow batches small enough that a few tasks' batches of long texts fit beside the heap; a smaller setting stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def text_bytes(spark_df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, for sizing partitions and segments."""
     from pyspark.sql import functions as F

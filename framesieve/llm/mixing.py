@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import durable
+from framesieve.llm.common import durable, small_batches
 
 #: Weights of sources in code point order (null last), repeating; share of all sizes to take; copies of a document at most.
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2
@@ -118,6 +118,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 

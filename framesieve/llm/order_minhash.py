@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import mix64, segment_count, text_bytes, text_pieces, window_hashes
+from framesieve.llm.common import mix64, segment_count, small_batches, text_bytes, text_pieces, window_hashes
 
 KMER, PICKED, FUNCTIONS = 8, 2, 64
 #: Elements hashed by all functions at once.
@@ -163,4 +163,5 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return compare_with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))

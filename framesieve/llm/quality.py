@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import durable, flat_text, lower_ascii, mix64, text_pieces, word_hashes
+from framesieve.llm.common import durable, flat_text, lower_ascii, mix64, small_batches, text_pieces, word_hashes
 
 #: Most labelled documents fitted on, most unlabelled ones in the pool, rounds, and pseudo-labels a view gives in a round (share of the pool).
 LABELLED, POOL, ROUNDS, GIVEN = 12_000, 6_000, 3, 0.1
@@ -280,6 +280,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model).select("doc_id", "text_score", "meta_score", "score", "keep")

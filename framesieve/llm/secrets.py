@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import text_pieces
+from framesieve.llm.common import small_batches, text_pieces
 
 KINDS = ("assign", "access", "hex", "github", "npm", "wif")
 BASE_KINDS = KINDS[:3]
@@ -146,6 +146,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
     def joined(spans):

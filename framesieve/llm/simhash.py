@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import durable, find_words, flat_text, joined_words, lower_ascii, parallelism, text_pieces, whole_windows
+from framesieve.llm.common import durable, find_words, flat_text, joined_words, lower_ascii, parallelism, small_batches, text_pieces, whole_windows
 from framesieve.llm.components import component_labels
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
 #: Nodes with more fingerprints than this are split into parts, and every two parts meet in a task of their own.
 PART = 20_000
+#: Rows that a task compares at a time, at least.
+TOGETHER = 50_000
 #: Members of a leaf of the tree, and children of an inner node.
 LEAF, FAN = 32, 8
 
@@ -197,15 +199,17 @@ def link_nodes(spread: DataFrame, names: list[str], most_bits: int) -> DataFrame
                 a, b = fps[x], fps[y]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(side[:, w]).view(np.int64)) for side in (a, b) for w in range(len(names))], names=[f"{side}_{n}" for side in "ab" for n in names])
 
+        waiting, rows = [(keys, fps)], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.append(keys, batch.column(0).to_numpy())
-            fps = np.concatenate([fps, np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)])
-            done = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if done:
-                yield links(keys[:done], fps[:done])
-                keys, fps = keys[done:], fps[done:]
+            waiting.append((batch.column(0).to_numpy(), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)))
+            rows += batch.num_rows
+            if rows >= TOGETHER:
+                keys, fps = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                done = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+                if done:
+                    yield links(keys[:done], fps[:done])
+                waiting, rows = [(keys[done:], fps[done:])], 0
+        keys, fps = (np.concatenate(x) for x in zip(*waiting, strict=True))
         yield links(keys, fps)
 
     return dealt.mapInArrow(linked, ", ".join(f"{side}_{n} long" for side in "ab" for n in names))
@@ -240,5 +244,6 @@ def near_duplicate_groups(fingerprinted: DataFrame, most_bits: int = MOST_BITS)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     fingerprinted = durable(fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return near_duplicate_groups(fingerprinted).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

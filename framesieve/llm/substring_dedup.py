@@ -31,6 +31,7 @@ from framesieve.llm.common import (
     pack,
     segment_count,
     segment_edges,
+    small_batches,
     spark_hash_of_longs,
     text_bytes,
     text_pieces,
@@ -312,6 +313,7 @@ def _without(batch: pa.RecordBatch, marks: tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     kept = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

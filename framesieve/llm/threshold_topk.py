@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framesieve.llm.common import small_batches
+
 TOP, SCALE, EVERY = 20, 64, 20
 #: Vectors in a block, queries in a block, and how deep the lists are read at first (doubled each time).
 BLOCK, QUERY_BLOCK, DEPTH = 8192, 1024, 32
@@ -106,6 +108,7 @@ def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 
 def op9_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     vectors = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.where(F.col("id") % EVERY == 0))
 

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import text_pieces
+from framesieve.llm.common import small_batches, text_pieces
 
 #: One call of the library encodes about so many characters; lengths of pieces kept per worker, and the longest piece kept.
-CALL_CHARS, CACHE_PIECES, CACHE_CHARS = 1 << 19, 500_000, 48
+CALL_CHARS, CACHE_PIECES, CACHE_CHARS = 1 << 19, 300_000, 48
 #: Context length that ``over_limit`` compares with.
 LIMIT = 512
 
@@ -91,4 +91,5 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
