@@ -155,8 +155,9 @@ def _link_tree(low: int, fps: np.ndarray, forest: Forest, most: int) -> None:
 
 
 def link_sorted(groups: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, rows): a spanning forest of the links within each group.
+    """(rows, rows): each row of a set that links join within a group beside the set's least fingerprint.
 
+    Sets that meet in many nodes mostly share their least member, so their links are mostly the same ones.
     groups: sorted; fps: one row of 64-bit words each, in Gray order of the first word within a group.
     """
     starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
@@ -167,8 +168,13 @@ def link_sorted(groups: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndar
     for s, e in zip(starts, stops, strict=True):
         if e - s > 2 * LEAF:
             _link_tree(s, fps[s:e], forest, most)
-    child = np.flatnonzero(forest.label != np.arange(len(fps)))
-    return forest.label[child], child
+    order = np.lexsort(fps.T)
+    rank, least = np.empty(len(fps), np.int64), np.full(len(fps), len(fps))
+    rank[order] = np.arange(len(fps))
+    np.minimum.at(least, forest.label, rank)
+    root = order[least[forest.label]]
+    child = np.flatnonzero(root != np.arange(len(fps)))
+    return root[child], child
 
 
 def link_nodes(spread: DataFrame, names: list[str], most_bits: int) -> DataFrame:
@@ -221,7 +227,7 @@ def _signed(word: int) -> int:
 
 def close_links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(a, b): links that connect every two of the distinct fingerprints ``nodes`` (column fp) that differ in at most
-    ``most_bits`` bits, perhaps through others; each link is one of two such close fingerprints."""
+    ``most_bits`` bits, perhaps through others; the ends of a link are connected by such steps."""
     masks = F.array(*[F.lit(_signed(m)).cast("long") for m in block_masks(most_bits)])
     spread = nodes.select("fp", F.posexplode(masks).alias("node", "mask")).select("node", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
     return link_nodes(spread, ["fp"], most_bits).toDF("a", "b")
