@@ -136,6 +136,21 @@ def test_near_copies(spark, sf, edges, empty):
     assert left.columns == edges.columns and sorted(str(i) for i in ids) == sorted(map(str, [1, 2, None, 5, 7, 8, 9, 10, -5])) and N.keep_one_of_each(empty).count() == 0
 
 
+def near_groups(spark, texts):
+    """(groups by near_copy_groups, groups by brute force) of texts with ids 0, 1, ..."""
+    sets = [shingles(t) for t in texts]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    found = {r.doc_id: r.component_id for r in N.near_copy_groups(frame(spark, list(enumerate(texts)))).collect()}
+    return [found[i] for i in range(len(texts))], closure(len(texts), linked)
+
+
+def test_near_copies_of_equal_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(N, "wide_fingerprints", lambda column, n: np.zeros((len(column), 2), np.uint64))
+    tails = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    got, expected = near_groups(spark, [*tails, tails[0] + " more", tails[1].upper()])
+    assert got == expected == [0, 1, 2, 3, 0, 1]
+
+
 def brute_signature(text):
     points = [ord(c) for c in text]
     k = min(O.KMER, len(points))
