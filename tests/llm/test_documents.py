@@ -145,12 +145,23 @@ def near_groups(spark, texts):
 
 
 def test_near_copies_of_equal_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(N, "wide_fingerprints", lambda column, n: np.zeros((len(column), 2), np.uint64))
+    monkeypatch.setattr(N, "wide_fingerprints", lambda *x: np.zeros((len(x[1]) - 1, 2), np.uint64))
     tails = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
     got, expected = near_groups(spark, [*tails, tails[0] + " more", tails[1].upper()])
     assert got == expected == [0, 1, 2, 3, 0, 1]
 
 
+def test_near_copies_with_repeats(spark):
+    texts = []
+    for k in range(6):
+        body = [f"b{k}x{i}" for i in range(400)]
+        texts += [" ".join(body), " ".join(body + body[:40] * 5), " ".join(body + body[:20] * 30)]
+    line = "this same line stands here again and again today "
+    texts += [line * times + " ".join(f"{c}{i}" for i in range(n)) for times, n in ((60, 50), (200, 150)) for c in "cd"]
+    got, expected = near_groups(spark, texts)
+    assert got == expected and expected[:18] == [3 * (i // 3) for i in range(18)] and expected[18:] == [18, 19, 20, 21]
+
+
 def brute_signature(text):
     points = [ord(c) for c in text]
     k = min(O.KMER, len(points))
