@@ -162,6 +162,20 @@ def test_near_copies_with_repeats(spark):
     assert got == expected and expected[:18] == [3 * (i // 3) for i in range(18)] and expected[18:] == [18, 19, 20, 21]
 
 
+def test_near_copies_at_the_bound(spark):
+    texts = []
+    for k in range(150):  # pairs at 0.8 or little more: a tail cut off, some of them of very few shingles
+        n = (5, 10, 45, 90, 250, 800)[k % 6]
+        w = [f"p{k}x{i}" for i in range(n + 4)]
+        texts += [" ".join(w), " ".join(w[: math.ceil(0.8 * n) + 4])]
+    for k in range(50):  # and ends exchanged, 0.8 as well
+        w = [f"q{k}x{i}" for i in range(94)]
+        texts += [" ".join(w), " ".join(w[10:] + [f"r{k}x{i}" for i in range(10)])]
+    got, expected = near_groups(spark, texts)
+    assert expected == [i - i % 2 for i in range(len(texts))]
+    assert got == expected
+
+
 def brute_signature(text):
     points = [ord(c) for c in text]
     k = min(O.KMER, len(points))
