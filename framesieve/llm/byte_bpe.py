@@ -13,7 +13,6 @@ import base64
 import hashlib
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,11 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framesieve.llm.common import flat_text, small_batches, text_pieces
-
-#: The code points of Unicode's White_Space property.
-WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+from framesieve.llm.common import flat_text, small_batches, text_pieces, unused
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Symbols: the classes above with white space told apart by what follows, and apostrophes that open a contraction.
@@ -82,15 +79,19 @@ def _starts_token() -> np.ndarray:
 
 @cache
 def code_point_classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, by the Unicode release that the tokeniser's own library knows.
+
+    An encoder whose pattern is one class and whose tokens are single bytes leaves out all other code
+    points, so what it gives back of all code points is the class. (Surrogates are in no text.)
+    """
+    import tiktoken
+
+    single = {bytes([b]): b for b in range(256)}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
     classes = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            classes[c] = LETTER
-        elif kind == "N":
-            classes[c] = NUMBER
-    classes[list(WHITE_SPACE)] = SPACE
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        encoder = tiktoken.Encoding(f"class {pattern}", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        classes[np.frombuffer(bytes(encoder.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
     return classes
 
 
@@ -209,6 +210,8 @@ class ByteBPE:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.lengths = np.zeros(max(self.tokens, default=0) + 1, np.int64)
+        self.lengths[list(self.tokens)] = [len(token) for token in self.tokens.values()]
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
     @classmethod
@@ -229,7 +232,7 @@ class ByteBPE:
         return ids
 
     def encode(self, column: pa.Array) -> Iterator[tuple[list[int], np.ndarray]]:
-        """For each text its ids and the byte offsets of its slices (for decoding parts of it)."""
+        """For each text its ids and the byte offsets of its slices."""
         data, offsets = flat_text(column)
         raw = data.tobytes()
         points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -247,9 +250,18 @@ class ByteBPE:
                 ids += known.get(piece) or look(piece)
             yield ids, own - offsets[i]
 
+    def offsets(self, ids: list[int]) -> np.ndarray:
+        """Where each token starts in the text's bytes; the text's length last."""
+        return np.append(0, np.cumsum(self.lengths[np.asarray(ids, np.int64)]))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_part(self, ids: list[int], offsets: np.ndarray, start: int, end: int) -> bytes:
+        """Bytes ``start`` to ``end`` of the text, from the tokens that reach into them alone; offsets as ``offsets`` gives them."""
+        first, last = max(int(np.searchsorted(offsets, start, "right")) - 1, 0), int(np.searchsorted(offsets, end))
+        return self.decode(ids[first:last])[start - int(offsets[first]) : end - int(offsets[first])] if end > start else b""
+
 
 def default_ranks() -> str:
     import public_tokenizers
@@ -258,26 +270,26 @@ def default_ranks() -> str:
 
 
 def encode_documents(docs: DataFrame, ranks: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (array of int), ``token_offsets`` (array of int: byte offsets of the pre-tokens, the
+    """``docs`` with ``token_ids`` (array of int), ``token_offsets`` (array of int: the byte at which each token starts, the
     text's length last) and ``decoded`` (the bytes that decoding gives back) added.
 
-    A null text is encoded as the empty one: no ids, no offsets, no bytes. Columns of ``docs`` with
-    those names are replaced. Repeated rows each give a row; an empty table gives none. Texts of any
+    A null text is encoded as the empty one: no ids, one offset (0), no bytes. All columns of ``docs`` stay; where one has such a
+    name already, the new column gets underscores behind it. Repeated rows each give a row; an empty table gives none. Texts of any
     length are encoded whole. Nothing is shuffled.
     """
     path = ranks or default_ranks()
-    kept = [c for c in docs.columns if c not in ("token_ids", "token_offsets", "decoded")]
-    given = docs.select(*kept)
-    schema = given.limit(0).withColumns({"token_ids": F.lit(None).cast("array<int>"), "token_offsets": F.lit(None).cast("array<int>"), "decoded": F.lit(None).cast("binary")}).schema
+    names = unused(["token_ids", "token_offsets", "decoded"], docs.columns)
+    at = docs.columns.index(text_col)
+    added = [T.StructField(n, kind) for n, kind in zip(names, (T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType()), T.BinaryType()), strict=True)]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.load(path)
         for batch in text_pieces(batches, text_col):
-            ids, offsets = zip(*bpe.encode(batch.column(kept.index(text_col))), strict=True)
-            more = [pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*kept, "token_ids", "token_offsets", "decoded"])
+            ids = [own for own, _ in bpe.encode(batch.column(at))]
+            more = [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.offsets(own) for own in ids], pa.list_(pa.int32())), pa.array([bpe.decode(own) for own in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    return given.mapInArrow(encoded, schema)
+    return docs.mapInArrow(encoded, T.StructType([*docs.schema.fields, *added]))
 
 
 def token_digests(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Sub-batches handed to numpy code hold about so many bytes of text.
 PIECE_BYTES = 1 << 20
+#: Partitions of a shuffle; it bounds no rows, only how many segments lie in one partition.
+MOST_PARTITIONS = 1 << 16
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,19 +31,46 @@ _inverse_powers = np.ones(1, np.uint64)
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, read from the cluster's shared checkpoint folder from now on.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir; see ``shared_folder``.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share for checkpoints."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder that driver and executors share for checkpoints: spark.checkpoint.dir.
+
+    Only a session whose executors are threads of the driver (master local) may leave it unset, as in tests; it gets a folder of its own.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, each followed by as many underscores as tell it from the ``taken`` ones (capitals or not)."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
@@ -206,8 +235,13 @@ def unpack(packed: bytes, dtype: type) -> np.ndarray:
 
 
 def segment_count(text_size: int, spark: SparkSession, each: int = 8 << 20) -> int:
-    """Into how many hash ranges to deal what is gathered from ``text_size`` bytes of text."""
-    return int(min(max(parallelism(spark), text_size // each), 1 << 16))
+    """Into how many hash ranges to deal what is gathered from ``text_size`` bytes of text; a task holds one range at a time."""
+    return int(max(parallelism(spark), text_size // each))
+
+
+def partition_count(segments: int) -> int:
+    """Into how many partitions to deal so many segments: each has one, until Spark's books of partitions would grow too long; then some share one."""
+    return min(segments, MOST_PARTITIONS)
 
 
 def segment_edges(hashes: np.ndarray, segments: int) -> np.ndarray:
