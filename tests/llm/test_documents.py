@@ -251,26 +251,35 @@ def test_model_beats_base_on_held_out(spark, sf):
     assert r.s > r.b
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [K.BLOCK, 64])
+def test_top_k(spark, monkeypatch, block):
+    monkeypatch.setattr(K, "BLOCK", block)
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (300, 8)).astype(np.float32)
     x[:60] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [float("nan")] * 8), (502, [None] * 8), (None, x[0].tolist()), (40, x[5].tolist()), (503, [0.0] * 8), (520, [0.0] * 8)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [float("nan")] * 8), (502, [None] * 8), (None, x[0].tolist())]
+    rows += [(40, x[5].tolist()), (40, x[6].tolist()), (40, x[6].tolist()), (80, (-x[7]).tolist()), (503, [0.0] * 8), (520, [0.0] * 8), (560, [0.5] * 3), (561, [])]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "vec_id long, embedding array<float>, score string")
     vectors = K.whole_vectors(df)
-    whole = [(i, np.floor(64 * np.array(v, np.float64))) for i, v in rows if i is not None and v is not None and None not in v and not np.isnan(v).any()]
-    asked = {}
-    for i, v in whole:
+    whole = [(i, np.append(np.floor(64 * np.array(v, np.float64)), np.zeros(8 - len(v)))) for i, v in rows if i is not None and v is not None and None not in v and not np.isnan(v).any()]
+    expected = []
+    for n, (i, q) in enumerate(whole):
         if i % 20 == 0:
-            asked.setdefault(i, v)
-    got = {}
-    for r in K.top_k(vectors, vectors.where("id % 20 = 0 AND id <> 40")).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    for q in asked.keys() - {40}:
-        best = sorted((-int(v @ asked[q]), i) for i, v in whole if i != q)[:20]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert K.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
-    assert K.top_k(vectors.where("id < 3"), vectors.where("id = 0").limit(1)).count() == 2
+            best = sorted((-int(v @ q), j) for m, (j, v) in enumerate(whole) if m != n)[:20]
+            expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, K.top_k(vectors, F.col("id") % 20 == 0).collect())) == sorted(expected)
+    assert K.top_k(vectors.limit(0), F.lit(True)).count() == 0
+    assert K.top_k(vectors.where("id < 3"), F.col("id") == 0).count() == 2 and K.top_k(vectors.where("id = 3"), F.lit(True)).count() == 0
+
+
+def test_top_k_prunes(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 256)
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.exponential(4, (2000, 1)) ** 2 * np.array([9, 3, 1, 1]) + rng.uniform(0, 3, (2000, 4))).astype(int)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>").withColumns({"row": F.col("id"), "block": (F.col("id") % 8).cast("int")})
+    asked = vectors.where("id % 20 = 0").withColumn("floor", F.lit(K._NO_FLOOR))
+    scored = K._met(vectors, asked, 8, 20).agg(F.sum("scored")).first()[0]
+    assert 100 * 20 <= scored < 0.7 * 100 * 250
 
 
 def test_mixing(spark, edges, empty):
