@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import durable, small_batches
+from framesieve.llm.common import durable, quoted, small_batches, unused
 
 #: Weights of sources in code point order (null last), repeating; share of all sizes to take; copies of a document at most.
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2
@@ -110,11 +110,15 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each time a document is taken, with the columns of ``docs``."""
-    ends = source_thresholds(durable(sized_documents(docs))).select(F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"), F.col("threshold").alias("_mix_end"))
-    joined = docs.join(_per_source(ends), docs["source"].eqNullSafe(ends["_mix_source"]))
-    times = F.col("_mix_copies") + (document_hash() <= F.col("_mix_end")).cast("long")
-    return joined.withColumn("_mix_time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    """``docs`` as the mix takes them: a row for each time a document is taken, with the columns of ``docs``, whatever their names.
+
+    Null texts, null sources, repeated rows and empty tables as in ``mix_plan``; a document of no words is taken as others of its hash are.
+    """
+    source, copies, end, time = unused(["mix_source", "mix_copies", "mix_end", "mix_time"], docs.columns)
+    ends = source_thresholds(durable(sized_documents(docs))).select(F.col("source").alias(source), F.col("copies").alias(copies), F.col("threshold").alias(end))
+    joined = docs.join(_per_source(ends), docs["source"].eqNullSafe(ends[source]))
+    times = F.col(copies) + (document_hash() <= F.col(end)).cast("long")
+    return joined.withColumn(time, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*map(quoted, docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framesieve.llm.common import durable, flat_text, lower_ascii, mix64, small_batches, text_pieces, word_hashes
+from framesieve.llm.common import durable, flat_text, lower_ascii, mix64, small_batches, text_pieces, unused, word_hashes
 
 #: Most labelled documents fitted on, most unlabelled ones in the pool, rounds, and pseudo-labels a view gives in a round (share of the pool).
 LABELLED, POOL, ROUNDS, GIVEN = 12_000, 6_000, 3, 0.1
@@ -260,23 +261,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return co_train(list(zip(buckets, meta, strict=True)), good, out)
 
 
+#: The columns that ``score_quality`` adds.
+SCORES = ("text_score", "meta_score", "score", "keep")
+
+
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """``docs`` with text_score, meta_score, score (probabilities of being good) and keep (score of 0.5 or more) added; nothing is shuffled.
 
-    Null text, language and source count as empty; repeated rows each give a row; an empty table gives none; columns of those names are replaced.
+    Null text, language and source count as empty; repeated rows each give a row; an empty table gives none. All columns of
+    ``docs`` stay; where one has such a name already, the new column gets underscores behind it.
     """
-    kept = [c for c in docs.columns if c not in ("text_score", "meta_score", "score", "keep")]
-    given = docs.select(*kept)
+    names = unused(list(SCORES), docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = given.limit(0).withColumns({c: F.lit(None).cast("double") for c in ("text_score", "meta_score", "score")}).schema
+    columns = [docs.columns.index(c) for c in ("text", "lang", "source")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [kept.index(c) for c in ("text", "lang", "source")]
         for batch in text_pieces(batches):
             scores = shared.value.scores(*features(*(batch.column(c) for c in columns)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], names=[*batch.schema.names, *names[:3]])
 
-    return given.mapInArrow(scored, schema).withColumn("keep", F.col("score") >= 0.5)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names[:3])])
+    return docs.mapInArrow(scored, schema).withColumn(names[3], F.col(names[2]) >= 0.5)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

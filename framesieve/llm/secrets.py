@@ -113,7 +113,8 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """``docs`` with the secrets in its texts replaced by ``mask``; all rows and columns stay, ``n_chars`` (if there) is counted anew.
 
-    Null texts stay null, texts without secrets stay as they are; nothing is shuffled.
+    Null texts stay null, texts without secrets stay as they are; repeated rows each give a row, an empty table gives none; null ids
+    and columns of any names stay. Nothing is shuffled.
     """
     names = docs.columns
 

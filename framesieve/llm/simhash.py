@@ -63,7 +63,10 @@ def fingerprints(column: pa.Array, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def fingerprint_documents(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed long."""
+    """(doc_id, fp): one row per document, the fingerprint as a signed long.
+
+    Null texts and texts without words have fingerprint 0; null ids stay; repeated rows each give a row; an empty table gives none; other columns are not read.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_pieces(batches):
