@@ -3,28 +3,36 @@
 Counts of words and word pairs of the training documents are quantised on a logarithmic scale. The filter
 holds an n-gram once for every level up to its own, so its level is read off by probing level 1, 2, ...
 until a probe fails, and never comes out too low. The filter is filled by hash range where the counts are
-gathered, bounded in size, and broadcast; texts are scored by smoothed probabilities from such probes.
+gathered; its size grows with the corpus at a fixed number of bits for each entry. Texts are scored by smoothed probabilities from such probes.
+
+A filter of up to ``FILTER_BYTES`` is broadcast. A larger one stays where it is, in parts by hash range: each batch of texts
+sends its distinct probes to the parts and gets the levels back, so scores are the same either way.
 
 The unigram base score needs exact counts: those of the most frequent words (a bounded number) are
-broadcast, and the other words of each document are joined with their counts.
+broadcast, and each batch asks the parts for those of its other words, once for each distinct word.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesieve.llm.common import (
+    PIECE_BYTES,
     durable,
     find_words,
     flat_text,
     lower_ascii,
     mix64,
     pack,
+    parallelism,
+    partition_count,
     segment_count,
     segment_edges,
     small_batches,
@@ -36,12 +44,14 @@ from framesieve.llm.common import (
 
 #: Documents with crc32(id) modulo FOLDS equal to HELD_OUT are not learned from.
 FOLDS, HELD_OUT = 5, 1
-#: Most bytes of the broadcast filter, bits for each (n-gram, level) that it holds, probes of each.
+#: Most bytes of a filter that is broadcast, bits for each (n-gram, level) that it holds, probes of each.
 FILTER_BYTES, BITS_EACH, PROBES = 192 << 20, 10, 5
 #: Most words whose exact counts are broadcast.
 HEAD_WORDS = 1 << 20
-#: N-grams a task gathers before it sends them on.
-GATHER = 3_000_000
+#: Bytes of text whose scores are put together in one partition.
+BACK = 64 << 20
+#: N-grams a task gathers before it sends them on; bytes of text whose probes are sent together.
+GATHER, TOGETHER = 3_000_000, 4 << 20
 #: A pair's probability leans on its second word's as if that had been seen so often.
 LEAN = 500.0
 
@@ -136,11 +146,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.nd
 class LogFrequencyFilter:
     """Levels of n-grams: a Bloom filter for each hash range, each of a size of its own."""
 
-    def __init__(self, parts: dict[int, np.ndarray], segments: int, typical: np.ndarray) -> None:
-        sizes = np.array([len(parts.get(s, ())) for s in range(segments)], np.int64)
+    def __init__(self, parts: dict[int, np.ndarray], segments: int) -> None:
+        sizes = np.zeros(segments, np.int64)
+        sizes[list(parts)] = [len(x) for x in parts.values()]
         self.offsets = np.append(0, np.cumsum(sizes))
         self.words = np.concatenate([*(parts[s] for s in sorted(parts)), np.zeros(1, np.uint64)])
-        self.segments, self.typical = segments, typical
+        self.segments = segments
 
     @staticmethod
     def _places(keys: np.ndarray, sizes: np.ndarray | np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,9 +168,9 @@ class LogFrequencyFilter:
         return hashes + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
     @classmethod
-    def part(cls, hashes: np.ndarray, levels: np.ndarray, most_bytes: int) -> np.ndarray:
-        """The filter of one hash range."""
-        size = min(int(levels.sum()) * BITS_EACH // 512 + 1, max(1, most_bytes // 64)) * 8
+    def part(cls, hashes: np.ndarray, levels: np.ndarray, bits: int = BITS_EACH) -> np.ndarray:
+        """The filter of one hash range, ``bits`` for each entry."""
+        size = (int(levels.sum()) * bits // 512 + 1) * 8
         words = np.zeros(size, np.uint64)
         for level in range(1, int(levels.max(initial=0)) + 1):
             for at, bit in cls._places(cls._keys(hashes[levels >= level], level), np.uint64(size)):
@@ -168,7 +179,10 @@ class LogFrequencyFilter:
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if the filter does not hold it."""
-        part = ((hashes >> np.uint64(32)) * np.uint64(self.segments) >> np.uint64(32)).astype(np.int64)
+        if self.segments == 1:
+            part = np.zeros(len(hashes), np.int64)
+        else:
+            part = ((hashes >> np.uint64(32)) * np.uint64(self.segments) >> np.uint64(32)).astype(np.int64)
         base, sizes = self.offsets[part], np.diff(self.offsets)[part].astype(np.uint64)
         found = np.zeros(len(hashes), np.int64)
         left = np.flatnonzero(sizes)
@@ -182,128 +196,189 @@ class LogFrequencyFilter:
             level += 1
         return found
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Each n-gram's count, as the mean count of its level."""
-        return self.typical[self.levels(hashes)]
 
+class Corpus:
+    """What scoring needs to know of all training documents: a few numbers."""
+
+    def __init__(self, sizes: np.ndarray, mass: np.ndarray, starts: float, lean: float) -> None:
+        self.typical = np.where(sizes > 0, mass / np.maximum(sizes, 1), 0.0)  # mean count at each level of 1-grams and 2-grams
+        self.train, kinds = int(mass[1].sum()), int(sizes[1].sum())
+        self.total, self.starts, self.lean = float(self.train + 0.5 * (kinds + 1)), starts, lean
+
+    def log_base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.5) / self.total)
+
+    def log_model(self, at: np.ndarray, words: np.ndarray, which: np.ndarray, pairs: np.ndarray, whose: np.ndarray) -> np.ndarray:
+        """The log10 probability of each token from levels: of distinct words, which of them it is, of distinct pairs, which of them it ends."""
+        seen = self.typical[1][words]
+        single = (seen + 0.5) / self.total
+        context = np.empty(len(which))
+        context[1:] = seen[which[:-1]]
+        context[at[:-1]] = self.starts
+        return np.log10((np.minimum(self.typical[2][pairs][whose], context) + self.lean * single[which]) / (context + self.lean))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The model's rows: for each hash range of n-grams its filter, and of 1-grams the exact counts."""
+    for n, segment, hashes, counts in _merged(batches):
+        levels = levels_of(counts)
+        size = np.bincount(levels, minlength=len(LEVELS) + 1)
+        mass = np.bincount(levels, weights=counts, minlength=len(LEVELS) + 1)
+        words = (hashes, counts) if n == 1 else (hashes[:0], counts[:0])
+        values = [n, segment, pack(words[0]), pack(words[1]), LogFrequencyFilter.part(hashes, levels, bits).tobytes(), size.tolist(), mass.tolist()]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["n", "segment", "hashes", "counts", "part", "sizes", "mass"])
+
+
+_ASKED = ["batch", "n", "segment", "packed"]
+
+
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=_ASKED)
 
-def score_documents(docs: DataFrame, lean: float = LEAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to probes (batch, n, segment, packed): levels, and of 1-grams counts before them. Rows come by n and segment, the model's row (batch -1) first."""
+    held, now = None, None
+    for batch in batches:
+        out = []
+        for b, n, segment, packed, counts, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hashes = unpack(packed, np.uint64)
+            if b < 0:
+                now, held = (n, segment), (hashes, unpack(counts, np.int64), LogFrequencyFilter({0: np.frombuffer(part, np.uint64)}, 1))
+                continue
+            known = held if now == (n, segment) else None
+            levels = known[2].levels(hashes) if known else np.zeros(len(hashes), np.int64)
+            exact = np.zeros(len(hashes) if n == 1 else 0, np.int64)
+            if n == 1 and known and len(known[0]):
+                place = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
+                exact = np.where(known[0][place] == hashes, known[1][place], 0)
+            out.append((b, n, segment, pickle.dumps((pack(exact), pack(levels.astype(np.uint8))))))
+        if out:
+            yield _rows(out)
+
+
+def score_documents(docs: DataFrame, lean: float = LEAN, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS_EACH) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learned from the documents that are not held out; a null id counts as the empty text (not held
     out), a null text as empty: one end token. Repeated rows each count and each give a row. Without
-    training documents every word is unknown and the probabilities are those of the smoothing. Other columns are not read.
-    Words are told apart by 64-bit hashes.
+    training documents every word is unknown and the probabilities are those of the smoothing. Other columns are not read; an empty table
+    gives no row. Words are told apart by 64-bit hashes. ``bits``: of the filter for each entry.
     """
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     given = docs.select(F.col(id_col).cast("long").alias("id"), (fold == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
-    segments = segment_count(text_bytes(given), spark)
-    share = FILTER_BYTES // segments
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, segment, hashes, counts in _merged(batches):
-            levels = levels_of(counts)
-            size = np.bincount(levels, minlength=len(LEVELS) + 1)
-            mass = np.bincount(levels, weights=counts, minlength=len(LEVELS) + 1)
-            part = LogFrequencyFilter.part(hashes, levels, share * (1 if n == 1 else 3) // 4)
-            words = (hashes.view(np.int64), counts) if n == 1 else (hashes[:0], counts[:0])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([n], pa.int32()),
-                    pa.array([segment], pa.int32()),
-                    pa.array([pack(words[0])], pa.binary()),
-                    pa.array([pack(words[1])], pa.binary()),
-                    pa.array([part.tobytes()], pa.binary()),
-                    pa.array([size.tolist()], pa.list_(pa.int64())),
-                    pa.array([mass.tolist()], pa.list_(pa.float64())),
-                ],
-                names=["n", "segment", "hashes", "counts", "part", "sizes", "mass"],
-            )
-
-    dealt = gather_counts(given.where(~F.col("held_out")), segments).repartition(segments, "n", "segment").sortWithinPartitions("n", "segment")
-    model = durable(dealt.mapInArrow(counted, "n int, segment int, hashes binary, counts binary, part binary, sizes array<long>, mass array<double>"))
-    spectrum = model.select("n", F.posexplode(F.arrays_zip("sizes", "mass")).alias("level", "x")).groupBy("n", "level").agg(F.sum("x.sizes").alias("size"), F.sum("x.mass").alias("mass")).collect()
-    sizes, mass = np.zeros((3, len(LEVELS) + 1)), np.zeros((3, len(LEVELS) + 1))
-    for r in spectrum:
+    learned = given.where(~F.col("held_out"))
+    size = text_bytes(given)
+    segments = segment_count(size, spark)
+    dealt = gather_counts(learned, segments).repartition(partition_count(segments), "n", "segment").sortWithinPartitions("n", "segment")
+    model = durable(dealt.mapInArrow(lambda batches: _counted(batches, bits), "n int, segment int, hashes binary, counts binary, part binary, sizes array<long>, mass array<double>"))
+    spectrum = model.select("n", F.octet_length("part").alias("bytes"), F.posexplode(F.arrays_zip("sizes", "mass")).alias("level", "x"))
+    sizes, mass, filter_bytes = np.zeros((3, len(LEVELS) + 1)), np.zeros((3, len(LEVELS) + 1)), 0
+    for r in spectrum.groupBy("n", "level").agg(F.sum("x.sizes").alias("size"), F.sum("x.mass").alias("mass"), F.sum("bytes").alias("bytes")).collect():  # a row for each n and level
         sizes[r["n"], r["level"]], mass[r["n"], r["level"]] = r["size"], r["mass"]
-    typical = np.where(sizes > 0, mass / np.maximum(sizes, 1), 0.0)
-    train, kinds = int(mass[1].sum()), int(sizes[1].sum())
-    above = np.cumsum(sizes[1][::-1])[::-1]  # words of at least each level
-    floor_level = int(np.flatnonzero(above <= HEAD_WORDS)[0]) if (above <= HEAD_WORDS).any() else len(LEVELS)
-    floor_count = int(LEVELS[floor_level - 1]) if floor_level else 1
-
-    def words_of(keep) -> DataFrame:
-        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    h, c = unpack(hashes, np.int64), unpack(counts, np.int64)
-                    own = keep(c)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(c[own])], names=["word", "count"])
-
-        return model.where("n = 1").select("hashes", "counts").mapInArrow(kept, "word long, count long")
-
-    head = words_of(lambda c: c >= floor_count).toArrow()  # HEAD_WORDS rows at most
-    order = np.argsort(head.column("word").to_numpy().view(np.uint64))
-    head_words, head_counts = head.column("word").to_numpy().view(np.uint64)[order], head.column("count").to_numpy()[order]
-    parts: dict[int, dict[int, np.ndarray]] = {1: {}, 2: {}}
-    for r in model.select("n", "segment", "part").toLocalIterator(prefetchPartitions=True):  # FILTER_BYTES at most
-        parts[r["n"]][r["segment"]] = np.frombuffer(r["part"], np.uint64)
-    filters = [LogFrequencyFilter(parts[n], segments, typical[n]) for n in (1, 2)]
-    shared = spark.sparkContext.broadcast((filters, head_words, head_counts))
-    del parts, filters
-    total = float(train + 0.5 * (kinds + 1))
-    starts = float(given.where(~F.col("held_out")).count())
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ones, pairs), words, counts = shared.value
-        for batch in text_pieces(batches):
+        filter_bytes += r["bytes"] if r["level"] == 0 else 0
+    corpus = Corpus(sizes, mass, float(learned.count()), lean)
+    shared = spark.sparkContext.broadcast(_broadcast_part(model, sizes[1], segments) if filter_bytes <= FILTER_BYTES else None)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = shared.value
+        number = TaskContext.get().partitionId() << 32
+        for batch in text_pieces(batches, limit=TOGETHER if near is None else PIECE_BYTES):
             tokens, before, at = _tokens(batch.column(2))
             distinct, which = np.unique(tokens, return_inverse=True)
-            place = np.minimum(np.searchsorted(words, distinct), max(len(words) - 1, 0))
-            known = words[place] == distinct if len(words) else np.zeros(len(distinct), bool)
-            log_base = np.where(known, np.log10((np.where(known, counts[place] if len(words) else 0, 0) + 0.5) / total), 0.0)
-            seen = ones.counts(distinct)
-            single = (seen + 0.5) / total
             both, whose = np.unique(_pair(before, tokens), return_inverse=True)
-            pair_counts = pairs.counts(both)[whose]
-            context = np.empty(len(tokens))
-            context[1:] = seen[which[:-1]]
-            context[at[:-1]] = starts
-            log_model = np.log10((np.minimum(pair_counts, context) + lean * single[which]) / (context + lean))
-            ends = at[:-1]
-            tail = np.flatnonzero(~known[which])
-            owner = np.searchsorted(at, tail, "right") - 1
-            tail_at = np.searchsorted(owner, np.arange(len(at)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(np.diff(at)),
-                    pa.array(np.add.reduceat(known[which].astype(np.int64), ends)),
-                    pa.array(np.add.reduceat(log_base[which], ends)),
-                    pa.array(np.add.reduceat(log_model, ends)),
-                    pa.ListArray.from_arrays(pa.array(tail_at.astype(np.int32)), pa.array(tokens[tail].view(np.int64))),
-                ],
-                names=["id", "held_out", "n_tokens", "head_known", "head_score", "score", "tail"],
+            ends, which, whose = at[:-1], which.astype(np.int32), whose.astype(np.int32)
+            own = {"ids": pickle.dumps(batch.column(0)), "held_out": pickle.dumps(batch.column(1)), "at": at}
+            if near is None:
+                probes, own["which"], own["whose"] = {1: distinct, 2: both}, which, whose
+            else:
+                ones, pairs, words, counts = near
+                place = np.minimum(np.searchsorted(words, distinct), max(len(words) - 1, 0))
+                known = words[place] == distinct if len(words) else np.zeros(len(distinct), bool)
+                log_base = np.where(known, corpus.log_base(np.where(known, counts[place] if len(words) else 0, 0)), 0.0)
+                log_model = corpus.log_model(at, ones.levels(distinct), which, pairs.levels(both), whose)
+                tail = np.flatnonzero(~known[which])
+                probes = {1: distinct[~known]}
+                own |= {
+                    "n_known": np.add.reduceat(known[which].astype(np.int64), ends),
+                    "base": np.add.reduceat(log_base[which], ends),
+                    "score": np.add.reduceat(log_model, ends),
+                    "owner": (np.searchsorted(at, tail, "right") - 1).astype(np.int32),
+                    "which": (np.cumsum(~known) - 1)[which[tail]].astype(np.int32),
+                }
+            rows = [(number, 0, 0, pickle.dumps(own))]
+            for n, hashes in probes.items():
+                edges = segment_edges(hashes, segments)
+                rows += [(number, n, s, pack(hashes[edges[s] : edges[s + 1]])) for s in np.flatnonzero(np.diff(edges)).tolist()]
+            yield _rows(rows)
+            number += 1
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, answers = None, {1: [], 2: []}
+
+        def scores() -> pa.RecordBatch:
+            at = own["at"]
+            ends, n = at[:-1], len(at) - 1
+            counts, words = (np.concatenate([unpack(a[i], kind) for a in answers[1]]) if answers[1] else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.uint8)))
+            log_base = corpus.log_base(counts)
+            if "whose" in own:
+                pairs = np.concatenate([unpack(a[1], np.uint8) for a in answers[2]])
+                known = np.add.reduceat((counts > 0)[own["which"]].astype(np.int64), ends)
+                base = np.add.reduceat(log_base[own["which"]], ends)
+                score = np.add.reduceat(corpus.log_model(at, words, own["which"], pairs, own["whose"]), ends)
+            else:
+                owner, which = own["owner"], own["which"]
+                known = own["n_known"] + np.bincount(owner, weights=(counts > 0)[which], minlength=n)[:n].astype(np.int64)
+                base, score = own["base"] + np.bincount(owner, weights=log_base[which], minlength=n)[:n], own["score"]
+            return pa.RecordBatch.from_arrays(
+                [pickle.loads(own["ids"]), pickle.loads(own["held_out"]), pa.array(np.diff(at)), pa.array(known), pa.array(np.full(n, corpus.train)), pa.array(base), pa.array(score)],
+                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    own = durable(given.mapInArrow(scored, "id long, held_out boolean, n_tokens long, head_known long, head_score double, score double, tail array<long>"))
-    own = own.withColumn("row", F.monotonically_increasing_id())
-    tail = words_of(lambda c: c < floor_count)
-    asked = own.select("row", F.explode("tail").alias("word"))
-    found = asked.join(tail, "word", "left").select("row", F.coalesce("count", F.lit(0)).alias("count"))
-    sums = found.groupBy("row").agg(F.sum(F.when(F.col("count") > 0, 1).otherwise(0)).alias("tail_known"), F.sum(F.log10((F.col("count") + 0.5) / F.lit(total))).alias("tail_score"))
-    out = own.drop("tail").join(sums, "row", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+        for batch in batches:
+            for n, packed in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if n:
+                    answers[n].append(pickle.loads(packed))
+                    continue
+                if own is not None:
+                    yield scores()
+                own, answers = pickle.loads(packed), {1: [], 2: []}
+        if own is not None:
+            yield scores()
+
+    sent = durable(given.mapInArrow(asked, "batch long, n int, segment int, packed binary"))
+    probes, whole = sent.where("n > 0"), sent.where("n = 0")
+    if probes.head(1):
+        none = F.lit(None).cast("binary")
+        parts = model.select(F.lit(-1).cast("long").alias("batch"), "n", "segment", F.col("hashes").alias("packed"), "counts", "part")
+        met = parts.unionByName(probes.withColumns({"counts": none, "part": none})).repartition(partition_count(segments), "n", "segment").sortWithinPartitions("n", "segment", "batch")
+        answers = met.mapInArrow(_answered, "batch long, n int, segment int, packed binary")
+        whole = whole.unionByName(answers).repartition(partition_count(max(parallelism(spark), size // BACK)), "batch").sortWithinPartitions("batch", "n", "segment")
+    out = whole.mapInArrow(finished, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col)
+
+
+def _broadcast_part(model: DataFrame, kinds: np.ndarray, segments: int) -> tuple[LogFrequencyFilter, LogFrequencyFilter, np.ndarray, np.ndarray]:
+    """(filter of 1-grams, of 2-grams, the most frequent words in order, their counts): FILTER_BYTES and HEAD_WORDS rows at most; kinds: words at each level."""
+    above = np.cumsum(kinds[::-1])[::-1]  # words of at least each level
+    level = int(np.flatnonzero(above <= HEAD_WORDS)[0]) if (above <= HEAD_WORDS).any() else len(LEVELS)
+    least = int(LEVELS[level - 1]) if level else 1
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, c = unpack(hashes, np.int64), unpack(counts, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[c >= least]), pa.array(c[c >= least])], names=["word", "count"])
+
+    head = model.where("n = 1").select("hashes", "counts").mapInArrow(frequent, "word long, count long").toArrow()
+    words, counts = head.column("word").to_numpy().view(np.uint64), head.column("count").to_numpy()
+    order = np.argsort(words)
+    parts: dict[int, dict[int, np.ndarray]] = {1: {}, 2: {}}
+    for r in model.select("n", "segment", "part").toLocalIterator(prefetchPartitions=True):
+        parts[r["n"]][r["segment"]] = np.frombuffer(r["part"], np.uint64)
+    return LogFrequencyFilter(parts[1], segments), LogFrequencyFilter(parts[2], segments), words[order], counts[order]
 
 
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

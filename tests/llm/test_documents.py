@@ -220,16 +220,48 @@ def test_order_minhash(spark, edges, empty):
     assert O.fingerprint_documents(edges).count() == len(EDGES)
 
 
-@pytest.mark.parametrize("head", [L.HEAD_WORDS, 3])
-def test_language_model(spark, edges, empty, monkeypatch, head):
+@pytest.mark.parametrize(("head", "filter_bytes"), [(L.HEAD_WORDS, L.FILTER_BYTES), (3, L.FILTER_BYTES), (3, 0)])
+def test_language_model(spark, edges, empty, monkeypatch, head, filter_bytes):
     monkeypatch.setattr(L, "HEAD_WORDS", head)
-    tokens = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1, [*words((t or "").translate(LOWER)), None]) for i, t, *_ in EDGES]
-    counts = Counter(w for _, out, ws in tokens if not out for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    expected = sorted((str(i), out, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 5)) for i, out, ws in tokens)
-    rows = L.score_documents(edges).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows) == expected
-    assert all(r.score < 0 for r in rows) and L.score_documents(empty).count() == 0
+    monkeypatch.setattr(L, "FILTER_BYTES", filter_bytes)
+    extra = [(100 + i, " ".join(f"v{(i * j) % 17} w{j}" for j in range(40))) for i in range(60)]
+    docs = edges.union(frame(spark, extra))
+    tokens = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1, [*words((t or "").translate(LOWER)), None]) for i, t, *_ in [*EDGES, *extra]]
+    learned = [["start", *ws] for _, out, ws in tokens if not out]
+    counts = Counter(w for ws in learned for w in ws[1:])
+    pairs = Counter(p for ws in learned for p in zip(ws, ws[1:], strict=False))
+    n, v, starts = sum(counts.values()), len(counts), len(learned)
+
+    def typical(own):
+        by_level = {}
+        for c in own.values():
+            by_level.setdefault(int(L.levels_of(np.array([c]))[0]), []).append(c)
+        means = {k: sum(x) / len(x) for k, x in by_level.items()}
+        return {w: means[int(L.levels_of(np.array([c]))[0])] for w, c in own.items()}
+
+    one, two, total = typical(counts), typical(pairs), n + 0.5 * (v + 1)
+
+    def score(ws):
+        out, before = 0.0, "start"
+        for w in ws:
+            context = starts if before == "start" else one.get(before, 0)
+            out += math.log10((min(two.get((before, w), 0), context) + L.LEAN * (one.get(w, 0) + 0.5) / total) / (context + L.LEAN))
+            before = w
+        return out
+
+    expected = [(i, out, len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 0.5) / total) for w in ws), score(ws)) for i, out, ws in tokens]
+    got = L.score_documents(docs, bits=64).collect()
+    key = lambda r: (str(r[0]), r[2], r[5])
+    for mine, right in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key), strict=True):
+        assert mine[:5] == right[:5] and mine[5] == pytest.approx(right[5], abs=1e-4) and mine[6] == pytest.approx(right[6], abs=1e-4)
+    assert L.score_documents(empty).count() == 0
+
+
+def test_shards_score_as_one_filter_does(spark, sf, monkeypatch):
+    whole = QUERIES["op8_bloom_lm"](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    monkeypatch.setattr(L, "FILTER_BYTES", 1000)
+    parts = QUERIES["op8_bloom_lm"](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (whole.n_known == parts.n_known).all() and np.allclose(whole.base_score, parts.base_score, rtol=1e-12) and np.allclose(whole.score, parts.score, rtol=1e-12)
 
 
 def test_filter_levels():
@@ -239,11 +271,11 @@ def test_filter_levels():
     levels = L.levels_of(counts)
     assert L.levels_of(np.array([1, 2, 3, 4, 5, 6, 8])).tolist() == [1, 2, 3, 4, 4, 5, 6]
     edges = L.segment_edges(hashes, 7)
-    parts = {s: L.LogFrequencyFilter.part(hashes[edges[s] : edges[s + 1]], levels[edges[s] : edges[s + 1]], 1 << 20) for s in range(7)}
-    held = L.LogFrequencyFilter(parts, 7, np.arange(200.0)).levels(hashes)
+    parts = {s: L.LogFrequencyFilter.part(hashes[edges[s] : edges[s + 1]], levels[edges[s] : edges[s + 1]]) for s in range(7)}
+    filter_ = L.LogFrequencyFilter(parts, 7)
+    held = filter_.levels(hashes)
     assert (held >= levels).all() and (held == levels).mean() > 0.97
-    absent = L.LogFrequencyFilter(parts, 7, np.arange(200.0)).levels(rng.integers(2**62, 2**63, 20000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-    assert (absent > 0).mean() < 0.03
+    assert (filter_.levels(rng.integers(2**62, 2**63, 20000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.03
 
 
 def test_model_beats_base_on_held_out(spark, sf):

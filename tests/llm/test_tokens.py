@@ -41,6 +41,15 @@ def test_ids_and_round_trip(texts, tik):
         assert b"".join(raw[s:e] for s, e in zip(offsets, offsets[1:], strict=False)) == raw
 
 
+def test_pre_tokens(texts):
+    import regex
+
+    bpe = B.ByteBPE(B.default_ranks())
+    for (_, offsets), text in zip(bpe.encode(pa.array(texts)), texts, strict=True):
+        raw = text.encode()
+        assert [raw[s:e].decode() for s, e in zip(offsets, offsets[1:], strict=False)] == regex.findall(P.PATTERN, text)
+
+
 def test_code_points(tik):
     """No id differs from the library's for any code point that is a letter, number or space, nor for a share of the others."""
     bpe = B.ByteBPE(B.default_ranks())
