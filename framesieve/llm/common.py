@@ -250,22 +250,6 @@ def segment_edges(hashes: np.ndarray, segments: int) -> np.ndarray:
     return np.searchsorted(high, np.arange(segments + 1, dtype=np.uint64))
 
 
-def spark_hash_of_longs(values: np.ndarray) -> np.ndarray:
-    """What Spark's xxhash64 gives for one column of longs (XXH64 of eight bytes, seed 42), as int64."""
-    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    with np.errstate(over="ignore"):
-        k = values.astype(np.int64).view(np.uint64) * two
-        k = ((k << np.uint64(31)) | (k >> np.uint64(33))) * one
-        h = (np.uint64(42) + five + np.uint64(8)) ^ k
-        h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * one + four
-        h ^= h >> np.uint64(33)
-        h *= two
-        h ^= h >> np.uint64(29)
-        h *= three
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
 class BloomBits:
     """A Bloom filter over 64-bit hashes as a flat array of 64-bit words.
 

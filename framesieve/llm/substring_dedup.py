@@ -4,13 +4,15 @@ A window is ``WINDOW`` consecutive words of one text. Short anchors are hashed o
 whose residue modulo ``PERIOD`` is in ``COVER``. Every residue is a difference of two members of COVER,
 so two equal windows, wherever they start, both have an anchor at one common offset below PERIOD, and
 these anchors are equal. Hence only windows around an anchor that occurs twice can repeat; those alone are
-hashed whole, and of equal ones all but the first are marked.
+extended to windows, each hashed whole (96 bits), and of equal ones all but the first are marked. Extending one occurrence of an
+anchor against another, pair by pair, would be quadratic for a frequent anchor, and against its first occurrence alone
+would miss windows that only later ones share; windows of equal hash meet whatever their anchor's first occurrence holds.
 
 1. Anchors are gathered by hash range (each batch sends an anchor once); those seen twice go into a Bloom
    filter of bounded size. If they are too many for it, hash ranges of anchors are taken in turn.
 2. Windows around anchors that the filter holds are gathered by hash; each batch sends one of equal windows,
    the first, and knows the others as repeats. A false positive of the filter costs a window, not an error.
-3. Marks meet their texts by a hash of the document id, and the covered words go.
+3. Marks meet their texts by a hash of the document's id and text, and the covered words go.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from framesieve.llm.common import (
     flat_text,
     joined_words,
     pack,
+    partition_count,
     segment_count,
     segment_edges,
     small_batches,
-    spark_hash_of_longs,
     text_bytes,
     text_pieces,
     unpack,
@@ -108,7 +110,7 @@ def _repeated_anchors(docs: DataFrame, segments: int) -> DataFrame:
         if now is not None:
             yield repeated(now, parts, sure)
 
-    gathered = docs.select("id", "text").mapInArrow(sent, "segment int, once binary, more binary").repartition(segments, "segment").sortWithinPartitions("segment")
+    gathered = docs.select("id", "text").mapInArrow(sent, "segment int, once binary, more binary").repartition(partition_count(segments), "segment").sortWithinPartitions("segment")
     return gathered.mapInArrow(met, "segment int, n long, anchors binary")
 
 
@@ -127,15 +129,8 @@ def _filter(anchors: DataFrame, segments: int, part_words: int, turn: int, round
     return BloomBits(words, segments, PROBES)
 
 
-#: A window on its way: two hashes, its document (id and 16 bits that tell rows of equal id apart) and its first word.
-_WINDOW_FIELDS = (("hash", np.uint64), ("more", np.uint16), ("id", np.int64), ("row", np.uint16), ("place", np.int32))
-
-
-def _content(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """16 bits of a hash of each text's words."""
-    turned = hashes * (2 * (np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64) + np.uint64(1))
-    sums = np.append(np.zeros(1, np.uint64), np.cumsum(turned, dtype=np.uint64))
-    return ((sums[at[1:]] - sums[at[:-1]]) >> np.uint64(48)).astype(np.uint16)
+#: A window on its way: two hashes, its document (id, and a hash of id and text that tells rows of equal id apart) and its first word.
+_WINDOW_FIELDS = (("hash", np.uint64), ("more", np.uint32), ("id", np.int64), ("row", np.uint32), ("place", np.int32))
 
 
 def _later(fields: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -151,7 +146,7 @@ def _later(fields: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 def _mark_rows(fields: list[np.ndarray], buckets: int) -> tuple[list, list]:
     """Repeated windows by bucket of their document: (buckets, packed (id, row, place))."""
     _, _, d, r, p = fields
-    bucket = spark_hash_of_longs(d) % buckets
+    bucket = r % np.uint32(buckets)
     order = np.lexsort([p, d, bucket])
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     own = np.flatnonzero(np.diff(edges)).tolist()
@@ -195,7 +190,7 @@ def _marks(docs: DataFrame, bloom, segments: int, buckets: int) -> DataFrame:
             )
 
         for batch in text_pieces(batches):
-            _, _, _, at, hashes = _words(batch.column(1))
+            _, _, _, at, hashes = _words(batch.column(2))
             place, anchor = _anchors(at, hashes)
             place = place[held.holds(anchor)]
             near = np.zeros(len(hashes) + 1, np.int32)
@@ -204,8 +199,8 @@ def _marks(docs: DataFrame, bloom, segments: int, buckets: int) -> DataFrame:
             fits = whole_windows(at, WINDOW)
             fits = fits[np.cumsum(near)[fits] > 0]
             owner = np.searchsorted(at, fits, "right") - 1
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for x, y in zip(waiting, (window_hashes(hashes, WINDOW)[fits], (window_hashes(hashes, WINDOW, 1)[fits] >> np.uint64(48)).astype(np.uint16), ids[owner], _content(at, hashes)[owner], (fits - at[owner]).astype(np.int32)), strict=True):
+            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
+            for x, y in zip(waiting, (window_hashes(hashes, WINDOW)[fits], (window_hashes(hashes, WINDOW, 1)[fits] >> np.uint64(32)).astype(np.uint32), ids[owner], rows[owner], (fits - at[owner]).astype(np.int32)), strict=True):
                 x.append(y)
             if sum(map(len, waiting[0])) >= GATHER:
                 yield send()
@@ -233,7 +228,7 @@ def _marks(docs: DataFrame, bloom, segments: int, buckets: int) -> DataFrame:
         if now is not None:
             yield found(parts)
 
-    gathered = docs.select("id", "text").mapInArrow(sent, "key int, packed binary").repartition(segments, "key").sortWithinPartitions("key")
+    gathered = docs.select("id", "row", "text").mapInArrow(sent, "key int, packed binary").repartition(partition_count(segments), "key").sortWithinPartitions("key")
     return gathered.mapInArrow(met, "bucket int, marks binary")
 
 
@@ -243,11 +238,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A word goes if a window over it has the same words as a window that starts earlier: in a
     document of smaller id, or earlier in the same document. Windows are judged on the input. A null text has no
     words; null ids come after all others and count as one document; rows of equal id count as one document,
-    so equal rows leave each other alone and each give a row. Texts shorter than a window keep their words. Other columns are
+    so equal rows leave each other alone and each give a row, but are dealt by id and text. Texts shorter than a window keep their words. Other columns are
     not read; an empty table gives no row.
     """
     spark = docs.sparkSession
     given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NULL_ID))).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
+    given = given.withColumn("row", F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 32) - 1)))
     segments = segment_count(text_bytes(given), spark)
     anchors = durable(_repeated_anchors(given, segments))
     total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -258,8 +254,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held = _filter(anchors, segments, part_words, turn, rounds)
         found = _marks(given, spark.sparkContext.broadcast(held), segments, segments)
         marks = found if marks is None else marks.union(found)
-    texts = given.select(F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int").alias("bucket"), "id", "no_id", "text", F.lit(None).cast("binary").alias("marks"))
-    both = marks.select("bucket", F.lit(None).cast("long").alias("id"), F.lit(False).alias("no_id"), F.lit(None).cast("string").alias("text"), "marks").union(texts)
+    texts = given.select((F.col("row") % segments).cast("int").alias("bucket"), "id", "no_id", "text", F.lit(None).cast("binary").alias("marks"), "row")
+    none = F.lit(None).cast("long")
+    both = marks.select("bucket", none.alias("id"), F.lit(False).alias("no_id"), F.lit(None).cast("string").alias("text"), "marks", none.alias("row")).union(texts)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, known = None, [], None
@@ -278,23 +275,24 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         known = _sorted_marks(parts)
                     yield _without(part, known)
 
-    dealt = both.repartition(segments, "bucket").sortWithinPartitions(F.col("bucket"), F.col("marks").isNull())
+    dealt = both.repartition(partition_count(segments), "bucket").sortWithinPartitions(F.col("bucket"), F.col("marks").isNull())
     out = dealt.mapInArrow(kept, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
 
 
 def _sorted_marks(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int32)
-    d, r, p = (np.concatenate(x) for x in zip(*(_parted(x, (np.int64, np.uint16, np.int32)) for x in parts), strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
+    d, r, p = (np.concatenate(x) for x in zip(*(_parted(x, (np.int64, np.uint32, np.int32)) for x in parts), strict=True))
     order = np.lexsort([r, d])
     return d[order], r[order], p[order]
 
 
 def _without(batch: pa.RecordBatch, marks: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     """The rows' texts without the words under marked windows."""
-    data, starts, ends, at, hashes = _words(batch.column(3))
-    ids, rows = batch.column(1).to_numpy(), _content(at, hashes)
+    data, offsets = flat_text(batch.column(3))
+    starts, ends, at = find_words(data, offsets)
+    ids, rows = batch.column(1).to_numpy(), batch.column(5).to_numpy().astype(np.uint32)
     low, high = np.searchsorted(marks[0], ids), np.searchsorted(marks[0], ids, "right")
     cover = np.zeros(len(starts) + WINDOW + 1, np.int32)
     for i in np.flatnonzero(high > low).tolist():
