@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import mix64, segment_count, small_batches, text_bytes, text_pieces, window_hashes
+from framesieve.llm.common import durable, mix64, segment_count, small_batches, text_pieces, window_hashes
 
 KMER, PICKED, FUNCTIONS = 8, 2, 64
+#: Bytes of text in a range of documents that one task reads, in passing; places sampled for each range's bound.
+RANGE_BYTES, SAMPLED = 64 << 20, 20
 #: Elements hashed by all functions at once.
 BLOCK = 1 << 13
 
@@ -98,33 +100,48 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (id long, text) dealt into ranges of ids: (part, guard, id, text), so that within a part, sorted by
-    guard and descending id, every row but the guards is followed by its next document.
+    """docs (id long, no_id, text) dealt into ranges: (part, guard, id, no_id, text), so that within a part, sorted by guard, descending
+    id, content (a hash of the text) and text, every row but the guard is followed by its next document.
 
-    Bounds are approximate quantiles of the ids. One row for each range (its largest id) comes to the driver; the
-    documents of that id go to the range above it as well, as guards. After the last document comes the first again.
+    Bounds come from a sample of (id, content), so rows of equal id are spread as well unless their texts are equal too. For each
+    range its first place comes to the driver, and rows of that place go to the range before it as well, as guards; after the last document comes
+    the first again. That is a few bytes for each RANGE_BYTES of text. Texts are read twice: for their size and hash, and to be dealt.
     """
-    ranges = segment_count(text_bytes(docs), docs.sparkSession)
-    bounds = np.unique(np.array(docs.stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges), np.float64).astype(np.int64)) if ranges > 1 else np.zeros(0, np.int64)
+    keyed = docs.withColumns({"down": F.bitwise_not("id"), "content": F.xxhash64("text")})  # ascending ~id is descending id
+    places = durable(keyed.select("down", "content", F.octet_length("text").alias("size")))
+    size, count = places.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = segment_count(size, docs.sparkSession, RANGE_BYTES)
+    every = max(1, count // (SAMPLED * ranges))
+    sample = places.where(F.pmod(F.xxhash64("content", "down"), F.lit(every)) == 0).select("down", "content").toArrow()
+    downs, contents = sample.column("down").to_numpy(), sample.column("content").to_numpy()
+    order = np.lexsort((contents, downs))
+    order = order[np.unique(np.arange(1, ranges) * len(order) // ranges)] if len(order) else order
+    low, low_content = downs[order], contents[order]
+
+    def ranges_of(down: np.ndarray, content: np.ndarray) -> np.ndarray:
+        """How many bounds come before or at each row."""
+        out, last = np.searchsorted(low, down, "left"), np.searchsorted(low, down, "right")
+        for i in np.flatnonzero(last > out).tolist():
+            out[i] += np.searchsorted(low_content[out[i] : last[i]], content[i], "right")
+        return out
 
     @F.pandas_udf(T.IntegerType())
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "right").astype(np.int32))
+    def range_of(down: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series(ranges_of(down.to_numpy(np.int64), content.to_numpy(np.int64)).astype(np.int32))
 
-    tops = {r["part"]: r["top"] for r in docs.select(range_of("id").alias("part"), "id").groupBy("part").agg(F.max("id").alias("top")).collect()}
-    parts = sorted(tops)
-    guards: dict[int, list[int]] = {}
-    for part, below in zip(parts, parts[-1:] + parts[:-1], strict=True):
-        guards.setdefault(tops[below], []).append(part)
+    firsts = places.groupBy(range_of("down", "content").alias("part")).agg(F.min(F.struct("down", "content")).alias("first"))
+    heads = sorted((r["part"], r["first"]["down"], r["first"]["content"]) for r in firsts.collect())
+    guards: dict[tuple[int, int], int] = {(down, content): before for (_, down, content), (before, _, _) in zip(heads, heads[-1:] + heads[:-1], strict=True)}
+    heads_down = {down for down, _ in guards}
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def parts_of(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, ids.to_numpy(np.int64), "right")
-        return pd.Series([[p, *(-1 - g for g in guards.get(i, ()))] for p, i in zip(own.tolist(), ids.tolist(), strict=True)])
+    def parts_of(down: pd.Series, content: pd.Series) -> pd.Series:
+        d, c = down.to_numpy(np.int64), content.to_numpy(np.int64)
+        return pd.Series([[p, -1 - guards[x, y]] if x in heads_down and (x, y) in guards else [p] for p, x, y in zip(ranges_of(d, c).tolist(), d.tolist(), c.tolist(), strict=True)])
 
-    spread = docs.select("id", "no_id", "text", F.explode(parts_of("id")).alias("p"))
-    spread = spread.select(F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("part"), (F.col("p") < 0).alias("guard"), "id", "no_id", "text")
-    return spread.repartition(ranges, "part").sortWithinPartitions("part", "guard", F.desc("id"), "text")
+    spread = keyed.withColumn("p", F.explode(parts_of("down", "content")))
+    spread = spread.select(F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("part"), (F.col("p") < 0).alias("guard"), "id", "no_id", "text", "down", "content")
+    return spread.repartitionById(ranges, "part").sortWithinPartitions("part", "guard", "down", "content", "text").drop("down", "content")
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +149,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many of the next
     document, by descending id; after the last document comes the first. Null texts are empty; null ids
-    come after all others; rows of equal id are ordered by text; a table of one row is its own next; an
-    empty table gives no row. Texts are shuffled once, by range of id.
+    come after all others; rows of equal id are ordered by a hash of their text; a table of one row is its own next; an
+    empty table gives no row. Other columns are not read. Texts are shuffled once, by range of id and hash.
     """
     lowest = F.lit(int(np.iinfo(np.int64).min))
     given = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
