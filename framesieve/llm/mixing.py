@@ -7,6 +7,8 @@ are looked at by hash. The outcome is a hash threshold per source, so documents
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,29 +24,44 @@ BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def document_hash(id_col: str = "doc_id") -> Column:
-    """60 bits of the MD5 of the id as text (null: the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def document_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """60 bits of the MD5 of the id as text, a blank, and the MD5 of the text (null id or text: the empty text)."""
+    digest = F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def _placed(sources: DataFrame) -> DataFrame:
+    """sources with ``place``, from 0 in code point order, null last: rows are sorted by range, and each range counts on from those before it."""
+    ordered = durable(sources.orderBy(F.col("source").asc_nulls_last())).withColumn("_n", F.monotonically_increasing_id())
+    ordered = ordered.withColumns({"_range": F.shiftright("_n", 33), "_row": F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))})
+    before, so_far = {}, 0
+    for r in sorted(ordered.groupBy("_range").count().collect()):  # a row for each partition
+        before[r["_range"]], so_far = so_far, so_far + r["count"]
+    offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)), F.col("_range")) if before else F.lit(0)
+    return ordered.withColumn("place", offset + F.col("_row")).drop("_n", "_range", "_row")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """(source, source_size, target) from (source, size): the budget shared by weight, no source above ``most`` times its size.
 
-    What a capped source leaves is shared among the others by weight until none is above its cap. With
-    sources ordered by cap / weight, a source is capped if the level reached without the ones before
-    it is above its ratio; the first that is not sets the level. One row per source goes through one task.
+    Targets are weight times a level, or the cap. The level starts as if no source were capped; those below are then held to
+    their caps and the rest shared anew, until no other source is capped. That takes a few sums over all sources, each aggregated where the rows are.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.array([F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    ranked = sources.withColumn("place", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", weight)
-    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    everyone = W.orderBy("ratio", "place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    earlier = W.orderBy("ratio", "place").rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everyone) * F.lit(float(budget)) - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))
-    level = left / (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
-    levels = ranked.withColumn("level", level)
-    reached = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))).over(everyone)["level"]
-    return levels.select("source", "source_size", F.least(F.col("cap"), F.coalesce(reached * F.col("weight"), F.col("cap"))).alias("target"))
+    sources = _placed(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    ranked = durable(sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    left = (ranked.agg(F.sum("source_size")).first()[0] or 0) * float(budget)
+    level, capped = 0.0, -1
+    while True:
+        held = F.col("cap") < F.lit(level) * F.col("weight")
+        row = ranked.agg(F.count(F.when(held, 1)), F.coalesce(F.sum(F.when(held, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~held, F.col("weight"))), F.lit(0.0))).first()
+        if row[0] == capped:
+            break
+        capped = row[0]
+        level = (left - row[1]) / row[2] if row[2] else math.inf  # infinite: every source is held to its cap
+        if not row[2]:
+            break
+    return ranked.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _per_source(df: DataFrame) -> DataFrame:
@@ -93,14 +110,14 @@ def source_thresholds(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, bu
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, hash): size counts the words of the whole text, 0 for null."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), document_hash(id_col).alias("hash"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), document_hash(id_col, text_col).alias("hash"))
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target and ``times`` it is taken (0, 1 or 2).
 
-    A null text has size 0; null is a source of its own; rows of equal id share a hash and so are taken
-    alike; an empty table gives no row. A source of size 0 has target 0.
+    A null text has size 0; null is a source of its own; rows equal in id and text share a hash and so are taken
+    alike, others of an id are not; an empty table gives no row. A source of size 0 has target 0.
     """
     sized = durable(sized_documents(docs))
     ends = source_thresholds(sized).withColumnRenamed("source", "s")
@@ -131,7 +148,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
 ), r AS (

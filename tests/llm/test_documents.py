@@ -61,7 +61,7 @@ def without_repeats(rows):
 def test_substring_dedup(spark, edges, empty, monkeypatch, filter_bytes):
     monkeypatch.setattr(D, "FILTER_BYTES", filter_bytes)
     passage = " ".join(f"p{i}" for i in range(60))
-    rows = [(i, t) for i, t, *_ in EDGES] + [(20, f"a b {passage} c"), (21, f"x {passage} y {passage}"), (22, passage[: len(passage) // 2]), (23, "q " * 19), (24, " ".join(f"p{i}" for i in range(5, 25)))]
+    rows = [(i, t) for i, t, *_ in EDGES] + [(None, f"n{k} {passage} z{k}") for k in range(5)] + [(20, f"a b {passage} c"), (21, f"x {passage} y {passage}"), (22, passage[: len(passage) // 2]), (23, "q " * 19), (24, " ".join(f"p{i}" for i in range(5, 25)))]
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in D.drop_repeats(frame(spark, rows)).collect())
     assert got == without_repeats(rows)
     assert D.drop_repeats(empty).count() == 0
@@ -206,7 +206,7 @@ def test_signature():
 
 
 def test_order_minhash(spark, edges, empty):
-    rows = sorted(((i, t or "") for i, t, *_ in EDGES), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows = sorted(((i, t or "") for i, t, *_ in EDGES), key=lambda r: (r[0] is None, -(r[0] or 0)))  # equal ids have equal texts here
     expected = []
     for n, (i, t) in enumerate(rows):
         after = rows[(n + 1) % len(rows)][1]
@@ -215,6 +215,16 @@ def test_order_minhash(spark, edges, empty):
         expected.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), O.as_hex(O.text_signature(t)), O.as_hex(O.text_signature(edited)), O.likeness(O.text_signature(t), O.text_signature(after))))
     got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in O.compare_with_edits(edges).collect()]
     assert sorted(got) == sorted(expected)
+    many = [(i if i % 3 else (None if i % 2 else 7), f"text {i} " * (i % 5 + 1)) for i in range(1, 200)] + [(7, "same")] * 20
+    got = O.compare_with_edits(frame(spark, many)).select("doc_id", "fingerprint", "near_next", "edited_sha256").collect()
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in many], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    ordered = sorted(many, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    expected = []
+    for n, (i, t) in enumerate(ordered):
+        after = ordered[(n + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        expected.append((str(i), O.as_hex(O.text_signature(t)), O.likeness(O.text_signature(t), O.text_signature(after)), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(expected)
     one = O.compare_with_edits(frame(spark, [(3, "abcdefgh" * 4)])).collect()
     assert len(one) == 1 and one[0].near_next == 1 and O.compare_with_edits(empty).count() == 0
     assert O.fingerprint_documents(edges).count() == len(EDGES)
