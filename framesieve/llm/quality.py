@@ -2,9 +2,9 @@
 
 The text view is a logistic regression on the presence of hashed words and sign runs. The metadata view is one on
 language, source, length and layout counts (signs, digits, capitals, word lengths, repeats, lines). Both are
-fitted on a bounded sample of labelled documents; then, for some rounds, each view labels the documents of a
-bounded unlabelled pool that it is surest of, for the other view to learn from. The views are
-calibrated, and their combination fitted, on labelled documents kept out of all that. Every document is scored.
+fitted on a bounded sample of labelled documents. Then, for some rounds, each view scores all other documents, and of those it is
+surest of, of either kind, it labels a number for the other view to learn from. The views are calibrated on labelled
+documents kept out of all that, and their combination fitted on other ones kept out. Every document is scored.
 
 A document is good if its label says quality and not toxic.
 """
@@ -12,7 +12,7 @@ A document is good if its label says quality and not toxic.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import durable, flat_text, lower_ascii, mix64, small_batches, text_pieces, unused, word_hashes
+from framesieve.llm.common import durable, flat_text, lower_ascii, map_whole, mix64, small_batches, text_pieces, unused, word_hashes
 
-#: Most labelled documents fitted on, most unlabelled ones in the pool, rounds, and pseudo-labels a view gives in a round (share of the pool).
-LABELLED, POOL, ROUNDS, GIVEN = 12_000, 6_000, 3, 0.1
-#: How sure a view must be to give a label, what such a label weighs, and the share of labelled documents kept out for calibration.
-SURE, PSEUDO_WEIGHT, KEPT_OUT = 0.97, 0.3, 0.25
+#: Most labelled documents fitted on (a sample by hash of the id), rounds, and pseudo-labels of a kind (good, bad) that a view gives in a round.
+LABELLED, ROUNDS, GIVEN = 12_000, 2, 400
+#: How sure a view must be to give a label, what such a label weighs, and the shares of labelled documents kept out for calibration and for combination.
+SURE, PSEUDO_WEIGHT, CALIBRATE, COMBINE = 0.97, 0.3, 0.15, 0.15
 #: Text features: hash buckets, in how many sampled documents a bucket must occur, and by how many standard errors its share among good and bad ones must differ.
 TEXT_BITS, LEAST_DOCS, LEAST_Z = 18, 4, 5.0
 #: Metadata features: hash buckets of languages and of sources.
@@ -152,113 +152,152 @@ class QualityModel:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.blend[0] * a + self.blend[1] * b + self.blend[2])
 
 
-def co_train(sample: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, out: np.ndarray) -> QualityModel:
-    """sample: (text buckets, metadata) of each document; good: 1, 0 or NaN (the pool); out: kept out for calibration."""
+_PLAIN = np.array([1.0, 0.0])
+
+
+def fit_views(sample: list[tuple[np.ndarray, np.ndarray]], labels: dict[str, np.ndarray], weight: np.ndarray) -> QualityModel:
+    """Both views, not calibrated yet. sample: (text buckets, metadata) of each document; labels: of the view, 1, 0 or NaN (not for this view)."""
     meta = np.array([m for _, m in sample])
     lengths = np.array([len(b) for b, _ in sample])
-    buckets = np.concatenate([b for b, _ in sample]) if len(sample) else np.zeros(0, np.int32)
-    at = np.append(0, np.cumsum(lengths))
+    buckets = np.concatenate([b for b, _ in sample])
     used = np.flatnonzero(np.bincount(buckets, minlength=1 << TEXT_BITS) >= LEAST_DOCS)
     slot = np.full(1 << TEXT_BITS, len(used), np.int32)
     slot[used] = np.arange(len(used))
-    index = slot[buckets]
-    keep = index < len(used)
-    row = np.repeat(np.arange(len(sample)), lengths)[keep]
-    index = index[keep]
-
-    def text_rows(rows: np.ndarray) -> _Sparse:
-        first = np.searchsorted(row, np.arange(len(sample) + 1))
-        parts = [index[first[i] : first[i + 1]] for i in rows.tolist()]
-        return _Sparse(np.concatenate([*parts, index[:0]]), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64), len(used))
-
-    known = ~np.isnan(good)
-    fit, calibrate, pool = np.flatnonzero(known & ~out), np.flatnonzero(known & out), np.flatnonzero(~known)
-    center, spread = meta[fit].mean(axis=0), meta[fit].std(axis=0)
+    row, index = np.repeat(np.arange(len(sample)), lengths), slot[buckets]
+    own = ~np.isnan(labels["meta"])
+    center, spread = meta[own].mean(axis=0), meta[own].std(axis=0)
     spread = np.where(spread > 1e-9, spread, 1.0)
-    scaled = (meta - center) / spread
-    label = {"text": np.full(len(sample), np.nan), "meta": np.full(len(sample), np.nan)}  # pseudo-labels for each view
-
-    def fitted(view: str) -> np.ndarray:
-        rows = np.append(fit, pool[~np.isnan(label[view][pool])])
-        y = np.where(known, good, label[view])[rows]
-        weight = np.where(known[rows], 1.0, PSEUDO_WEIGHT)
-        if view == "meta":
-            return _fit(_Dense(scaled[rows]), y, weight, 1e-4)
-        x = text_rows(rows)
-        good_docs, bad_docs = max((weight * y).sum(), 1e-9), max((weight * (1 - y)).sum(), 1e-9)
-        in_good, in_bad = x.turned(weight * y), x.turned(weight * (1 - y))
-        both = (in_good + in_bad) / (good_docs + bad_docs)
-        z = (in_good / good_docs - in_bad / bad_docs) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / good_docs + 1 / bad_docs))
-        telling = np.abs(z) >= LEAST_Z
-        place = np.cumsum(telling) - 1
-        keep = telling[x.index]
-        own = _Sparse(place[x.index[keep]], np.append(0, np.cumsum(np.bincount(x.row[keep], minlength=len(rows)))), int(telling.sum()))
-        fitted_own = _fit(own, y, weight, 2e-5, 600)
-        w = np.zeros(len(used) + 1)
-        w[:-1][telling], w[-1] = fitted_own[:-1], fitted_own[-1]
-        return w
-
-    def logits(view: str, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return (text_rows(rows).times(w[:-1]) if view == "text" else scaled[rows] @ w[:-1]) + w[-1]
-
-    models = {view: fitted(view) for view in label}
-    for _ in range(ROUNDS if len(pool) else 0):
-        for view, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(logits(view, models[view], pool))
-            sure = np.maximum(p, 1 - p)
-            order = np.argsort(-sure, kind="stable")[: int(len(pool) * GIVEN)]
-            order = order[(sure[order] >= SURE) & np.isnan(label[other][pool[order]])]
-            label[other][pool[order]] = p[order] >= 0.5
-        models = {view: fitted(view) for view in label}
-
-    def calibrated(x: np.ndarray) -> np.ndarray:
-        return _fit(_Dense(x), good[calibrate], np.ones(len(calibrate)), 1e-4, 600) if len(calibrate) and 0 < good[calibrate].sum() < len(calibrate) else np.append(np.ones(x.shape[1]), 0.0)
-
-    a, b = logits("text", models["text"], calibrate), logits("meta", models["meta"], calibrate)
-    text_scale, meta_scale = calibrated(a[:, None]), calibrated(b[:, None])
-    blend = calibrated(np.stack([a * text_scale[0] + text_scale[1], b * meta_scale[0] + meta_scale[1]], axis=1))
-    return QualityModel(slot, models["text"], models["meta"], center, spread, text_scale, meta_scale, blend)
-
-
-def _place(column: str):
-    """A number in [0, 1) from an id."""
-    return F.pmod(F.xxhash64(column, F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    meta_view = _fit(_Dense((meta[own] - center) / spread), labels["meta"][own], weight[own], 1e-4)
+    own = ~np.isnan(labels["text"])
+    y, w = labels["text"][own], weight[own]
+    keep = own[row] & (index < len(used))
+    number = np.cumsum(own) - 1
 
+    def rows(keep: np.ndarray, column: np.ndarray, width: int) -> _Sparse:
+        return _Sparse(column[index[keep]], np.append(0, np.cumsum(np.bincount(number[row[keep]], minlength=len(y)))).astype(np.int64), width)
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """The model from documents (doc_id, text, lang, source) and labels (doc_id, quality, toxic).
+    x = rows(keep, np.arange(len(used) + 1), len(used))
+    good_docs, bad_docs = max((w * y).sum(), 1e-9), max((w * (1 - y)).sum(), 1e-9)
+    in_good, in_bad = x.turned(w * y), x.turned(w * (1 - y))
+    both = (in_good + in_bad) / (good_docs + bad_docs)
+    z = (in_good / good_docs - in_bad / bad_docs) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / good_docs + 1 / bad_docs))
+    telling = np.append(np.abs(z) >= LEAST_Z, False)
+    fitted = _fit(rows(keep & telling[index], np.cumsum(telling) - 1, int(telling.sum())), y, w, 2e-5, 600)
+    text_view = np.zeros(len(used) + 1)
+    text_view[:-1][telling[:-1]], text_view[-1] = fitted[:-1], fitted[-1]
+    return QualityModel(slot, text_view, meta_view, center, spread, _PLAIN, _PLAIN, np.array([0.5, 0.5, 0.0]))
+
+
+def _scaled(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """A logistic scale for columns of logits; as they are where both kinds of documents are not there."""
+    return _fit(_Dense(x), good, np.ones(len(good)), 1e-4, 600) if len(good) and 0 < good.sum() < len(good) else np.append(np.ones(x.shape[1]), 0.0)
 
-    Labels of null quality are left out, a null toxic is 0, of repeated labels of an id the worst counts. At most LABELLED labelled and POOL
-    other documents, picked by a hash of the id, come to the driver as features. Without labels every document scores 0.5.
-    """
-    spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
-    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) <= 0)).cast("double").alias("good"))
-    marked = marked.groupBy("doc_id").agg(F.min("good").alias("good"))
-    sample = durable(marked.orderBy(_place("doc_id"), "doc_id").limit(LABELLED))
-    total = ids.count()
-    share = min(1.0, POOL / max(total, 1))
-    pool = ids.where(_place("doc_id") < share).join(marked, "doc_id", "left_anti").distinct().orderBy(_place("doc_id"), "doc_id").limit(POOL).select("doc_id", F.lit(None).cast("double").alias("good"))
-    chosen = durable(sample.union(pool))  # LABELLED + POOL rows at most
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text", "lang", "source")
+
+def _logits(model: QualityModel, sample: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Columns of both views' logits."""
+    if not sample:
+        return np.zeros((0, 2))
+    at = np.append(0, np.cumsum([len(b) for b, _ in sample]))
+    p = np.clip(np.stack(model.scores(np.concatenate([b for b, _ in sample]), at, np.array([m for _, m in sample]))[:2], axis=1), 1e-12, 1 - 1e-12)
+    return np.log(p / (1 - p))
+
+
+def calibrate(model: QualityModel, kept_out: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, combine: np.ndarray) -> QualityModel:
+    """The model with each view scaled on kept-out documents, and both blended on those of them that ``combine`` marks."""
+    x = _logits(model, kept_out)
+    text_scale, meta_scale = (_scaled(x[~combine, v : v + 1], good[~combine]) for v in (0, 1))
+    y = x[combine] * [text_scale[0], meta_scale[0]] + [text_scale[1], meta_scale[1]]
+    blend = _scaled(y, good[combine])
+    if not combine.any():
+        blend = np.array([0.5, 0.5, 0.0])
+    return replace(model, text_scale=text_scale, meta_scale=meta_scale, blend=blend)
+
+
+def _place(*columns: str):
+    """A number in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(*columns, F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def _sample_features(given: DataFrame, chosen: DataFrame) -> pa.Table:
+    """(doc_id, buckets, meta) of the chosen ids (a bounded number), by id; of rows of one id the one whose text has the least hash."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_pieces(batches):
             buckets, at, meta = features(*batch.columns[2:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(buckets)), pa.array(list(meta), pa.list_(pa.float64()))], names=["doc_id", "good", "buckets", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(buckets)), pa.array(list(meta), pa.list_(pa.float64()))], names=["doc_id", "content", "buckets", "meta"])
+
+    found = given.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", "content", "text", "lang", "source")
+    made_rows = found.mapInArrow(made, "doc_id long, content long, buckets array<int>, meta array<double>")
+    one = made_rows.groupBy("doc_id").agg(F.min_by(F.struct("buckets", "meta"), "content").alias("x"))
+    return one.select("doc_id", "x.buckets", "x.meta").toArrow().sort_by("doc_id")
 
-    table = given.mapInArrow(made, "doc_id long, good double, buckets array<int>, meta array<double>").toArrow().sort_by("doc_id")
+
+def _rows(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.asarray(b.values.to_numpy(), np.int32), m.values.to_numpy()) for b, m in zip(table.column("buckets"), table.column("meta"), strict=True)]
+
+
+def _surest(given: DataFrame, model: QualityModel) -> DataFrame:
+    """(doc_id, view, good): labels that each view gives the other. Of all documents that a view is sure of, about GIVEN of each kind, picked by a hash
+    of the text; of equal texts one. The model is as in ``fit_views``."""
+    shared = given.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_pieces(batches):
+            text, meta, _ = shared.value.scores(*features(*batch.columns[2:]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text), pa.array(meta)], names=["doc_id", "content", "text", "meta"])
+
+    views = given.select("doc_id", "content", "text", "lang", "source").mapInArrow(scored, "doc_id long, content long, text double, meta double")
+    by_view = views.select("doc_id", "content", F.explode(F.array(*(F.struct(F.lit(of).alias("view"), F.col(by).alias("p")) for by, of in (("text", "meta"), ("meta", "text"))))).alias("v"))
+    sure = by_view.where((F.col("v.p") >= SURE) | (F.col("v.p") <= 1 - SURE)).select("doc_id", "content", "v.view", (F.col("v.p") >= 0.5).alias("good"))
+    once = durable(sure.groupBy("content", "view", "good").agg(F.min("doc_id").alias("doc_id")))
+    share = F.lit(0.0)
+    for r in once.groupBy("view", "good").count().collect():  # four rows
+        share = F.when((F.col("view") == r["view"]) & (F.col("good") == r["good"]), GIVEN / r["count"]).otherwise(share)
+    return once.where(_place("content") < share).select("doc_id", "view", "good")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
+    """The model from documents (doc_id, text, lang, source) and labels (doc_id, quality, toxic).
+
+    Labels of null quality are left out, a null toxic is 0, of repeated labels of an id, or of equal texts, the worst counts. LABELLED labelled
+    documents, picked by a hash of the id, come to the driver as features, and in each round about 4 * GIVEN others; these are chosen among all
+    documents, labelled ones beyond LABELLED too. Null ids teach nothing. Without labels every document scores 0.5.
+    """
+    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) <= 0)).cast("double").alias("good"))
+    sample = durable(marked.groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(_place("doc_id"), "doc_id").limit(LABELLED))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text", "lang", "source").where("doc_id IS NOT NULL")
+    table = _sample_features(given, sample)
     if not table.num_rows:
         width = features(pa.array([""]), pa.array([""]), pa.array([""]))[2].shape[1]
-        return QualityModel(np.zeros(1 << TEXT_BITS, np.int32), np.zeros(1), np.zeros(width + 1), np.zeros(width), np.ones(width), np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([0.0, 0.0, 0.0]))
-    ids_, good = table.column("doc_id").to_numpy(), table.column("good").to_numpy().astype(np.float64)
-    buckets = [np.asarray(x.values.to_numpy(), np.int32) for x in table.column("buckets")]
-    meta = [x.values.to_numpy() for x in table.column("meta")]
-    _, first = np.unique([hash(b.tobytes()) if g == g else -i for i, (b, g) in enumerate(zip(buckets, good, strict=True))], return_index=True)
-    first.sort()  # copies of a labelled document teach once
-    ids_, good, buckets, meta = ids_[first], good[first], [buckets[i] for i in first], [meta[i] for i in first]
-    out = (mix64(ids_.view(np.uint64)) >> np.uint64(40)) / float(1 << 24) < KEPT_OUT
-    return co_train(list(zip(buckets, meta, strict=True)), good, out)
+        return QualityModel(np.zeros(1 << TEXT_BITS, np.int32), np.zeros(1), np.zeros(width + 1), np.zeros(width), np.ones(width), _PLAIN, _PLAIN, np.zeros(3))
+    label_of = dict(sample.toArrow().to_pandas().itertuples(index=False))
+    taught: dict[bytes, tuple[tuple, float, int]] = {}  # by text: copies of a labelled document teach once, by their worst label
+    for i, row in zip(table.column("doc_id").to_pylist(), _rows(table), strict=True):
+        own = row[0].tobytes()
+        taught[own] = (row, min(label_of[i], taught[own][1]), taught[own][2]) if own in taught else (row, label_of[i], i)
+    known = [row for row, _, _ in taught.values()]
+    good = np.array([g for _, g, _ in taught.values()])
+    part = (mix64(np.array([i for _, _, i in taught.values()], np.int64).view(np.uint64)) >> np.uint64(40)) / float(1 << 24)
+    out = np.flatnonzero(part < CALIBRATE + COMBINE) if len(good) > 10 else np.zeros(0, np.int64)
+    inside = np.setdiff1d(np.arange(len(good)), out)
+    rows = [known[i] for i in inside.tolist()]
+    answers = {view: good[inside] for view in ("text", "meta")}
+    model = fit_views(rows, answers, np.ones(len(rows)))
+    others = given.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
+    pseudo: dict[int, dict[str, float]] = {}
+    held: dict[int, tuple] = {}
+    for _ in range(ROUNDS):
+        chosen = durable(_surest(others, model))  # about 4 * GIVEN rows
+        found = _sample_features(others, chosen.select("doc_id").distinct())
+        held |= dict(zip(found.column("doc_id").to_pylist(), _rows(found), strict=True))
+        for r in chosen.collect():
+            pseudo.setdefault(r["doc_id"], {}).setdefault(r["view"], float(r["good"]))
+        more = [i for i in sorted(pseudo) if i in held]
+        if not more:
+            break
+        labels_of = {view: np.append(answers[view], [pseudo[i].get(view, np.nan) for i in more]) for view in answers}
+        model = fit_views([*rows, *(held[i] for i in more)], labels_of, np.append(np.ones(len(rows)), np.full(len(more), PSEUDO_WEIGHT)))
+    return calibrate(model, [known[i] for i in out.tolist()], good[out], part[out] < COMBINE)
 
 
 #: The columns that ``score_quality`` adds.
@@ -275,13 +314,11 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [docs.columns.index(c) for c in ("text", "lang", "source")]
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_pieces(batches):
-            scores = shared.value.scores(*features(*(batch.column(c) for c in columns)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], names=[*batch.schema.names, *names[:3]])
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        for batch in text_pieces(batches, f"c{columns[0]}"):
+            yield [*batch.columns, *map(pa.array, shared.value.scores(*features(*(batch.column(c) for c in columns))))]
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names[:3])])
-    return docs.mapInArrow(scored, schema).withColumn(names[3], F.col(names[2]) >= 0.5)
+    return map_whole(docs, scored, [T.StructField(n, T.DoubleType()) for n in names[:3]]).withColumn(names[3], F.col(names[2]) >= 0.5)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
