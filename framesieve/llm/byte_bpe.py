@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesieve.llm.common import flat_text, small_batches, text_pieces, unused
+from framesieve.llm.common import flat_text, map_whole, small_batches, text_pieces, unused
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Symbols: the classes above with white space told apart by what follows, and apostrophes that open a contraction.
@@ -282,14 +282,14 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, text_col: str =
     at = docs.columns.index(text_col)
     added = [T.StructField(n, kind) for n, kind in zip(names, (T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType()), T.BinaryType()), strict=True)]
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         bpe = ByteBPE.load(path)
-        for batch in text_pieces(batches, text_col):
+        for batch in text_pieces(batches, f"c{at}"):
             ids = [own for own, _ in bpe.encode(batch.column(at))]
             more = [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.offsets(own) for own in ids], pa.list_(pa.int32())), pa.array([bpe.decode(own) for own in ids], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+            yield [*batch.columns, *more]
 
-    return docs.mapInArrow(encoded, T.StructType([*docs.schema.fields, *added]))
+    return map_whole(docs, encoded, added)
 
 
 def token_digests(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,11 +7,12 @@ position in UTF-8 bytes unless a name says otherwise.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Sub-batches handed to numpy code hold about so many bytes of text.
 PIECE_BYTES = 1 << 20
@@ -67,6 +68,20 @@ def unused(names: list[str], taken: list[str]) -> list[str]:
     return out
 
 
+def map_whole(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], added: list[T.StructField]) -> DataFrame:
+    """``df`` with columns ``added`` behind its own; ``function`` gets batches whose columns are named c0, c1, ... (Spark maps no
+    columns with dots in their names) and yields the columns of whole batches, old and new."""
+    fields = [*df.schema.fields, *added]
+    plain = [f"c{i}" for i in range(len(fields))]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in function(batches):
+            yield pa.RecordBatch.from_arrays(columns, names=plain)
+
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, fields, strict=True)])
+    return df.toDF(*plain[: len(df.columns)]).mapInArrow(mapped, schema).toDF(*(f.name for f in fields))
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the shared file system, if it is there."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

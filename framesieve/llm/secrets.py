@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import small_batches, text_pieces
+from framesieve.llm.common import map_whole, small_batches, text_pieces
 
 KINDS = ("assign", "access", "hex", "github", "npm", "wif")
 BASE_KINDS = KINDS[:3]
@@ -116,18 +116,17 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "tex
     Null texts stay null, texts without secrets stay as they are; repeated rows each give a row, an empty table gives none; null ids
     and columns of any names stay. Nothing is shuffled.
     """
-    names = docs.columns
+    at = docs.columns.index(text_col)
 
-    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
-        for batch in text_pieces(batches, text_col):
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        for batch in text_pieces(batches, f"c{at}"):
             texts = [x if x is None else redacted(x, find_secrets(x), mask) for x in batch.column(at).to_pylist()]
             columns = [*batch.columns]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield columns
 
-    out = docs.mapInArrow(masked, docs.schema)
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = map_whole(docs, masked, [])
+    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

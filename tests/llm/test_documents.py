@@ -359,16 +359,72 @@ def test_quality(spark, edges, empty):
     known = spark.createDataFrame([r for r in labels if r[0] % 7] + [(None, 1, 0), (5000, None, 0)], "doc_id long, quality int, toxic int")
     model = Q.fit_quality(docs, known)
     out = Q.score_quality(docs, model)
-    assert out.columns == [c for c in docs.columns if c != "score"] + ["text_score", "meta_score", "score", "keep"]
+    assert out.columns == [*docs.columns, "text_score", "meta_score", "score_", "keep"]
     kept = {r.doc_id: r.keep for r in out.collect()}
     held = [i for i in kept if i % 7 == 0]
     assert np.mean([kept[i] == (i % 6 > 1) for i in held]) > 0.97
     assert Q.score_quality(edges, model).count() == len(EDGES) and Q.score_quality(empty, model).count() == 0
-    blank = Q.score_quality(docs, Q.fit_quality(empty, known.limit(0))).agg(F.min("score"), F.max("score")).first()
+    blank = Q.score_quality(docs, Q.fit_quality(empty, known.limit(0))).agg(F.min("score_"), F.max("score_")).first()
     assert tuple(blank) == (0.5, 0.5)
     Q.fit_quality(edges, spark.createDataFrame([(1, 1, 0), (7, 0, 0), (10, 1, None)], "doc_id long, quality int, toxic int"))
 
 
+def brute_features(text, lang, source):
+    """(text buckets, metadata) of one document in plain loops."""
+    raw = (text or "").encode()
+    tokens = re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\x09-\x0d]+", raw.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+    is_word = [t[0] >= 128 or chr(t[0]).isalnum() for t in tokens]
+
+    def hashed(b):
+        return int(L.word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+
+    buckets = sorted({hashed(t) >> (64 - Q.TEXT_BITS) for t in tokens})
+    n, k = max(len(raw), 1), max(sum(is_word), 1)
+    signs = sum(len(t) for t, w in zip(tokens, is_word, strict=True) if not w)
+    repeats = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
+    dense = [math.log1p(len(raw)), signs / n, sum(48 <= c <= 57 for c in raw) / n, sum(65 <= c <= 90 for c in raw) / n, sum(c == 32 or 9 <= c <= 13 for c in raw) / n, sum(c >= 128 for c in raw) / n, raw.count(b"\n") / k]
+    dense += [sum(is_word) / n, sum(len(t) > 1 for t, w in zip(tokens, is_word, strict=True) if not w) / k, repeats / k, len(buckets) / max(len(tokens), 1), float(not raw)]
+    names = np.zeros(2 * Q.NAME_BUCKETS)
+    for i, name in enumerate((lang, source)):
+        names[i * Q.NAME_BUCKETS + (hashed(name.encode()) % (Q.NAME_BUCKETS - 1) + 1 if name else 0)] = 1
+    return buckets, np.append(dense, names)
+
+
+def test_quality_by_brute_force(spark, sf, edges):
+    """Every score of the query from features in plain loops and the model's coefficients; kept documents are those of a half or more."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = Q.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    plain_rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    expected = {}
+    for i, text, lang, source in plain_rows:
+        buckets, meta = brute_features(text, lang, source)
+        a = sum(model.text[model.slot[b]] for b in buckets if model.slot[b] < len(model.text) - 1) + model.text[-1]
+        b = sum((x - c) / d * w for x, c, d, w in zip(meta, model.center, model.spread, model.meta, strict=False)) + model.meta[-1]
+        a, b = a * model.text_scale[0] + model.text_scale[1], b * model.meta_scale[0] + model.meta_scale[1]
+        expected[i] = [1 / (1 + math.exp(-min(max(x, -30), 30))) for x in (a, b, model.blend[0] * a + model.blend[1] * b + model.blend[2])]
+    got = {r.doc_id: r for r in QUERIES["op1_quality"](spark, sf).collect()}
+    assert got.keys() == expected.keys()
+    for i, r in got.items():
+        assert [r.text_score, r.meta_score, r.score] == pytest.approx(expected[i], abs=1e-9) and r.keep == (r.score >= 0.5)
+    assert Q.fit_quality(edges, spark.createDataFrame([(1, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")) is not None
+
+
+def test_views_teach_each_other(spark):
+    """Words that only unlabelled documents hold get their sign from the metadata view."""
+    rows, labels = [], []
+    rng = np.random.default_rng(4)
+    for i in range(3000):
+        good, late = i % 2 == 0, i >= 1500
+        words_ = rng.choice([f"{'late' if late else 'soon'}{'good' if good else 'evil'}{k}" for k in range(14)], 7)
+        rows.append((i, " ".join(words_), "site a" if good else "site b"))
+        if not late:
+            labels.append((i, int(good), 0))
+    docs = frame(spark, rows)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    taught = {r.doc_id: r.text_score for r in Q.score_quality(docs, Q.fit_quality(docs, known)).where("doc_id >= 1500").collect()}
+    assert np.mean([(p >= 0.5) == (i % 2 == 0) for i, p in taught.items()]) > 0.95
+
+
 def test_rerun_gives_the_same_plan_of_copies(spark, sf):
     a, b = (QUERIES["op10_mixing"](spark, sf).agg(F.sum(F.hash("doc_id", "taken"))).first()[0] for _ in range(2))
     assert a == b
