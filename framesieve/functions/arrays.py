@@ -88,6 +88,11 @@ def background(values: Column, sigma: float = 3.0, rounds: int = 5) -> Column:
     return _let(sigma_clip(values, sigma, rounds), lambda kept: F.struct(median(kept).alias("median"), population_sigma(kept).alias("sigma")))
 
 
+def array_bytes(values: Column, width: int = 4) -> Column:
+    """What an array of samples of ``width`` bytes takes."""
+    return F.size(values) * width
+
+
 def clipped_fraction(values: Column, level: float = 0.995) -> Column:
     """The share of values at ``level`` or above, 0 for an empty array."""
     return F.coalesce(F.size(F.filter(values, lambda v: v >= level)) / F.nullif(F.size(values), F.lit(0)), F.lit(0.0))
@@ -131,8 +136,9 @@ def stretch(values: Column, parameters: Column) -> Column:
 
 
 def min_max(values: Column) -> Column:
-    """Values between the least and the greatest as 0 to 1; null without spread."""
-    ends = F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+    """Values between the least and the greatest finite one as 0 to 1; null without spread."""
+    finite = F.filter(values, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    ends = F.struct(F.array_min(finite).alias("low"), F.array_max(finite).alias("high"))
     return _let(ends, lambda e: F.transform(values, lambda v: (v - e["low"]) / F.nullif(e["high"] - e["low"], F.lit(0.0))))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesieve.functions.keywords import number, value
+
 #: Parts of camera names with the pixel size in micrometres; the first part that a name holds counts.
 PIXEL_SIZES = (
     ("533mc", 3.76),
@@ -40,6 +42,11 @@ def pixel_size(instrument: Column) -> Column:
     return F.coalesce(*(F.when(F.contains(name, F.lit(part)), F.lit(size)) for part, size in PIXEL_SIZES))
 
 
+def plate_scale_of(keywords: Column) -> Column:
+    """Arc seconds per pixel from a header: FOCALLEN, XBINNING and the camera's name in INSTRUME."""
+    return plate_scale(number(keywords, "FOCALLEN"), pixel_size(value(keywords, "INSTRUME")), number(keywords, "XBINNING"))
+
+
 def plate_scale(focal_mm: Column, pixel_um: Column, binning: Column) -> Column:
     """Arc seconds per pixel; binning 1 if missing, null if a length is missing or the focal length not above 0."""
     return F.when(focal_mm > 0, pixel_um * F.coalesce(binning, F.lit(1.0)) / focal_mm * ARC)

@@ -30,6 +30,24 @@ def arithmetic(a: Column, b: Column, sign: str) -> Column:
     return {"-": x - y, "*": x * y, "/": F.try_divide(x, y), "^": F.pow(x, y)}[sign]
 
 
+def number_function(name: str, *arguments: Column) -> Column:
+    """round (away from zero at a half), ceil, floor, abs, sqrt, min or max of numbers in text; null where one is no number, and for the root of one below 0."""
+    x = [as_number(a) for a in arguments]
+    known = x[0].isNotNull()
+    for other in x[1:]:
+        known = known & other.isNotNull()
+    value = {
+        "round": lambda v: F.signum(v) * F.floor(F.abs(v) + 0.5),
+        "ceil": lambda v: F.ceil(v).cast("double"),
+        "floor": lambda v: F.floor(v).cast("double"),
+        "abs": F.abs,
+        "sqrt": lambda v: F.when(v >= 0, F.sqrt(v)),
+        "min": F.least,
+        "max": F.greatest,
+    }[name](*x)
+    return F.when(known, value)
+
+
 def compare(a: Column, b: Column, sign: str) -> Column:
     """Numbers by size (equal within epsilon), other strings in capitals."""
     x, y = as_number(a), as_number(b)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framesieve.operators.session_stats import deviation, two_pass_stats
+from framesieve.operators.tables import small_table
 
 #: Default thresholds: standard deviations for the first three, an absolute value for eccentricity; and their bounds on saving.
 THRESHOLDS = {"background_median": 2.5, "fwhm": 2.5, "star_count": 1.5, "eccentricity": 0.85}
@@ -40,7 +40,7 @@ def quality_score(fwhm: str = "fwhm", eccentricity: str = "eccentricity") -> Col
 
 def classify_frames(frames: DataFrame, stats: DataFrame | None = None, thresholds: dict[str, float] | None = None, by: str = "session") -> DataFrame:
     """frames with triggered_by, flag and rejection_category, against their session's two-pass statistics or given ones."""
-    joined = frames.join(stats if stats is not None else two_pass_stats(frames, by), by)
+    joined = frames.join(small_table(stats if stats is not None else two_pass_stats(frames, by)), by)
     marked = joined.withColumn("triggered_by", triggers(thresholds))
     flag = F.when(F.size("triggered_by") > 0, "REJECT").otherwise("PASS")
     return marked.select(*frames.columns, "triggered_by", flag.alias("flag"), category(F.col("triggered_by")).alias("rejection_category"))
@@ -48,5 +48,6 @@ def classify_frames(frames: DataFrame, stats: DataFrame | None = None, threshold
 
 def with_reference(classified: DataFrame, by: str = "session", order: str = "frame_id") -> DataFrame:
     """classified with is_reference: the passing frame (any frame if none passes) of best score, then most stars, then last."""
-    best = W.partitionBy(by).orderBy((F.col("flag") == "PASS").desc(), quality_score().desc(), F.coalesce("star_count", F.lit(0)).desc(), F.col(order).desc())
-    return classified.withColumn("is_reference", F.row_number().over(best) == 1)
+    rank = F.struct((F.col("flag") == "PASS").alias("passes"), quality_score().alias("score"), F.coalesce("star_count", F.lit(0)).alias("stars"), F.col(order).alias("last"))
+    best = small_table(classified.groupBy(by).agg(F.max(rank)["last"].alias("_reference")))
+    return classified.join(best, by, "left").withColumn("is_reference", F.coalesce(F.col(order) == F.col("_reference"), F.lit(False))).drop("_reference")

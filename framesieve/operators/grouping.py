@@ -36,11 +36,6 @@ def master_group(grouped: DataFrame, by: str) -> DataFrame:
     return sizes.groupBy(by).agg(best.alias("best")).select(by, F.col("best.frame_group").alias("master"), F.col("best.frames").alias("frames"))
 
 
-def upper_median(value: str) -> Column:
-    """The middle value of a group, the upper of two: the least value that over half of the values do not exceed."""
-    return F.expr(f"element_at(array_sort(collect_list({value})), cast(floor(count({value}) / 2) as int) + 1)")
-
-
 def group_references(frames: DataFrame, by: list[str], order: str, wanted_filter: str | None = None) -> DataFrame:
     """(by, order of the best frame, fallback): the frame of best score with at least half the median star count and
     the wanted filter; of all frames where none has. Ties go to the last frame."""

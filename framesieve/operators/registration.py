@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesieve.operators.stacking import clipped_mean, resample
+from framesieve.functions.keywords import same_filter
+from framesieve.operators.frames import map_frames, resample_frames, with_inner_bounds
+from framesieve.operators.stacking import clipped_mean, long_form, over_background, overlap
+from framesieve.operators.stars import clipped_background
 
 #: Longest side of the images that are correlated; radius, least matches, inlier distance, least inliers, trials, largest turn and shift.
 LONGEST_SIDE = 1024
@@ -156,16 +159,61 @@ def estimate_transforms(stars: DataFrame, references: DataFrame, shifts: DataFra
     return moved.groupBy(by).cogroup(references.groupBy(by)).applyInPandas(solved, f"{by} long, a double, b double, tx double, ty double, inliers int")
 
 
-def stack_frames(frames: DataFrame, reference: DataFrame, by: str, key: str, width: int, height: int) -> DataFrame:
-    """(by, x, y, n, kept, stacked): frames of a group moved onto its reference frame and combined by a clipped mean.
+#: Fixed value: turns from which a frame is read through its transform; below, it is only shifted.
+LEAST_TURN = 0.001
 
-    frames: by, key, pixels (arrays); reference: by, pixels. Each frame is correlated with its reference, moved by the shift
-    that undoes it, and combined pixel by pixel; only the last steps shuffle pixels.
+
+def contributions(frames: DataFrame, references: DataFrame, by: str, key: str, width: int, height: int, stars: DataFrame | None = None) -> DataFrame:
+    """(by, key, included, exclusion_reason, background_level, a, b, tx, ty): how each frame enters its group's stack.
+
+    frames: by, key, filter, pixels (luminance of one size); references: one key per group. A frame of another filter than its group's reference is out
+    (the reference never is; an unknown filter matches). The others are correlated with the reference and, where ``stars`` (by, key, star_id, x, y) of both allow it,
+    turned and shifted by the transform of their matched stars; else only shifted. One map finds background and shift of a frame, whose reference is
+    a broadcast-sized table of one frame for each group.
+    """
+    own = references.select(by, F.col(key).alias("reference"))
+    chosen = frames.join(own, [by]).where(F.col(key) == F.col("reference")).select(by, "reference", F.col("filter").alias("wanted"), F.col("pixels").alias("base"))
+    paired = frames.join(chosen, by)
+
+    def measured(target: np.ndarray, base: np.ndarray) -> tuple:
+        dx, dy = correlate(base.reshape(height, width), target.reshape(height, width))
+        return clipped_background(target[::8])[0], dx, dy
+
+    wanted = same_filter(F.col("wanted"), F.col("filter")) | (F.col(key) == F.col("reference"))
+    marked = map_frames(paired.withColumn("in", wanted), [by, key, "in", "reference"], ["pixels", "base"], measured, "background_level double, dx double, dy double")
+    solved = None
+    if stars is not None:
+        theirs = stars.join(own, by).where(F.col(key) == F.col("reference"))
+        pairs = marked.select(by, key, "dx", "dy").withColumn("pair", F.xxhash64(by, key))
+        left = stars.join(pairs, [by, key]).select("pair", "star_id", "x", "y")
+        right = theirs.select(by, "star_id", "x", "y").join(pairs.select(by, "pair"), by).select("pair", "star_id", "x", "y")
+        left, right = (df.toDF("pair", "star_id", "x", "y") for df in (left, right))  # columns of their own, for the grouping of both
+        found = estimate_transforms(left, right, pairs.select("pair", "dx", "dy"), "pair")
+        solved = pairs.select(by, key, "pair").join(found, "pair").select(by, key, "a", "b", "tx", "ty")
+        marked = marked.join(solved, [by, key], "left")
+    else:
+        marked = marked.withColumns({c: F.lit(None).cast("double") for c in ("a", "b", "tx", "ty")})
+    turned = (F.abs(F.atan2("b", "a")) >= LEAST_TURN) | (F.col("a") < 0.5)
+    known = F.col("a").isNotNull()
+    shift = {"a": F.when(known & turned, F.col("a")).otherwise(1.0), "b": F.when(known & turned, F.col("b")).otherwise(0.0)}
+    shift |= {c: F.coalesce(c, -F.col(d)) for c, d in (("tx", "dx"), ("ty", "dy"))}
+    still = F.col(key) == F.col("reference")
+    transform = {c: F.when(still, F.lit(1.0 if c == "a" else 0.0)).otherwise(v) for c, v in shift.items()}
+    reason = F.when(~F.col("in"), "FilterMismatch")
+    return marked.select(by, key, F.col("in").alias("included"), reason.alias("exclusion_reason"), "background_level", *(v.alias(c) for c, v in transform.items()))
+
+
+def stack_frames(frames: DataFrame, contributed: DataFrame, by: str, key: str, width: int, height: int, crop: bool = True) -> DataFrame:
+    """(by, x, y, n, kept, stacked): the included frames of a group over their backgrounds, moved onto the reference and combined by a clipped mean.
+
+    contributed: as ``contributions`` gives it. With ``crop`` only the rectangle stays that every frame covers with pixels of its own. Moving is one
+    map per frame; only the mean by pixel shuffles, aggregated before it does.
     """
-    paired = frames.join(reference.select(by, F.col("pixels").alias("reference")), by)
-    sized = paired.select(by, key, F.lit(width).alias("width"), F.lit(height).alias("height"), "reference", F.col("pixels").alias("target"))
-    shifts = phase_shift(sized, key)
-    long = frames.join(shifts, key).select(by, key, "dx", "dy", F.posexplode("pixels").alias("i", "v"))
-    placed = long.select(by, key, "dx", "dy", (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "v")
-    moved = resample(placed, [by, key, "dx", "dy"], -F.col("dx"), -F.col("dy"), width, height)
-    return clipped_mean(moved, [by, "x", "y"])
+    used = contributed.where("included").select(by, key, "background_level", "a", "b", "tx", "ty")
+    level = frames.join(used, [by, key]).withColumn("pixels", over_background(F.col("pixels"), F.col("background_level")))
+    placed = resample_frames(level, [by, key], ["a", "b", "tx", "ty"], width, height)
+    combined = clipped_mean(long_form(placed, [by], width), [by, "x", "y"])
+    if not crop:
+        return combined
+    box = overlap(with_inner_bounds(used, [by], width, height), by)
+    return combined.join(box, by).where("x >= x0 AND x < x1 AND y >= y0 AND y < y1").select(*combined.columns)

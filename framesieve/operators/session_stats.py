@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framesieve.operators.tables import small_table
+
 #: Single-precision epsilon, the coefficient above which values count as bimodal, bins, and how deep a valley must be.
 EPSILON, BIMODAL, BINS, DEPTH = 1.1920929e-07, 0.555, 20, 0.2
 #: Frames further than so many standard deviations are left out of the second pass.
@@ -85,7 +87,7 @@ def valley(df: DataFrame, by: str, value: str, bins: int = BINS) -> DataFrame:
 def _with_cut(df: DataFrame, by: str, value: str) -> DataFrame:
     """df with ``_cut``: the value at which a clear valley parts two clusters of its group, or null."""
     cuts = _valleys(df, by, value, BINS).where((F.col("bc") > BIMODAL) & (F.col("depth") <= DEPTH)).select(by, F.col("valley").alias("_cut"))
-    return df.join(cuts, by, "left")
+    return df.join(small_table(cuts), by, "left")
 
 
 def _anchored(value: str, higher_is_better: bool) -> list[Column]:
@@ -128,16 +130,16 @@ def _outlier() -> Column:
 
 def mark_outliers(frames: DataFrame, stats: DataFrame, by: str = "session") -> DataFrame:
     """frames with ``outlier``: background, FWHM or star count beyond OUTLIER_SIGMA of the first pass."""
-    return frames.join(stats, by).withColumn("outlier", _outlier()).select(*frames.columns, "outlier")
+    return frames.join(small_table(stats), by).withColumn("outlier", _outlier()).select(*frames.columns, "outlier")
 
 
 def two_pass_stats(frames: DataFrame, by: str = "session") -> DataFrame:
     """One row per session: statistics without the outliers of the first pass; the star count keeps its first ones.
 
     A session of outliers alone keeps the first pass. ``frames`` is read once more than for the first
-    pass; persist it if its metrics are dear.
+    pass; persist it if its metrics are dear. The first pass is computed once and, being small, broadcast to the second.
     """
-    first = session_stats(frames, by)
+    first = small_table(session_stats(frames, by))
     names = [c for c in first.columns if c != by]
     marked = frames.join(first, by).withColumn("_clean", ~_outlier())
     clean = [c for m in METRICS[:3] for c in (F.avg(F.when(F.col("_clean"), F.col(m))).alias(f"clean_{m}_mean"), F.stddev_pop(F.when(F.col("_clean"), F.col(m))).alias(f"clean_{m}_sigma"))]

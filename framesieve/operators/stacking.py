@@ -34,6 +34,24 @@ def clipped_mean_rgb(pixels: DataFrame, keys: list[str], clip: float = CLIP) ->
     return pixels.join(stats, keys).groupBy(*keys).agg(F.count(F.when(near, 1)).alias("kept"), *means)
 
 
+#: From which fraction on a sample of each depth counts as clipped; samples between those that a histogram takes.
+CLIPPED, HISTOGRAM_STEP = {"u8": 253 / 255, "u16": 65208 / 65535, "f32": 0.995}, 16
+
+
+def histogram(pixels: DataFrame, by: str, value: str = "v", bins: int = 256) -> DataFrame:
+    """(by, bin, n): how many fractions fall into each of ``bins``, cut off, empty ones too."""
+    counted = pixels.groupBy(by, F.floor(F.col(value) * (bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = counted.select(by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(counted, [by, "bin"], "left").select(by, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def histogram_statistics(pixels: DataFrame, by: str, depth: str = "f32", value: str = "v", clip: float | None = None) -> DataFrame:
+    """(by, median, mean, sigma, clipped): the population's deviation; clipped in percent, by the depth's level or a given one."""
+    level = CLIPPED[depth] if clip is None else clip
+    clipped = F.count(F.when(F.col(value) >= level, 1)) * 100.0 / F.count("*")
+    return pixels.groupBy(by).agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sigma"), clipped.alias("clipped"))
+
+
 def low_coverage(stats: DataFrame) -> Column:
     """The number of pixels that fewer than two frames cover."""
     return F.count(F.when(F.col("n") < 2, 1))
@@ -65,6 +83,15 @@ def background_uniformity(level: str) -> Column:
     return F.when((F.count(level) < 2) | spread.isNull() | (spread < 0.05), "good").when(spread < 0.15, "moderate").otherwise("poor")
 
 
+#: A background below this does not divide a frame.
+LEAST_BACKGROUND = 1e-6
+
+
+def over_background(pixels: Column, level: Column) -> Column:
+    """Samples over the frame's background level, so that frames of other sky brightness can be averaged."""
+    return F.when(level > LEAST_BACKGROUND, F.transform(pixels, lambda v: v / level)).otherwise(pixels)
+
+
 def channel_coefficients(backgrounds: DataFrame, by: str, channel: str, level: str) -> DataFrame:
     """(by, channel, coefficient): what brings every channel's background to their mean; 1 for all if a background is 0 or below."""
     means = backgrounds.groupBy(by).agg(F.avg(level).alias("_mean"), F.min(level).alias("_least"))
@@ -85,20 +112,7 @@ def overlap(bounds: DataFrame, by: str) -> DataFrame:
     return box.select(by, *(F.when(whole, F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
-def resample(pixels: DataFrame, keys: list[str], dx: Column, dy: Column, width: int, height: int) -> DataFrame:
-    """pixels moved by (dx, dy), which may be columns of the keys: bilinear between the four source pixels, edges held.
-
-    Each output pixel asks for its four sources, an equi-join on the frame and the position.
-    """
-    low_x, low_y = F.floor(F.col("sx")), F.floor(F.col("sy"))
-    asked = pixels.select(*keys, "x", "y", (F.col("x") - dx).alias("sx"), (F.col("y") - dy).alias("sy"))
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    corners = asked.withColumns({"fx": F.col("sx") - low_x, "fy": F.col("sy") - low_y}).withColumn("c", corner)
-
-    def held(v: Column, n: int) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(n - 1), v.cast("int")))
-
-    weight = F.when(F.col("c.i") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("c.j") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
-    wanted = corners.select(*keys, "x", "y", held(low_x + F.col("c.i"), width).alias("px"), held(low_y + F.col("c.j"), height).alias("py"), weight.alias("weight"))
-    source = pixels.select(*keys, F.col("x").alias("px"), F.col("y").alias("py"), "v")
-    return wanted.join(source, [*keys, "px", "py"]).groupBy(*keys, "x", "y").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+def long_form(frames: DataFrame, keep: list[str], width: int, pixels: str = "pixels") -> DataFrame:
+    """(keep, x, y, v): one row a pixel."""
+    long = frames.select(*keep, F.posexplode(pixels).alias("i", "v"))
+    return long.select(*keep, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "v")

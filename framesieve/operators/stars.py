@@ -17,20 +17,6 @@ DETECT, FLOOD, RADIUS, SATURATION, LEAST_PEAK, LEAST_PIXELS = 5.0, 2.0, 3, 0.98,
 STAR_SCHEMA = "frame string, star_id int, cx double, cy double, peak double, x0 int, y0 int, x1 int, y1 int, pixel_count int, fwhm double, eccentricity double"
 
 
-def local_maxima(pixels: DataFrame, keys: list[str], radius: int = 1, value: str = "v") -> DataFrame:
-    """Pixels strictly above all others in the square of ``radius`` around them, clipped at the edges.
-
-    Each pixel is sent to the squares it lies in, and a square's centre is compared with the best other.
-    """
-    reach = range(-radius, radius + 1)
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach]))
-    spread = pixels.select(*keys, "x", "y", value, steps.alias("s"))
-    centre = (F.col("s.i") == 0) & (F.col("s.j") == 0)
-    around = spread.groupBy(*keys, (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"))
-    best = around.agg(F.max(F.when(centre, F.col(value))).alias(value), F.max(F.when(~centre, F.col(value))).alias("_other"))
-    return best.where(F.col(value).isNotNull() & (F.col("_other").isNull() | (F.col(value) > F.col("_other")))).drop("_other")
-
-
 def moment_shapes(patches: DataFrame, keys: list[str], value: str = "w") -> DataFrame:
     """(keys, cx, cy, fwhm, eccentricity) from the intensity-weighted moments of each star's pixels of weight above 0.
 
@@ -83,6 +69,36 @@ def heat_grid(stars: DataFrame, by: str, width: float, height: float, grid: int)
     return cells.join(means, [by, "gx", "gy"], "left").select(by, "gx", "gy", F.coalesce("cell", "whole").alias("fwhm"))
 
 
+#: Stars that a heat map needs, stars below which it is uncertain, and how many cells a side it has from so many stars on.
+LEAST_STARS, FEW_STARS = 25, 75
+GRIDS = ((400, 7), (900, 9), (1600, 11), (2500, 13), (3600, 15))
+
+
+def heat_map(stars: DataFrame, by: str, width: float, height: float, levels: int = 10) -> DataFrame:
+    """(by, grid, gx, gy, fwhm, few, level): a heat grid whose side follows the number of stars; frames of fewer than LEAST_STARS have none.
+
+    few: fewer than FEW_STARS. level: how many of ``levels`` contour lines, evenly spaced between the frame's least and greatest cell (0.01 apart at
+    least), lie at or below the cell.
+    """
+    counted = stars.groupBy(by).agg(F.count("*").alias("n"), F.avg("fwhm").alias("whole")).where(F.col("n") >= LEAST_STARS)
+    grid = F.lit(5)
+    for least, side in GRIDS:
+        grid = F.when(F.col("n") >= least, side).otherwise(grid)
+    sized = counted.withColumn("grid", grid)
+
+    def cell(c: str, size: float):
+        return F.least(F.floor(F.col(c) / (size / F.col("grid"))), F.col("grid") - 1).cast("int")
+
+    placed = stars.join(sized.select(by, "grid"), by).select(by, cell("cx", width).alias("gx"), cell("cy", height).alias("gy"), "fwhm")
+    means = placed.groupBy(by, "gx", "gy").agg(F.avg("fwhm").alias("cell"))
+    side = F.sequence(F.lit(0), F.col("grid") - 1)
+    cells = sized.withColumn("gx", F.explode(side)).withColumn("gy", F.explode(side)).join(means, [by, "gx", "gy"], "left").withColumn("fwhm", F.coalesce("cell", "whole"))
+    ends = cells.groupBy(by).agg(F.min("fwhm").alias("low"), F.max("fwhm").alias("high"))
+    span = F.greatest(F.col("high") - F.col("low"), F.lit(0.01))
+    line = F.floor((F.col("fwhm") - F.col("low")) / (span / (levels + 1)))
+    return cells.join(ends, by).select(by, "grid", "gx", "gy", "fwhm", (F.col("n") < FEW_STARS).alias("few"), F.least(line, F.lit(levels)).cast("int").alias("level"))
+
+
 def clipped_background(values: np.ndarray, sigma: float = 3.0, rounds: int = 5) -> tuple[float, float]:
     """(median, deviation) of sigma-clipped values."""
     kept = values
@@ -112,7 +128,8 @@ def _components(mask: np.ndarray) -> np.ndarray:
         label = spread
 
 
-def _detect(image: np.ndarray) -> pd.DataFrame:
+def star_table(image: np.ndarray) -> pd.DataFrame:
+    """Stars of one image, brightest first: the columns of STAR_SCHEMA but the frame."""
     h, w = image.shape
     level, spread = clipped_background(image.ravel()[::4])
     spread = max(spread, 1e-6)
@@ -165,7 +182,7 @@ def detect_stars(frames: DataFrame) -> DataFrame:
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for frame, width, height, luma in zip(batch["frame"], batch["width"], batch["height"], batch["luma"], strict=True):
-                stars = _detect(np.asarray(luma, float).reshape(height, width))
+                stars = star_table(np.asarray(luma, float).reshape(height, width))
                 stars.insert(0, "frame", frame)
                 yield stars
 

@@ -9,14 +9,26 @@ from pyspark.sql import functions as F
 from framesieve.functions.paths import basename
 
 
+#: Rows up to which a table of statistics is taken into the plan as it is and broadcast; a larger one is joined by a shuffle.
+SMALL = 10_000
+
+
+def small_table(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df``, computed once and marked for broadcasting, if it has ``most`` rows or less; else as it is."""
+    rows = df.limit(most + 1).collect()
+    return df if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def not_loaded(candidates: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
     """Candidates whose key is not among the loaded ones."""
     return candidates.join(loaded.select(key), key, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose key it lacks."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+    """Rows of ``new``, one for each key (the greatest by its other columns), and those of ``old`` whose key it lacks."""
+    others = [c for c in new.columns if c != key]
+    once = new.groupBy(key).agg(F.max(F.struct(*others)).alias("_row")).select(key, *(F.col(f"_row.{c}").alias(c) for c in others))
+    return old.join(new.select(key), key, "left_anti").unionByName(once)
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -35,6 +47,53 @@ def latest(rows: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.max(F.struct(time, value)).alias("_last"), F.count("*").alias("versions")).select(*by, F.col(f"_last.{value}").alias(value), "versions")
 
 
+def overridden(results: DataFrame, by_hand: DataFrame, key: str, column: str) -> DataFrame:
+    """``results`` with the values of ``column`` that ``by_hand`` (key, column; one row a key) gives instead of their own."""
+    given = by_hand.select(key, F.col(column).alias("_by_hand"))
+    return results.join(given, key, "left").withColumn(column, F.coalesce("_by_hand", column)).select(*results.columns)
+
+
+def count_files(files: DataFrame, by: str) -> DataFrame:
+    """(by, files)."""
+    return files.groupBy(by).agg(F.count("*").alias("files"))
+
+
+def nth_element(rows: DataFrame, by: str, value: str, share: float = 0.5) -> DataFrame:
+    """(by, value): the value at that share of the sorted ones, the lower of two; exact, partial counts before the shuffle."""
+    return rows.groupBy(by).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias(value))
+
+
+def find_by_name(rows: DataFrame, column: str, name: str | Column) -> DataFrame:
+    """Rows of that name, capitals or not."""
+    wanted = F.lit(name) if isinstance(name, str) else name
+    return rows.where(F.lower(column) == F.lower(wanted))
+
+
+def by_name(rows: DataFrame, column: str) -> DataFrame:
+    """Rows in the order of their names, capitals or not; equal ones in code point order."""
+    return rows.orderBy(F.lower(column), column)
+
+
+def placed(ordered: DataFrame, name: str) -> DataFrame:
+    """``ordered`` (sorted by range) with each row's place, from 1: a range counts on from those before it; one number for each range comes to the driver."""
+    kept = ordered.persist()
+    numbered = kept.withColumn("_n", F.monotonically_increasing_id())
+    numbered = numbered.withColumns({"_range": F.shiftright("_n", 33), "_row": F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))})
+    before, so_far = {}, 1
+    for r in sorted(numbered.groupBy("_range").count().collect()):
+        before[r["_range"]], so_far = so_far, so_far + r["count"]
+    if not before:
+        return kept.withColumn(name, F.lit(0).cast("long"))
+    offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)), F.col("_range"))
+    return numbered.withColumn(name, offset + F.col("_row")).drop("_n", "_range", "_row")
+
+
+def read_outcomes(loaded: DataFrame, unreadable: DataFrame, missing: DataFrame, key: str) -> DataFrame:
+    """(key, outcome) of all frames that were asked for."""
+    parts = [df.select(key, F.lit(name).alias("outcome")) for df, name in ((loaded, "loaded"), (unreadable, "unreadable"), (missing, "missing"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def frame_index(files: DataFrame, by: str, path: str, loaded: str) -> DataFrame:
     """files with ``frame_index``, from 0, by file name in code point order, then by the order of loading."""
     return files.withColumn("frame_index", F.row_number().over(W.partitionBy(by).orderBy(basename(F.col(path)), loaded)) - 1)

@@ -94,25 +94,24 @@ def q_observed_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE round([3.76, 3.76, 2.4, 4.63][event_id % 5 + 1] * (CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END) / (400 + event_id % 300) * 206.265, 6) END AS scale FROM events"""
 )
 def q_plate_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arc seconds per pixel from camera name, binning and focal length."""
+    """Arc seconds per pixel from a header's camera name, binning and focal length."""
     key = F.col("event_id")
     names = F.array(*map(F.lit, ("ZWO ASI533MC Pro", "zwo asi2600mm", "Sony IMX183 based", "QHY294MC", "Canon EOS 6D")))
-    size = CA.pixel_size(F.get(names, (key % 5).cast("int")))
-    binning = F.when(key % 2 == 0, 2.0)
-    return rounded(headers(spark, sf_dir).select("event_id", CA.plate_scale(400.0 + key % 300, size, binning).alias("scale")))
+    keywords = K.added(F.col("keywords"), "focallen", (400 + key % 300).cast("string"), "mm")
+    keywords = K.added(keywords, "INSTRUME", F.get(names, (key % 5).cast("int")), "camera")
+    keywords = F.when(key % 2 == 0, K.added(keywords, "XBINNING", F.lit("2"), None)).otherwise(keywords)
+    return rounded(headers(spark, sf_dir).select("event_id", CA.plate_scale_of(keywords).alias("scale")))
 
 
 @query(
     """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 3.76 WHEN p_size % 3 = 1 THEN 2.4 END::DOUBLE AS size_um FROM part"""
 )
 def q_camera_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras by the first table entry that the name holds: a join of the small fixed table, then the least place."""
+    """Cameras by the first table entry that the name holds."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     third = F.col("p_size") % 3
     named = part.select("p_partkey", F.concat(F.col("p_name"), F.when(third == 0, " asi533mc imx183").when(third == 1, " IMX183").otherwise("")).alias("name"))
-    table = F.broadcast(CA.camera_table(spark))  # a fixed table of a few rows
-    joined = named.join(table, F.contains(F.lower("name"), F.col("pattern")), "left")
-    return joined.groupBy("p_partkey").agg(F.min_by("size_um", "ord").alias("size_um"))
+    return named.select("p_partkey", CA.pixel_size(F.col("name")).alias("size_um"))
 
 
 @query(
@@ -177,22 +176,26 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.when(key % 3 == 0, F.col("event_type")).otherwise((key % 40).cast("string")).alias("a"), F.when(key % 4 == 0, "Click").otherwise((key % 7).cast("string")).alias("b"))
 
 
-@query(f"WITH {_SIDES} SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN (a::BIGINT + b::BIGINT)::VARCHAR ELSE a || b END AS total, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 AND b <> '0' THEN round(a::DOUBLE / b::DOUBLE, 6) END AS ratio, NOT (a IN ('', '0') OR lower(a) = 'false') AS truth FROM s")
+@query(f"WITH {_SIDES} SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN (a::BIGINT + b::BIGINT)::VARCHAR ELSE a || b END AS total, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 AND b <> '0' THEN round(a::DOUBLE / b::DOUBLE, 6) END AS ratio, CASE WHEN num THEN a::DOUBLE - b::DOUBLE END AS less, CASE WHEN num THEN a::DOUBLE * b::DOUBLE END AS times, CASE WHEN num THEN round(pow(a::DOUBLE, least(b::DOUBLE, 3)), 6) END AS power, NOT (a IN ('', '0') OR lower(a) = 'false') AS truth FROM (SELECT *, event_id % 3 <> 0 AND event_id % 4 <> 0 AS num FROM s)")
 def q_script_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Script values: numbers add, other strings join; division of numbers; what counts as true."""
     a, b = F.col("a"), F.col("b")
-    return rounded(_sides(spark, sf_dir).select("event_id", V.plus(a, b).alias("total"), V.arithmetic(a, b, "/").alias("ratio"), V.truth(a).alias("truth")))
+    return rounded(_sides(spark, sf_dir).select("event_id", V.plus(a, b).alias("total"), V.arithmetic(a, b, "/").alias("ratio"), V.arithmetic(a, b, "-").alias("less"), V.arithmetic(a, b, "*").alias("times"), V.arithmetic(a, V.number_function("min", b, F.lit("3")).cast("string"), "^").alias("power"), V.truth(a).alias("truth")))
 
 
-@query(f"WITH {_SIDES}, n AS (SELECT *, event_id % 3 <> 0 AND event_id % 4 <> 0 AS num FROM s) SELECT event_id, CASE WHEN num THEN try_cast(a AS DOUBLE) = try_cast(b AS DOUBLE) ELSE upper(a) = upper(b) END AS equal, CASE WHEN num THEN try_cast(a AS DOUBLE) < try_cast(b AS DOUBLE) ELSE upper(a) < upper(b) END AS less FROM n")
+@query(f"""WITH {_SIDES}, n AS (SELECT *, event_id % 3 <> 0 AND event_id % 4 <> 0 AS num FROM s) SELECT event_id, CASE WHEN num THEN try_cast(a AS DOUBLE) = try_cast(b AS DOUBLE) ELSE upper(a) = upper(b) END AS equal, CASE WHEN num THEN try_cast(a AS DOUBLE) < try_cast(b AS DOUBLE) ELSE upper(a) < upper(b) END AS less, CASE WHEN num THEN try_cast(a AS DOUBLE) <> try_cast(b AS DOUBLE) ELSE upper(a) <> upper(b) END AS unequal, CASE WHEN num THEN try_cast(a AS DOUBLE) > try_cast(b AS DOUBLE) ELSE upper(a) > upper(b) END AS more,
+CASE WHEN num THEN try_cast(a AS DOUBLE) <= try_cast(b AS DOUBLE) ELSE upper(a) <= upper(b) END AS at_most, CASE WHEN num THEN try_cast(a AS DOUBLE) >= try_cast(b AS DOUBLE) ELSE upper(a) >= upper(b) END AS at_least FROM n""")
 def q_script_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return _sides(spark, sf_dir).select("event_id", V.compare(a, b, "==").alias("equal"), V.compare(a, b, "<").alias("less"))
+    signs = {"equal": "==", "less": "<", "unequal": "!=", "more": ">", "at_most": "<=", "at_least": ">="}
+    return _sides(spark, sf_dir).select("event_id", *(V.compare(a, b, sign).alias(name) for name, sign in signs.items()))
 
 
-@query("SELECT event_id, round(value)::BIGINT AS nearest, ceil(value)::BIGINT AS up, floor(value)::BIGINT AS down, round(sqrt(abs(value)), 6) AS root, round(least(value, 50), 6) AS low FROM events")
+@query("SELECT event_id, round(v)::BIGINT AS nearest, ceil(v)::BIGINT AS up, floor(v)::BIGINT AS down, CASE WHEN v >= 0 THEN round(sqrt(v), 6) END AS root, round(abs(v), 6) AS size, round(least(v, 50), 6) AS low, round(greatest(v, 50), 6) AS high FROM (SELECT event_id, value - 60 AS v FROM events)")
 def q_script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounding goes away from zero at a half."""
-    v = F.col("value")
+    """Functions of numbers in text; rounding goes away from zero at a half, a root of a number below zero is null."""
+    v = (F.col("value") - 60).cast("string")
+    whole = {"nearest": "round", "up": "ceil", "down": "floor"}
+    others = {"root": ("sqrt", v), "size": ("abs", v), "low": ("min", v, F.lit("50")), "high": ("max", v, F.lit("50"))}
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rounded(events.select("event_id", F.round(v).cast("long").alias("nearest"), F.ceil(v).alias("up"), F.floor(v).alias("down"), F.sqrt(F.abs(v)).alias("root"), F.least(v, F.lit(50.0)).alias("low")))
+    return rounded(events.select("event_id", *(V.number_function(f, v).cast("long").alias(n) for n, f in whole.items()), *(V.number_function(*f).alias(n) for n, f in others.items())))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesieve.functions import arrays as A
+from framesieve.operators import frames as FR
+from framesieve.operators import registration as R
 from framesieve.operators import stacking as ST
 from framesieve.plans import sql
 from framesieve.plans.session_queries import rounded
@@ -56,14 +58,13 @@ _MOSAIC = f"""{PX}, n AS (SELECT p.vec_id, p.i, p.x, p.y, p.v, d.dx, d.dy, CASE
 
 @query(f"{_MOSAIC} SELECT vec_id, i, round(greatest(0, least(1, r)), 6) AS r, round(greatest(0, least(1, g)), 6) AS g, round(greatest(0, least(1, b)), 6) AS b FROM rgb")
 def q_debayer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = images(spark, sf_dir).select("vec_id", A.debayer(F.col("pixels"), SIDE, SIDE).alias("rgb"))
-    return rounded(_long(df, "rgb", "p").select("vec_id", "i", "p.r", "p.g", "p.b"))
+    planes = FR.debayer_frames(images(spark, sf_dir), ["vec_id"], SIDE, SIDE)
+    return rounded(_long(planes.select("vec_id", F.arrays_zip("r", "g", "b").alias("rgb")), "rgb", "p").select("vec_id", "i", "p.r", "p.g", "p.b"))
 
 
 @query(f"{_MOSAIC} SELECT vec_id, i, round(0.299 * greatest(0, least(1, r)) + 0.587 * greatest(0, least(1, g)) + 0.114 * greatest(0, least(1, b)), 6) AS luma FROM rgb")
 def q_debayer_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = images(spark, sf_dir).select("vec_id", A.rgb_luminance(A.debayer(F.col("pixels"), SIDE, SIDE)).alias("luma"))
-    return rounded(_long(df, "luma", "luma"))
+    return rounded(_long(FR.debayer_luma_frames(images(spark, sf_dir), ["vec_id"], SIDE, SIDE), "luma", "luma"))
 
 
 @query(
@@ -78,13 +79,13 @@ def q_flat_divide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_long(joined.select("vec_id", A.flat_divide(F.col("pixels"), F.col("flat")).alias("v")), "v"))
 
 
-def _clip_rounds(sigma: float, rounds: int) -> str:
-    parts, last = [], "pixels"
+def _clip_rounds(sigma: float, rounds: int, last: str = "pixels", shown: str = "count(*) AS kept") -> str:
+    parts = []
     for k in range(rounds):
         parts.append(f"""r{k} AS (SELECT p.vec_id, p.v FROM {last} p JOIN (SELECT vec_id, median(v) AS m, stddev_pop(v) AS d FROM {last} GROUP BY 1) s ON s.vec_id = p.vec_id
   WHERE d <= 0 OR v BETWEEN m - {sigma} * d AND m + {sigma} * d)""")
         last = f"r{k}"
-    return ", ".join(parts) + f" SELECT vec_id, round(median(v), 6) AS background, round(stddev_pop(v), 6) AS sigma, count(*) AS kept FROM {last} GROUP BY 1"
+    return ", ".join(parts) + f" SELECT vec_id, round(median(v), 6) AS background, round(stddev_pop(v), 6) AS sigma, {shown} FROM {last} GROUP BY 1"
 
 
 @query(f"{PX}, {_clip_rounds(1.5, 5)}")
@@ -94,11 +95,11 @@ def q_sigma_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("vec_id", A.median(F.col("kept")).alias("background"), A.population_sigma(F.col("kept")).alias("sigma"), F.size("kept").cast("long").alias("kept")))
 
 
-@query(f"{PX}, s AS (SELECT vec_id, median(v) AS m FROM pixels WHERE i % 8 = 0 GROUP BY 1) SELECT vec_id, round(m, 6) AS background, round(m * 65535)::BIGINT AS adu FROM s")
+@query(f"{PX}, every2 AS (SELECT vec_id, v FROM pixels WHERE i % 2 = 0), {_clip_rounds(1.2, 4, 'every2', 'round(median(v) * 65535)::BIGINT AS adu')}")
 def q_background_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The median of every eighth pixel, as a fraction and in 16-bit units."""
-    df = images(spark, sf_dir).select("vec_id", A.median(A.subsample(F.col("pixels"), 8)).alias("background"))
-    return rounded(df.withColumn("adu", F.round(F.col("background") * 65535).cast("long")))
+    """The median of every second pixel after four rounds of clipping at 1.2 deviations, as a fraction and in 16-bit units."""
+    df = images(spark, sf_dir).select("vec_id", A.background(A.subsample(F.col("pixels"), 2), 1.2, 4).alias("b"))
+    return rounded(df.select("vec_id", F.col("b.median").alias("background"), F.col("b.sigma").alias("sigma"), F.round(F.col("b.median") * 65535).cast("long").alias("adu")))
 
 
 @query(f"{PX} SELECT vec_id, round(avg(CASE WHEN v >= 0.6 THEN 1.0 ELSE 0.0 END), 6) AS clipped FROM pixels GROUP BY 1")
@@ -137,17 +138,13 @@ def q_to_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{PX}, b AS (SELECT label, floor(v * 255)::INT AS bin, count(*) AS n FROM pixels GROUP BY ALL) SELECT l.label, g.bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT label FROM b) l CROSS JOIN (SELECT unnest(range(256))::INT AS bin) g LEFT JOIN b ON b.label = l.label AND b.bin = g.bin")
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """256 bins for each label."""
-    counted = pixels(spark, sf_dir).groupBy("label", F.floor(F.col("v") * 255).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    every = counted.select("label").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(255))))
-    return every.join(counted, ["label", "bin"], "left").select("label", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return ST.histogram(pixels(spark, sf_dir), "label")
 
 
 @query(f"{PX} SELECT label, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sigma, round(100.0 * count(*) FILTER (v >= 0.6) / count(*), 6) AS clipped FROM pixels WHERE i % 16 = 0 GROUP BY 1")
 def q_histogram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, mean, deviation and clipped share of every sixteenth sample."""
-    p = pixels(spark, sf_dir).where("i % 16 = 0")
-    clipped = F.count(F.when(F.col("v") >= 0.6, 1)) * 100.0 / F.count("*")
-    return rounded(p.groupBy("label").agg(F.median("v").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sigma"), clipped.alias("clipped")))
+    return rounded(ST.histogram_statistics(pixels(spark, sf_dir).where(F.col("i") % ST.HISTOGRAM_STEP == 0), "label", clip=0.6))
 
 
 @query(f"{PX} SELECT vec_id, (x // 3)::INT AS x, (y // 3)::INT AS y, round(avg(v), 6) AS v FROM pixels WHERE x < 6 AND y < 6 GROUP BY ALL")
@@ -240,10 +237,46 @@ SELECT c.vec_id, c.x, c.y, round(sum(v * w), 6) AS v FROM c JOIN pixels p ON p.v
 def q_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images moved by a shift of their own, bilinearly."""
     key = F.col("vec_id")
-    return rounded(ST.resample(pixels(spark, sf_dir), ["vec_id"], F.lit(0.25) + key % 3, key % 2 - F.lit(0.5), SIDE, SIDE))
+    moved = FR.resample_frames(images(spark, sf_dir), ["vec_id"], [F.lit(1.0), F.lit(0.0), F.lit(0.25) + key % 3, key % 2 - F.lit(0.5)], SIDE, SIDE)
+    return rounded(ST.long_form(moved, ["vec_id"], SIDE))
+
+
+_CORNERS = """c AS (SELECT a.vec_id, a.x, a.y, greatest(0, least(7, floor(sx) + i))::INT AS px, greatest(0, least(7, floor(sy) + j))::INT AS py,
+    (CASE WHEN i = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN j = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS w
+  FROM a CROSS JOIN (SELECT unnest([0, 1]) AS i) CROSS JOIN (SELECT unnest([0, 1]) AS j))"""
+
+
+@query(
+    f"""{PX}, t AS (SELECT vec_id, cos((vec_id % 7) * 0.02) AS a, sin((vec_id % 7) * 0.02) AS b, vec_id % 3 - 0.7::DOUBLE AS tx, vec_id % 5 - 1.6::DOUBLE AS ty FROM embeddings), a AS (
+  SELECT p.vec_id, x, y, (a * (x - tx) + b * (y - ty)) / (a * a + b * b) AS sx, (a * (y - ty) - b * (x - tx)) / (a * a + b * b) AS sy FROM pixels p JOIN t ON t.vec_id = p.vec_id), {_CORNERS}
+SELECT c.vec_id, c.x, c.y, round(sum(v * w), 5) AS v FROM c JOIN pixels p ON p.vec_id = c.vec_id AND p.x = px AND p.y = py GROUP BY ALL"""
+)
+def q_resample_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images turned and moved by a transform of their own, bilinearly."""
+    key = F.col("vec_id")
+    turn = (key % 7) * 0.02
+    moved = FR.resample_frames(images(spark, sf_dir), ["vec_id"], [F.cos(turn), F.sin(turn), key % 3 - F.lit(0.7), key % 5 - F.lit(1.6)], SIDE, SIDE)
+    return rounded(ST.long_form(moved, ["vec_id"], SIDE), 5)
+
+
+@query(
+    f"""{PX}, t AS (SELECT vec_id, label, vec_id % 11 = 5 AS out, (vec_id % 3 - 1)::INT AS tx, (vec_id % 2)::INT AS ty FROM embeddings), g AS (SELECT vec_id, avg(v) AS level FROM pixels GROUP BY 1), m AS (
+  SELECT t.label, p.x, p.y, q.v / level AS v FROM pixels p JOIN t ON t.vec_id = p.vec_id AND NOT out JOIN pixels q ON q.vec_id = p.vec_id AND q.x = greatest(0, least(7, p.x - tx)) AND q.y = greatest(0, least(7, p.y - ty)) JOIN g ON g.vec_id = p.vec_id), s AS (
+  SELECT label, x, y, avg(v) AS m, coalesce(stddev_samp(v), 0) AS d FROM m GROUP BY ALL), o AS (
+  SELECT label, max(greatest(0, tx)) AS x0, max(greatest(0, ty)) AS y0, min(least(8, 8 + tx)) AS x1, min(least(8, 8 + ty)) AS y1 FROM t WHERE NOT out GROUP BY 1)
+SELECT m.label, m.x, m.y, count(*) AS n, count(*) FILTER (d < 1e-10 OR abs(v - m) <= 2.5 * d) AS kept, round(coalesce(avg(v) FILTER (d < 1e-10 OR abs(v - m) <= 2.5 * d), 0), 5) AS stacked
+FROM m JOIN s ON s.label = m.label AND s.x = m.x AND s.y = m.y JOIN o ON o.label = m.label WHERE m.x >= x0 AND m.x < x1 AND m.y >= y0 AND m.y < y1 GROUP BY ALL"""
+)
+def q_stack_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of a label over their backgrounds, moved by known whole pixels, combined and cropped to what all cover; some are excluded."""
+    key, df = F.col("vec_id"), images(spark, sf_dir)
+    level = A.mean(F.col("pixels"))
+    one = F.lit(1.0)
+    known = df.select("label", "vec_id", (key % 11 != 5).alias("included"), level.alias("background_level"), one.alias("a"), (one * 0).alias("b"), (key % 3 - 1).cast("double").alias("tx"), (key % 2).cast("double").alias("ty"))
+    return rounded(R.stack_frames(df.select("label", "vec_id", "pixels"), known, "label", "vec_id", SIDE, SIDE), 5)
 
 
 @query("SELECT label, sum(len(embedding) * 4)::BIGINT AS bytes FROM embeddings GROUP BY 1")
 def q_memory_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of the images of each label at 4 bytes a sample."""
-    return images(spark, sf_dir).groupBy("label").agg(F.sum(F.size("pixels") * 4).alias("bytes"))
+    return images(spark, sf_dir).groupBy("label").agg(F.sum(A.array_bytes(F.col("pixels"))).alias("bytes"))

@@ -10,6 +10,7 @@ from framesieve.functions import keywords as K
 from framesieve.operators import classify as C
 from framesieve.operators import grouping as G
 from framesieve.operators import session_stats as S
+from framesieve.operators import tables as TB
 from framesieve.plans import sql
 from framesieve.sources.adapters import frames, headers
 
@@ -74,12 +75,12 @@ def q_anchored_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(em, 6) AS eccentricity_mean, round(es, 6) AS eccentricity_sigma, round(sm, 6) AS star_count_mean, round(ss, 6) AS star_count_sigma, outliers FROM stats"""
 )
 def q_two_pass_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.two_pass_stats(frames(spark, sf_dir)))
+    return rounded(S.two_pass_stats(frames(spark, sf_dir).persist()))
 
 
 @query(f"WITH {sql.STATS} SELECT session, frame_id FROM marked WHERE outlier")
 def q_outlier_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir)
+    f = frames(spark, sf_dir).persist()
     return S.mark_outliers(f, S.session_stats(f)).where("outlier").select("session", "frame_id")
 
 
@@ -88,22 +89,22 @@ def q_outlier_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 triggered_by, flag, rejection_category, row_number() OVER (PARTITION BY session ORDER BY (flag = 'PASS') DESC, score DESC, star_count DESC, frame_id DESC) = 1 AS is_reference FROM classified"""
 )
 def q_classified_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_text(C.with_reference(C.classify_frames(frames(spark, sf_dir)))))
+    return rounded(_text(C.with_reference(C.classify_frames(frames(spark, sf_dir).persist()))))
 
 
 @query(f"WITH {sql.CLASSIFIED} SELECT session, flag, count(*) AS frames FROM classified GROUP BY 1, 2")
 def q_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.classify_frames(frames(spark, sf_dir)).groupBy("session", "flag").agg(F.count("*").alias("frames"))
+    return C.classify_frames(frames(spark, sf_dir).persist()).groupBy("session", "flag").agg(F.count("*").alias("frames"))
 
 
 @query(f"WITH {sql.CLASSIFIED} SELECT coalesce(rejection_category, 'PASS') AS category, count(*) AS frames FROM classified GROUP BY 1")
 def q_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.classify_frames(frames(spark, sf_dir)).groupBy(F.coalesce("rejection_category", F.lit("PASS")).alias("category")).agg(F.count("*").alias("frames"))
+    return C.classify_frames(frames(spark, sf_dir).persist()).groupBy(F.coalesce("rejection_category", F.lit("PASS")).alias("category")).agg(F.count("*").alias("frames"))
 
 
 @query(f"WITH {sql.STATS} SELECT f.session, frame_id, round(CASE WHEN fs < 1.1920929e-07 THEN 0 ELSE (fwhm - fm) / fs END, 6) AS fwhm_dev FROM frames f JOIN stats s ON f.session = s.session")
 def q_sigma_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir)
+    f = frames(spark, sf_dir).persist()
     joined = f.join(S.two_pass_stats(f), "session")
     return rounded(joined.select("session", "frame_id", S.deviation(F.col("fwhm"), F.col("fwhm_mean"), F.col("fwhm_sigma")).alias("fwhm_dev")))
 
@@ -119,7 +120,7 @@ def q_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_reject_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of each metric from which a frame is rejected."""
-    t, stats = C.THRESHOLDS, S.two_pass_stats(frames(spark, sf_dir))
+    t, stats = C.THRESHOLDS, S.two_pass_stats(frames(spark, sf_dir).persist())
 
     def row(metric: str, value):
         return F.struct(F.lit(metric).alias("metric"), value.alias("reject_at"))
@@ -136,7 +137,7 @@ SELECT session, k AS sigmas, side, round(greatest(lo, least(hi, fm + side * k *
 )
 def q_sigma_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines at 1, 2 and 3 deviations around the mean FWHM, held to an axis 15 % wider than the values."""
-    f = frames(spark, sf_dir)
+    f = frames(spark, sf_dir).persist()
     span = F.max("fwhm") - F.min("fwhm")
     axis = f.groupBy("session").agg((F.min("fwhm") - 0.15 * span).alias("lo"), (F.max("fwhm") + 0.15 * span).alias("hi"))
     bands = S.two_pass_stats(f).join(axis, "session").withColumn("sigmas", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
@@ -149,16 +150,16 @@ def q_sigma_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_flag_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags set by hand win over the classifier's; nothing else changes."""
-    f = frames(spark, sf_dir)
+    f = frames(spark, sf_dir).persist()
     key = F.col("frame_id")
-    by_hand = f.where((key % 11 == 0) | (key % 13 == 0)).select("frame_id", F.when(key % 11 == 0, "PASS").otherwise("REJECT").alias("set_flag"))
-    return C.classify_frames(f).join(by_hand, "frame_id", "left").select("session", "frame_id", F.coalesce("set_flag", "flag").alias("flag"))
+    by_hand = f.where((key % 11 == 0) | (key % 13 == 0)).select("frame_id", F.when(key % 11 == 0, "PASS").otherwise("REJECT").alias("flag"))
+    return TB.overridden(C.classify_frames(f), by_hand, "frame_id", "flag").select("session", "frame_id", "flag")
 
 
 @query(f"WITH {sql.CLASSIFIED} SELECT session, frame_id FROM classified WHERE flag <> 'REJECT'")
 def q_session_without_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session once rejected frames are moved away."""
-    f = frames(spark, sf_dir)
+    f = frames(spark, sf_dir).persist()
     gone = C.classify_frames(f).where("flag = 'REJECT'").select("frame_id")
     return f.join(gone, "frame_id", "left_anti").select("session", "frame_id")
 
@@ -209,7 +210,7 @@ SELECT session, frame_id, round(fwhm - lag(fwhm) OVER (PARTITION BY session ORDE
 )
 def q_line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The FWHM's steps from frame to frame, outliers left out."""
-    f = frames(spark, sf_dir)
+    f = frames(spark, sf_dir).persist()
     clean = S.mark_outliers(f, S.session_stats(f)).where("NOT outlier")
     return rounded(clean.select("session", "frame_id", (F.col("fwhm") - F.lag("fwhm").over(W.partitionBy("session").orderBy("frame_id"))).alias("step")))
 

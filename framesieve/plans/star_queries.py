@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesieve.functions import geometry as GE
+from framesieve.operators import frames as FR
 from framesieve.operators import matching as M
 from framesieve.operators import registration as R
 from framesieve.operators import stars as S
@@ -32,7 +33,7 @@ maxima AS (SELECT vec_id, label, i, x, y, v FROM o WHERE v > other)"""
 
 @query(f"{_MAXIMA} SELECT vec_id, x, y, round(v, 6) AS v FROM maxima")
 def q_local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.local_maxima(pixels(spark, sf_dir), ["vec_id"]))
+    return rounded(FR.frame_maxima(images(spark, sf_dir), ["vec_id"], SIDE, SIDE))
 
 
 _SHAPES = f"""WITH {sql.PIXELS}, w AS (SELECT vec_id, label, x, y, v - 0.5 AS w FROM pixels WHERE v > 0.5), c AS (SELECT vec_id, sum(w) AS m, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy FROM w GROUP BY 1), k AS (
@@ -66,24 +67,49 @@ def q_heat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.heat_grid(_shapes(spark, sf_dir), "label", 7.0, 7.0, 5))
 
 
+@query(
+    f"""{_SHAPES}, hc AS (SELECT label, count(*) AS n, avg(fwhm) AS w, CASE WHEN count(*) >= 3600 THEN 15 WHEN count(*) >= 2500 THEN 13 WHEN count(*) >= 1600 THEN 11 WHEN count(*) >= 900 THEN 9 WHEN count(*) >= 400 THEN 7 ELSE 5 END AS g
+  FROM shapes GROUP BY 1 HAVING count(*) >= 25), hp AS (SELECT s.label, least(floor(cx / (7.0::DOUBLE / g)), g - 1)::INT AS gx, least(floor(cy / (7.0::DOUBLE / g)), g - 1)::INT AS gy, fwhm FROM shapes s JOIN hc ON hc.label = s.label), hm AS (
+  SELECT label, gx, gy, avg(fwhm) AS f FROM hp GROUP BY ALL), he AS (
+  SELECT hc.label, g, n, x.gx, y.gy, coalesce(f, w) AS fwhm FROM hc JOIN (SELECT unnest(range(15))::INT AS gx) x ON x.gx < g JOIN (SELECT unnest(range(15))::INT AS gy) y ON y.gy < g
+  LEFT JOIN hm ON hm.label = hc.label AND hm.gx = x.gx AND hm.gy = y.gy)
+SELECT label, g AS grid, gx, gy, round(fwhm, 6) AS fwhm, n < 75 AS few FROM he"""
+)
+def q_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat grids whose side follows the number of stars; labels of few stars are marked or left out."""
+    return rounded(S.heat_map(_shapes(spark, sf_dir), "label", 7.0, 7.0).drop("level"))
+
+
+@query(f"{_SHAPES} SELECT vec_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(fwhm / 2, 6) AS r FROM shapes WHERE fwhm BETWEEN 0.5 AND 50")
+def q_star_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A circle for every star of plausible width."""
+    return rounded(FR.star_overlay(_shapes(spark, sf_dir), ["vec_id"]))
+
+
 @query(f"{_MAXIMA} SELECT vec_id, i AS star_id, round(v, 6) AS peak FROM maxima QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) <= 4")
 def q_brightest_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.brightest(_peaks(spark, sf_dir).withColumnRenamed("v", "peak"), "vec_id", 4).select("vec_id", "star_id", "peak"))
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.local_maxima(pixels(spark, sf_dir), ["vec_id"])
+    found = FR.frame_maxima(images(spark, sf_dir), ["vec_id"], SIDE, SIDE)
     return found.select("vec_id", (F.col("y") * 8 + F.col("x")).alias("star_id"), "x", "y", "v")
 
 
-_TRIANGLES = f"""{_MAXIMA}, sides AS (SELECT a.vec_id, a.i, b.i AS j, c.i AS k, list_sort([sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)), sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2))]) AS d,
-  (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS z FROM maxima a JOIN maxima b ON b.vec_id = a.vec_id AND b.i > a.i JOIN maxima c ON c.vec_id = a.vec_id AND c.i > b.i), triangles AS (
+#: Triangles are made of a frame's brightest stars only.
+_BRIGHT = 9
+_TRIANGLES = f"""{_MAXIMA}, bright AS (SELECT * FROM maxima QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) <= {_BRIGHT}), sides AS (SELECT a.vec_id, a.i, b.i AS j, c.i AS k, list_sort([sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)), sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2))]) AS d,
+  (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS z FROM bright a JOIN bright b ON b.vec_id = a.vec_id AND b.i > a.i JOIN bright c ON c.vec_id = a.vec_id AND c.i > b.i), triangles AS (
   SELECT vec_id, i, j, k, d[2] / d[3] AS r1, d[1] / d[3] AS r2, CASE WHEN z >= 0 THEN 1 ELSE -1 END AS orientation FROM sides WHERE d[1] >= 1)"""
 
 
+def _bright(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.brightest(_peaks(spark, sf_dir).withColumnRenamed("v", "peak"), "vec_id", _BRIGHT)
+
+
 @query(f"{_TRIANGLES} SELECT vec_id, i, j, k, round(r1, 6) AS r1, round(r2, 6) AS r2, orientation FROM triangles")
 def q_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.triangles(_peaks(spark, sf_dir), ["vec_id"]))
+    return rounded(M.triangles(_bright(spark, sf_dir), ["vec_id"]))
 
 
 @query(
@@ -92,7 +118,7 @@ ON r.vec_id = l.vec_id + 1 AND l.vec_id % 2 = 0 AND l.orientation = r.orientatio
 )
 def q_triangle_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alike triangles between every two neighbouring images."""
-    t = M.triangles(_peaks(spark, sf_dir), ["vec_id"]).withColumn("pair", F.floor(F.col("vec_id") / 2))
+    t = M.triangles(_bright(spark, sf_dir), ["vec_id"]).withColumn("pair", F.floor(F.col("vec_id") / 2))
     left, right = t.where("vec_id % 2 = 0").drop("vec_id"), t.where("vec_id % 2 = 1").drop("vec_id")
     return rounded(M.match_triangles(left, right, ["pair"]).groupBy("pair").agg(F.count("*").alias("matches"), F.avg("gap").alias("gap")))
 
@@ -178,12 +204,48 @@ def q_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.one_to_one(p.where("vec_id % 2 = 0").drop("vec_id"), p.where("vec_id % 2 = 1").drop("vec_id"), "pair", 3.0)
 
 
+def _contributed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = images(spark, sf_dir).withColumn("filter", F.when(F.col("vec_id") % 13 == 4, "L").when(F.col("vec_id") % 3 > 0, " ha").otherwise("Ha"))
+    first = df.groupBy("label").agg(F.min(F.when(F.col("filter") != "L", F.col("vec_id"))).alias("vec_id"))
+    return df, R.contributions(df, first, "label", "vec_id", SIDE, SIDE)
+
+
+def q_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every image enters the stack of its label: filter, background, shift against the label's first image."""
+    return rounded(_contributed(spark, sf_dir)[1])
+
+
 def q_stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of each label registered to the label's first and combined."""
-    df = images(spark, sf_dir)
-    first = df.groupBy("label").agg(F.min_by("pixels", "vec_id").alias("pixels"))
-    return rounded(R.stack_frames(df, first, "label", "vec_id", SIDE, SIDE))
+    """Images of each label registered to the label's first and combined, those of another filter left out."""
+    df, contributed = _contributed(spark, sf_dir)
+    return rounded(R.stack_frames(df, contributed, "label", "vec_id", SIDE, SIDE, crop=False))
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 64 embeddings as the rows of an image of 64 by 64 samples, a colour mosaic for every second image; rows that lack are grey."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table.groupBy(F.floor(F.col("vec_id") / 64).alias("frame_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("vec_id") % 64).alias("y"), "embedding"))).alias("rows"))  # 64 rows a group
+    flat = F.flatten(F.transform(F.col("rows"), lambda r: F.transform(r["embedding"], lambda e: ((e + 1) / 2).cast("float"))))
+    filled = F.slice(F.concat(flat, F.array_repeat(F.lit(0.5).cast("float"), 4096)), 1, 4096)
+    mosaic = F.col("frame_id") % 2 == 1
+    keywords = F.when(mosaic, F.create_map(F.lit("BAYERPAT"), F.struct(F.lit("RGGB").alias("value"), F.lit(None).cast("string").alias("comment")))).otherwise(F.create_map().cast("map<string, struct<value: string, comment: string>>"))
+    side = {c: F.lit(64) for c in ("width", "height")}
+    return rows.select("frame_id", F.concat(F.lit("night "), (F.col("frame_id") % 2).cast("string")).alias("session"), filled.alias("pixels"), keywords.alias("keywords")).withColumns(
+        side | {"channels": F.lit(1), "bit_depth": F.lit("f32"), "color_space": F.when(mosaic, "Bayer").otherwise("Mono"), "path": F.col("frame_id").cast("string"), "error": F.lit(None).cast("string")}
+    )
+
+
+def q_analyze_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From images to verdicts: luminance, background, stars, medians, two-pass statistics, classes, reference frames."""
+    out = FR.analyze_images(_tiles(spark, sf_dir), "session", "frame_id")
+    return rounded(out.withColumn("triggered_by", F.array_join("triggered_by", ",")))
+
+
+def q_detected_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars of the images of ``q_analyze_images`` with their overlay circles' radius."""
+    luma = FR.load(_tiles(spark, sf_dir), "luma", ["frame_id", "width", "height"]).select(F.col("frame_id").alias("frame"), "width", "height", F.col("loaded").alias("luma"))
+    return rounded(S.detect_stars(luma).withColumn("r", F.col("fwhm") / 2))
 
 
 #: Walks over whole images or over matches in order, which SQL cannot say; tests hold them against known shifts and loops.
-QUERIES |= {f.__name__: f for f in (q_phase_shift, q_one_to_one, q_stack_frames)}
+QUERIES |= {f.__name__: f for f in (q_phase_shift, q_one_to_one, q_contributions, q_stack_frames, q_analyze_images, q_detected_stars)}

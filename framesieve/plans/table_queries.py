@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framesieve.operators import classify as C
+from framesieve.operators import session_stats as S
 from framesieve.operators import tables as TB
 from framesieve.plans import sql
 from framesieve.plans.session_queries import rounded
 from framesieve.sources.adapters import frames
-from framesieve.sources.reports import export_sessions, import_frames
+from framesieve.sources.reports import import_lines, imported_statistics, report_lines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,14 +34,14 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {sql.CLASSIFIED} SELECT o_orderkey AS frame_id, flag, rejection_category FROM orders JOIN classified ON frame_id = o_orderkey")
 def q_export_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the session that have results."""
-    results = C.classify_frames(frames(spark, sf_dir)).select("frame_id", "flag", "rejection_category")
+    results = C.classify_frames(frames(spark, sf_dir).persist()).select("frame_id", "flag", "rejection_category")
     return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("frame_id")).join(results, "frame_id")
 
 
 @query(f"WITH {sql.CLASSIFIED} SELECT o_orderkey AS frame_id, flag FROM orders LEFT JOIN classified ON frame_id = o_orderkey")
 def q_results_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files of the session, with results where there are some."""
-    results = C.classify_frames(frames(spark, sf_dir)).select("frame_id", "flag")
+    results = C.classify_frames(frames(spark, sf_dir).persist()).select("frame_id", "flag")
     return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("frame_id")).join(results, "frame_id", "left")
 
 
@@ -51,13 +52,11 @@ def q_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.not_loaded(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("frame_id")), loaded, "frame_id")
 
 
-@query("SELECT o_orderkey AS frame_id, 'loaded' AS outcome FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'unreadable' FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey AS frame_id, CASE o_orderstatus WHEN 'F' THEN 'loaded' WHEN 'P' THEN 'unreadable' ELSE 'missing' END AS outcome FROM orders")
 def q_read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames read and frames that failed, in one table."""
-    orders = _orders(spark, sf_dir)
-    read = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("frame_id"), F.lit("loaded").alias("outcome"))
-    failed = orders.where("o_orderstatus = 'P'").select(F.lit("unreadable").alias("outcome"), F.col("o_orderkey").alias("frame_id"))
-    return read.unionByName(failed)
+    """Frames read, frames that could not be read and missing ones, in one table."""
+    orders = _orders(spark, sf_dir).withColumnRenamed("o_orderkey", "frame_id")
+    return TB.read_outcomes(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'"), orders.where("o_orderstatus NOT IN ('F', 'P')"), "frame_id")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT -n_nationkey - 1, n_name FROM nation")
@@ -104,7 +103,7 @@ def q_set_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority AS session, count(*) AS files FROM orders GROUP BY 1")
 def q_count_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("session")).agg(F.count("*").alias("files"))
+    return TB.count_files(_orders(spark, sf_dir).withColumnRenamed("o_orderpriority", "session"), "session")
 
 
 @query("SELECT c_custkey, round(greatest(0.5, least(5, c_acctbal / 1000)), 6) AS fwhm_sigma, round(greatest(0, least(1, c_acctbal / 10000)), 6) AS eccentricity FROM customer")
@@ -115,13 +114,42 @@ def q_threshold_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.CLASSIFIED} SELECT session, frame_id, CASE WHEN flag = 'REJECT' THEN 'REJECT' ELSE 'PASS' END AS flag, triggered_by, rejection_category, star_count FROM classified"""
+    f"""WITH {sql.CLASSIFIED} SELECT c.session, c.frame_id, flag, triggered_by, rejection_category, c.star_count, outlier,
+row_number() OVER (PARTITION BY c.session ORDER BY (flag = 'PASS') DESC, score DESC, c.star_count DESC, c.frame_id DESC) = 1 AS is_reference FROM classified c JOIN marked m ON m.session = c.session AND m.frame_id = c.frame_id"""
 )
 def q_report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified frames through the report's JSON, one document for each slice of a session, and back."""
-    reports = export_sessions(C.classify_frames(frames(spark, sf_dir)).withColumn("slice", F.col("frame_id") % 64), ["session", "slice"])
-    back = import_frames(reports, "report", ["session"])
-    return back.select("session", F.col("filename").cast("long").alias("frame_id"), "flag", F.array_join("triggered_by", ",").alias("triggered_by"), "rejection_category", "star_count")
+    """Classified frames through the report's JSON lines and back."""
+    f = frames(spark, sf_dir).persist()
+    stats = TB.small_table(S.two_pass_stats(f))
+    classified = C.with_reference(C.classify_frames(S.mark_outliers(f, S.session_stats(f)), stats))
+    back = import_lines(report_lines(classified, stats), ["session"])
+    return back.select("session", F.col("filename").cast("long").alias("frame_id"), "flag", F.array_join("triggered_by", ",").alias("triggered_by"), "rejection_category", "star_count", "outlier", "is_reference")
+
+
+@query(
+    f"""WITH {sql.STATS} SELECT session, metric, round(mean, 6) AS mean, round(stddev, 6) AS stddev FROM (SELECT session, unnest(['background_median', 'fwhm', 'eccentricity', 'star_count']) AS metric,
+  unnest([bm, fm, em, sm]) AS mean, unnest([bs, fs, es, ss]) AS stddev FROM stats)"""
+)
+def q_report_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions' statistics through the report and back."""
+    f = frames(spark, sf_dir).persist()
+    stats = TB.small_table(S.two_pass_stats(f))
+    return rounded(imported_statistics(report_lines(C.classify_frames(f, stats), stats), "line", ["session"]))
+
+
+@query("SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON lower(r.r_name) = lower(CASE WHEN n_nationkey % 2 = 0 THEN 'Asia' ELSE 'euRope' END) WHERE r.r_regionkey >= 0")
+def q_find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles by name, capitals or not."""
+    nation, region = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
+    found = [nation.where(F.col("n_nationkey") % 2 == k).join(TB.find_by_name(region, "r_name", name)) for k, name in ((0, "Asia"), (1, "euRope"))]
+    return found[0].unionByName(found[1]).select("n_nationkey", "r_name")
+
+
+@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY lower(c_name), c_name) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS c_name FROM customer)")
+def q_ordered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in a list ordered by name, capitals or not: rows are sorted by range, and places counted on from range to range."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("c_name"))
+    return TB.placed(TB.by_name(c, "c_name"), "place").select("c_custkey", "c_name", "place")
 
 
 @query(f"WITH {sql.FRAMES} SELECT session, frame_id, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN frame_id % 5 = 0 THEN NULL ELSE star_count END DESC NULLS LAST, frame_id) AS place FROM frames")
@@ -135,4 +163,4 @@ def q_sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority AS session, quantile_disc(o_totalprice, 0.5) AS lower_middle FROM orders GROUP BY 1")
 def q_nth_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lower middle value of each session."""
-    return _orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("session")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)").alias("lower_middle"))
+    return TB.nth_element(_orders(spark, sf_dir).select(F.col("o_orderpriority").alias("session"), F.col("o_totalprice").alias("lower_middle")), "session", "lower_middle")

@@ -74,17 +74,30 @@ def _value(text: str) -> str:
     return "'" + text.replace("'", "''").ljust(8) + "'"
 
 
+def _lines(keywords: dict[str, tuple[str, str | None]]) -> list[str]:
+    return [f"{name:<8}= {_value(value)}" + (f" / {comment}" if comment else "") for name, (value, comment) in sorted(keywords.items()) if not STRUCTURE.match(name)]
+
+
+def _block(lines: list[str]) -> bytes:
+    header = "".join(line[:CARD].ljust(CARD) for line in [*lines, "END"]).encode("ascii", "replace")
+    return header.ljust(-(-len(header) // BLOCK) * BLOCK)
+
+
+def with_keywords(data: bytes, keywords: dict[str, tuple[str, str | None]]) -> bytes:
+    """The file with other keywords: cards that describe the array stay as they are, and so does the array."""
+    _, start = read_header(data)
+    cards = [data[at : at + CARD].decode("ascii", "replace") for at in range(0, start, CARD)]
+    own = [c for c in cards if STRUCTURE.match(c[:8].strip()) and c[:8].strip() != "END"]
+    return _block([*own, *_lines(keywords)]) + data[start:]
+
+
 def write(image: dict) -> bytes:
     """The file of an image as ``read`` gives it."""
     depth, channels = image["bit_depth"], image["channels"]
     bits, zero = {"u8": (8, 0), "u16": (16, 32768), "f32": (-32, 0)}[depth]
     cards = [("SIMPLE", "T"), ("BITPIX", str(bits)), ("NAXIS", "3" if channels > 1 else "2"), ("NAXIS1", str(image["width"])), ("NAXIS2", str(image["height"]))]
     cards += [("NAXIS3", str(channels))] * (channels > 1) + [("BZERO", str(zero)), ("BSCALE", "1")] * bool(zero)
-    lines = [f"{k:<8}= {_value(v)}" for k, v in cards]
-    for name, (value, comment) in sorted(image["keywords"].items()):
-        if not STRUCTURE.match(name):
-            lines.append(f"{name:<8}= {_value(value)}" + (f" / {comment}" if comment else ""))
-    header = "".join(line[:CARD].ljust(CARD) for line in [*lines, "END"]).encode("ascii", "replace")
+    lines = [f"{k:<8}= {_value(v)}" for k, v in cards] + _lines(image["keywords"])
     planes = np.asarray(image["pixels"], np.float64).reshape(-1, channels).T
     data = (planes - zero).astype(_DTYPE[bits]).tobytes()
-    return header.ljust(-(-len(header) // BLOCK) * BLOCK) + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0")
+    return _block(lines) + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0")

@@ -1,7 +1,7 @@
 """Image files as rows and rows as image files.
 
 Files are listed and read by Spark's binary source, one row a file; decoding is a map over them, so a
-session of any size is as many tasks as it has splits. Header-only scans do not build pixel arrays.
+session of any size is as many tasks as it has splits. Header-only scans list the files and read their headers alone.
 """
 
 from __future__ import annotations
@@ -32,6 +32,45 @@ def _row(path: str, content: bytes, pixels: bool) -> dict:
     return row | image | {"keywords": {k: {"value": v, "comment": c} for k, (v, c) in image["keywords"].items()}}
 
 
+def _store(path: str):
+    """(file system, path in it) of a path or URI, as executors reach it."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:") :]
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def _head(path: str) -> bytes:
+    """The bytes of a file up to the end of its header."""
+    store, place = _store(path)
+    with store.open_input_file(place) as file:
+        if path.lower().endswith(".xisf"):
+            start = file.read(16)
+            return start + file.read(int.from_bytes(start[8:12], "little"))
+        parts = []
+        while len(block := file.read(fits.BLOCK)) == fits.BLOCK:
+            parts.append(block)
+            if any(block[at : at + fits.CARD].rstrip() == b"END" for at in range(0, fits.BLOCK, fits.CARD)):
+                break
+        return b"".join([*parts, block] if len(block) < fits.BLOCK else parts)
+
+
+def _replace(path: str, data: bytes) -> None:
+    """Writes a file so that it is there under its name only whole; nothing is left behind if that fails."""
+    from uuid import uuid4
+
+    store, place = _store(path)
+    part = f"{place.rsplit('/', 1)[0]}/.{uuid4().hex}.part"
+    try:
+        with store.open_output_stream(part) as out:
+            out.write(data)
+        store.move(part, place)
+    except BaseException:
+        store.delete_file(part)
+        raise
+
+
 def read_images(spark: SparkSession, paths: str | list[str], pixels: bool = True, loaded: DataFrame | None = None) -> DataFrame:
     """One row per image file under the given folders, files or globs (folders are not searched in depth), in SCHEMA.
 
@@ -44,9 +83,52 @@ def read_images(spark: SparkSession, paths: str | list[str], pixels: bool = True
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):  # one frame in memory at a time
-                yield pd.DataFrame([_row(path, content, pixels)], columns=_FIELDS)
+                yield pd.DataFrame([_row(path, content, True)], columns=_FIELDS)
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_row(path, _head(path), False) for path in batch["path"]], columns=_FIELDS)
+
+    return files.select("path", "content").mapInPandas(decoded, SCHEMA) if pixels else files.select("path").mapInPandas(headed, SCHEMA)
 
-    return files.select("path", "content").mapInPandas(decoded, SCHEMA)
+
+def update_headers(images: DataFrame) -> DataFrame:
+    """Writes the keywords of image rows (path, keywords) into their own files, in the format each has; returns (path, error).
+
+    The pixels stay byte for byte in FITS files; XISF files are written anew. A file is replaced once its new form is whole. The work is done when the result is computed.
+    """
+
+    def updated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, given in zip(batch["path"], batch["keywords"], strict=True):
+                given = given if isinstance(given, dict) else dict(given or {})
+                keywords = {k: (v["value"], v["comment"]) for k, v in given.items()}
+                try:
+                    store, place = _store(path)
+                    with store.open_input_file(place) as file:
+                        data = file.read()
+                    _replace(path, xisf.write(xisf.read(data) | {"keywords": keywords}) if path.lower().endswith(".xisf") else fits.with_keywords(data, keywords))
+                    out.append((path, None))
+                except (ValueError, KeyError, IndexError, OSError) as e:
+                    out.append((path, str(e)))
+            yield pd.DataFrame(out, columns=["path", "error"])
+
+    return images.select("path", "keywords").mapInPandas(updated, "path string, error string")
+
+
+def rewrite_images(images: DataFrame) -> DataFrame:
+    """Writes image rows, pixels too, over their own files, in the format each has; returns (path)."""
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                given = row["keywords"] if isinstance(row["keywords"], dict) else dict(row["keywords"] or {})
+                image = row | {"keywords": {k: (v["value"], v["comment"]) for k, v in given.items()}}
+                _replace(row["path"], xisf.write(image) if row["path"].lower().endswith(".xisf") else fits.write(image))
+                yield pd.DataFrame([(row["path"],)], columns=["path"])
+
+    return images.where("error IS NULL").select("path", "width", "height", "channels", "bit_depth", "color_space", "keywords", "pixels").mapInPandas(written, "path string")
 
 
 def session_frames(images: DataFrame, session: str) -> DataFrame:
@@ -61,11 +143,9 @@ def write_images(images: DataFrame, folder: str, kind: str = "fit", overwrite: b
     a task that runs again does no harm. The rows are written when the result is computed.
     """
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from uuid import uuid4
-
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -75,10 +155,7 @@ def write_images(images: DataFrame, folder: str, kind: str = "fit", overwrite: b
                 if fresh:
                     keywords = row["keywords"] if isinstance(row["keywords"], dict) else dict(row["keywords"] or {})
                     image = row | {"keywords": {k: (v["value"], v["comment"]) for k, v in keywords.items()}}
-                    part = f"{base}/.{uuid4().hex}.part"
-                    with store.open_output_stream(part) as out:
-                        out.write(xisf.write(image, compress) if kind == "xisf" else fits.write(image))
-                    store.move(part, target)
+                    _replace(f"{folder.rstrip('/')}/{name}", xisf.write(image, compress) if kind == "xisf" else fits.write(image))
                 yield pd.DataFrame([(name, fresh)], columns=["file", "written"])
 
     return images.where("error IS NULL").select("filename", "width", "height", "channels", "bit_depth", "keywords", "pixels").mapInPandas(written, "file string, written boolean")

@@ -7,7 +7,7 @@ from tests.conftest import plain
 
 
 def test_queries_have_sql():
-    assert registry.QUERIES.keys() - registry.ORACLE_SQL.keys() == {"q_phase_shift", "q_one_to_one", "q_stack_frames"}
+    assert registry.QUERIES.keys() - registry.ORACLE_SQL.keys() == {"q_phase_shift", "q_one_to_one", "q_contributions", "q_stack_frames", "q_analyze_images", "q_detected_stars"}
     assert len(registry.QUERIES) >= 90
 
 

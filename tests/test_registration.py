@@ -44,11 +44,35 @@ def test_free_references(spark, sf):
 
 def test_stack(spark):
     frames = [(0, k, spot(48, 24 + dx, 24 + dy, 2.0).ravel().tolist()) for k, (dx, dy) in enumerate([(0, 0), (3, -2), (-2, 4)])]
-    df = spark.createDataFrame(frames, "grp long, frame long, pixels array<double>")
-    rows = R.stack_frames(df, df.where("frame = 0").select("grp", "pixels"), "grp", "frame", 48, 48).collect()
+    df = spark.createDataFrame([(*f, "Ha") for f in frames] + [(0, 3, [0.9] * 48 * 48, "OIII")], "grp long, frame long, pixels array<double>, filter string")
+    into = R.contributions(df, df.where("frame = 0"), "grp", "frame", 48, 48)
+    by_frame = {r.frame: r for r in into.collect()}
+    assert by_frame[3].exclusion_reason == "FilterMismatch" and not by_frame[3].included and (by_frame[0].tx, by_frame[0].ty, by_frame[0].a) == (0, 0, 1)
+    assert abs(by_frame[1].tx + 3) < 1 and abs(by_frame[1].ty - 2) < 1
+    rows = R.stack_frames(df, into, "grp", "frame", 48, 48, crop=False).collect()
     best = max(rows, key=lambda r: r.stacked)
-    assert len(rows) == 48 * 48 and abs(best.x - 24) <= 1 and abs(best.y - 24) <= 1 and best.stacked > 0.8
+    assert len(rows) == 48 * 48 and abs(best.x - 24) <= 1 and abs(best.y - 24) <= 1 and best.stacked > 0.8 and max(r.n for r in rows) == 3
+    cropped = R.stack_frames(df, into, "grp", "frame", 48, 48).collect()
+    assert 40 * 40 < len(cropped) < 48 * 48 and {(r.x, r.y, round(r.stacked, 9)) for r in cropped} <= {(r.x, r.y, round(r.stacked, 9)) for r in rows}
+
+
+def test_turned_frames_are_stacked_turned(spark):
+    rng = np.random.default_rng(6)
+    size, spots = 128, rng.uniform(22, 106, (14, 2))
+    angle, tx, ty = 0.012, 3.0, -2.0
+    turned = np.stack([np.cos(angle) * spots[:, 0] + np.sin(angle) * spots[:, 1], np.cos(angle) * spots[:, 1] - np.sin(angle) * spots[:, 0]], axis=1) + (tx, ty)
+    images = [sum(spot(size, x, y, 1.6) for x, y in places) for places in (spots, turned)]
+    df = spark.createDataFrame([(1, k, (v * 0.5 + 0.05).ravel().tolist(), None) for k, v in enumerate(images)], "grp long, frame long, pixels array<double>, filter string")
+    stars = spark.createDataFrame([(1, k, i, float(x), float(y)) for k, places in enumerate((spots, turned)) for i, (x, y) in enumerate(places)], "grp long, frame long, star_id long, x double, y double")
+    row = R.contributions(df, df.where("frame = 0"), "grp", "frame", size, size, stars).where("frame = 1").first()
+    assert np.arctan2(row.b, row.a) == pytest.approx(angle, abs=1e-3)
+    back = np.stack([row.a * turned[:, 0] - row.b * turned[:, 1] + row.tx, row.b * turned[:, 0] + row.a * turned[:, 1] + row.ty], axis=1)
+    assert np.abs(back - spots).max() < 0.5
+    into = R.contributions(df, df.where("frame = 0"), "grp", "frame", size, size, stars)
+    stacked = {(r.x, r.y): r.stacked for r in R.stack_frames(df, into, "grp", "frame", size, size).collect()}
+    shown = [stacked.get((round(x), round(y))) for x, y in spots]
+    assert sum(v is not None and v > 4 for v in shown) >= 10
 
 
 def test_queries_give_rows(spark, sf):
-    assert QUERIES["q_phase_shift"](spark, sf).count() == 250 and QUERIES["q_stack_frames"](spark, sf).count() == 640
+    assert QUERIES["q_phase_shift"](spark, sf).count() == 250 and QUERIES["q_stack_frames"](spark, sf).count() == 640 and QUERIES["q_contributions"](spark, sf).count() == 500

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framesieve.sources import fits, xisf
 from framesieve.sources.images import read_images, write_images
 from framesieve.sources.logs import read_logs
-from framesieve.sources.reports import export_sessions, import_frames, imported_thresholds
+from framesieve.sources.reports import export_sessions, import_frames, import_lines, imported_statistics, imported_thresholds, report_lines
 
 KEYS = {"FILTER": ("Ha", "band"), "EXPTIME": ("300.5", None), "GAIN": ("100", "gain"), "OBJECT": ("O'Neil", None), "DATE-OBS": ("2024-01-02T03:04:05", None)}
 
@@ -79,3 +80,10 @@ def test_report(spark):
     back = import_frames(report, "report", ["session"]).orderBy("filename").collect()
     assert [(r.filename, r.flag, r.triggered_by, r.rejection_category) for r in back] == [("1", "PASS", [], None), ("2", "REJECT", ["FWHM"], "O")]
     assert imported_thresholds(report, "report").first().star_count == 1.75
+    stats = spark.createDataFrame([("s", *map(float, range(8)))], "session string, " + ", ".join(f"{m}_{s} double" for m in ("background_median", "fwhm", "eccentricity", "star_count") for s in ("mean", "sigma")))
+    marked = frames.withColumns({"outlier": F.col("frame_id") == 2, "is_reference": F.col("frame_id") == 1})
+    whole, lines = export_sessions(marked, ["session"], stats=stats), report_lines(marked, stats)
+    for back in (import_frames(whole, "report", ["session"]), import_lines(lines, ["session"])):
+        assert [(r.filename, r.outlier, r.is_reference, r.imported, r.flag) for r in back.orderBy("filename").collect()] == [("1", False, True, True, "PASS"), ("2", True, False, True, "REJECT")]
+    for given, column in ((whole, "report"), (lines, "line")):
+        assert {(r.metric, r["mean"], r.stddev) for r in imported_statistics(given, column, ["session"]).collect()} == {("background_median", 0, 1), ("fwhm", 2, 3), ("eccentricity", 4, 5), ("star_count", 6, 7)}

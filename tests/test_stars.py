@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from framesieve.operators import matching as M
 from framesieve.operators import stars as S
-from framesieve.operators.stacking import clipped_mean, resample
+from framesieve.operators.stacking import clipped_mean
 
 
 def frame(spark, image, name="f"):
@@ -78,15 +78,3 @@ def test_nearest(spark):
     left = spark.createDataFrame([(0, 0, 9.9, 10.0), (0, 1, 100.0, 100.0)], schema)
     right = spark.createDataFrame([(0, 5, 10.1, 10.0), (0, 6, 12.0, 10.0)], schema)
     assert [(r.star_id, r.ref_id) for r in M.nearest(left, right, ["frame"]).collect()] == [(0, 5)]
-
-
-def test_resample_moves_a_pixel(spark):
-    rows = [(0, x, y, 1.0 if (x, y) == (20, 20) else 0.0) for x in range(64) for y in range(64)]
-    moved = resample(spark.createDataFrame(rows, "frame int, x int, y int, v double"), ["frame"], F.lit(10.0), F.lit(-5.0), 64, 64)
-    assert [(r.x, r.y) for r in moved.where("v > 0.5").collect()] == [(30, 15)]
-
-
-def test_clipped_mean_drops_an_outlier(spark):
-    rows = [(0, 0, 0.5 + 0.001 * i) for i in range(20)] + [(0, 0, 9.0)]
-    row = clipped_mean(spark.createDataFrame(rows, "x int, y int, v double"), ["x", "y"]).first()
-    assert (row.n, row.kept) == (21, 20) and row.stacked < 0.6
