@@ -162,6 +162,23 @@ def test_near_copies_with_repeats(spark):
     assert got == expected and expected[:18] == [3 * (i // 3) for i in range(18)] and expected[18:] == [18, 19, 20, 21]
 
 
+@pytest.mark.parametrize(("members", "rows"), [(6, N.BROADCAST_ROWS), (N.MEMBERS, 0)])
+def test_near_copies_of_large_clusters_and_tables(spark, monkeypatch, members, rows):
+    monkeypatch.setattr(N, "MEMBERS", members)
+    monkeypatch.setattr(N, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(3):  # chains of 25 versions, each a few words away from the one before
+        w = [f"c{k}x{i}" for i in range(120)]
+        for _ in range(25):
+            texts.append(" ".join(w))
+            for i in rng.integers(0, 120, 2).tolist():
+                w[i] += "y"
+    texts += [f"alone {i} " + " ".join(f"s{i}x{j}" for j in range(12)) for i in range(10)]
+    got, expected = near_groups(spark, texts)
+    assert got == expected and len(set(expected)) < len(texts) // 2
+
+
 def test_near_copies_at_the_bound(spark):
     texts = []
     for k in range(150):  # pairs at 0.8 or little more: a tail cut off, some of them of very few shingles
