@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from framesieve.functions.arrays import LUMA
+from framesieve.functions.arrays import LUMA, MAD_SIGMA
 from framesieve.operators.classify import classify_frames, with_reference
 from framesieve.operators.stars import clipped_background, star_table
 
 #: What samples of a depth are divided by; FWHM range of stars that count in a frame's median.
 DEPTHS = {"u8": 255.0, "u16": 65535.0, "f32": 1.0}
 LEAST_FWHM, MOST_FWHM = 0.5, 50.0
+#: Deviations below the median where a stretch clips shadows, and what it brings the median to.
+SHADOW_CLIP, TARGET = -2.8, 0.15
 
 
 def _cells(column: pa.Array) -> list:
@@ -248,6 +250,46 @@ def resample_frames(frames: DataFrame, keep: list[str], transform: list[str | Co
     return map_frames(frames, keep, [pixels, *transform], made, "pixels array<double>")
 
 
+def resample_planes(frames: DataFrame, keep: list[str], transform: list[str | Column], width: int, height: int, pixels: str = "pixels") -> DataFrame:
+    """(keep, r, g, b): interleaved colour frames moved by their own ``transform``, a column for each plane."""
+
+    def made(v: np.ndarray, a: float, b: float, tx: float, ty: float) -> tuple:
+        return tuple(moved(v.reshape(height, width, 3).astype(float), a, b, tx, ty).reshape(-1, 3).T)
+
+    return map_frames(frames, keep, [pixels, *transform], made, "r array<double>, g array<double>, b array<double>")
+
+
+def stretched(image: np.ndarray, clip: float = SHADOW_CLIP, target: float = TARGET) -> np.ndarray:
+    """An image (pixels, channels), 0 to 1, each channel stretched by its own parameters (see ``arrays.stretch_parameters``); samples that are
+    not finite count in none and stay. A channel without finite samples stays."""
+
+    def middle(v: np.ndarray) -> float:
+        return float(np.partition(v, len(v) // 2)[len(v) // 2]) if len(v) else 0.0
+
+    def lifted(x: np.ndarray, m: float) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            curve = x if m == 0.5 else (m - 1) * x / ((2 * m - 1) * x - m)
+        return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, curve))
+
+    out = image.astype(float)
+    for c in range(out.shape[1]):
+        good = np.isfinite(out[:, c])
+        v = out[good, c]
+        if not len(v):
+            continue
+        level = middle(v)
+        shadow = min(max(level + clip * MAD_SIGMA * middle(np.abs(v - level)), 0.0), 1.0)
+        rest = max(1 - shadow, 1e-12)
+        m = float(lifted(np.array([target]), middle((v[v > shadow] - shadow) / rest))[0])
+        out[good, c] = lifted(np.clip((v - shadow) / rest, 0.0, 1.0), m)
+    return out
+
+
+def stretch_images(images: DataFrame, keep: list[str], channels: str | Column = "channels", clip: float = SHADOW_CLIP, target: float = TARGET, pixels: str = "pixels") -> DataFrame:
+    """(keep, pixels): whole images, a stack for example (``as_images``), with their stretch applied for good at full size, channel by channel."""
+    return map_frames(images, keep, [pixels, channels], lambda v, n: (stretched(v.reshape(-1, n), clip, target).ravel(),), "pixels array<double>")
+
+
 def inner_bounds(width: int, height: int, a: float, b: float, tx: float, ty: float) -> tuple[int, int, int, int]:
     """(x0, y0, x1, y1), ends exclusive: a rectangle of the output in which every pixel of a moved frame comes from inside the frame; zeros if there is none.
 

@@ -13,15 +13,18 @@ from framesieve.operators.classify import quality_score
 FLIP_DEGREES, GAP_MINUTES, TURN_TOLERANCE = 90.0, 120.0, 10.0
 
 
-def assign_groups(frames: DataFrame, by: str, observed: str, rotator: str, tie: str) -> DataFrame:
+def assign_groups(frames: DataFrame, by: str, observed: str, rotator: str, tie: str, matched: str | None = None) -> DataFrame:
     """frames with ``frame_group``, from 0, within each ``by``.
 
     Frames are taken by time (unknown times first, ties by ``tie``). A frame opens a group if the camera turned
     by more than FLIP_DEGREES since the one before, or by more than TURN_TOLERANCE after a pause of more than
-    GAP_MINUTES, or if either angle is unknown. An unknown time is no pause.
+    GAP_MINUTES. Where either angle is unknown, the turn is that of column ``matched`` (see ``matched_turns``); a turn that stays
+    unknown opens a group. An unknown time is no pause.
     """
     order = W.partitionBy(by).orderBy(F.col(observed).asc_nulls_first(), tie)
     turn = F.abs(F.col(rotator) - F.lag(rotator).over(order))
+    if matched is not None:
+        turn = F.coalesce(turn, F.col(matched))
     pause = F.coalesce((F.col(observed) - F.lag(observed).over(order)) / 60.0, F.lit(0.0))
     split = F.coalesce((turn > FLIP_DEGREES) | ((pause > GAP_MINUTES) & (turn > TURN_TOLERANCE)), F.lit(True))
     first = F.row_number().over(order) == 1

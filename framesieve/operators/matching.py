@@ -81,7 +81,7 @@ def similarity_of_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def vote(transforms: DataFrame, by: list[str]) -> DataFrame:
-    """(by, vx, vy, va, votes): the bin of shift and turn that most transforms fall into; ties to the smallest bin."""
-    binned = transforms.groupBy(*by, F.floor(F.col("tx") / VOTE_SHIFT).alias("vx"), F.floor(F.col("ty") / VOTE_SHIFT).alias("vy"), F.floor(F.col("theta") / VOTE_ANGLE).alias("va")).agg(F.count("*").alias("votes"))
+    """(by, vx, vy, va, votes): the bin of shift and turn, rounded, that most transforms fall into; ties to the smallest bin."""
+    binned = transforms.groupBy(*by, *(F.round(F.col(c) / size).cast("long").alias(v) for c, size, v in (("tx", VOTE_SHIFT, "vx"), ("ty", VOTE_SHIFT, "vy"), ("theta", VOTE_ANGLE, "va")))).agg(F.count("*").alias("votes"))
     best = binned.groupBy(*by).agg(F.min(F.struct(-F.col("votes"), "vx", "vy", "va", "votes")).alias("b"))
     return best.select(*by, "b.vx", "b.vy", "b.va", "b.votes")

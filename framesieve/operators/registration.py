@@ -5,16 +5,20 @@ A pair of frames is one row or one small group, so pairs are the unit of work an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framesieve.functions.geometry import compose, transform
 from framesieve.functions.keywords import same_filter
-from framesieve.operators.frames import map_frames, resample_frames, with_inner_bounds
-from framesieve.operators.stacking import clipped_mean, long_form, over_background, overlap
+from framesieve.operators.frames import map_frames, resample_frames, resample_planes, with_inner_bounds
+from framesieve.operators.matching import LEAST_SIDE, RATIO_TOLERANCE, VOTE_ANGLE, VOTE_SHIFT
+from framesieve.operators.stacking import clipped_mean, clipped_mean_rgb, long_form, long_planes, over_background, overlap
 from framesieve.operators.stars import clipped_background
 
 #: Longest side of the images that are correlated; radius, least matches, inlier distance, least inliers, trials, largest turn and shift.
@@ -23,6 +27,10 @@ MATCH_RADIUS, LEAST_MATCHES, INLIER, LEAST_INLIERS, TRIALS, MOST_TURN, MOST_SHIF
 #: The linear congruential generator that picks trial pairs.
 SEED, TIMES, PLUS = 0x12345678, 6364136223846793005, 1442695040888963407
 
+#: Brightest stars that make triangles, distance and number of inliers of a triangle match; distance, least stars and largest mean residual
+#: at which a group's transform is believed.
+TRIANGLE_STARS, TRIANGLE_INLIER, TRIANGLE_INLIERS, VERIFY_RADIUS, VERIFY_STARS, VERIFY_RESIDUAL = 30, 3.0, 6, 10.0, 10, 2.0
+
 
 def _reduced(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means of blocks, non-finite samples left out."""
@@ -134,6 +142,67 @@ def robust_similarity(stars: np.ndarray, references: np.ndarray, dx: float, dy:
     return a, b, tx - (a * dx - b * dy), ty - (b * dx + a * dy), int(best.sum())
 
 
+def _corners(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All triangles with sides of LEAST_SIDE or more: corners (their opposite sides descending), the two lesser sides over the greatest, and handedness."""
+    corners = np.array(list(combinations(range(len(points)), 3)), int).reshape(-1, 3)
+    at = points[corners]
+    opposite = np.abs((at[:, [1, 2, 0]] - at[:, [2, 0, 1]]) @ [1, 1j])
+    order = np.argsort(-opposite, axis=1, kind="stable")
+    corners, side = np.take_along_axis(corners, order, 1), np.take_along_axis(opposite, order, 1)
+    wide = side[:, 2] >= LEAST_SIDE
+    corners, side = corners[wide], side[wide]
+    p, q, r = points[corners].transpose(1, 0, 2)
+    hand = (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]) >= 0
+    return corners, side[:, 1:] / side[:, :1], hand
+
+
+def triangle_similarity(stars: np.ndarray, references: np.ndarray) -> tuple[float, float, float, float, int] | None:
+    """(a, b, tx, ty, inliers) by triangles of the first TRIANGLE_STARS stars of each, brightest first, or None. Any turn and shift is found.
+
+    Triangles of equal handedness and like side ratios give a transform each, by the ends of their longest sides; ends nearer than 10 pixels and
+    scales off by more than 5 % (squared) are left out. Transforms vote by shift and turn; the mean of the fullest bin, the least of equal
+    ones, picks the matches that the result is fitted to.
+    """
+    (own, ratios, hand), (theirs, wanted, other) = (_corners(p[:TRIANGLE_STARS]) for p in (stars, references))
+    order = np.argsort(wanted[:, 0], kind="stable")
+    theirs, wanted, other = theirs[order], wanted[order], other[order]
+    low = np.searchsorted(wanted[:, 0], ratios[:, 0] - RATIO_TOLERANCE)
+    count = np.searchsorted(wanted[:, 0], ratios[:, 0] + RATIO_TOLERANCE, "right") - low
+    i = np.repeat(np.arange(len(own)), count)
+    j = np.arange(len(i)) + np.repeat(low - np.cumsum(count) + count, count)
+    alike = (hand[i] == other[j]) & (((ratios[i] - wanted[j]) ** 2).sum(axis=1) <= RATIO_TOLERANCE**2)
+    f, r = (points[corners[at[alike], 1:]] @ [1, 1j] for points, corners, at in ((stars, own, i), (references, theirs, j)))
+    far = np.abs(f[:, 0] - f[:, 1]) >= 10
+    f, r = f[far], r[far]
+    turn = (r[:, 0] - r[:, 1]) / (f[:, 0] - f[:, 1])
+    rigid = np.abs(np.abs(turn) ** 2 - 1) <= 0.05
+    turn, shift = turn[rigid], (r[:, 0] - turn * f[:, 0])[rigid]
+    if not len(turn):
+        return None
+    bins = np.stack([shift.real / VOTE_SHIFT, shift.imag / VOTE_SHIFT, np.angle(turn) / VOTE_ANGLE], axis=1)
+    bins = np.trunc(bins + np.copysign(0.5, bins))
+    _, place, votes = np.unique(bins, axis=0, return_inverse=True, return_counts=True)
+    chosen = place.ravel() == votes.argmax()
+    turn, shift = turn[chosen].mean(), shift[chosen].mean()
+    moved = stars @ [1, 1j] * turn + shift
+    pairs = np.array(pick_one_to_one(np.stack([moved.real, moved.imag], axis=1), references, TRIANGLE_INLIER), int).reshape(-1, 2)
+    if len(pairs) < TRIANGLE_INLIERS:
+        return None
+    fitted = fit_similarity(stars[pairs[:, 0]], references[pairs[:, 1]]) or (turn.real, turn.imag, shift.real, shift.imag)
+    return *map(float, fitted), len(pairs)
+
+
+def residual(stars: np.ndarray, references: np.ndarray, a: float, b: float, tx: float, ty: float) -> tuple[int, float | None]:
+    """(stars that come nearer than VERIFY_RADIUS to a reference, their mean distance)."""
+    if not len(stars) or not len(references):
+        return 0, None
+    moved = stars @ [1, 1j] * (a + 1j * b) + (tx + 1j * ty)
+    there = references @ [1, 1j]
+    distance = np.concatenate([np.abs(moved[k : k + 256, None] - there).min(axis=1) for k in range(0, len(moved), 256)])
+    near = distance[distance < VERIFY_RADIUS]
+    return len(near), float(near.mean()) if len(near) else None
+
+
 def one_to_one(stars: DataFrame, references: DataFrame, by: str, radius: float = MATCH_RADIUS) -> DataFrame:
     """(by, star_id, ref_id): stars in the order of star_id take the nearest free reference. A group holds the stars of one pair of frames."""
 
@@ -149,14 +218,45 @@ def estimate_transforms(stars: DataFrame, references: DataFrame, shifts: DataFra
     """(by, a, b, tx, ty, inliers) of every pair of frames that can be registered; shifts: by, dx, dy (a missing one is 0)."""
     moved = stars.join(shifts.select(by, "dx", "dy"), by, "left").fillna(0.0, ["dx", "dy"])
 
+    def solved(left: pd.DataFrame, right: pd.DataFrame) -> tuple | None:
+        return robust_similarity(_places(left), _places(right), left["dx"].iloc[0], left["dy"].iloc[0])
+
+    return _solve_pairs(moved, references, by, solved, "a double, b double, tx double, ty double, inliers int")
+
+
+def _places(stars: pd.DataFrame) -> np.ndarray:
+    return stars[["x", "y"]].to_numpy(float)
+
+
+def _solve_pairs(stars: DataFrame, references: DataFrame, by: str, solve: Callable[[pd.DataFrame, pd.DataFrame], tuple | None], added: str) -> DataFrame:
+    """(by, added): what ``solve`` finds from the stars of each pair of frames, in the order of star_id; pairs without stars on a side, or for which it finds nothing, have no row."""
+    names = [by, *(c.split()[0] for c in added.split(", "))]
+
     def solved(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = None
-        if len(left) and len(right):
-            left, right = left.sort_values("star_id"), right.sort_values("star_id")
-            found = robust_similarity(left[["x", "y"]].to_numpy(float), right[["x", "y"]].to_numpy(float), left["dx"].iloc[0], left["dy"].iloc[0])
-        return pd.DataFrame([(key[0], *found)] if found else [], columns=[by, "a", "b", "tx", "ty", "inliers"])
+        found = solve(left.sort_values("star_id"), right.sort_values("star_id")) if len(left) and len(right) else None
+        return pd.DataFrame([(key[0], *found)] if found else [], columns=names)
+
+    return stars.groupBy(by).cogroup(references.groupBy(by)).applyInPandas(solved, f"{by} long, {added}")
+
+
+def triangle_transforms(stars: DataFrame, references: DataFrame, by: str) -> DataFrame:
+    """(by, a, b, tx, ty, inliers) of every pair of frames that triangles register; star_id counts from the brightest star, as ``detect_stars`` does."""
+    return _solve_pairs(stars, references, by, lambda left, right: triangle_similarity(_places(left), _places(right)), "a double, b double, tx double, ty double, inliers int")
+
 
-    return moved.groupBy(by).cogroup(references.groupBy(by)).applyInPandas(solved, f"{by} long, a double, b double, tx double, ty double, inliers int")
+def matched_turns(frames: DataFrame, stars: DataFrame, by: str, key: str, observed: str, rotator: str) -> DataFrame:
+    """(by, key, matched_turn): degrees by which a frame is turned against the one before it, by their stars, where either rotator angle is unknown.
+
+    stars: by, key, star_id, x, y. A frame that cannot be matched has no row. Give ``matched_turn`` to ``assign_groups``.
+    """
+    order = W.partitionBy(by).orderBy(F.col(observed).asc_nulls_first(), key)
+    places = frames.select(by, key, rotator, F.lag(key).over(order).alias("_before"), F.lag(rotator).over(order).alias("_angle"))
+    unknown = places.where(F.col("_before").isNotNull() & (F.col(rotator).isNull() | F.col("_angle").isNull()))
+    pairs = unknown.select(by, key, "_before").withColumn("pair", F.xxhash64(by, key))
+    left = pairs.join(stars, [by, key]).select("pair", "star_id", "x", "y").toDF("pair", "star_id", "x", "y")
+    right = pairs.select(by, "pair", F.col("_before").alias(key)).join(stars, [by, key]).select("pair", "star_id", "x", "y").toDF("pair", "star_id", "x", "y")
+    found = triangle_transforms(left, right, "pair")
+    return pairs.join(found, "pair").select(by, key, F.abs(F.degrees(F.atan2("b", "a"))).alias("matched_turn"))
 
 
 #: Fixed value: turns from which a frame is read through its transform; below, it is only shifted.
@@ -166,13 +266,15 @@ LEAST_TURN = 0.001
 def contributions(frames: DataFrame, references: DataFrame, by: str, key: str, width: int, height: int, stars: DataFrame | None = None) -> DataFrame:
     """(by, key, included, exclusion_reason, background_level, a, b, tx, ty): how each frame enters its group's stack.
 
-    frames: by, key, filter, pixels (luminance of one size); references: one key per group. A frame of another filter than its group's reference is out
-    (the reference never is; an unknown filter matches). The others are correlated with the reference and, where ``stars`` (by, key, star_id, x, y) of both allow it,
-    turned and shifted by the transform of their matched stars; else only shifted. One map finds background and shift of a frame, whose reference is
-    a broadcast-sized table of one frame for each group.
+    frames: by, key, filter, pixels (luminance of one size); references: one key per group and, where it is not the reference's own, the
+    ``wanted_filter``. A frame of another filter is out (FilterMismatch; the reference never is, an unknown filter matches). The others are correlated
+    with the reference. With ``stars`` (by, key, star_id, x, y) they are turned and shifted by the transform of their matched stars, and a frame whose
+    stars do not confirm one is out (AlignmentFailed); without, they are only shifted. One map finds background and shift of a frame, whose
+    reference is a broadcast-sized table of one frame for each group.
     """
-    own = references.select(by, F.col(key).alias("reference"))
-    chosen = frames.join(own, [by]).where(F.col(key) == F.col("reference")).select(by, "reference", F.col("filter").alias("wanted"), F.col("pixels").alias("base"))
+    own = references.select(by, F.col(key).alias("reference"), *(["wanted_filter"] if "wanted_filter" in references.columns else []))
+    chosen = frames.join(own, [by]).where(F.col(key) == F.col("reference"))
+    chosen = chosen.select(by, "reference", F.col("wanted_filter" if "wanted_filter" in own.columns else "filter").alias("wanted"), F.col("pixels").alias("base"))
     paired = frames.join(chosen, by)
 
     def measured(target: np.ndarray, base: np.ndarray) -> tuple:
@@ -181,7 +283,6 @@ def contributions(frames: DataFrame, references: DataFrame, by: str, key: str, w
 
     wanted = same_filter(F.col("wanted"), F.col("filter")) | (F.col(key) == F.col("reference"))
     marked = map_frames(paired.withColumn("in", wanted), [by, key, "in", "reference"], ["pixels", "base"], measured, "background_level double, dx double, dy double")
-    solved = None
     if stars is not None:
         theirs = stars.join(own, by).where(F.col(key) == F.col("reference"))
         pairs = marked.select(by, key, "dx", "dy").withColumn("pair", F.xxhash64(by, key))
@@ -189,30 +290,79 @@ def contributions(frames: DataFrame, references: DataFrame, by: str, key: str, w
         right = theirs.select(by, "star_id", "x", "y").join(pairs.select(by, "pair"), by).select("pair", "star_id", "x", "y")
         left, right = (df.toDF("pair", "star_id", "x", "y") for df in (left, right))  # columns of their own, for the grouping of both
         found = estimate_transforms(left, right, pairs.select("pair", "dx", "dy"), "pair")
-        solved = pairs.select(by, key, "pair").join(found, "pair").select(by, key, "a", "b", "tx", "ty")
-        marked = marked.join(solved, [by, key], "left")
+        marked = marked.join(pairs.select(by, key, "pair").join(found, "pair").select(by, key, "a", "b", "tx", "ty"), [by, key], "left")
     else:
-        marked = marked.withColumns({c: F.lit(None).cast("double") for c in ("a", "b", "tx", "ty")})
-    turned = (F.abs(F.atan2("b", "a")) >= LEAST_TURN) | (F.col("a") < 0.5)
-    known = F.col("a").isNotNull()
-    shift = {"a": F.when(known & turned, F.col("a")).otherwise(1.0), "b": F.when(known & turned, F.col("b")).otherwise(0.0)}
-    shift |= {c: F.coalesce(c, -F.col(d)) for c, d in (("tx", "dx"), ("ty", "dy"))}
+        marked = marked.withColumns({"a": F.lit(1.0), "b": F.lit(0.0), "tx": -F.col("dx"), "ty": -F.col("dy")})
     still = F.col(key) == F.col("reference")
-    transform = {c: F.when(still, F.lit(1.0 if c == "a" else 0.0)).otherwise(v) for c, v in shift.items()}
-    reason = F.when(~F.col("in"), "FilterMismatch")
-    return marked.select(by, key, F.col("in").alias("included"), reason.alias("exclusion_reason"), "background_level", *(v.alias(c) for c, v in transform.items()))
+    reason = F.when(~F.col("in"), "FilterMismatch").when(~still & F.col("a").isNull(), "AlignmentFailed")
+    return marked.select(
+        by, key, reason.isNull().alias("included"), reason.alias("exclusion_reason"), "background_level", *(F.when(still, 1.0 if c == "a" else 0.0).otherwise(F.col(c)).alias(c) for c in ("a", "b", "tx", "ty"))
+    )
+
 
+def cross_transforms(frames: DataFrame, stars: DataFrame, references: DataFrame, masters: DataFrame, by: str, group: str, key: str, width: int, height: int) -> DataFrame:
+    """(by, group, a, b, tx, ty, matched, mean_residual, solved): each group's transform onto its session's master group.
 
-def stack_frames(frames: DataFrame, contributed: DataFrame, by: str, key: str, width: int, height: int, crop: bool = True) -> DataFrame:
+    frames: group, key, pixels; stars: group, key, star_id, x, y; references: by, group, key (one frame a group); masters: by, group; ids of groups
+    are unlike in all sessions. Triangles of the two references' stars give the transform, else their phase correlation a shift. It is
+    believed if VERIFY_STARS stars or more come nearer than VERIFY_RADIUS pixels to one of the master's, and VERIFY_RESIDUAL at most on average.
+    """
+    chief = masters.select(by, F.col(group).alias("_master"))
+    rows = references.select(by, group, key).join(chief, by)
+    picked = frames.join(references.select(group, key), [group, key]).select(group, F.col("pixels").alias("target"))
+    base = picked.select(F.col(group).alias("_master"), F.col("target").alias("base"))
+
+    def shifted(target: np.ndarray, base: np.ndarray) -> tuple:
+        return correlate(base.reshape(height, width), target.reshape(height, width))
+
+    moved = map_frames(rows.where(F.col(group) != F.col("_master")).join(picked, group).join(base, "_master"), [by, group, "_master"], ["target", "base"], shifted, "dx double, dy double")
+    pairs = moved.withColumn("pair", F.xxhash64(group))
+    own = stars.join(references.select(group, key), [group, key]).select(group, "star_id", "x", "y")
+    left = own.join(pairs.select(group, "pair", "dx", "dy"), group).select("pair", "star_id", "x", "y", "dx", "dy").toDF("pair", "star_id", "x", "y", "dx", "dy")
+    right = own.withColumnRenamed(group, "_master").join(pairs.select("_master", "pair"), "_master").select("pair", "star_id", "x", "y").toDF("pair", "star_id", "x", "y")
+
+    def solved(mine: pd.DataFrame, other: pd.DataFrame) -> tuple:
+        f, r = _places(mine), _places(other)
+        found = triangle_similarity(f, r)
+        how = found[:4] if found else (1.0, 0.0, -mine["dx"].iloc[0], -mine["dy"].iloc[0])
+        return *how, *residual(f, r, *how)
+
+    found = _solve_pairs(left, right, "pair", solved, "a double, b double, tx double, ty double, matched int, mean_residual double")
+    sure = F.coalesce((F.col("matched") >= VERIFY_STARS) & (F.col("mean_residual") <= VERIFY_RESIDUAL), F.lit(False))
+    others = pairs.select(by, group, "pair").join(found, "pair", "left").withColumn("solved", sure)
+    columns = [by, group, "a", "b", "tx", "ty", "matched", "mean_residual", "solved"]
+    none = {"matched": F.lit(None).cast("int"), "mean_residual": F.lit(None).cast("double"), "solved": F.lit(True)}
+    same = rows.where(F.col(group) == F.col("_master")).withColumns({"a": F.lit(1.0), "b": F.lit(0.0), "tx": F.lit(0.0), "ty": F.lit(0.0)} | none)
+    return others.select(*columns).unionByName(same.select(*columns))
+
+
+def across_groups(contributed: DataFrame, crossed: DataFrame, by: str, group: str, key: str) -> DataFrame:
+    """``contributions`` of groups as those of their sessions: each frame's transform, then its group's (``cross_transforms``). Frames of groups
+    without a believed one are out (CrossGroupFailed)."""
+    outer = crossed.select(by, group, F.struct("a", "b", "tx", "ty").alias("_outer"), F.col("solved").alias("_solved"))
+    both = compose(F.col("_outer"), transform(*(F.col(c) for c in ("a", "b", "tx", "ty"))))
+    joined = contributed.join(outer, group).withColumn("_both", both)
+    reason = F.when(~F.col("_solved"), "CrossGroupFailed").otherwise(F.col("exclusion_reason"))
+    return joined.select(by, group, key, (F.col("included") & F.col("_solved")).alias("included"), reason.alias("exclusion_reason"), "background_level", "_both.*")
+
+
+def stack_frames(frames: DataFrame, contributed: DataFrame, by: str, key: str, width: int, height: int, crop: bool = True, channels: int = 1) -> DataFrame:
     """(by, x, y, n, kept, stacked): the included frames of a group over their backgrounds, moved onto the reference and combined by a clipped mean.
 
-    contributed: as ``contributions`` gives it. With ``crop`` only the rectangle stays that every frame covers with pixels of its own. Moving is one
-    map per frame; only the mean by pixel shuffles, aggregated before it does.
+    contributed: as ``contributions`` or ``across_groups`` gives it. Frames of three channels (interleaved) give (by, x, y, kept, r, g, b). Transforms
+    that turn by less than LEAST_TURN only shift. With ``crop`` only the rectangle stays that every frame covers with pixels of its own. Moving is
+    one map per frame; only the mean by pixel shuffles, aggregated before it does.
     """
-    used = contributed.where("included").select(by, key, "background_level", "a", "b", "tx", "ty")
-    level = frames.join(used, [by, key]).withColumn("pixels", over_background(F.col("pixels"), F.col("background_level")))
-    placed = resample_frames(level, [by, key], ["a", "b", "tx", "ty"], width, height)
-    combined = clipped_mean(long_form(placed, [by], width), [by, "x", "y"])
+    turned = (F.abs(F.atan2("b", "a")) >= LEAST_TURN) | (F.col("a") < 0.5)
+    plain = {"a": F.when(turned, F.col("a")).otherwise(1.0), "b": F.when(turned, F.col("b")).otherwise(0.0)}
+    used = contributed.where("included").select(by, key, "background_level", "a", "b", "tx", "ty").withColumns(plain)
+    level = frames.select(by, key, "pixels").join(used, [by, key]).withColumn("pixels", over_background(F.col("pixels"), F.col("background_level")))
+    if channels == 3:
+        placed = resample_planes(level, [by, key], ["a", "b", "tx", "ty"], width, height)
+        combined = clipped_mean_rgb(long_planes(placed, [by], width), [by, "x", "y"])
+    else:
+        placed = resample_frames(level, [by, key], ["a", "b", "tx", "ty"], width, height)
+        combined = clipped_mean(long_form(placed, [by], width), [by, "x", "y"])
     if not crop:
         return combined
     box = overlap(with_inner_bounds(used, [by], width, height), by)

@@ -116,3 +116,16 @@ def long_form(frames: DataFrame, keep: list[str], width: int, pixels: str = "pix
     """(keep, x, y, v): one row a pixel."""
     long = frames.select(*keep, F.posexplode(pixels).alias("i", "v"))
     return long.select(*keep, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "v")
+
+
+def long_planes(frames: DataFrame, keep: list[str], width: int) -> DataFrame:
+    """(keep, x, y, r, g, b): one row a pixel of frames with a column for each plane."""
+    long = frames.select(*keep, F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "p"))
+    return long.select(*keep, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "p.r", "p.g", "p.b")
+
+
+def as_images(stacked: DataFrame, by: str, values: list[str]) -> DataFrame:
+    """(by, width, height, channels, pixels): each group's pixels, a whole rectangle in long form, as one image; its values interleaved. One image is one row, as everywhere."""
+    samples = F.array(*(F.col(v).cast("double") for v in values))
+    rows = stacked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("y", "x", samples.alias("v")))).alias("s"), *((F.max(c) - F.min(c) + 1).cast("int").alias(n) for c, n in (("x", "width"), ("y", "height"))))
+    return rows.select(by, "width", "height", F.lit(len(values)).alias("channels"), F.flatten("s.v").alias("pixels"))

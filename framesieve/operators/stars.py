@@ -187,3 +187,78 @@ def detect_stars(frames: DataFrame) -> DataFrame:
                 yield stars
 
     return frames.select(F.col("frame").cast("string"), "width", "height", "luma").mapInPandas(found, STAR_SCHEMA)
+
+
+#: Fixed values of a star's profile: its exponent, most steps, first damping, least step, bounds of its half axes, least ratio of them, largest residual over the amplitude.
+EXPONENT, STEPS, DAMPING, LEAST_STEP, LEAST_AXIS, MOST_AXIS, LEAST_RATIO, MOST_RESIDUAL = 4.765, 50, 1e-3, 1e-5, 0.5, 30.0, 0.2, 0.3
+PROFILE_SCHEMA = "frame string, star_id int, amplitude double, cx double, cy double, major double, minor double, residual double, signal_weight double"
+
+
+def fit_profile(patch: np.ndarray, cx: float, cy: float) -> tuple[float, ...] | None:
+    """(amplitude, cx, cy, major, minor, residual, signal weight) of a star, or None where no sound profile fits.
+
+    patch: samples over the background; cx, cy: where the star is in it. The profile is
+    amplitude * (1 + ((x - cx) / a)^2 + ((y - cy) / b)^2)^-EXPONENT over the mean of the patch's border, fitted by damped least squares.
+    The signal weight is amplitude^2 / (amplitude + border * pi * a * b).
+    """
+    high, wide = patch.shape
+    if min(high, wide) < 3:
+        return None
+    y, x = (v.ravel() for v in np.mgrid[:high, :wide])
+    rim = (x == 0) | (y == 0) | (x == wide - 1) | (y == high - 1)
+    values = patch.ravel().astype(float)
+    border = values[rim].mean()
+    axis = min(max(min(high, wide) / 4, LEAST_AXIS), MOST_AXIS)
+
+    def off(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the profile misses, and its slope by each parameter."""
+        dx, dy = (x - p[1]) / p[3], (y - p[2]) / p[4]
+        base = 1 + dx * dx + dy * dy
+        shape = base**-EXPONENT
+        steep = 2 * EXPONENT * p[0] * shape / base
+        slopes = np.stack([shape, steep * dx / p[3], steep * dy / p[4], steep * dx * dx / p[3], steep * dy * dy / p[4]])
+        return values - border - p[0] * shape, slopes
+
+    best = np.array([max(values.max() - border, 1e-6), cx, cy, axis, axis])
+    missed, slopes = off(best)
+    damping = DAMPING
+    for _ in range(STEPS):
+        normal = slopes @ slopes.T
+        step = np.linalg.lstsq(normal + damping * np.diag(np.diag(normal)), slopes @ missed, rcond=None)[0]
+        tried = best + step
+        tried[0], tried[3:] = max(tried[0], 1e-6), np.clip(tried[3:], LEAST_AXIS, MOST_AXIS)
+        now = off(tried)
+        if (now[0] ** 2).sum() < (missed**2).sum():
+            best, (missed, slopes), damping = tried, now, damping / 10
+            if np.linalg.norm(step) < LEAST_STEP:
+                break
+        else:
+            damping *= 10
+            if damping > 1e8:
+                break  # no step is better: best is a minimum
+    minor, major = sorted(best[3:])
+    left = float(np.sqrt((missed**2).mean()) / best[0])
+    if minor / major < LEAST_RATIO or not left <= MOST_RESIDUAL:
+        return None
+    return *(float(v) for v in (*best[:3], major, minor)), left, float(best[0] ** 2 / (best[0] + border * np.pi * major * minor))
+
+
+def star_profiles(frames: DataFrame) -> DataFrame:
+    """Profiles of the stars of frames (frame, width, height, luma array<double>): PROFILE_SCHEMA; stars as ``detect_stars`` finds and numbers them.
+
+    A star that no sound profile fits has no row.
+    """
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for frame, width, height, luma in zip(batch["frame"], batch["width"], batch["height"], batch["luma"], strict=True):
+                image = np.asarray(luma, float).reshape(height, width)
+                above = np.maximum(image - clipped_background(image.ravel()[::4])[0], 0)
+                for s in star_table(image).itertuples():
+                    found = fit_profile(above[s.y0 : s.y1 + 1, s.x0 : s.x1 + 1], s.cx - s.x0, s.cy - s.y0)
+                    if found:
+                        rows.append((frame, s.star_id, found[0], found[1] + s.x0, found[2] + s.y0, *found[3:]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROFILE_SCHEMA.split(", ")])
+
+    return frames.select(F.col("frame").cast("string"), "width", "height", "luma").mapInPandas(fitted, PROFILE_SCHEMA)

@@ -183,7 +183,7 @@ def q_affine_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""{_SOLVED}, v AS (SELECT event_id % 20 AS grp, floor(tx / 3)::BIGINT AS vx, floor(ty / 3)::BIGINT AS vy, floor(atan2(b, a) / 0.005)::BIGINT AS va, count(*) AS votes FROM t GROUP BY ALL)
+@query(f"""{_SOLVED}, v AS (SELECT event_id % 20 AS grp, round(tx / 3)::BIGINT AS vx, round(ty / 3)::BIGINT AS vy, round(atan2(b, a) / 0.005)::BIGINT AS va, count(*) AS votes FROM t GROUP BY ALL)
 SELECT grp, vx, vy, va, votes FROM v QUALIFY row_number() OVER (PARTITION BY grp ORDER BY votes DESC, vx, vy, va) = 1""")
 def q_transform_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _solved(spark, sf_dir).select((F.col("event_id") % 20).alias("grp"), F.col("t.tx").alias("tx"), F.col("t.ty").alias("ty"), GE.angle(F.col("t")).alias("theta"))

@@ -142,3 +142,22 @@ def test_heat_map(spark):
     assert grids == {"many": (7, False), "few": (5, True)} and len(cells) == 49 + 25
     many = [r for r in cells if r.frame == "many"]
     assert min(r.level for r in many) == 0 and max(r.level for r in many) == 10 and all(r.level == 0 for r in cells if r.frame == "few")
+
+
+def test_stretch_of_whole_images(spark):
+    from framesieve.operators.stacking import as_images
+
+    rng = np.random.default_rng(4)
+    v = np.clip(rng.normal(0.1, 0.03, (12, 10, 3)), 0, 1)
+    v[..., 1] = 0.25  # a flat channel
+    long = spark.createDataFrame([("k", x, y, *map(float, v[y, x])) for y in range(12) for x in range(10)], "grp string, x int, y int, r double, g double, b double").repartition(4)
+    images = as_images(long, "grp", ["r", "g", "b"])
+    row = images.first()
+    assert (row.width, row.height, row.channels) == (10, 12, 3) and np.array_equal(np.array(row.pixels).reshape(12, 10, 3), v)
+    out = np.array(FR.stretch_images(images, ["grp", "width", "height", "channels"]).first().pixels).reshape(-1, 3)
+    for c in range(3):  # the form on higher-order functions gives the same
+        one = spark.createDataFrame([(v[..., c].ravel().tolist(),)], "p array<double>")
+        assert np.allclose(one.select(A.stretch(F.col("p"), A.stretch_parameters(F.col("p")))).first()[0], out[:, c], atol=1e-9)
+    holes = FR.stretched(np.array([[0.1], [np.nan], [0.2], [0.4], [np.inf]]))
+    assert np.isnan(holes[1, 0]) and np.isinf(holes[4, 0]) and ((holes[[0, 2, 3], 0] >= 0) & (holes[[0, 2, 3], 0] <= 1)).all()
+    assert np.isnan(FR.stretched(np.full((3, 1), np.nan))).all() and np.isfinite(FR.stretched(np.ones((3, 1)))).all()

@@ -76,3 +76,104 @@ def test_turned_frames_are_stacked_turned(spark):
 
 def test_queries_give_rows(spark, sf):
     assert QUERIES["q_phase_shift"](spark, sf).count() == 250 and QUERIES["q_stack_frames"](spark, sf).count() == 640 and QUERIES["q_contributions"](spark, sf).count() == 500
+
+
+def turned_by(points, angle, tx, ty, scale=1.0):
+    a, b = scale * np.cos(angle), scale * np.sin(angle)
+    return np.stack([a * points[:, 0] - b * points[:, 1] + tx, b * points[:, 0] + a * points[:, 1] + ty], axis=1)
+
+
+def back(points, angle, tx, ty):
+    """Where turned_by(., angle, tx, ty) came from."""
+    return turned_by(points - (tx, ty), -angle, 0, 0)
+
+
+@pytest.mark.parametrize(("angle", "tx", "ty", "scale"), [(0.0, 0, 0, 1), (0.3, 40, -25, 1), (np.pi, 900, 700, 1), (1.83, 500, 100, 1.015), (-0.004, 3, 2, 0.99)])
+def test_triangles_register_any_turn(angle, tx, ty, scale):
+    rng = np.random.default_rng(8)
+    stars = rng.uniform(0, 900, (40, 2))
+    references = turned_by(stars, angle, tx, ty, scale) + rng.normal(0, 0.1, (40, 2))
+    shuffled = np.concatenate([rng.permutation(references[3:28]), rng.uniform(0, 900, (5, 2)), references[28:]])  # other order, some lost, some new
+    a, b, x, y, inliers = R.triangle_similarity(stars, shuffled)
+    assert [a, b] == pytest.approx([scale * np.cos(angle), scale * np.sin(angle)], abs=2e-3) and [x, y] == pytest.approx([tx, ty], abs=1) and inliers >= 30
+    near, mean = R.residual(stars, shuffled, a, b, x, y)
+    assert near >= 30 and mean < 1
+
+
+def test_triangles_without_a_match():
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0, 500, (20, 2))
+    assert R.triangle_similarity(p[:2], p) is None and R.triangle_similarity(p[:0], p[:0]) is None
+    assert R.triangle_similarity(p, np.repeat(p[:1], 20, axis=0)) is None
+    assert R.triangle_similarity(p, p * (1, -1)) is None  # mirrored
+    assert R.triangle_similarity(p, p * 1.2) is None  # of another scale
+    assert R.residual(p[:0], p, 1, 0, 0, 0) == (0, None) and R.residual(p, p + 5000, 1, 0, 0, 0) == (0, None)
+
+
+def test_turns_without_a_rotator(spark):
+    from framesieve.operators.grouping import assign_groups
+
+    rng = np.random.default_rng(5)
+    sky = rng.uniform(0, 600, (25, 2))
+    angles = [0.0, 0.02, 2.5, 2.5]
+    stars = [("s", k, i, float(x), float(y)) for k, angle in enumerate(angles) for i, (x, y) in enumerate(turned_by(sky, angle, 10.0 * k, 0))]
+    stars += [("s", 4, 0, 1.0, 1.0)]  # a frame of one star
+    stars = spark.createDataFrame(stars, "session string, frame long, star_id long, x double, y double")
+    frames = spark.createDataFrame([("s", k, 60.0 * k, 5.0 if k in (2, 3) else None) for k in range(5)], "session string, frame long, t double, rotator double")
+    turns = {r.frame: r.matched_turn for r in R.matched_turns(frames, stars, "session", "frame", "t", "rotator").collect()}
+    assert turns == {1: pytest.approx(np.degrees(0.02), abs=0.01), 2: pytest.approx(np.degrees(2.48), abs=0.01)}  # 3 has angles, 4 no match
+    known = frames.join(R.matched_turns(frames, stars, "session", "frame", "t", "rotator"), ["session", "frame"], "left")
+    grouped = assign_groups(known, "session", "t", "rotator", "frame", "matched_turn")
+    assert {r.frame: r.frame_group for r in grouped.collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+
+
+def test_groups_of_other_orientation_are_stacked_together(spark):
+    rng = np.random.default_rng(12)
+    size, sky = 160, rng.uniform(15, 145, (22, 2))
+    moves = {("m", 0): (0.0, 0.0, 0.0), ("m", 1): (0.0, 2.0, -1.0), ("n", 2): (np.pi, 161.0, 158.0), ("n", 3): (np.pi, 159.0, 160.0)}
+    places = {k: turned_by(sky, *move) for k, move in moves.items()}
+    places[("o", 4)] = rng.uniform(15, 145, (22, 2))  # another sky
+    heights = rng.uniform(0.4, 0.9, len(sky))
+    images = {k: 0.05 + sum(h * spot(size, x, y, 1.6) for h, (x, y) in zip(heights, p, strict=True)) for k, p in places.items()}
+    frames = spark.createDataFrame([("s", g, k, "Ha", v.ravel().tolist()) for (g, k), v in images.items()], "session string, grp string, frame long, filter string, pixels array<double>")
+    order = np.argsort(-heights)
+    stars = spark.createDataFrame([(g, k, i, float(p[j, 0]), float(p[j, 1])) for (g, k), p in places.items() for i, j in enumerate(order)], "grp string, frame long, star_id long, x double, y double")
+    references = spark.createDataFrame([("s", "m", 0), ("s", "n", 2), ("s", "o", 4)], "session string, grp string, frame long")
+    masters = spark.createDataFrame([("s", "m")], "session string, grp string")
+    crossed = R.cross_transforms(frames, stars, references, masters, "session", "grp", "frame", size, size)
+    rows = {r.grp: r for r in crossed.collect()}
+    assert rows["m"].solved and (rows["m"].a, rows["m"].tx) == (1, 0) and not rows["o"].solved
+    assert rows["n"].solved and rows["n"].matched == 22 and rows["n"].mean_residual < 0.1 and np.cos(np.arctan2(rows["n"].b, rows["n"].a) - np.pi) > 0.9999
+    own = R.contributions(frames, references, "grp", "frame", size, size, stars)
+    into = R.across_groups(own, crossed, "session", "grp", "frame")
+    outcome = {r.frame: r for r in into.collect()}
+    assert {k: r.exclusion_reason for k, r in outcome.items()} == {0: None, 1: None, 2: None, 3: None, 4: "CrossGroupFailed"}
+    for (_, k), move in moves.items():
+        r = outcome[k]
+        there = turned_by(sky, *move)
+        assert np.abs(np.stack([r.a * there[:, 0] - r.b * there[:, 1] + r.tx, r.b * there[:, 0] + r.a * there[:, 1] + r.ty], axis=1) - sky).max() < 0.3
+    stacked = {(r.x, r.y): r for r in R.stack_frames(frames, into, "session", "frame", size, size).collect()}
+    inside = [stacked[(round(x), round(y))] for x, y in sky if (round(x), round(y)) in stacked]
+    assert len(inside) >= 18 and all(r.n == 4 and r.stacked > 4 for r in inside)
+
+
+def test_a_frame_that_its_stars_do_not_confirm_is_out(spark):
+    rng = np.random.default_rng(2)
+    sky = rng.uniform(5, 59, (12, 2))
+    image = sum(spot(64, x, y, 1.5) for x, y in sky).ravel().tolist()
+    frames = spark.createDataFrame([(0, k, None, image) for k in range(3)], "grp long, frame long, filter string, pixels array<double>")
+    stars = [(0, k, i, float(x), float(y)) for k in (0, 1) for i, (x, y) in enumerate(sky)] + [(0, 2, 0, 5.0, 5.0)]
+    rows = R.contributions(frames, frames.where("frame = 0"), "grp", "frame", 64, 64, spark.createDataFrame(stars, "grp long, frame long, star_id long, x double, y double")).collect()
+    assert {r.frame: (r.included, r.exclusion_reason) for r in rows} == {0: (True, None), 1: (True, None), 2: (False, "AlignmentFailed")}
+
+
+def test_colour_stack(spark):
+    rng = np.random.default_rng(1)
+    planes = rng.uniform(0.1, 1, (16, 16, 3))
+    shifted = np.roll(planes, (2, -3), axis=(0, 1))  # down by 2, left by 3
+    frames = spark.createDataFrame([(0, 0, planes.ravel().tolist()), (0, 1, (shifted * 2).ravel().tolist())], "grp long, frame long, pixels array<double>")
+    into = spark.createDataFrame([(0, 0, True, 1.0, 1.0, 0.0, 0.0, 0.0), (0, 1, True, 2.0, 1.0, 0.0, 3.0, -2.0)], "grp long, frame long, included boolean, background_level double, a double, b double, tx double, ty double")
+    rows = R.stack_frames(frames, into, "grp", "frame", 16, 16, channels=3).collect()
+    assert len(rows) == 13 * 14 and all(r.kept == 2 for r in rows)
+    for r in rows:
+        assert (r.r, r.g, r.b) == pytest.approx(tuple(planes[r.y, r.x]))

@@ -78,3 +78,25 @@ def test_nearest(spark):
     left = spark.createDataFrame([(0, 0, 9.9, 10.0), (0, 1, 100.0, 100.0)], schema)
     right = spark.createDataFrame([(0, 5, 10.1, 10.0), (0, 6, 12.0, 10.0)], schema)
     assert [(r.star_id, r.ref_id) for r in M.nearest(left, right, ["frame"]).collect()] == [(0, 5)]
+
+
+def profile(size, x, y, a, b, amplitude, border=0.0):
+    yy, xx = np.mgrid[:size, :size]
+    return border + amplitude * (1 + ((xx - x) / a) ** 2 + ((yy - y) / b) ** 2) ** -S.EXPONENT
+
+
+def test_profiles(spark):
+    found = S.fit_profile(profile(31, 15.3, 14.8, 4.0, 3.0, 0.7), 15, 15)
+    assert found[:5] == pytest.approx([0.7, 15.3, 14.8, 4.0, 3.0], abs=1e-3) and found[5] < 1e-4
+    assert found[6] == pytest.approx(0.7, abs=1e-3)  # no background: the weight is the amplitude
+    noisy = profile(31, 15, 15, 3.0, 5.0, 0.5) + np.random.default_rng(1).normal(0, 0.01, (31, 31))
+    assert S.fit_profile(noisy, 14, 16)[:5] == pytest.approx([0.5, 15, 15, 5.0, 3.0], rel=0.05)
+    assert S.fit_profile(np.ones((2, 9)), 1, 1) is None
+    assert S.fit_profile(profile(41, 20, 20, 25.0, 1.0, 0.5), 20, 20) is None  # a trail
+    assert S.fit_profile(np.random.default_rng(2).uniform(0, 1, (15, 15)), 7, 7) is None
+    image = 0.05 + profile(64, 20.4, 30.2, 4.0, 4.0, 0.6) + profile(64, 45.0, 40.7, 4.0, 4.0, 0.3) + np.random.default_rng(3).normal(0, 1e-3, (64, 64))
+    frames = spark.createDataFrame([("f", 64, 64, image.ravel().tolist())], "frame string, width int, height int, luma array<double>")
+    rows = sorted(S.star_profiles(frames).collect(), key=lambda r: r.star_id)
+    assert [(r.star_id, round(r.cx, 1), round(r.cy, 1)) for r in rows] == [(0, 20.4, 30.2), (1, 45.0, 40.7)]
+    assert [r.amplitude for r in rows] == pytest.approx([0.6, 0.3], rel=0.05) and [r.major for r in rows] == pytest.approx([4, 4], rel=0.1)
+    assert S.star_profiles(frames.limit(0)).collect() == []
