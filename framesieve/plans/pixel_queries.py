@@ -130,6 +130,20 @@ def q_auto_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_long(df.select("vec_id", A.stretch(F.col("pixels"), F.col("s")).alias("v")), "v"))
 
 
+_STACK_STF = f"""WITH {sql.PIXELS.replace("pixels AS", "single AS", 1)}, pixels AS (SELECT label AS vec_id, i, avg(v) AS v FROM single GROUP BY ALL){_STF.removeprefix(PX)}"""
+
+
+@query(
+    f"""{_STACK_STF}, s AS (SELECT p.vec_id, i, greatest(0, least(1, (v - shadow) / (1 - shadow))) AS x, midtone AS m FROM pixels p JOIN stf ON stf.vec_id = p.vec_id)
+SELECT vec_id AS label, i, round(CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1 WHEN m = 0.5 THEN x ELSE (m - 1) * x / ((2 * m - 1) * x - m) END, 6) AS v FROM s"""
+)
+def q_stretched_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean image of each label as one image, its stretch kept."""
+    means = pixels(spark, sf_dir).groupBy("label", "x", "y").agg(F.avg("v").alias("v"))
+    kept = FR.stretch_images(ST.as_images(means, "label", ["v"]), ["label"], F.lit(1))
+    return rounded(kept.select("label", F.posexplode("pixels").alias("i", "v")))
+
+
 @query(f"{PX} SELECT vec_id, i, floor(greatest(0, least(1, v)) * 255)::INT AS v FROM pixels")
 def q_to_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(images(spark, sf_dir).select("vec_id", A.to_byte(F.col("pixels")).alias("v")), "v")

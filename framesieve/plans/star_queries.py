@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +191,29 @@ def q_transform_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.vote(t, ["grp"])
 
 
+#: Peaks of an image twenty pixels apart, and the same turned and shifted: a transform that triangles must find.
+_TURN = (0.8, 0.6, 31.0, -17.0)
+
+
+@query(
+    f"""{_MAXIMA}, peaks AS (SELECT vec_id, count(*) AS n FROM maxima GROUP BY 1)
+SELECT vec_id, {_TURN[0]}::DOUBLE AS a, {_TURN[1]}::DOUBLE AS b, {_TURN[2]}::DOUBLE AS tx, {_TURN[3]}::DOUBLE AS ty, n::INT AS inliers FROM peaks WHERE n >= 6"""
+)
+def q_triangle_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform from each image's peaks to a turned copy of them, by triangles; images of fewer than six peaks have none."""
+    peaks = _peaks(spark, sf_dir).withColumns({c: F.col(c) * 20.0 for c in "xy"}).drop("v")
+    a, b, tx, ty = _TURN
+    copy = peaks.select("vec_id", "star_id", (a * F.col("x") - b * F.col("y") + tx).alias("x"), (b * F.col("x") + a * F.col("y") + ty).alias("y"))
+    left, right = (df.select("vec_id", "star_id", "x", "y").toDF("vec_id", "star_id", "x", "y") for df in (peaks, copy))
+    found = R.triangle_transforms(left, right, "vec_id")
+    return rounded(found)
+
+
+def q_star_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted profiles of the stars of ``q_detected_stars``."""
+    return rounded(S.star_profiles(_luma(spark, sf_dir)))
+
+
 def q_phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shift of every odd image against the even one before it."""
     df = images(spark, sf_dir).withColumn("pair", F.floor(F.col("vec_id") / 2))
@@ -222,7 +246,7 @@ def q_stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 64 embeddings as the rows of an image of 64 by 64 samples, a colour mosaic for every second image; rows that lack are grey."""
+    """Every 64 embeddings as the rows of an image of 64 by 64 samples with stars in it (``sky``), a colour mosaic for every second image; rows that lack are grey."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = table.groupBy(F.floor(F.col("vec_id") / 64).alias("frame_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("vec_id") % 64).alias("y"), "embedding"))).alias("rows"))  # 64 rows a group
     flat = F.flatten(F.transform(F.col("rows"), lambda r: F.transform(r["embedding"], lambda e: ((e + 1) / 2).cast("float"))))
@@ -230,22 +254,44 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     mosaic = F.col("frame_id") % 2 == 1
     keywords = F.when(mosaic, F.create_map(F.lit("BAYERPAT"), F.struct(F.lit("RGGB").alias("value"), F.lit(None).cast("string").alias("comment")))).otherwise(F.create_map().cast("map<string, struct<value: string, comment: string>>"))
     side = {c: F.lit(64) for c in ("width", "height")}
-    return rows.select("frame_id", F.concat(F.lit("night "), (F.col("frame_id") % 2).cast("string")).alias("session"), filled.alias("pixels"), keywords.alias("keywords")).withColumns(
+    tiles = rows.select("frame_id", F.concat(F.lit("night "), (F.col("frame_id") % 2).cast("string")).alias("session"), filled.alias("tile"), keywords.alias("keywords"))
+    skies = FR.map_frames(tiles, tiles.drop("tile").columns, ["tile"], lambda v: (sky(v.reshape(64, 64).astype(float)).astype(np.float32).ravel(),), "pixels array<float>")
+    return skies.withColumns(
         side | {"channels": F.lit(1), "bit_depth": F.lit("f32"), "color_space": F.when(mosaic, "Bayer").otherwise("Mono"), "path": F.col("frame_id").cast("string"), "error": F.lit(None).cast("string")}
     )
 
 
+def star_places(tile: np.ndarray) -> list[tuple[int, int, float]]:
+    """(x, y, amplitude) of the stars of a tile: the largest sample of each of nine squares of 16 by 16, which is the star's brightness too."""
+    places = []
+    for top in (4, 24, 44):
+        for left in (4, 24, 44):
+            square = tile[top : top + 16, left : left + 16]
+            j, i = divmod(int(square.argmax()), 16)
+            places.append((left + i, top + j, min(max(1.2 * (2 * square.max() - 1), 0.05), 0.8)))
+    return places
+
+
+def sky(tile: np.ndarray) -> np.ndarray:
+    """Stars at a tile's places over a background that its samples ripple; how wide they are is told by its first sample."""
+    y, x = np.mgrid[: tile.shape[0], : tile.shape[1]]
+    return 0.05 + 0.004 * (tile - 0.5) + sum(v * (1 + ((x - i) ** 2 + (y - j) ** 2) / (2 + 2 * tile[0, 0]) ** 2) ** -S.EXPONENT for i, j, v in star_places(tile))
+
+
 def q_analyze_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From images to verdicts: luminance, background, stars, medians, two-pass statistics, classes, reference frames."""
     out = FR.analyze_images(_tiles(spark, sf_dir), "session", "frame_id")
     return rounded(out.withColumn("triggered_by", F.array_join("triggered_by", ",")))
 
 
+def _luma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FR.load(_tiles(spark, sf_dir), "luma", ["frame_id", "width", "height"]).select(F.col("frame_id").alias("frame"), "width", "height", F.col("loaded").alias("luma"))
+
+
 def q_detected_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stars of the images of ``q_analyze_images`` with their overlay circles' radius."""
-    luma = FR.load(_tiles(spark, sf_dir), "luma", ["frame_id", "width", "height"]).select(F.col("frame_id").alias("frame"), "width", "height", F.col("loaded").alias("luma"))
-    return rounded(S.detect_stars(luma).withColumn("r", F.col("fwhm") / 2))
+    return rounded(S.detect_stars(_luma(spark, sf_dir)).withColumn("r", F.col("fwhm") / 2))
 
 
 #: Walks over whole images or over matches in order, which SQL cannot say; tests hold them against known shifts and loops.
-QUERIES |= {f.__name__: f for f in (q_phase_shift, q_one_to_one, q_contributions, q_stack_frames, q_analyze_images, q_detected_stars)}
+QUERIES |= {f.__name__: f for f in (q_phase_shift, q_one_to_one, q_contributions, q_stack_frames, q_analyze_images, q_detected_stars, q_star_profiles)}

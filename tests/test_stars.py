@@ -100,3 +100,22 @@ def test_profiles(spark):
     assert [(r.star_id, round(r.cx, 1), round(r.cy, 1)) for r in rows] == [(0, 20.4, 30.2), (1, 45.0, 40.7)]
     assert [r.amplitude for r in rows] == pytest.approx([0.6, 0.3], rel=0.05) and [r.major for r in rows] == pytest.approx([4, 4], rel=0.1)
     assert S.star_profiles(frames.limit(0)).collect() == []
+
+
+def test_stars_of_the_tables_are_found(spark, sf):
+    from framesieve.plans.star_queries import QUERIES, star_places
+
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    tiles = {}
+    for k in range(-(-len(table) // 64)):
+        tile = np.full(4096, 0.5)
+        rows = np.array([(np.array(r.embedding, float) + 1) / 2 for r in table[64 * k : 64 * k + 64]]).astype(np.float32)
+        tile[: rows.size] = rows.ravel()
+        tiles[str(k)] = star_places(tile.reshape(64, 64))
+    for name, x, y in (("q_detected_stars", "cx", "cy"), ("q_star_profiles", "cx", "cy")):
+        found = QUERIES[name](spark, sf).collect()
+        assert len(found) >= 6 * len(tiles) and {r.frame for r in found} == tiles.keys()
+        near = [min(np.hypot(r[x] - i, r[y] - j) for i, j, _ in tiles[r.frame]) for r in found]
+        assert np.quantile(near, 0.8) < 0.5
+    analysed = QUERIES["q_analyze_images"](spark, sf).collect()
+    assert len(analysed) == len(tiles) and all(r.star_count > 0 and r.fwhm is not None for r in analysed)
