@@ -14,6 +14,7 @@ from framesieve.llm.substring_dedup import ORACLE as REPEATS_SQL
 from framesieve.llm.substring_dedup import op4_substring_dedup
 from framesieve.llm.threshold_topk import ORACLE as TOPK_SQL
 from framesieve.llm.threshold_topk import op9_threshold_topk
+from framesieve.llm.token_alignment import op11_token_alignment
 from framesieve.llm.token_counts import op2_token_counts
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_bloom_lm": op8_bloom_lm,
     "op9_threshold_topk": op9_threshold_topk,
     "op10_mixing": op10_mixing,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
