@@ -140,12 +140,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start and end byte of each word, offsets of each text's words)."""
+def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start and end byte of each word, offsets of each text's words). ``separator``: which of the 256 bytes stand between words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    gap = _SEPARATOR[data]
+    gap = separator[data]
     opens, closes = np.empty(len(data), bool), np.empty(len(data), bool)
     opens[0], closes[-1] = True, True
     opens[1:], closes[:-1] = gap[:-1], gap[1:]

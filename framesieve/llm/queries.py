@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from framesieve.llm.bloom_lm import op8_bloom_lm
 from framesieve.llm.byte_bpe import op3_byte_bpe
+from framesieve.llm.lexical_search import ORACLE as SEARCH_SQL
+from framesieve.llm.lexical_search import op12_lexical_search
 from framesieve.llm.mixing import ORACLE as MIX_SQL
 from framesieve.llm.mixing import op10_mixing
 from framesieve.llm.order_minhash import op6_order_minhash
@@ -29,10 +31,12 @@ QUERIES = {
     "op9_threshold_topk": op9_threshold_topk,
     "op10_mixing": op10_mixing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": REPEATS_SQL,
     "op9_threshold_topk": TOPK_SQL,
     "op10_mixing": MIX_SQL,
+    "op12_lexical_search": SEARCH_SQL,
 }
