@@ -18,16 +18,18 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import durable, small_batches, text_pieces
+from framesieve.llm.common import durable, flat_text, small_batches, text_pieces
 
-#: Pieces kept per worker and the longest kept; characters of one call of a library; pairs a task holds before it sends their counts.
-CACHE_PIECES, CACHE_CHARS, CALL_CHARS, HELD_PAIRS = 200_000, 48, 1 << 19, 1_000_000
+#: Pieces kept per worker and their characters; characters of one call of the libraries; pairs a task holds before it sends their counts.
+CACHE_PIECES, CACHE_CHARS, CALL_CHARS, HELD_PAIRS = 400_000, 8 << 20, 1 << 19, 1_000_000
 #: A pair of more than one in HEAVY of all links is known to every task, so at most HEAVY pairs are.
 HEAVY = 1 << 18
 
@@ -35,20 +37,6 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _workers: dict[tuple[str, str], _Aligner] = {}
 
 
-@dataclass
-class Piece:
-    """A piece's groups as text, its numbers of tokens and groups, its links (packed as a * |B| + b) with one in ``same`` at the
-    front and how many these are, and whether both tokenisers give back its bytes."""
-
-    groups: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: np.ndarray
-    plain: int
-    whole: bool
-
-
 def _byte_of_sign() -> dict[str, int]:
     """The bytes behind the signs of a byte-level vocabulary: printable Latin-1 signs are themselves, others follow from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -83,53 +71,90 @@ class _Aligner:
                 by_bytes[entry] = i  # a piece of its own before the fallback of its byte
         for i, entry in enumerate(self.bytes_a):
             self.same[i] = by_bytes.get(entry, -1)
-        self.known: dict[str, Piece] = {}
-
-    def aligned(self, piece: str, a: list[int], b: list[int]) -> Piece:
-        """``piece``: with the space before it. Every token has a byte at least, so one A and one B token end at each shared offset."""
-        parts_a, parts_b, raw = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], piece.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return Piece("", 0, 0, 0, np.zeros(0, np.int64), 0, False)
-        if len(a) == len(b) == 1:
-            groups, cuts_a, cuts_b = f"{a[0]}|{b[0]}", [0], [0]
-        else:
-            ends_a, ends_b = np.cumsum([*map(len, parts_a)]), np.cumsum([*map(len, parts_b)])
-            _, cuts_a, cuts_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            cuts_a, cuts_b = cuts_a.tolist(), cuts_b.tolist()
-            out, at, to = [], 0, 0
-            for i, j in zip(cuts_a, cuts_b, strict=True):
-                out.append(f"{','.join(map(str, a[at : i + 1]))}|{','.join(map(str, b[to : j + 1]))}")
-                at, to = i + 1, j + 1
-            groups = ";".join(out)
-        last_a, last_b = np.array(a, np.int64)[cuts_a], np.array(b, np.int64)[cuts_b]
-        plain = (np.diff(cuts_a, prepend=-1) == 1) & (np.diff(cuts_b, prepend=-1) == 1) & (self.same[last_a] == last_b)
-        pairs = last_a * self.size_b + last_b
-        return Piece(groups, len(a), len(b), len(cuts_a), np.append(pairs[plain], pairs[~plain]), int(plain.sum()), True)
-
-    def pieces(self, texts: list[str]) -> list[list[Piece]]:
-        """The aligned pieces of each text; a text without tokens has none."""
+        self.size_a, self.lengths_a, self.lengths_b = len(self.bytes_a), np.array([*map(len, self.bytes_a)]), np.array([*map(len, self.bytes_b)])
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all pieces. Of each piece by its number: its groups as text, numbers of tokens and groups, whether both tokenisers give back its bytes; its links, packed as
+        a * |B| + b, and which of them are in ``same``, from its edge on."""
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.groups: list[str] = []
+        self.sizes, self.whole = np.zeros((0, 3), np.int64), np.zeros(0, bool)
+        self.pairs, self.plain, self.edges = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes and aligns pieces. Every token has a byte at least, so one A and one B token end at each shared offset."""
+        tokens_a = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        tokens_b = self.b.encode([piece[1:] for piece in pieces], num_threads=1)
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (tokens_a, tokens_b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(pieces)) for x in (tokens_a, tokens_b))
+        raw = [piece.encode() for piece in pieces]
+        whole = np.ones(len(pieces), bool)
+        joined_a, joined_b = b"".join(map(self.bytes_a.__getitem__, a.tolist())), b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+        if not joined_a == joined_b == b"".join(raw):
+            whole[:] = [b"".join(self.bytes_a[i] for i in x) == r == b"".join(self.bytes_b[i] for i in y) for x, y, r in zip(tokens_a, tokens_b, raw, strict=True)]
+            a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
+            n_a, n_b = n_a * whole, n_b * whole
+        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        cuts_a, cuts_b = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True)), np.flatnonzero(np.isin(ends_b, ends_a, assume_unique=True))
+        pairs = a[cuts_a] * self.size_b + b[cuts_b]
+        plain = (np.diff(cuts_a, prepend=-1) == 1) & (np.diff(cuts_b, prepend=-1) == 1) & (self.same[a[cuts_a]] == b[cuts_b])
+        n_groups = np.diff(np.searchsorted(cuts_a, np.append(0, np.cumsum(n_a))))
+        # both sides' tokens in one row, group by group, each before the sign that follows it
+        before = np.append(-1, cuts_b)[np.searchsorted(cuts_a, np.arange(len(a)))] + 1
+        through = np.append(cuts_a, len(a) - 1)[np.searchsorted(cuts_b, np.arange(len(b)))] + 1
+        row, signs = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int8)
+        at_a, at_b = np.arange(len(a)) + before, np.arange(len(b)) + through
+        row[at_a], row[at_b] = a, b
+        signs[at_a[cuts_a]], signs[at_b[cuts_b]] = 1, 2
+        text = pc.binary_join_element_wise(pa.array(row).cast(pa.string()), pa.array([",", "|", ";"]).take(pa.array(signs)), "")
+        data, offsets = flat_text(text)
+        data = data.tobytes().decode("ascii")
+        bounds = offsets[np.append(0, np.cumsum(n_a + n_b))].tolist()
+        self.known.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces)), strict=True))
+        self.groups += [data[s : e - 1] for s, e in zip(bounds, bounds[1:], strict=False)]
+        self.chars += sum(map(len, pieces))
+        self.sizes, self.whole = np.concatenate([self.sizes, np.stack([n_a, n_b, n_groups], axis=1)]), np.append(self.whole, whole)
+        self.pairs, self.plain, self.edges = np.append(self.pairs, pairs), np.append(self.plain, plain), np.append(self.edges, self.edges[-1] + np.cumsum(n_groups))
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all texts' pieces, edges of each text's). A text without tokens has none. Numbers hold until the next call."""
         cut = [_SAFE.split(f" {text}") if text else [] for text in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+        if len(self.known) > CACHE_PIECES or self.chars > CACHE_CHARS:
+            self.clear()
         fresh = list({piece for own in cut for piece in own if piece not in self.known})
-        long: dict[str, Piece] = {}
         at = 0
         while at < len(fresh):
             to, chars = at, 0
             while to < len(fresh) and chars < CALL_CHARS:
                 chars += len(fresh[to])
                 to += 1
-            call = fresh[at:to]
-            encoded_a = self.a.encode_batch_fast(call, add_special_tokens=False)
-            encoded_b = self.b.encode([piece[1:] for piece in call], num_threads=1)
-            for piece, a, b in zip(call, encoded_a, encoded_b, strict=True):
-                (self.known if len(piece) <= CACHE_CHARS else long)[piece] = self.aligned(piece, a.ids, b)
+            self._learn(fresh[at:to])
             at = to
-        out = []
-        for own in cut:
-            found = [self.known.get(piece) or long[piece] for piece in own]
-            out.append(found if all(p.whole for p in found) else [])
-        return out
+        known = self.known
+        numbers = np.fromiter((known[piece] for own in cut for piece in own), np.int64)
+        edges = np.append(0, np.cumsum([*map(len, cut)])).astype(np.int64)
+        if not self.whole[numbers].all():
+            bad = np.unique(np.searchsorted(edges, np.flatnonzero(~self.whole[numbers]), "right") - 1)
+            size = np.diff(edges)
+            size[bad], left = 0, np.repeat(~np.isin(np.arange(len(cut)), bad), size)
+            numbers, edges = numbers[left], np.append(0, np.cumsum(size))
+        return numbers, edges
+
+    def totals(self, numbers: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """(tokens of A, of B, groups) of each text."""
+        return np.diff(np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.sizes[numbers], axis=0)])[edges], axis=0)
+
+    def texts(self, numbers: np.ndarray, edges: np.ndarray) -> list[str]:
+        """Each text's groups."""
+        own = [self.groups[i] for i in numbers.tolist()]
+        return [";".join(own[s:e]) for s, e in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+
+    def links(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``pairs`` of the links of pieces, which of ``numbers`` each belongs to)."""
+        start, size = self.edges[numbers], np.diff(self.edges)[numbers]
+        return np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()), np.repeat(np.arange(len(numbers)), size)
 
 
 def _aligner(path_a: str, path_b: str) -> _Aligner:
@@ -155,11 +180,9 @@ def align_texts(docs: DataFrame, tokenizers: tuple[str, str] | None = None, id_c
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*paths)
         for batch in text_pieces(batches):
-            found = aligner.pieces(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([sum(getattr(p, n) for p in own) for own in found], pa.int64()) for n in ("n_a", "n_b", "n_groups")), pa.array([";".join(p.groups for p in own) for own in found], pa.string())],
-                names=["id", "n_a", "n_b", "n_groups", "groups"],
-            )
+            numbers, edges = aligner.pieces(batch.column(1).to_pylist())
+            totals = aligner.totals(numbers, edges)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(totals[:, i]) for i in range(3)), pa.array(aligner.texts(numbers, edges), pa.string())], names=["id", "n_a", "n_b", "n_groups", "groups"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return given.mapInArrow(aligned, "id long, n_a long, n_b long, n_groups long, groups string").withColumnRenamed("id", id_col)
@@ -173,13 +196,14 @@ class _Held:
     packed: list[np.ndarray] = field(default_factory=list)
     counts: list[np.ndarray] = field(default_factory=list)
 
-    def add(self, pieces: list[Piece], times: np.ndarray, size_b: int) -> None:
-        plain = [p.pairs[: p.plain] for p in pieces]
-        np.add.at(self.vector, np.concatenate(plain) // size_b, np.repeat(times, [len(x) for x in plain]))
-        rest = [p.pairs[p.plain :] for p in pieces]
-        own, at = np.unique(np.concatenate(rest), return_inverse=True)
-        self.packed.append(own)
-        self.counts.append(np.bincount(at, np.repeat(times, [len(x) for x in rest]), len(own)).astype(np.int64))
+    def add(self, aligner: _Aligner, numbers: np.ndarray) -> None:
+        own, times = np.unique(numbers, return_counts=True)
+        at, of = aligner.links(own)
+        pairs, times, plain = aligner.pairs[at], times[of], aligner.plain[at]
+        self.vector += np.bincount(pairs[plain] // aligner.size_b, times[plain], len(self.vector)).astype(np.int64)
+        rest, place = np.unique(pairs[~plain], return_inverse=True)
+        self.packed.append(rest)
+        self.counts.append(np.bincount(place, times[~plain], len(rest)).astype(np.int64))
 
     def sent(self) -> pa.RecordBatch:
         own, at = np.unique(np.concatenate([*self.packed, np.zeros(0, np.int64)]), return_inverse=True)
@@ -199,16 +223,7 @@ def count_links(docs: DataFrame, tokenizers: tuple[str, str] | None = None, text
         aligner = _aligner(*paths)
         held = _Held(np.zeros(len(aligner.same), np.int64))
         for batch in text_pieces(batches):
-            times: dict[int, list] = {}
-            for own in aligner.pieces(batch.column(0).to_pylist()):
-                for p in own:
-                    if (seen := times.get(id(p))) is None:
-                        times[id(p)] = [p, 1]
-                    else:
-                        seen[1] += 1
-            if times:
-                pieces, n = zip(*times.values(), strict=True)
-                held.add(list(pieces), np.array(n, np.int64), aligner.size_b)
+            held.add(aligner, aligner.pieces(batch.column(0).to_pylist())[0])
             if sum(map(len, held.packed)) > HELD_PAIRS:
                 yield held.sent()
         yield held.sent()
@@ -249,27 +264,34 @@ def score_links(docs: DataFrame, counts: DataFrame, tokenizers: tuple[str, str]
         aligner = _aligner(*paths)
         highest, pairs, known = sent.value
         for batch in text_pieces(batches):
-            rows = []
-            found = aligner.pieces(batch.column(1).to_pylist())
-            every = list({id(p): p for own in found for p in own}.values())
-            flat = np.concatenate([p.pairs for p in every]) if every else np.zeros(0, np.int64)
-            at = np.minimum(np.searchsorted(pairs, flat), max(len(pairs) - 1, 0))
-            there = pairs[at] == flat if len(pairs) else np.zeros(len(flat), bool)
-            count = np.where(there, known[at] if len(pairs) else 0, 0)
-            ends = np.cumsum([len(p.pairs) for p in every]).tolist()
-            facts = {}
-            for p, start, end in zip(every, [0, *ends], ends, strict=False):
-                own = count[start:end]
-                facts[id(p)] = (int(((own > 0) & (own == highest[p.pairs % size_b])).sum()), int(own.sum()), p.pairs[~there[start:end]])
-            for own in found:
-                part = [facts[id(p)] for p in own]
-                rare = np.concatenate([x[2] for x in part]) if part else np.zeros(0, np.int64)
-                pair, n = np.unique(rare, return_counts=True)
-                groups = ";".join(p.groups for p in own)
-                rows.append((sum(p.n_a for p in own), sum(p.n_b for p in own), sum(p.n_groups for p in own), sum(len(p.pairs) for p in own), sum(x[0] for x in part), sum(x[1] for x in part), sha256(groups.encode()).hexdigest() if groups else "", pair, n))
-            columns = list(zip(*rows, strict=True))
+            numbers, edges = aligner.pieces(batch.column(1).to_pylist())
+            totals, groups = aligner.totals(numbers, edges), aligner.texts(numbers, edges)
+            own, back = np.unique(numbers, return_inverse=True)
+            at, of = aligner.links(own)
+            flat = aligner.pairs[at]
+            place = np.minimum(np.searchsorted(pairs, flat), max(len(pairs) - 1, 0))
+            there = pairs[place] == flat if len(pairs) else np.zeros(len(flat), bool)
+            count = np.where(there, known[place] if len(pairs) else 0, 0)
+            best = (count > 0) & (count == highest[flat % size_b])
+            facts = np.stack([np.bincount(of, best, len(own)), np.bincount(of, count, len(own))], axis=1).astype(np.int64)  # sums of a piece stay far below 2**53
+            sums = np.diff(np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(facts[back], axis=0)])[edges], axis=0)
+            lacks = np.bincount(of, ~there, len(own)) > 0
+            some = np.flatnonzero(lacks[back])
+            at, of = aligner.links(numbers[some])
+            flat = aligner.pairs[at]
+            rare = pairs[np.minimum(np.searchsorted(pairs, flat), max(len(pairs) - 1, 0))] != flat if len(pairs) else np.ones(len(flat), bool)
+            text = np.searchsorted(edges, some[of[rare]], "right") - 1
+            met, times = np.unique(np.stack([text, flat[rare]], axis=1), axis=0, return_counts=True)
+            bounds = pa.array(np.searchsorted(met[:, 0], np.arange(len(edges))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.string()), *(pa.array(c, pa.list_(pa.int64())) for c in columns[7:])],
+                [
+                    batch.column(0),
+                    *(pa.array(totals[:, i]) for i in (0, 1, 2, 2)),
+                    *(pa.array(sums[:, i]) for i in range(2)),
+                    pa.array([sha256(x.encode()).hexdigest() if x else "" for x in groups], pa.string()),
+                    pa.ListArray.from_arrays(bounds, pa.array(met[:, 1])),
+                    pa.ListArray.from_arrays(bounds, pa.array(times)),
+                ],
                 names=["id", "n_a", "n_b", "n_groups", "n_links", "best", "sum", "groups_sha256", "pair", "times"],
             )
 
