@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesieve.llm.common import durable, flat_text, small_batches, text_pieces
+from framesieve.llm.common import durable, flat_text, pack, small_batches, text_pieces, unpack
 
 #: Pieces kept per worker and their characters; characters of one call of the libraries; pairs a task holds before it sends their counts.
-CACHE_PIECES, CACHE_CHARS, CALL_CHARS, HELD_PAIRS = 400_000, 8 << 20, 1 << 19, 1_000_000
+CACHE_PIECES, CACHE_CHARS, CALL_CHARS, HELD_PAIRS = 600_000, 12 << 20, 1 << 19, 1_000_000
 #: A pair of more than one in HEAVY of all links is known to every task, so at most HEAVY pairs are.
 HEAVY = 1 << 18
 
@@ -205,34 +205,46 @@ class _Held:
         self.packed.append(rest)
         self.counts.append(np.bincount(place, times[~plain], len(rest)).astype(np.int64))
 
-    def sent(self) -> pa.RecordBatch:
+    def sent(self) -> tuple[np.ndarray, np.ndarray]:
         own, at = np.unique(np.concatenate([*self.packed, np.zeros(0, np.int64)]), return_inverse=True)
         sums = np.bincount(at, np.concatenate([*self.counts, np.zeros(0, np.int64)]), len(own)).astype(np.int64)
         self.packed, self.counts = [], []
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums)], names=["pair", "n"])
+        return own, sums
 
 
-def count_links(docs: DataFrame, tokenizers: tuple[str, str] | None = None, text_col: str = "text") -> DataFrame:
-    """(a, b, count): how many links of all texts hold the tokens a of A and b of B.
+def _linked(docs: DataFrame, paths: tuple[str, str], id_col: str, text_col: str) -> DataFrame:
+    """A row for each text (id, n_a, n_b, n_groups, groups_sha256, its links packed and compressed), and rows of (pair, n) that count links, each of a task."""
 
-    A link is an A and a B token that end at the same byte of a text. Texts without tokens (see ``align_texts``) have none; an empty table gives no row.
-    """
-    paths = tokenizers or default_tokenizers()
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(*paths)
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, codec = _aligner(*paths), pa.Codec("zstd", 1)
         held = _Held(np.zeros(len(aligner.same), np.int64))
+
+        def counts(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            none = [pa.nulls(len(pair), kind) for kind in (*[pa.int64()] * 4, pa.string(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(pair), pa.array(n)], names=_LINKED_NAMES)
+
         for batch in text_pieces(batches):
-            held.add(aligner, aligner.pieces(batch.column(0).to_pylist())[0])
+            numbers, edges = aligner.pieces(batch.column(1).to_pylist())
+            held.add(aligner, numbers)
+            totals, groups = aligner.totals(numbers, edges), aligner.texts(numbers, edges)
+            at, of = aligner.links(numbers)
+            flat, bounds = aligner.pairs[at], np.searchsorted(of, edges).tolist()
+            packed = [codec.compress(pack(flat[s:e]), asbytes=True) if e > s else b"" for s, e in zip(bounds, bounds[1:], strict=False)]
+            none = pa.nulls(len(packed), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(totals[:, i]) for i in range(3)), pa.array([sha256(x.encode()).hexdigest() if x else "" for x in groups], pa.string()), pa.array(packed, pa.binary()), none, none], names=_LINKED_NAMES
+            )
             if sum(map(len, held.packed)) > HELD_PAIRS:
-                yield held.sent()
-        yield held.sent()
+                yield counts(*held.sent())
+        yield counts(*held.sent())
         seen = np.flatnonzero(held.vector)
-        yield pa.RecordBatch.from_arrays([pa.array(seen * aligner.size_b + aligner.same[seen]), pa.array(held.vector[seen])], names=["pair", "n"])
+        yield counts(seen * aligner.size_b + aligner.same[seen], held.vector[seen])
 
-    size_b = _size_b(paths)
-    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
-    return sums.select(F.expr(f"pair div {size_b}").cast("int").alias("a"), (F.col("pair") % size_b).cast("int").alias("b"), "count")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return given.mapInArrow(linked, "id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary, pair long, n long")
+
+
+_LINKED_NAMES = ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "pair", "n"]
 
 
 def _size_b(paths: tuple[str, str]) -> int:
@@ -241,65 +253,68 @@ def _size_b(paths: tuple[str, str]) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=paths[1]).get_piece_size()
 
 
-def score_links(docs: DataFrame, counts: DataFrame, tokenizers: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text, by the link counts of ``count_links``.
+def _summed(linked: DataFrame) -> DataFrame:
+    return linked.where(F.col("n").isNotNull()).groupBy("pair").agg(F.sum("n").alias("count"))
 
-    n_best: links whose count is the highest that their B token has with any A token, ties included; count_sum: the counts of all links. Other cases as in ``align_texts``.
+
+def count_links(docs: DataFrame, tokenizers: tuple[str, str] | None = None, text_col: str = "text") -> DataFrame:
+    """(a, b, count): how many links of all texts hold the tokens a of A and b of B.
+
+    A link is an A and a B token that end at the same byte of a text. Texts without tokens (see ``align_texts``) have none; an empty table gives no row.
+    """
+    paths = tokenizers or default_tokenizers()
+    size_b = _size_b(paths)
+    sums = _summed(_linked(docs.withColumn("_none", F.lit(None).cast("long")), paths, "_none", text_col))
+    return sums.select(F.expr(f"pair div {size_b}").cast("int").alias("a"), (F.col("pair") % size_b).cast("int").alias("b"), "count")
+
+
+def align_corpus(docs: DataFrame, tokenizers: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text, by the counts of links in all texts (``count_links``).
+
+    n_best: links whose count is the highest that their B token has with any A token, ties included; count_sum: the counts of all links. Every text is encoded once; its
+    links are kept, compressed, until the counts are there. Other cases as in ``align_texts``.
     """
     spark = docs.sparkSession
     paths = tokenizers or default_tokenizers()
     size_b = _size_b(paths)
-    packed = counts.select((F.col("a").cast("long") * size_b + F.col("b")).alias("pair"), "b", "count")
-    best = packed.groupBy("b").agg(F.max("count").alias("best"))
+    linked = durable(_linked(docs, paths, id_col, text_col))
+    counts = durable(_summed(linked).withColumn("b", F.col("pair") % size_b))
+    best = counts.groupBy("b").agg(F.max("count").alias("best"))
     highest = np.zeros(size_b, np.int64)
     for row in best.toLocalIterator():  # one row a token of B
         highest[row.b] = row.best
-    total = packed.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     heavy = F.col("count") > total // HEAVY
-    rows = packed.where(heavy).select("pair", "count").toArrow()  # fewer than HEAVY rows
+    rows = counts.where(heavy).select("pair", "count").toArrow()  # fewer than HEAVY rows
     order = np.argsort(rows.column(0).to_numpy())
-    sent = spark.sparkContext.broadcast((highest, rows.column(0).to_numpy()[order], rows.column(1).to_numpy()[order]))
+    sent = spark.sparkContext.broadcast((highest, np.append(rows.column(0).to_numpy()[order], -1), np.append(rows.column(1).to_numpy()[order], 0)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(*paths)
         highest, pairs, known = sent.value
-        for batch in text_pieces(batches):
-            numbers, edges = aligner.pieces(batch.column(1).to_pylist())
-            totals, groups = aligner.totals(numbers, edges), aligner.texts(numbers, edges)
-            own, back = np.unique(numbers, return_inverse=True)
-            at, of = aligner.links(own)
-            flat = aligner.pairs[at]
-            place = np.minimum(np.searchsorted(pairs, flat), max(len(pairs) - 1, 0))
-            there = pairs[place] == flat if len(pairs) else np.zeros(len(flat), bool)
-            count = np.where(there, known[place] if len(pairs) else 0, 0)
-            best = (count > 0) & (count == highest[flat % size_b])
-            facts = np.stack([np.bincount(of, best, len(own)), np.bincount(of, count, len(own))], axis=1).astype(np.int64)  # sums of a piece stay far below 2**53
-            sums = np.diff(np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(facts[back], axis=0)])[edges], axis=0)
-            lacks = np.bincount(of, ~there, len(own)) > 0
-            some = np.flatnonzero(lacks[back])
-            at, of = aligner.links(numbers[some])
-            flat = aligner.pairs[at]
-            rare = pairs[np.minimum(np.searchsorted(pairs, flat), max(len(pairs) - 1, 0))] != flat if len(pairs) else np.ones(len(flat), bool)
-            text = np.searchsorted(edges, some[of[rare]], "right") - 1
-            met, times = np.unique(np.stack([text, flat[rare]], axis=1), axis=0, return_counts=True)
-            bounds = pa.array(np.searchsorted(met[:, 0], np.arange(len(edges))), pa.int32())
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            sizes = batch.column(3).to_numpy()
+            own = [unpack(codec.decompress(x, 8 * n, asbytes=True), np.int64) for x, n in zip(batch.column(5).to_pylist(), sizes.tolist(), strict=True) if n]
+            flat, of = np.concatenate([*own, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sizes)), sizes)
+            distinct, back = np.unique(flat, return_inverse=True)
+            place = np.searchsorted(pairs[:-1], distinct)
+            there = pairs[place] == distinct
+            count = np.where(there, known[place], 0)
+            best = there & (count == highest[distinct % size_b])
+            sums = [np.diff(np.append(0, np.cumsum(x[back].astype(np.int64)))[np.append(0, np.cumsum(sizes))]) for x in (best, count)]
+            rare = ~there[back]
+            met, times = np.unique(np.stack([of[rare], flat[rare]], axis=1), axis=0, return_counts=True)
+            bounds = pa.array(np.searchsorted(met[:, 0], np.arange(len(sizes) + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    *(pa.array(totals[:, i]) for i in (0, 1, 2, 2)),
-                    *(pa.array(sums[:, i]) for i in range(2)),
-                    pa.array([sha256(x.encode()).hexdigest() if x else "" for x in groups], pa.string()),
-                    pa.ListArray.from_arrays(bounds, pa.array(met[:, 1])),
-                    pa.ListArray.from_arrays(bounds, pa.array(times)),
-                ],
+                [*batch.columns[:4], batch.column(3), *(pa.array(x, pa.int64()) for x in sums), batch.column(4), pa.ListArray.from_arrays(bounds, pa.array(met[:, 1])), pa.ListArray.from_arrays(bounds, pa.array(times))],
                 names=["id", "n_a", "n_b", "n_groups", "n_links", "best", "sum", "groups_sha256", "pair", "times"],
             )
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = given.mapInArrow(scored, "id long, n_a long, n_b long, n_groups long, n_links long, best long, sum long, groups_sha256 string, pair array<long>, times array<long>")
+    texts = linked.where(F.col("n").isNull()).select(*_LINKED_NAMES[:6])
+    made = texts.mapInArrow(scored, "id long, n_a long, n_b long, n_groups long, n_links long, best long, sum long, groups_sha256 string, pair array<long>, times array<long>")
     made = durable(made.withColumn("row", F.monotonically_increasing_id()))
     rare = made.select("row", F.explode(F.arrays_zip("pair", "times")).alias("x")).select("row", "x.pair", "x.times")
-    others = packed.where(~heavy).join(best, "b").select("pair", "count", (F.col("count") == F.col("best")).alias("is_best"))
+    others = counts.where(~heavy).join(best, "b").select("pair", "count", (F.col("count") == F.col("best")).alias("is_best"))
     met = rare.join(others, "pair").groupBy("row").agg(F.sum(F.col("times") * F.col("is_best").cast("long")).alias("more_best"), F.sum(F.col("times") * F.col("count")).alias("more"))
     return made.join(met, "row", "left").select(
         F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", (F.col("best") + F.coalesce("more_best", F.lit(0))).alias("n_best"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("count_sum"), "groups_sha256"
@@ -308,5 +323,4 @@ def score_links(docs: DataFrame, counts: DataFrame, tokenizers: tuple[str, str]
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_links(docs, durable(count_links(docs)))
+    return align_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
