@@ -16,6 +16,7 @@ from framesieve.llm.substring_dedup import ORACLE as REPEATS_SQL
 from framesieve.llm.substring_dedup import op4_substring_dedup
 from framesieve.llm.threshold_topk import ORACLE as TOPK_SQL
 from framesieve.llm.threshold_topk import op9_threshold_topk
+from framesieve.llm.suffix_dedup import op13_suffix_dedup
 from framesieve.llm.token_alignment import op11_token_alignment
 from framesieve.llm.token_counts import op2_token_counts
 
@@ -32,6 +33,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_token_alignment": op11_token_alignment,
     "op12_lexical_search": op12_lexical_search,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
