@@ -180,12 +180,14 @@ def _filter(anchors: DataFrame, column: str, ranges: int, part_words: int, turn:
 
 def _spans(row: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     """Spans of bytes by row and id, those that touch joined."""
+    if not len(row):
+        return [np.zeros(0, k) for k in _SPAN_FIELDS]
     order = np.lexsort([start, ids, row])
     row, ids, start, end = (x[order] for x in (row, ids, start, end))
-    fresh = np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]))[: len(row)]
+    fresh = np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]))
     base = np.cumsum(fresh).astype(np.int64) << 32
-    reach = np.maximum.accumulate(base + end) if len(row) else base
-    opens = np.append(True, (base + start)[1:] > reach[:-1])[: len(row)]
+    reach = np.maximum.accumulate(base + end)
+    opens = np.append(True, (base + start)[1:] > reach[:-1])
     at = np.flatnonzero(opens)
     last = np.append(at[1:], len(row)) - 1
     return [row[at], ids[at], start[at].astype(np.int32), (reach[last] - base[last]).astype(np.int32)]
@@ -196,7 +198,7 @@ def _span_rows(spans: list[np.ndarray], buckets: int, parts: int) -> Iterator[tu
     bucket = spans[0] % buckets
     order = np.argsort(bucket, kind="stable")
     spans, bucket = [x[order] for x in spans], bucket[order]
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=False):
         yield int(bucket[a]) % parts, {"kind": _MARKS, "range": int(bucket[a]), "packed": _joined([x[a:b] for x in spans])}
 
