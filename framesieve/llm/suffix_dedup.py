@@ -36,11 +36,11 @@ LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
 #: Occurrences from which on an anchor's strings go singly.
 HOT = 20_000
 #: What a task holds before it sends: anchors, segments' occurrences, their bytes, strings.
-HELD_ANCHORS, HELD_SEGMENTS, HELD_BYTES, HELD_STRINGS = 2_000_000, 1_000_000, 12 << 20, 1_500_000
+HELD_ANCHORS, HELD_SEGMENTS, HELD_BYTES, HELD_STRINGS = 1_000_000, 400_000, 8 << 20, 800_000
 #: Most bytes of a broadcast filter, bits for each anchor, probes.
 FILTER_BYTES, BITS_EACH, PROBES = 128 << 20, 12, 5
-#: Bytes of what one task merges at a time.
-RANGE_BYTES = 8 << 20
+#: Bytes of what one task merges at a time, and of texts looked at in one step.
+RANGE_BYTES, PIECE_BYTES = 6 << 20, 1 << 19
 
 _MARKS, _SEGMENTS, _STRINGS = 0, 1, 2
 _DEALT = "part int, rows array<struct<kind: int, range: int, packed: binary>>"
@@ -63,6 +63,14 @@ def _parted(packed: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
+def _compressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _expanded(packed: bytes) -> bytes:
+    return pa.Codec("zstd", 1).decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
 def _dealt_batch(parts: list[int], rows: list[list[dict]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, _DEALT_TYPE)], names=["part", "rows"])
 
@@ -140,7 +148,7 @@ def _count_anchors(docs: DataFrame, ranges: int, parts: int) -> DataFrame:
             n = n.astype(np.uint32)
             return _sent(_by_range(own, ranges, parts, _SEGMENTS, lambda a, b: _joined([own[a:b], n[a:b]])))
 
-        for batch in text_pieces(batches):
+        for batch in text_pieces(batches, limit=PIECE_BYTES):
             waiting.append(_Piece(batch.column(2)).anchor)
             if sum(map(len, waiting)) >= HELD_ANCHORS:
                 yield send()
@@ -251,7 +259,7 @@ class _Shard:
             found.append(spans)
             size = own[4].astype(np.int64) + own[5]
             ends = np.append(0, np.cumsum(size))
-            out += _by_range(own[0], ranges, parts, _SEGMENTS, lambda a, b: np.int64(b - a).tobytes() + _joined([x[a:b] for x in own]) + text[ends[a] : ends[b]].tobytes())
+            out += _by_range(own[0], ranges, parts, _SEGMENTS, lambda a, b: _compressed(np.int64(b - a).tobytes() + _joined([x[a:b] for x in own]) + text[ends[a] : ends[b]].tobytes()))
         if self.n_strings:
             h, m, d, r, p = (np.concatenate(x) for x in zip(*self.strings, strict=True))
             order = np.lexsort([m, h])
@@ -299,10 +307,13 @@ def _range_hashes(wide: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 def _matrix(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, step: int = 1) -> np.ndarray:
     """One row of ``width`` bytes for each start, read forwards or backwards, 0 behind its length."""
-    column = np.arange(width)
-    at = start[:, None] + step * column[None, :]
-    inside = column[None, :] < length[:, None]
-    return np.where(inside, data[np.where(inside, at, 0)], np.uint8(0)) if len(data) else np.zeros((len(start), width), np.uint8)
+    column = np.arange(width)[None, :]
+    out = np.zeros((len(start), width), np.uint8)
+    for i in range(0, len(start), 2048):
+        inside = column < length[i : i + 2048, None]
+        at = start[i : i + 2048, None] + step * column
+        out[i : i + 2048][inside] = data[at[inside]]
+    return out
 
 
 def refine_interleave(columns: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +360,7 @@ def _merged(rows: list[bytes]) -> list[np.ndarray]:
     """Spans of the repeated strings of a range's segments, from the transforms of its shards."""
     fields, texts = [], []
     width = sum(np.dtype(k).itemsize for k in _SEGMENT_FIELDS)
-    for packed in rows:
+    for packed in map(_expanded, rows):
         end = 8 + int(np.frombuffer(packed[:8], np.int64)[0]) * width
         fields.append(_parted(packed[8:end], _SEGMENT_FIELDS))
         texts.append(np.frombuffer(packed[end:], np.uint8))
@@ -402,7 +413,7 @@ def _repeats(docs: DataFrame, held: BloomBits, hot: BloomBits | None, ranges: in
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot = filters.value
         shard = _Shard()
-        for batch in text_pieces(batches):
+        for batch in text_pieces(batches, limit=PIECE_BYTES):
             ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             shard.add(_Piece(batch.column(2)), ids, rows, held, hot)
             if shard.full():
