@@ -57,26 +57,31 @@ def _quarters(mosaic: np.ndarray, pattern: str) -> Iterator[tuple[tuple[slice, s
     """
     h, w = mosaic.shape
     wide = np.pad(mosaic, 1, mode="reflect")
-
-    def at(dy: int, dx: int, where: tuple[slice, slice]) -> np.ndarray:
-        return wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w][where]
+    quarters = [[np.ascontiguousarray(wide[i::2, j::2]) for j in (0, 1)] for i in (0, 1)]  # what is beside a pixel of one quarter is in another at the same place or the next
+    held = 0.0 <= mosaic.min() and mosaic.max() <= 1.0  # as means of such samples are then
 
     for place, own in enumerate(pattern):
-        where = (slice(place // 2, None, 2), slice(place % 2, None, 2))
+        top, left = place // 2, place % 2
+        where = (slice(top, None, 2), slice(left, None, 2))
+        high, long = (h - top + 1) // 2, (w - left + 1) // 2
+
+        def at(dy: int, dx: int) -> np.ndarray:
+            i, j = top + 1 + dy, left + 1 + dx
+            return quarters[i % 2][j % 2][i // 2 : i // 2 + high, j // 2 : j // 2 + long]
+
         beside = pattern[place ^ 1]  # the colour of the neighbours in the row
-        row, column = (at(0, -1, where) + at(0, 1, where)) / 2, (at(-1, 0, where) + at(1, 0, where)) / 2
-        corners = (at(-1, -1, where) + at(-1, 1, where) + at(1, -1, where) + at(1, 1, where)) / 4
+        row, column = (at(0, -1) + at(0, 1)) / 2, (at(-1, 0) + at(1, 0)) / 2
         values = []
         for channel in "RGB":
             if own == channel:
-                value = mosaic[where]
+                value = at(0, 0)
             elif channel == "G":
                 value = (row + column) / 2
             elif own == "G":
                 value = row if beside == channel else column
             else:
-                value = corners
-            values.append(np.clip(value, 0.0, 1.0))
+                value = (at(-1, -1) + at(-1, 1) + at(1, -1) + at(1, 1)) / 4
+            values.append(value if held else np.clip(value, 0.0, 1.0))
         yield where, values
 
 

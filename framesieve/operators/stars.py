@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,25 @@ from pyspark.sql import functions as F
 
 #: Full width at half maximum of a Gaussian, in standard deviations.
 FWHM_PER_SIGMA = 2.355
-#: Fixed values of detection: deviations for a peak and for its surroundings, radius, saturation, least peak, least pixels.
-DETECT, FLOOD, RADIUS, SATURATION, LEAST_PEAK, LEAST_PIXELS = 5.0, 2.0, 3, 0.98, 0.009, 5
+
+
+@dataclass(frozen=True)
+class Detection:
+    """What makes a star; the defaults are fixed values.
+
+    detect, flood: deviations above the background for a peak and for the area around it; radius: of the square in which a peak is highest; saturation: samples from
+    which on a pixel is no peak; least_peak: over the background; least_pixels: of an area.
+    """
+
+    detect: float = 5.0
+    flood: float = 2.0
+    radius: int = 3
+    saturation: float = 0.98
+    least_peak: float = 0.009
+    least_pixels: int = 5
+
+
+DETECTION = Detection()
 STAR_SCHEMA = "frame string, star_id int, cx double, cy double, peak double, x0 int, y0 int, x1 int, y1 int, pixel_count int, fwhm double, eccentricity double"
 
 
@@ -100,69 +118,110 @@ def heat_map(stars: DataFrame, by: str, width: float, height: float, levels: int
 
 
 def clipped_background(values: np.ndarray, sigma: float = 3.0, rounds: int = 5) -> tuple[float, float]:
-    """(median, deviation) of sigma-clipped values."""
-    kept = values
+    """(median, deviation) of sigma-clipped values; sorted once, so what a round keeps is a slice."""
+    kept = np.sort(values)
     for _ in range(rounds):
-        middle, spread = np.median(kept), kept.std()
-        left = kept[np.abs(kept - middle) <= sigma * spread]
-        if spread <= 0 or len(left) in (0, len(kept)):
+        middle, spread = _middle(kept), kept.std()
+        near = np.abs(kept - middle) <= sigma * spread
+        low, high = int(near.argmax()), len(near) - int(near[::-1].argmax())
+        if spread <= 0 or not near.any() or high - low == len(kept):
             break
-        kept = left
-    return float(np.median(kept)), float(kept.std())
-
-
-def _components(mask: np.ndarray) -> np.ndarray:
-    """Labels of 4-connected areas by spreading the least index until nothing changes; -1 outside."""
-    label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
-    while True:
-        spread = label.copy()
-        spread[1:] = np.minimum(spread[1:], label[:-1])
-        spread[:-1] = np.minimum(spread[:-1], label[1:])
-        spread[:, 1:] = np.minimum(spread[:, 1:], label[:, :-1])
-        spread[:, :-1] = np.minimum(spread[:, :-1], label[:, 1:])
-        spread[~mask] = mask.size
-        inside = spread < mask.size
-        spread[inside] = spread.ravel()[spread[inside]]  # jump to the label's own label
-        if (spread == label).all():
-            return np.where(mask, label, -1)
-        label = spread
-
-
-def star_table(image: np.ndarray) -> pd.DataFrame:
-    """Stars of one image, brightest first: the columns of STAR_SCHEMA but the frame."""
+        kept = kept[low:high]
+    return float(_middle(kept)), float(kept.std())
+
+
+def _middle(ordered: np.ndarray) -> float:
+    """The median of sorted values; nan if one is nan."""
+    half = len(ordered) // 2
+    return ordered[-1] if np.isnan(ordered[-1]) else ordered[half] if len(ordered) % 2 else (ordered[half - 1] + ordered[half]) / 2
+
+
+def labelled_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, area) of the runs of set pixels in the rows of ``mask``, as places in the flat image; runs of a 4-connected area have the number of its first run.
+
+    Runs of neighbouring rows that share a column are joined; joined runs take the least number they reach, halving the way to it in each round.
+    """
+    h, w = mask.shape
+    edge = np.zeros((h, w + 1), bool)
+    edge[:, 0], edge[:, w] = mask[:, 0], mask[:, w - 1]
+    np.not_equal(mask[:, 1:], mask[:, :-1], out=edge[:, 1:w])
+    at = np.flatnonzero(edge)
+    row, column = np.divmod(at, w + 1)
+    at = row * w + column
+    start, end = at[::2], at[1::2]
+    first, last = np.searchsorted(end, start + w, "right"), np.searchsorted(start, end + w)
+    n = last - first
+    upper = np.repeat(np.arange(len(start)), n)
+    lower = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+    area = np.arange(len(start))
+    while len(upper):
+        low = np.minimum(area[upper], area[lower])
+        np.minimum.at(area, area[upper], low)
+        np.minimum.at(area, area[lower], low)
+        while True:
+            root = area[area]
+            if (root == area).all():
+                break
+            area = root
+        apart = area[upper] != area[lower]
+        upper, lower = upper[apart], lower[apart]
+    return start, end, area
+
+
+def _peaks(image: np.ndarray, least: float, given: Detection) -> np.ndarray:
+    """Flat places, ascending, of pixels of at least ``least`` below saturation that are above all others in their square; none near the edges."""
     h, w = image.shape
+    r = given.radius
+    if h <= 2 * r or w <= 2 * r:
+        return np.zeros(0, np.int64)
+    inner = image[r : h - r, r : w - r]
+    y, x = np.divmod(np.flatnonzero((inner >= least) & (inner < given.saturation)), w - 2 * r)
+    at, flat = (y + r) * w + x + r, image.ravel()
+    around = [(j, i) for j in range(-r, r + 1) for i in range(-r, r + 1) if (j, i) != (0, 0)]
+    for j, i in sorted(around, key=lambda p: p[0] ** 2 + p[1] ** 2):  # near ones first: few candidates are left after them
+        at = at[flat[at] > flat[at + j * w + i]]
+    return at
+
+
+def star_table(image: np.ndarray, given: Detection = DETECTION) -> pd.DataFrame:
+    """Stars of one image, brightest first: the columns of STAR_SCHEMA but the frame.
+
+    Areas are labelled once, as runs; all sums over areas are reductions of one sorted list of the pixels of areas that hold a peak.
+    """
+    w = image.shape[1]
     level, spread = clipped_background(image.ravel()[::4])
     spread = max(spread, 1e-6)
-    above = np.maximum(image - level, 0)
-    r = RADIUS
-    best = np.full((h, w), -np.inf)
-    padded = np.pad(image, r, constant_values=-np.inf)
-    for j in range(2 * r + 1):
-        for i in range(2 * r + 1):
-            if (i, j) != (r, r):
-                best = np.maximum(best, padded[j : j + h, i : i + w])
-    peak = (image >= level + DETECT * spread) & (image < SATURATION) & (image > best)
-    inner = np.zeros_like(peak)
-    inner[r : h - r, r : w - r] = True
-    areas = _components(above >= FLOOD * spread)
-    rows, seen = [], set()
-    for y, x in zip(*np.nonzero(peak & inner), strict=True):
-        area = areas[y, x]
-        if area < 0 or area in seen:
-            continue
-        seen.add(area)
-        ys, xs = np.nonzero(areas == area)
-        weight = above[ys, xs]
-        if len(ys) < LEAST_PIXELS or above[y, x] < LEAST_PEAK:
-            continue
-        total = weight.sum()
-        cx, cy = (weight * xs).sum() / total, (weight * ys).sum() / total
-        xx, yy, xy = ((weight * (xs - cx) ** 2).sum() / total, (weight * (ys - cy) ** 2).sum() / total, (weight * (xs - cx) * (ys - cy)).sum() / total)
-        turn = np.hypot((xx - yy) / 2, xy)
-        large, small = (xx + yy) / 2 + turn, (xx + yy) / 2 - turn
-        wide = xs.max() > xs.min() and ys.max() > ys.min()
-        rows.append((cx, cy, above[y, x], xs.min(), ys.min(), xs.max(), ys.max(), len(ys), FWHM_PER_SIGMA * np.sqrt((xx + yy) / 2) if wide else None, np.sqrt(1 - small / large) if large > 0 and small >= 0 else None))
-    stars = pd.DataFrame(rows, columns=["cx", "cy", "peak", "x0", "y0", "x1", "y1", "pixel_count", "fwhm", "eccentricity"])
+    peaks = _peaks(image, level + given.detect * spread, given)
+    start, end, area = labelled_runs(np.maximum(image - level, 0) >= given.flood * spread)
+    run = np.searchsorted(start, peaks, "right") - 1
+    held = (run >= 0) & (peaks < end[run]) if len(start) else np.zeros(len(peaks), bool)
+    owner, first = np.unique(area[run[held]], return_index=True)  # an area is its first peak's
+    peak = np.maximum(image.ravel()[peaks[held][first]] - level, 0)
+    own = np.flatnonzero(np.isin(area, owner))
+    own = own[np.argsort(area[own], kind="stable")]
+    size = (end - start)[own]
+    pixel = np.repeat(start[own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+    edges = np.searchsorted(np.repeat(area[own], size), owner)
+    rows, columns = np.divmod(pixel, w)
+    count = np.diff(np.append(edges, len(pixel)))
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v, edges) if len(edges) else np.zeros(0)
+
+    weight = np.maximum(image.ravel()[pixel] - level, 0)
+    mass = total(weight)
+    cx, cy = total(weight * columns) / mass, total(weight * rows) / mass
+    dx, dy = columns - np.repeat(cx, count), rows - np.repeat(cy, count)
+    xx, yy, xy = total(weight * dx**2) / mass, total(weight * dy**2) / mass, total(weight * dx * dy) / mass
+    bounds = [f.reduceat(v, edges) if len(edges) else np.zeros(0, np.int64) for f, v in ((np.minimum, columns), (np.minimum, rows), (np.maximum, columns), (np.maximum, rows))]
+    turn = np.hypot((xx - yy) / 2, xy)
+    large, small = (xx + yy) / 2 + turn, (xx + yy) / 2 - turn
+    wide = (bounds[2] > bounds[0]) & (bounds[3] > bounds[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fwhm, eccentricity = np.where(wide, FWHM_PER_SIGMA * np.sqrt((xx + yy) / 2), np.nan), np.where((large > 0) & (small >= 0), np.sqrt(1 - small / large), np.nan)
+    stars = pd.DataFrame(dict(zip(["cx", "cy", "peak", "x0", "y0", "x1", "y1", "pixel_count", "fwhm", "eccentricity"], [cx, cy, peak, *bounds, count, fwhm, eccentricity], strict=True)))
+    stars = stars.iloc[np.argsort(first)]  # in the order of their first peaks
+    stars = stars[(stars.pixel_count >= given.least_pixels) & (stars.peak >= given.least_peak)]
     if len(stars) >= 2:
         size = np.sort(stars.pixel_count)[len(stars) // 2]
         stars = stars[~((stars.pixel_count > 5 * size) & (stars.peak < 0.1 * stars.peak.max()))]
@@ -171,8 +230,8 @@ def star_table(image: np.ndarray) -> pd.DataFrame:
     return stars
 
 
-def detect_stars(frames: DataFrame) -> DataFrame:
-    """Stars of frames (frame, width, height, luma array<double>): STAR_SCHEMA, brightest first.
+def detect_stars(frames: DataFrame, given: Detection = DETECTION) -> DataFrame:
+    """Stars of frames (frame, width, height, luma array<double>): STAR_SCHEMA, brightest first; fwhm and eccentricity are null where a star has none.
 
     A star is an area of pixels above the clipped background that holds a strict local maximum: not
     saturated, bright enough, of enough pixels; wide faint areas are left out. A frame is one row, so
@@ -182,7 +241,7 @@ def detect_stars(frames: DataFrame) -> DataFrame:
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for frame, width, height, luma in zip(batch["frame"], batch["width"], batch["height"], batch["luma"], strict=True):
-                stars = star_table(np.asarray(luma, float).reshape(height, width))
+                stars = star_table(np.asarray(luma, float).reshape(height, width), given)
                 stars.insert(0, "frame", frame)
                 yield stars
 
@@ -243,7 +302,7 @@ def fit_profile(patch: np.ndarray, cx: float, cy: float) -> tuple[float, ...] |
     return *(float(v) for v in (*best[:3], major, minor)), left, float(best[0] ** 2 / (best[0] + border * np.pi * major * minor))
 
 
-def star_profiles(frames: DataFrame) -> DataFrame:
+def star_profiles(frames: DataFrame, given: Detection = DETECTION) -> DataFrame:
     """Profiles of the stars of frames (frame, width, height, luma array<double>): PROFILE_SCHEMA; stars as ``detect_stars`` finds and numbers them.
 
     A star that no sound profile fits has no row.
@@ -255,7 +314,7 @@ def star_profiles(frames: DataFrame) -> DataFrame:
             for frame, width, height, luma in zip(batch["frame"], batch["width"], batch["height"], batch["luma"], strict=True):
                 image = np.asarray(luma, float).reshape(height, width)
                 above = np.maximum(image - clipped_background(image.ravel()[::4])[0], 0)
-                for s in star_table(image).itertuples():
+                for s in star_table(image, given).itertuples():
                     found = fit_profile(above[s.y0 : s.y1 + 1, s.x0 : s.x1 + 1], s.cx - s.x0, s.cy - s.y0)
                     if found:
                         rows.append((frame, s.star_id, found[0], found[1] + s.x0, found[2] + s.y0, *found[3:]))

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from framesieve.operators import matching as M
 from framesieve.operators import stars as S
-from framesieve.operators.stacking import clipped_mean
 
 
 def frame(spark, image, name="f"):
@@ -26,6 +25,96 @@ def gauss(size, sx, sy, b=0.8):
     return 0.05 + b * np.exp(-((x - c) ** 2) / (2 * sx**2) - ((y - c) ** 2) / (2 * sy**2))
 
 
+def flooded(image, given=S.DETECTION):
+    """Stars by walking from peak to peak: (cx, cy, peak, box, pixels, fwhm, eccentricity), brightest first."""
+    h, w = image.shape
+    r = given.radius
+    level, spread = S.clipped_background(image.ravel()[::4])
+    spread = max(spread, 1e-6)
+    inside, seen, found = np.maximum(image - level, 0) >= given.flood * spread, np.zeros((h, w), bool), []
+    for y in range(r, h - r):
+        for x in range(r, w - r):
+            square = image[y - r : y + r + 1, x - r : x + r + 1]
+            if not level + given.detect * spread <= image[y, x] < given.saturation or (square >= image[y, x]).sum() > 1 or seen[y, x]:
+                continue
+            waiting, area = [(y, x)], []
+            while waiting:
+                j, i = waiting.pop()
+                if 0 <= j < h and 0 <= i < w and inside[j, i] and not seen[j, i]:
+                    seen[j, i] = True
+                    area.append((j, i))
+                    waiting += [(j + 1, i), (j - 1, i), (j, i + 1), (j, i - 1)]
+            if len(area) < given.least_pixels or image[y, x] - level < given.least_peak:
+                continue
+            ys, xs = np.array(sorted(area)).T
+            v = image[ys, xs] - level
+            cx, cy = (v * xs).sum() / v.sum(), (v * ys).sum() / v.sum()
+            (xx, xy), (_, yy) = np.cov(np.stack([xs, ys]), aweights=v, ddof=0)
+            small, large = np.linalg.eigvalsh([[xx, xy], [xy, yy]])
+            wide = xs.max() > xs.min() and ys.max() > ys.min()
+            found.append((cx, cy, image[y, x] - level, xs.min(), ys.min(), xs.max(), ys.max(), len(area), S.FWHM_PER_SIGMA * np.sqrt((xx + yy) / 2) if wide else np.nan, np.sqrt(1 - small / large) if large > 0 and small >= 0 else np.nan))
+    if len(found) >= 2:
+        size, most = sorted(f[7] for f in found)[len(found) // 2], max(f[2] for f in found)
+        found = [f for f in found if not (f[7] > 5 * size and f[2] < 0.1 * most)]
+    return sorted(found, key=lambda f: -f[2])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_stars_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    h, w = rng.integers(5, 90, 2)
+    y, x = np.mgrid[:h, :w]
+    image = rng.normal(0.1, rng.choice([0.0, 0.002, 0.02]), (h, w))
+    for cx, cy, s, b in zip(rng.uniform(0, w, 15), rng.uniform(0, h, 15), rng.uniform(0.7, 4, 15), rng.uniform(0.02, 1.1, 15), strict=True):
+        image += b * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * s * s))
+    if seed % 3 == 0:
+        image = np.round(image, 2)  # plateaus and ties
+    given = S.DETECTION if seed % 2 else S.Detection(detect=4, flood=1.5, radius=2, saturation=0.9, least_pixels=3)
+    got = S.star_table(image, given).drop(columns="star_id").to_numpy(float)
+    want = np.array(flooded(image, given), float).reshape(-1, 10)
+    assert got.shape == want.shape
+    np.testing.assert_allclose(got[:, :9], want[:, :9], rtol=1e-7, atol=1e-9)
+    np.testing.assert_allclose(np.nan_to_num(got[:, 9]) ** 2, np.nan_to_num(want[:, 9]) ** 2, atol=1e-6)
+
+
+def test_areas_are_joined_however_they_wind():
+    rng = np.random.default_rng(1)
+    spiral = np.zeros((41, 41), bool)
+    y, x, d, step = 0, 0, 0, 40
+    for turn in range(40):
+        dy, dx = ((0, 1), (1, 0), (0, -1), (-1, 0))[turn % 4]
+        for _ in range(step):
+            spiral[y, x] = True
+            y, x = y + dy, x + dx
+        step -= 2 * (turn % 2) if turn > 1 else 0
+        if step <= 0:
+            break
+    for mask in (spiral, np.zeros((3, 5), bool), np.ones((4, 1), bool), *(rng.random((30, 37)) < q for q in (0.3, 0.6, 0.9))):
+        start, end, area = S.labelled_runs(mask)
+        label = np.full(mask.size, -1)
+        for s, e, a in zip(start, end, area, strict=True):
+            label[s:e] = a
+        label = label.reshape(mask.shape)
+        assert ((label >= 0) == mask).all()
+        for a, b in ((label[1:], label[:-1]), (label[:, 1:], label[:, :-1])):
+            assert (a == b)[(a >= 0) & (b >= 0)].all()
+        for one in set(label[mask].tolist()):  # and no area has two parts
+            part, at = label == one, np.argwhere(label == one)[0]
+            reached = np.zeros(mask.shape, bool)
+            reached[tuple(at)] = True
+            while True:
+                more = reached.copy()
+                more[1:] |= reached[:-1]
+                more[:-1] |= reached[1:]
+                more[:, 1:] |= reached[:, :-1]
+                more[:, :-1] |= reached[:, 1:]
+                more &= part
+                if (more == reached).all():
+                    break
+                reached = more
+            assert (reached == part).all()
+
+
 def test_flat_image_has_no_stars(spark):
     assert S.detect_stars(frame(spark, np.full((100, 100), 0.05))).count() == 0
 
