@@ -23,6 +23,8 @@ DEPTHS = {"u8": 255.0, "u16": 65535.0, "f32": 1.0}
 LEAST_FWHM, MOST_FWHM = 0.5, 50.0
 #: Deviations below the median where a stretch clips shadows, and what it brings the median to.
 SHADOW_CLIP, TARGET = -2.8, 0.15
+#: Rows that are resampled at a time.
+BAND = 32
 
 
 def _cells(column: pa.Array) -> list:
@@ -234,16 +236,28 @@ def frame_maxima(frames: DataFrame, keep: list[str], width: int, height: int, ra
 def moved(image: np.ndarray, a: float, b: float, tx: float, ty: float) -> np.ndarray:
     """An image (height, width, channels) under x' = a x - b y + tx, y' = b x + a y + ty: each output pixel is read bilinearly where it comes from, edges held."""
     h, w = image.shape[:2]
-    y, x = np.mgrid[:h, :w]
-    scale = a * a + b * b
-    sx, sy = (a * (x - tx) + b * (y - ty)) / scale, (a * (y - ty) - b * (x - tx)) / scale
-    x0, y0 = np.floor(sx), np.floor(sy)
-    fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
-    left, right = (np.clip(x0 + i, 0, w - 1).astype(int) for i in (0, 1))
-    upper, lower = (np.clip(y0 + i, 0, h - 1).astype(int) for i in (0, 1))
-    top = image[upper, left] * (1 - fx) + image[upper, right] * fx
-    bottom = image[lower, left] * (1 - fx) + image[lower, right] * fx
-    return top * (1 - fy) + bottom * fy
+    if a == 1 and b == 0:  # a shift: one row and one column of weights
+        (x0, fx), (y0, fy) = (_split(np.arange(n) - t) for n, t in ((w, tx), (h, ty)))
+        (left, right), (upper, lower) = ([np.clip(v + i, 0, n - 1) for i in (0, 1)] for v, n in ((x0, w), (y0, h)))
+        across = image[:, left] * (1 - fx)[None, :, None] + image[:, right] * fx[None, :, None]
+        return across[upper] * (1 - fy)[:, None, None] + across[lower] * fy[:, None, None]
+    out, scale = np.empty_like(image), a * a + b * b
+    x = np.arange(w)
+    for top in range(0, h, BAND):  # what a band needs stays in the cache
+        y = np.arange(top, min(top + BAND, h))[:, None]
+        (x0, fx), (y0, fy) = _split((a * (x - tx) + b * (y - ty)) / scale), _split((a * (y - ty) - b * (x - tx)) / scale)
+        (left, right), (upper, lower) = ([np.clip(v + i, 0, n - 1) for i in (0, 1)] for v, n in ((x0, w), (y0, h)))
+        fx, fy = fx[..., None], fy[..., None]
+        above = image[upper, left] * (1 - fx) + image[upper, right] * fx
+        below = image[lower, left] * (1 - fx) + image[lower, right] * fx
+        out[top : top + BAND] = above * (1 - fy) + below * fy
+    return out
+
+
+def _split(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole parts and fractions."""
+    whole = np.floor(v)
+    return whole.astype(np.int64), v - whole
 
 
 def resample_frames(frames: DataFrame, keep: list[str], transform: list[str | Column], width: int, height: int, channels: int = 1, pixels: str = "pixels") -> DataFrame:
@@ -255,15 +269,6 @@ def resample_frames(frames: DataFrame, keep: list[str], transform: list[str | Co
     return map_frames(frames, keep, [pixels, *transform], made, "pixels array<double>")
 
 
-def resample_planes(frames: DataFrame, keep: list[str], transform: list[str | Column], width: int, height: int, pixels: str = "pixels") -> DataFrame:
-    """(keep, r, g, b): interleaved colour frames moved by their own ``transform``, a column for each plane."""
-
-    def made(v: np.ndarray, a: float, b: float, tx: float, ty: float) -> tuple:
-        return tuple(moved(v.reshape(height, width, 3).astype(float), a, b, tx, ty).reshape(-1, 3).T)
-
-    return map_frames(frames, keep, [pixels, *transform], made, "r array<double>, g array<double>, b array<double>")
-
-
 def stretched(image: np.ndarray, clip: float = SHADOW_CLIP, target: float = TARGET) -> np.ndarray:
     """An image (pixels, channels), 0 to 1, each channel stretched by its own parameters (see ``arrays.stretch_parameters``); samples that are
     not finite count in none and stay. A channel without finite samples stays."""
@@ -291,35 +296,42 @@ def stretched(image: np.ndarray, clip: float = SHADOW_CLIP, target: float = TARG
 
 
 def stretch_images(images: DataFrame, keep: list[str], channels: str | Column = "channels", clip: float = SHADOW_CLIP, target: float = TARGET, pixels: str = "pixels") -> DataFrame:
-    """(keep, pixels): whole images, a stack for example (``as_images``), with their stretch applied for good at full size, channel by channel."""
+    """(keep, pixels): whole images, a stack for example (``tiles.whole_images``), with their stretch applied for good at full size, channel by channel."""
     return map_frames(images, keep, [pixels, channels], lambda v, n: (stretched(v.reshape(-1, n), clip, target).ravel(),), "pixels array<double>")
 
 
-def inner_bounds(width: int, height: int, a: float, b: float, tx: float, ty: float) -> tuple[int, int, int, int]:
-    """(x0, y0, x1, y1), ends exclusive: a rectangle of the output in which every pixel of a moved frame comes from inside the frame; zeros if there is none.
+def with_inner_bounds(transforms: DataFrame, keep: list[str], width: int, height: int) -> DataFrame:
+    """(keep, x0, y0, x1, y1), ends exclusive: of every transform (a, b, tx, ty) a rectangle of the output in which every pixel of a moved frame comes from inside the
+    frame; zeros if there is none.
 
     The frame's four corners are moved; of their coordinates the two middle ones of each axis bound the rectangle, which shrinks by a pixel
     on all sides, four times at most, until its corners are read from inside.
     """
-    cx, cy = np.array([0, width - 1, 0, width - 1.0]), np.array([0, 0, height - 1, height - 1.0])
-    xs, ys = np.sort(a * cx - b * cy + tx), np.sort(b * cx + a * cy + ty)
-    x0, y0 = max(int(np.ceil(xs[1])), 0), max(int(np.ceil(ys[1])), 0)
-    x1, y1 = min(int(np.floor(xs[2])) + 1, width), min(int(np.floor(ys[2])) + 1, height)
-    for _ in range(5):
-        if x1 <= x0 or y1 <= y0:
-            break
-        px, py = np.array([x0, x1 - 1, x0, x1 - 1]), np.array([y0, y0, y1 - 1, y1 - 1])
-        scale = a * a + b * b
-        sx, sy = (a * (px - tx) + b * (py - ty)) / scale, (a * (py - ty) - b * (px - tx)) / scale
-        if (sx >= 0).all() and (sy >= 0).all() and (np.ceil(sx) < width).all() and (np.ceil(sy) < height).all():
-            return x0, y0, x1, y1
-        x0, y0, x1, y1 = x0 + 1, y0 + 1, x1 - 1, y1 - 1
-    return 0, 0, 0, 0
+    a, b, tx, ty = (F.col(c).cast("double") for c in ("a", "b", "tx", "ty"))
+    corners = [(x, y) for x in (0, width - 1) for y in (0, height - 1)]
+    xs = F.array_sort(F.array(*(a * x - b * y + tx for x, y in corners)))
+    ys = F.array_sort(F.array(*(b * x + a * y + ty for x, y in corners)))
 
+    def low(v: Column) -> Column:
+        return F.greatest(F.ceil(v[1]).cast("int"), F.lit(0))
 
-def with_inner_bounds(transforms: DataFrame, keep: list[str], width: int, height: int) -> DataFrame:
-    """(keep, x0, y0, x1, y1) of every transform (a, b, tx, ty)."""
-    return map_frames(transforms, keep, ["a", "b", "tx", "ty"], lambda *t: inner_bounds(width, height, *t), "x0 int, y0 int, x1 int, y1 int")
+    def high(v: Column, size: int) -> Column:
+        return F.least(F.floor(v[2]).cast("int") + 1, F.lit(size))
+
+    moved = transforms.withColumn("_box", F.struct(low(xs).alias("x0"), low(ys).alias("y0"), high(xs, width).alias("x1"), high(ys, height).alias("y1")))
+    scale = a * a + b * b
+
+    def inside(x: Column, y: Column) -> Column:
+        sx, sy = (a * (x - tx) + b * (y - ty)) / scale, (a * (y - ty) - b * (x - tx)) / scale
+        return (sx >= 0) & (sy >= 0) & (F.ceil(sx) < width) & (F.ceil(sy) < height)
+
+    tried = []
+    for k in range(5):
+        x0, y0, x1, y1 = F.col("_box.x0") + k, F.col("_box.y0") + k, F.col("_box.x1") - k, F.col("_box.y1") - k
+        fits = (x1 > x0) & (y1 > y0) & inside(x0, y0) & inside(x1 - 1, y0) & inside(x0, y1 - 1) & inside(x1 - 1, y1 - 1)
+        tried.append(F.when(fits, F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))))
+    none = F.struct(*(F.lit(0).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return moved.withColumn("_box", F.coalesce(*tried, none)).select(*keep, "_box.*")
 
 
 def star_overlay(stars: DataFrame, keep: list[str]) -> DataFrame:

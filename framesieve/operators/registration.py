@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from framesieve.functions.geometry import compose, transform
 from framesieve.functions.keywords import same_filter
-from framesieve.operators.frames import map_frames, resample_frames, resample_planes, with_inner_bounds
+from framesieve.operators.frames import map_frames, resample_frames, with_inner_bounds
 from framesieve.operators.matching import LEAST_SIDE, RATIO_TOLERANCE, VOTE_ANGLE, VOTE_SHIFT
-from framesieve.operators.stacking import clipped_mean, clipped_mean_rgb, long_form, long_planes, over_background, overlap
+from framesieve.operators.stacking import over_background, overlap
 from framesieve.operators.stars import clipped_background
+from framesieve.operators.tables import materialised
+from framesieve.operators.tiles import CLIP, combine_tiles, cut_tiles, pixel_rows, tile_pixels
 
 #: Longest side of the images that are correlated; radius, least matches, inlier distance, least inliers, trials, largest turn and shift.
 LONGEST_SIDE = 1024
@@ -49,16 +51,26 @@ def _vertex(before: float, at: float, after: float) -> float:
     return (before - after) / (2 * bend) if abs(bend) > 1e-10 else 0.0
 
 
+def _scaled(height: int, width: int) -> tuple[float, int, int]:
+    """(scale, height, width) of what is correlated of an image."""
+    scale = min(1.0, LONGEST_SIDE / max(height, width))
+    return scale, max(1, round(height * scale)), max(1, round(width * scale))
+
+
 def correlate(reference: np.ndarray, target: np.ndarray) -> tuple[float, float]:
     """(dx, dy) of the target against the reference from the peak of their phase correlation under a Hann window; of equal peaks the last."""
-    h, w = reference.shape
-    scale = min(1.0, LONGEST_SIDE / max(h, w))
-    height, width = max(1, round(h * scale)), max(1, round(w * scale))
+    scale, height, width = _scaled(*reference.shape)
+    return correlate_reduced(_reduced(reference, height, width), _reduced(target, height, width), scale)
+
+
+def correlate_reduced(reference: np.ndarray, target: np.ndarray, scale: float) -> tuple[float, float]:
+    """``correlate`` of images that are reduced by ``scale`` already."""
+    height, width = reference.shape
     window = np.outer(np.hanning(height), np.hanning(width))
-    a, b = (np.fft.fft2(_reduced(x, height, width) * window) for x in (reference, target))
+    a, b = (np.fft.rfft2(x * window) for x in (reference, target))
     cross = a * b.conj()
     size = np.abs(cross)
-    surface = np.fft.ifft2(np.where(size > 1e-10, cross / np.where(size > 1e-10, size, 1), 0)).real
+    surface = np.fft.irfft2(np.where(size > 1e-10, cross / np.where(size > 1e-10, size, 1), 0), s=(height, width))
     y, x = divmod(surface.size - 1 - int(np.argmax(surface.ravel()[::-1])), width)
     dx = x + (_vertex(*surface[y, x - 1 : x + 2]) if 0 < x < width - 1 else 0.0)
     dy = y + (_vertex(*surface[y - 1 : y + 2, x]) if 0 < y < height - 1 else 0.0)
@@ -259,6 +271,8 @@ def matched_turns(frames: DataFrame, stars: DataFrame, by: str, key: str, observ
     return pairs.join(found, "pair").select(by, key, F.abs(F.degrees(F.atan2("b", "a"))).alias("matched_turn"))
 
 
+#: Bytes of all reduced references up to which they are broadcast; parts into which a group's frames are dealt beyond.
+BROADCAST_BYTES, SALTS = 64 << 20, 16
 #: Fixed value: turns from which a frame is read through its transform; below, it is only shifted.
 LEAST_TURN = 0.001
 
@@ -269,21 +283,39 @@ def contributions(frames: DataFrame, references: DataFrame, by: str, key: str, w
     frames: by, key, filter, pixels (luminance of one size); references: one key per group and, where it is not the reference's own, the
     ``wanted_filter``. A frame of another filter is out (FilterMismatch; the reference never is, an unknown filter matches). The others are correlated
     with the reference. With ``stars`` (by, key, star_id, x, y) they are turned and shifted by the transform of their matched stars, and a frame whose
-    stars do not confirm one is out (AlignmentFailed); without, they are only shifted. One map finds background and shift of a frame, whose
-    reference is a broadcast-sized table of one frame for each group.
+    stars do not confirm one is out (AlignmentFailed); without, they are only shifted.
+
+    One map reduces every frame to its background and an image of LONGEST_SIDE pixels a side at most; only these meet the references', which are broadcast where all of
+    them take BROADCAST_BYTES at most (one a group, of known size), and else dealt by group and salt, so that a large group is not one task's.
     """
     own = references.select(by, F.col(key).alias("reference"), *(["wanted_filter"] if "wanted_filter" in references.columns else []))
-    chosen = frames.join(own, [by]).where(F.col(key) == F.col("reference"))
-    chosen = chosen.select(by, "reference", F.col("wanted_filter" if "wanted_filter" in own.columns else "filter").alias("wanted"), F.col("pixels").alias("base"))
-    paired = frames.join(chosen, by)
+    scale, high, wide = _scaled(height, width)
+
+    def reduced(v: np.ndarray | None) -> tuple:
+        if v is None:
+            return None, None
+        image = v.astype(float)
+        return clipped_background(image[::8])[0], _reduced(image.reshape(height, width), high, wide).ravel()
+
+    small = map_frames(frames, [by, key, "filter"], ["pixels"], reduced, "background_level double, target array<double>")
+    first = frames.select(by, key, "filter", "pixels").join(own, by).where(F.col(key) == F.col("reference"))
+    wanted = F.col("wanted_filter" if "wanted_filter" in own.columns else "filter").alias("wanted")
+    base = map_frames(first.withColumn("wanted", wanted), [by, "reference", "wanted"], ["pixels"], lambda v: (reduced(v)[1],), "base array<double>")
+    if references.count() * high * wide * 8 <= BROADCAST_BYTES:
+        paired = small.join(F.broadcast(base), by)
+    else:
+        salted = base.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        paired = small.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, [by, "_salt"])
 
-    def measured(target: np.ndarray, base: np.ndarray) -> tuple:
-        dx, dy = correlate(base.reshape(height, width), target.reshape(height, width))
-        return clipped_background(target[::8])[0], dx, dy
+    def measured(target: np.ndarray | None, base: np.ndarray | None) -> tuple:
+        if target is None or base is None:
+            return None, None
+        return correlate_reduced(base.reshape(high, wide), target.reshape(high, wide), scale)
 
-    wanted = same_filter(F.col("wanted"), F.col("filter")) | (F.col(key) == F.col("reference"))
-    marked = map_frames(paired.withColumn("in", wanted), [by, key, "in", "reference"], ["pixels", "base"], measured, "background_level double, dx double, dy double")
+    same = same_filter(F.col("wanted"), F.col("filter")) | (F.col(key) == F.col("reference"))
+    marked = map_frames(paired.withColumn("in", same), [by, key, "in", "reference", "background_level"], ["target", "base"], measured, "dx double, dy double")
     if stars is not None:
+        marked = materialised(marked)
         theirs = stars.join(own, by).where(F.col(key) == F.col("reference"))
         pairs = marked.select(by, key, "dx", "dy").withColumn("pair", F.xxhash64(by, key))
         left = stars.join(pairs, [by, key]).select("pair", "star_id", "x", "y")
@@ -294,7 +326,7 @@ def contributions(frames: DataFrame, references: DataFrame, by: str, key: str, w
     else:
         marked = marked.withColumns({"a": F.lit(1.0), "b": F.lit(0.0), "tx": -F.col("dx"), "ty": -F.col("dy")})
     still = F.col(key) == F.col("reference")
-    reason = F.when(~F.col("in"), "FilterMismatch").when(~still & F.col("a").isNull(), "AlignmentFailed")
+    reason = F.when(~F.col("in"), "FilterMismatch").when(F.col("background_level").isNull() | (~still & (F.col("a").isNull() | F.col("tx").isNull())), "AlignmentFailed")
     return marked.select(
         by, key, reason.isNull().alias("included"), reason.alias("exclusion_reason"), "background_level", *(F.when(still, 1.0 if c == "a" else 0.0).otherwise(F.col(c)).alias(c) for c in ("a", "b", "tx", "ty"))
     )
@@ -346,24 +378,36 @@ def across_groups(contributed: DataFrame, crossed: DataFrame, by: str, group: st
     return joined.select(by, group, key, (F.col("included") & F.col("_solved")).alias("included"), reason.alias("exclusion_reason"), "background_level", "_both.*")
 
 
-def stack_frames(frames: DataFrame, contributed: DataFrame, by: str, key: str, width: int, height: int, crop: bool = True, channels: int = 1) -> DataFrame:
-    """(by, x, y, n, kept, stacked): the included frames of a group over their backgrounds, moved onto the reference and combined by a clipped mean.
+def stack_tiles(frames: DataFrame, contributed: DataFrame, by: str, key: str, width: int, height: int, channels: int = 1, clip: float = CLIP) -> DataFrame:
+    """(by, first, n, mean, sigma, kept, stacked) of ``combine_tiles``: the included frames of a group over their backgrounds, moved onto the reference and combined.
 
-    contributed: as ``contributions`` or ``across_groups`` gives it. Frames of three channels (interleaved) give (by, x, y, kept, r, g, b). Transforms
-    that turn by less than LEAST_TURN only shift. With ``crop`` only the rectangle stays that every frame covers with pixels of its own. Moving is
-    one map per frame; only the mean by pixel shuffles, aggregated before it does.
+    contributed: as ``contributions`` or ``across_groups`` gives it. Transforms that turn by less than LEAST_TURN only shift. One map moves a frame and cuts it into tiles, which
+    are shuffled once; the tile's size follows from the largest group, so a task's memory does not.
     """
+    used = _used(contributed, by, key)
+    most = used.groupBy(by).count().agg(F.max("count")).first()[0] or 1
+    level = frames.select(by, key, "pixels").join(used, [by, key]).withColumn("pixels", over_background(F.col("pixels"), F.col("background_level")))
+    placed = resample_frames(level, [by, key], ["a", "b", "tx", "ty"], width, height, channels)
+    return combine_tiles(cut_tiles(placed, [by], tile_pixels(most, channels), channels), [by], channels, clip)
+
+
+def _used(contributed: DataFrame, by: str, key: str) -> DataFrame:
     turned = (F.abs(F.atan2("b", "a")) >= LEAST_TURN) | (F.col("a") < 0.5)
     plain = {"a": F.when(turned, F.col("a")).otherwise(1.0), "b": F.when(turned, F.col("b")).otherwise(0.0)}
-    used = contributed.where("included").select(by, key, "background_level", "a", "b", "tx", "ty").withColumns(plain)
-    level = frames.select(by, key, "pixels").join(used, [by, key]).withColumn("pixels", over_background(F.col("pixels"), F.col("background_level")))
-    if channels == 3:
-        placed = resample_planes(level, [by, key], ["a", "b", "tx", "ty"], width, height)
-        combined = clipped_mean_rgb(long_planes(placed, [by], width), [by, "x", "y"])
-    else:
-        placed = resample_frames(level, [by, key], ["a", "b", "tx", "ty"], width, height)
-        combined = clipped_mean(long_form(placed, [by], width), [by, "x", "y"])
+    return contributed.where("included").select(by, key, "background_level", "a", "b", "tx", "ty").withColumns(plain)
+
+
+def stack_frames(frames: DataFrame, contributed: DataFrame, by: str, key: str, width: int, height: int, crop: bool = True, channels: int = 1) -> DataFrame:
+    """(by, x, y, n, kept, stacked), a row a pixel of ``stack_tiles``; frames of three channels (interleaved) give (by, x, y, kept, r, g, b).
+
+    With ``crop`` only the rectangle stays that every frame covers with pixels of its own. ``contributed``, a few numbers a frame, is computed once.
+    """
+    contributed = materialised(contributed)
+    tiles = stack_tiles(frames, contributed, by, key, width, height, channels)
+    columns, names = (["kept"], {"r": 0, "g": 1, "b": 2}) if channels == 3 else (["n", "kept"], {"stacked": 0})
+    rows = pixel_rows(tiles, [by], columns, names)
+    combined = rows.select(by, (F.col("i") % width).cast("int").alias("x"), F.expr(f"i div {width}").cast("int").alias("y"), *columns, *names)
     if not crop:
         return combined
-    box = overlap(with_inner_bounds(used, [by], width, height), by)
+    box = overlap(with_inner_bounds(_used(contributed, by, key), [by], width, height), by)
     return combined.join(box, by).where("x >= x0 AND x < x1 AND y >= y0 AND y < y1").select(*combined.columns)

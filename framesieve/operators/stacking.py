@@ -1,39 +1,15 @@
-"""Combining aligned frames pixel by pixel, and what a stack reports."""
+"""What a stack reports, and statistics of pixels in long form; ``tiles`` combines the frames."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Deviations within which a pixel's value counts.
-CLIP = 2.5
-
-
 def pixel_statistics(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """(keys, n, mean, sigma): over the frames at each pixel; the sample deviation, 0 for one frame."""
     return pixels.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sigma"))
 
 
-def clipped_mean(pixels: DataFrame, keys: list[str], value: str = "v", clip: float = CLIP) -> DataFrame:
-    """(keys, n, kept, stacked): the mean of the values within ``clip`` deviations of the pixel's mean; 0 if none is.
-
-    The first pass is aggregated before its shuffle; its statistics, one row per pixel, are joined back.
-    """
-    stats = pixel_statistics(pixels, keys, value)
-    near = (F.col("sigma") < 1e-10) | (F.abs(F.col(value) - F.col("mean")) <= clip * F.col("sigma"))
-    joined = pixels.join(stats, keys)
-    kept = joined.groupBy(*keys).agg(F.max("n").alias("n"), F.count(F.when(near, F.col(value))).alias("kept"), F.coalesce(F.avg(F.when(near, F.col(value))), F.lit(0.0)).alias("stacked"))
-    return kept
-
-
-def clipped_mean_rgb(pixels: DataFrame, keys: list[str], clip: float = CLIP) -> DataFrame:
-    """(keys, kept, r, g, b): means of the frames whose green value is within ``clip`` deviations of its mean."""
-    stats = pixel_statistics(pixels, keys, "g")
-    near = (F.col("sigma") < 1e-10) | (F.abs(F.col("g") - F.col("mean")) <= clip * F.col("sigma"))
-    means = [F.coalesce(F.avg(F.when(near, F.col(c))), F.lit(0.0)).alias(c) for c in "rgb"]
-    return pixels.join(stats, keys).groupBy(*keys).agg(F.count(F.when(near, 1)).alias("kept"), *means)
-
-
 #: From which fraction on a sample of each depth counts as clipped; samples between those that a histogram takes.
 CLIPPED, HISTOGRAM_STEP = {"u8": 253 / 255, "u16": 65208 / 65535, "f32": 0.995}, 16
 
@@ -116,16 +92,3 @@ def long_form(frames: DataFrame, keep: list[str], width: int, pixels: str = "pix
     """(keep, x, y, v): one row a pixel."""
     long = frames.select(*keep, F.posexplode(pixels).alias("i", "v"))
     return long.select(*keep, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "v")
-
-
-def long_planes(frames: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """(keep, x, y, r, g, b): one row a pixel of frames with a column for each plane."""
-    long = frames.select(*keep, F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "p"))
-    return long.select(*keep, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "p.r", "p.g", "p.b")
-
-
-def as_images(stacked: DataFrame, by: str, values: list[str]) -> DataFrame:
-    """(by, width, height, channels, pixels): each group's pixels, a whole rectangle in long form, as one image; its values interleaved. One image is one row, as everywhere."""
-    samples = F.array(*(F.col(v).cast("double") for v in values))
-    rows = stacked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("y", "x", samples.alias("v")))).alias("s"), *((F.max(c) - F.min(c) + 1).cast("int").alias(n) for c, n in (("x", "width"), ("y", "height"))))
-    return rows.select(by, "width", "height", F.lit(len(values)).alias("channels"), F.flatten("s.v").alias("pixels"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,17 @@ def small_table(df: DataFrame, most: int = SMALL) -> DataFrame:
     return df if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and read from the session's spark.checkpoint.dir from now on, which outlives executors. Only a local master may leave it unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return df.checkpoint()
+
+
 def not_loaded(candidates: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
     """Candidates whose key is not among the loaded ones."""
     return candidates.join(loaded.select(key), key, "left_anti")

@@ -9,6 +9,7 @@ from framesieve.functions import arrays as A
 from framesieve.operators import frames as FR
 from framesieve.operators import registration as R
 from framesieve.operators import stacking as ST
+from framesieve.operators import tiles as TI
 from framesieve.plans import sql
 from framesieve.plans.session_queries import rounded
 from framesieve.sources.adapters import SIDE, images, pixels
@@ -73,8 +74,8 @@ SELECT vec_id, p.i, round(v / greatest(f / m, 0.1), 6) AS v FROM pixels p JOIN f
 )
 def q_flat_divide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image over the mean image of its label."""
-    means = pixels(spark, sf_dir).groupBy("label", "i").agg(F.avg("v").alias("f"))
-    flats = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda s: s["f"]).alias("flat"))
+    means = TI.stack_arrays(images(spark, sf_dir), ["label"], clip=1e9)
+    flats = TI.whole_images(means, ["label"], SIDE).select("label", F.col("pixels").alias("flat"))
     joined = images(spark, sf_dir).join(flats, "label")
     return rounded(_long(joined.select("vec_id", A.flat_divide(F.col("pixels"), F.col("flat")).alias("v")), "v"))
 
@@ -139,8 +140,8 @@ SELECT vec_id AS label, i, round(CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1 WHEN
 )
 def q_stretched_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean image of each label as one image, its stretch kept."""
-    means = pixels(spark, sf_dir).groupBy("label", "x", "y").agg(F.avg("v").alias("v"))
-    kept = FR.stretch_images(ST.as_images(means, "label", ["v"]), ["label"], F.lit(1))
+    means = TI.stack_arrays(images(spark, sf_dir), ["label"], clip=1e9)
+    kept = FR.stretch_images(TI.whole_images(means, ["label"], SIDE), ["label"], F.lit(1))
     return rounded(kept.select("label", F.posexplode("pixels").alias("i", "v")))
 
 
@@ -220,7 +221,8 @@ FROM pixels p JOIN s ON s.label = p.label AND s.x = p.x AND s.y = p.y GROUP BY A
 )
 def q_clipped_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of a label stacked, each pixel's mean taken within 1.5 deviations."""
-    return rounded(ST.clipped_mean(pixels(spark, sf_dir), ["label", "x", "y"], clip=1.5))
+    rows = TI.pixel_rows(TI.stack_arrays(images(spark, sf_dir), ["label"], clip=1.5), ["label"], ["n", "kept", "stacked"])
+    return rounded(rows.select("label", (F.col("i") % SIDE).cast("int").alias("x"), F.expr(f"i div {SIDE}").cast("int").alias("y"), F.col("n").cast("long").alias("n"), F.col("kept").cast("long").alias("kept"), "stacked"))
 
 
 @query(
@@ -230,9 +232,9 @@ SELECT label, p::INT AS p, count(*) FILTER (near) AS kept, round(coalesce(avg(r)
 )
 def q_clipped_mean_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour: the green sample decides for all three."""
-    rgb = images(spark, sf_dir).select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("p"), "pixels")
-    samples = rgb.select("label", "p", *(F.get("pixels", F.col("p") * 3 + k).alias(c) for k, c in enumerate("rgb")))
-    return rounded(ST.clipped_mean_rgb(samples, ["label", "p"]))
+    rgb = images(spark, sf_dir).select("label", F.slice("pixels", 1, 63).alias("pixels"))
+    rows = TI.pixel_rows(TI.stack_arrays(rgb, ["label"], channels=3), ["label"], ["kept"], {"r": 0, "g": 1, "b": 2})
+    return rounded(rows.select("label", F.col("i").cast("int").alias("p"), F.col("kept").cast("long").alias("kept"), "r", "g", "b"))
 
 
 @query(f"{PX}, s AS (SELECT label, x, y, count(*) FILTER (v > 0.6) AS n FROM pixels GROUP BY ALL) SELECT label, count(*) FILTER (n < 2) AS low FROM s GROUP BY 1")

@@ -33,13 +33,16 @@ def test_moved():
     assert np.array_equal(FR.moved(colour, 1, 0, 0, 0), colour)
 
 
-def test_inner_bounds():
-    assert FR.inner_bounds(40, 30, 1, 0, 0, 0) == (0, 0, 40, 30)
-    assert FR.inner_bounds(40, 30, 1, 0, 3, -2) == (3, 0, 40, 28)
-    assert FR.inner_bounds(40, 30, 1, 0, 100, 0) == (0, 0, 0, 0)
+def test_inner_bounds(spark):
+    def inner_bounds(width, height, *t):
+        return tuple(FR.with_inner_bounds(spark.createDataFrame([tuple(map(float, t))], "a double, b double, tx double, ty double"), [], width, height).first())
+
+    assert inner_bounds(40, 30, 1, 0, 0, 0) == (0, 0, 40, 30)
+    assert inner_bounds(40, 30, 1, 0, 3, -2) == (3, 0, 40, 28)
+    assert inner_bounds(40, 30, 1, 0, 100, 0) == (0, 0, 0, 0)
     for angle, tx, ty in ((0.004, 5.3, -7.2), (-0.008, 0.5, 0.5), (np.pi, 399, 299)):
         a, b = np.cos(angle), np.sin(angle)
-        x0, y0, x1, y1 = FR.inner_bounds(400, 300, a, b, tx, ty)
+        x0, y0, x1, y1 = inner_bounds(400, 300, a, b, tx, ty)
         ones = FR.moved(np.pad(np.ones((300, 400, 1)), 0), a, b, tx, ty)
         y, x = np.mgrid[y0:y1, x0:x1]
         sx, sy = a * (x - tx) + b * (y - ty), a * (y - ty) - b * (x - tx)
@@ -145,13 +148,13 @@ def test_heat_map(spark):
 
 
 def test_stretch_of_whole_images(spark):
-    from framesieve.operators.stacking import as_images
+    from framesieve.operators.tiles import combine_tiles, cut_tiles, whole_images
 
     rng = np.random.default_rng(4)
     v = np.clip(rng.normal(0.1, 0.03, (12, 10, 3)), 0, 1)
     v[..., 1] = 0.25  # a flat channel
-    long = spark.createDataFrame([("k", x, y, *map(float, v[y, x])) for y in range(12) for x in range(10)], "grp string, x int, y int, r double, g double, b double").repartition(4)
-    images = as_images(long, "grp", ["r", "g", "b"])
+    one = spark.createDataFrame([("k", v.ravel().tolist())], "grp string, pixels array<double>")
+    images = whole_images(combine_tiles(cut_tiles(one, ["grp"], 7, 3), ["grp"], 3), ["grp"], 10, 3)
     row = images.first()
     assert (row.width, row.height, row.channels) == (10, 12, 3) and np.array_equal(np.array(row.pixels).reshape(12, 10, 3), v)
     out = np.array(FR.stretch_images(images, ["grp", "width", "height", "channels"]).first().pixels).reshape(-1, 3)
