@@ -36,7 +36,7 @@ LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
 #: Occurrences from which on an anchor's strings go singly.
 HOT = 20_000
 #: What a task holds before it sends: anchors, segments' occurrences, their bytes, strings.
-HELD_ANCHORS, HELD_SEGMENTS, HELD_BYTES, HELD_STRINGS = 1_000_000, 400_000, 8 << 20, 800_000
+HELD_ANCHORS, HELD_SEGMENTS, HELD_BYTES, HELD_STRINGS = 1_000_000, 600_000, 24 << 20, 800_000
 #: Most bytes of a broadcast filter, bits for each anchor, probes.
 FILTER_BYTES, BITS_EACH, PROBES = 128 << 20, 12, 5
 #: Bytes of what one task merges at a time, and of texts looked at in one step.
@@ -218,6 +218,7 @@ class _Shard:
         self.segments: list[list[np.ndarray]] = []
         self.texts: list[np.ndarray] = []
         self.strings: list[list[np.ndarray]] = []
+        self.texts_of: set[tuple[int, int]] = set()
         self.n_segments = self.n_bytes = self.n_strings = 0
 
     def full(self) -> bool:
@@ -236,7 +237,11 @@ class _Shard:
         order = np.lexsort([content, piece.anchor[own]])
         anchor, content = piece.anchor[own][order], content[order]
         fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))[: len(order)]
-        size = np.where(fresh, (end - first)[order], 0)  # the text of an occurrence that is not the batch's first is not kept
+        one = np.flatnonzero(fresh)
+        pairs = list(zip(anchor[one].tolist(), content[one].tolist(), strict=True))
+        fresh[one] = [pair not in self.texts_of for pair in pairs]
+        self.texts_of.update(pairs)
+        size = np.where(fresh, (end - first)[order], 0)  # the text of an occurrence that is not the shard's first is not kept
         at = np.repeat(first[order] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
         self.texts.append(piece.data[at])
         self.segments.append(
@@ -255,11 +260,15 @@ class _Shard:
     def sent(self, ranges: int, buckets: int, parts: int) -> pa.RecordBatch:
         found, out = [], []
         if self.n_segments:
-            own, text, spans = self._transform()
+            own, data, begin, spans = self._transform()
             found.append(spans)
             size = own[4].astype(np.int64) + own[5]
-            ends = np.append(0, np.cumsum(size))
-            out += _by_range(own[0], ranges, parts, _SEGMENTS, lambda a, b: _compressed(np.int64(b - a).tobytes() + _joined([x[a:b] for x in own]) + text[ends[a] : ends[b]].tobytes()))
+
+            def packed(a: int, b: int) -> bytes:
+                at = np.repeat(begin[a:b] - np.append(0, np.cumsum(size[a:b])[:-1]), size[a:b]) + np.arange(size[a:b].sum())
+                return _compressed(np.int64(b - a).tobytes() + _joined([x[a:b] for x in own]) + data[at].tobytes())
+
+            out += _by_range(own[0], ranges, parts, _SEGMENTS, packed)
         if self.n_strings:
             h, m, d, r, p = (np.concatenate(x) for x in zip(*self.strings, strict=True))
             order = np.lexsort([m, h])
@@ -274,10 +283,11 @@ class _Shard:
             out += _span_rows(spans, buckets, parts)
         return _sent(iter(out))
 
-    def _transform(self) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-        """(the shard's different segments by anchor and the text that follows, their texts, spans of the segments that it holds more than once)."""
+    def _transform(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(the shard's different segments by anchor and the text that follows, texts, where in them each segment's is, spans of the segments that the shard holds more than once)."""
         anchor, content, ids, rows, place, left, right, size = (np.concatenate(x) for x in zip(*self.segments, strict=True))
         data = np.concatenate(self.texts)
+        self.texts, self.texts_of = [], set()
         begin = np.append(0, np.cumsum(size)[:-1])
         order = np.lexsort([size == 0, content, anchor])  # an occurrence whose text is kept before those whose is not
         fresh = np.flatnonzero(np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])))
@@ -289,9 +299,7 @@ class _Shard:
         rank = np.argsort(np.ascontiguousarray(follows).view(f"S{RIGHT}").ravel(), kind="stable")
         rank = rank[np.argsort(anchor[one][rank], kind="stable")]
         one, known = one[rank], known[rank]
-        length = size[one]
-        at = np.repeat(begin[one] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
-        return [anchor[one], ids[one], rows[one], place[one], left[one], right[one], known], data[at], spans
+        return [anchor[one], ids[one], rows[one], place[one], left[one], right[one], known], data, begin[one], spans
 
 
 def _range_hashes(wide: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
