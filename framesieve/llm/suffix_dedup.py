@@ -133,7 +133,7 @@ class _Piece:
         at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         fresh = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         self.place, self.first, self.last = at[fresh], starts[fresh], starts[np.append(fresh[1:], len(starts)) - 1]
-        self.anchor = hashes[self.place]
+        self.anchor = mix64(hashes[self.place])  # least hashes lie low; mixed, they spread over all ranges
         self.owner = np.searchsorted(self.offsets, self.place, "right") - 1
 
 
