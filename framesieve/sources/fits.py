@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -34,11 +36,23 @@ def read_header(data: bytes) -> tuple[dict[str, tuple[str, str | None]], int]:
     raise ValueError("no END card")
 
 
-def read(data: bytes, pixels: bool = True) -> dict:
-    """width, height, channels, bit_depth, color_space, keywords and (if asked for) interleaved samples.
+@dataclass
+class Layout:
+    """Where a file's samples are and what makes values of them."""
+
+    start: int
+    size: int
+    dtype: np.dtype
+    planar: bool
+    compression: str | None
+    values: Callable[[np.ndarray], np.ndarray]
+    by_top: bool  # the values depend on the image's largest sample
+
+
+def describe(data: bytes) -> tuple[dict, Layout]:
+    """(width, height, channels, bit_depth, color_space, keywords, and pixels: None; layout) of a file or its header.
 
-    16-bit integers with the usual zero point are u16, other signed ones are held to 0..65535, 32-bit ones keep their
-    high half; floats that were stored as whole numbers come down to 0..1.
+    16-bit integers with the usual zero point are u16, other signed ones are held to 0..65535, 32-bit ones keep their high half.
     """
     cards, start = read_header(data)
     number = lambda name, default: float(cards.get(name, (str(default), None))[0])
@@ -50,19 +64,32 @@ def read(data: bytes, pixels: bool = True) -> dict:
     keywords = {k: v for k, v in cards.items() if not STRUCTURE.match(k)}
     depth = {8: "u8", 16: "u16", 32: "u16"}.get(bits, "f32")
     space = "RGB" if channels == 3 else "Bayer" if "BAYERPAT" in cards else "Mono"
+
+    def values(raw: np.ndarray) -> np.ndarray:
+        if bits == 32:
+            return np.clip((raw.astype(np.float64) * scale + zero), 0, 2**32 - 1) // 65536 if zero else np.clip(raw, 0, 65535)
+        if bits == 16:
+            return np.clip(raw.astype(np.float64) * scale + zero, 0, 65535)
+        return raw.astype(np.float64) * scale + zero
+
+    dtype = np.dtype(_DTYPE[bits])
     out = {"width": width, "height": height, "channels": channels, "bit_depth": depth, "color_space": space, "keywords": keywords, "pixels": None}
+    return out, Layout(start, width * height * channels * dtype.itemsize, dtype, True, None, values, depth == "f32")
+
+
+def over_top(values: np.ndarray, top: float) -> np.ndarray:
+    """Floats that were stored as whole numbers, told by the image's largest, come down to 0..1."""
+    return values / 65535 if top > 255 else values / 255 if top > 1.5 else values
+
+
+def read(data: bytes, pixels: bool = True) -> dict:
+    """What ``describe`` gives and (if asked for) interleaved samples."""
+    out, layout = describe(data)
     if pixels:
-        raw = np.frombuffer(data, _DTYPE[bits], width * height * channels, start)
-        if bits == 32:
-            values = np.clip((raw.astype(np.float64) * scale + zero), 0, 2**32 - 1) // 65536 if zero else np.clip(raw, 0, 65535)
-        elif bits == 16:
-            values = np.clip(raw.astype(np.float64) * scale + zero, 0, 65535)
-        else:
-            values = raw.astype(np.float64) * scale + zero
-        if depth == "f32" and len(values):
-            top = np.nanmax(values)
-            values = values / 65535 if top > 255 else values / 255 if top > 1.5 else values
-        out["pixels"] = values.reshape(channels, height * width).T.ravel().astype(np.float32)
+        values = layout.values(np.frombuffer(data, layout.dtype, out["width"] * out["height"] * out["channels"], layout.start))
+        if layout.by_top and len(values):
+            values = over_top(values, np.nanmax(values))
+        out["pixels"] = values.reshape(out["channels"], -1).T.ravel().astype(np.float32)
     return out
 
 

@@ -7,6 +7,7 @@ session of any size is as many tasks as it has splits. Header-only scans list th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from xml.etree.ElementTree import ParseError
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,53 +15,40 @@ from pyspark.sql import functions as F
 
 from framesieve.functions.paths import basename
 from framesieve.sources import fits, xisf
+from framesieve.sources.files import ImageFile, store_of
 
 READERS = {"fit": fits.read, "fits": fits.read, "fts": fits.read, "xisf": xisf.read}
 SCHEMA = "path string, filename string, width int, height int, channels int, bit_depth string, color_space string, keywords map<string, struct<value: string, comment: string>>, pixels array<float>, error string"
 _FIELDS = [c.split(" ")[0] for c in "path, filename, width, height, channels, bit_depth, color_space, keywords, pixels, error".split(", ")]
 
 
-def _row(path: str, content: bytes, pixels: bool) -> dict:
+def _row(path: str, content: bytes) -> dict:
     row: dict = dict.fromkeys(_FIELDS) | {"path": path, "filename": path.rsplit("/", 1)[-1]}
     reader = READERS.get(path.rsplit(".", 1)[-1].lower())
     if reader is None:
         return row | {"error": "unsupported file type"}
     try:
-        image = reader(content, pixels)
-    except (ValueError, KeyError, IndexError) as e:
+        image = reader(content)
+    except (ValueError, KeyError, IndexError, ParseError) as e:
         return row | {"error": f"unreadable: {e}"}
     return row | image | {"keywords": {k: {"value": v, "comment": c} for k, (v, c) in image["keywords"].items()}}
 
 
-def _store(path: str):
-    """(file system, path in it) of a path or URI, as executors reach it."""
-    from pyarrow import fs
-
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[len("file:") :]
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
-def _head(path: str) -> bytes:
-    """The bytes of a file up to the end of its header."""
-    store, place = _store(path)
-    with store.open_input_file(place) as file:
-        if path.lower().endswith(".xisf"):
-            start = file.read(16)
-            return start + file.read(int.from_bytes(start[8:12], "little"))
-        parts = []
-        while len(block := file.read(fits.BLOCK)) == fits.BLOCK:
-            parts.append(block)
-            if any(block[at : at + fits.CARD].rstrip() == b"END" for at in range(0, fits.BLOCK, fits.CARD)):
-                break
-        return b"".join([*parts, block] if len(block) < fits.BLOCK else parts)
+def _head(path: str) -> dict:
+    """The row of a file of which the header alone is read."""
+    row: dict = dict.fromkeys(_FIELDS) | {"path": path, "filename": path.rsplit("/", 1)[-1]}
+    try:
+        with ImageFile(path) as file:
+            return row | file.image | {"keywords": {k: {"value": v, "comment": c} for k, (v, c) in file.image["keywords"].items()}}
+    except (ValueError, KeyError, IndexError, ParseError) as e:
+        return row | {"error": f"unreadable: {e}"}
 
 
 def _replace(path: str, data: bytes) -> None:
     """Writes a file so that it is there under its name only whole; nothing is left behind if that fails."""
     from uuid import uuid4
 
-    store, place = _store(path)
+    store, place = store_of(path)
     part = f"{place.rsplit('/', 1)[0]}/.{uuid4().hex}.part"
     try:
         with store.open_output_stream(part) as out:
@@ -83,11 +71,11 @@ def read_images(spark: SparkSession, paths: str | list[str], pixels: bool = True
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):  # one frame in memory at a time
-                yield pd.DataFrame([_row(path, content, True)], columns=_FIELDS)
+                yield pd.DataFrame([_row(path, content)], columns=_FIELDS)
 
     def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_row(path, _head(path), False) for path in batch["path"]], columns=_FIELDS)
+            yield pd.DataFrame([_head(path) for path in batch["path"]], columns=_FIELDS)
 
     return files.select("path", "content").mapInPandas(decoded, SCHEMA) if pixels else files.select("path").mapInPandas(headed, SCHEMA)
 
@@ -105,7 +93,7 @@ def update_headers(images: DataFrame) -> DataFrame:
                 given = given if isinstance(given, dict) else dict(given or {})
                 keywords = {k: (v["value"], v["comment"]) for k, v in given.items()}
                 try:
-                    store, place = _store(path)
+                    store, place = store_of(path)
                     with store.open_input_file(place) as file:
                         data = file.read()
                     _replace(path, xisf.write(xisf.read(data) | {"keywords": keywords}) if path.lower().endswith(".xisf") else fits.with_keywords(data, keywords))
@@ -145,7 +133,7 @@ def write_images(images: DataFrame, folder: str, kind: str = "fit", overwrite: b
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, base = _store(folder)
+        store, base = store_of(folder)
         store.create_dir(base, recursive=True)
         for batch in batches:
             for row in batch.to_dict("records"):

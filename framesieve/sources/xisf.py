@@ -8,6 +8,8 @@ from xml.etree import ElementTree
 import numpy as np
 import pyarrow as pa
 
+from framesieve.sources.fits import Layout
+
 SIGNATURE, ALIGN = b"XISF0100", 4096
 _DTYPE = {"UInt8": "<u1", "UInt16": "<u2", "UInt32": "<u4", "Float32": "<f4", "Float64": "<f8", "Byte": "<u1", "UShort": "<u2", "UInt": "<u4", "Float": "<f4", "Double": "<f8"}
 _SPACE = {"RGB": "RGB", "CFA": "Bayer"}
@@ -27,8 +29,8 @@ def _decompressed(data: bytes, how: str) -> bytes:
     return out
 
 
-def read(data: bytes, pixels: bool = True) -> dict:
-    """As the FITS reader gives it; 32-bit integers keep their high half. Data outside an attachment is an error."""
+def describe(data: bytes) -> tuple[dict, Layout]:
+    """As the FITS reader gives it; 32-bit integers keep their high half. Data outside an attachment is an error once it is read."""
     if data[:8] != SIGNATURE:
         raise ValueError("no XISF signature")
     length = int.from_bytes(data[8:12], "little")
@@ -46,17 +48,31 @@ def read(data: bytes, pixels: bool = True) -> dict:
     dtype = np.dtype(_DTYPE[kind])
     depth = "f32" if dtype.kind == "f" else "u8" if dtype.itemsize == 1 else "u16"
     out = {"width": width, "height": height, "channels": channels, "bit_depth": depth, "color_space": space, "keywords": keywords, "pixels": None}
-    if pixels:
-        place, *where = image.get("location", "").split(":")
-        if place != "attachment":
+    place, *where = image.get("location", "").split(":")
+    start, size = (int(where[0]), int(where[1])) if place == "attachment" else (-1, 0)
+    planar = image.get("pixelStorage", "Planar").lower() != "normal"
+
+    def values(raw: np.ndarray) -> np.ndarray:
+        if start < 0:
             raise ValueError(f"unsupported location: {place}")
-        raw = data[int(where[0]) : int(where[0]) + int(where[1])]
-        if how := image.get("compression"):
-            raw = _decompressed(raw, how)
-        values = np.frombuffer(raw, dtype, width * height * channels)
-        if dtype.itemsize == 4 and dtype.kind == "u":
-            values = values >> 16
-        if image.get("pixelStorage", "Planar").lower() != "normal":
+        return raw >> 16 if dtype.itemsize == 4 and dtype.kind == "u" else raw
+
+    return out, Layout(start, size, dtype, planar, image.get("compression"), values, False)
+
+
+def unpacked(data: bytes, layout: Layout) -> bytes:
+    """The samples' bytes, decompressed, of what is attached."""
+    return _decompressed(data, layout.compression) if layout.compression else data
+
+
+def read(data: bytes, pixels: bool = True) -> dict:
+    """What ``describe`` gives and (if asked for) interleaved samples."""
+    out, layout = describe(data)
+    if pixels:
+        channels = out["channels"]
+        raw = unpacked(data[layout.start : layout.start + layout.size], layout) if layout.start >= 0 else b""
+        values = layout.values(np.frombuffer(raw, layout.dtype, out["width"] * out["height"] * channels if raw else 0))
+        if layout.planar:
             values = values.reshape(channels, -1).T.ravel()
         out["pixels"] = values.astype(np.float32)
     return out
