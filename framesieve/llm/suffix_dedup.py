@@ -36,11 +36,11 @@ LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
 #: Occurrences from which on an anchor's strings go singly.
 HOT = 20_000
 #: What a task holds before it sends: anchors, segments' occurrences, their bytes, strings.
-HELD_ANCHORS, HELD_SEGMENTS, HELD_BYTES, HELD_STRINGS = 1_000_000, 600_000, 24 << 20, 800_000
+HELD_ANCHORS, HELD_SEGMENTS, HELD_BYTES, HELD_STRINGS = 500_000, 300_000, 12 << 20, 300_000
 #: Most bytes of a broadcast filter, bits for each anchor, probes.
 FILTER_BYTES, BITS_EACH, PROBES = 128 << 20, 12, 5
 #: Bytes of what one task merges at a time, and of texts looked at in one step.
-RANGE_BYTES, PIECE_BYTES = 6 << 20, 1 << 19
+RANGE_BYTES, PIECE_BYTES = 4 << 20, 1 << 18
 
 _MARKS, _SEGMENTS, _STRINGS = 0, 1, 2
 _DEALT = "part int, rows array<struct<kind: int, range: int, packed: binary>>"
@@ -427,6 +427,7 @@ def _repeats(docs: DataFrame, held: BloomBits, hot: BloomBits | None, ranges: in
             if shard.full():
                 yield shard.sent(ranges, buckets, parts)
                 shard = _Shard()
+                pa.default_memory_pool().release_unused()
         yield shard.sent(ranges, buckets, parts)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
