@@ -406,7 +406,7 @@ def stack_frames(frames: DataFrame, contributed: DataFrame, by: str, key: str, w
     tiles = stack_tiles(frames, contributed, by, key, width, height, channels)
     columns, names = (["kept"], {"r": 0, "g": 1, "b": 2}) if channels == 3 else (["n", "kept"], {"stacked": 0})
     rows = pixel_rows(tiles, [by], columns, names)
-    combined = rows.select(by, (F.col("i") % width).cast("int").alias("x"), F.expr(f"i div {width}").cast("int").alias("y"), *columns, *names)
+    combined = rows.select(by, (F.col("i") % width).cast("int").alias("x"), F.expr(f"i div {width}").cast("int").alias("y"), *(F.col(c).cast("long").alias(c) for c in columns), *names)
     if not crop:
         return combined
     box = overlap(with_inner_bounds(_used(contributed, by, key), [by], width, height), by)

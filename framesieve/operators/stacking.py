@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framesieve.operators.ranges import exact_median
+
 def pixel_statistics(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """(keys, n, mean, sigma): over the frames at each pixel; the sample deviation, 0 for one frame."""
     return pixels.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sigma"))
@@ -25,7 +27,8 @@ def histogram_statistics(pixels: DataFrame, by: str, depth: str = "f32", value:
     """(by, median, mean, sigma, clipped): the population's deviation; clipped in percent, by the depth's level or a given one."""
     level = CLIPPED[depth] if clip is None else clip
     clipped = F.count(F.when(F.col(value) >= level, 1)) * 100.0 / F.count("*")
-    return pixels.groupBy(by).agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sigma"), clipped.alias("clipped"))
+    others = pixels.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sigma"), clipped.alias("clipped"))
+    return exact_median(pixels, [by], value).join(others, by).select(by, "median", "mean", "sigma", "clipped")
 
 
 def low_coverage(stats: DataFrame) -> Column:

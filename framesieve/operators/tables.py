@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framesieve.functions.paths import basename
-
 
 #: Rows up to which a table of statistics is taken into the plan as it is and broadcast; a larger one is joined by a shuffle.
 SMALL = 10_000
@@ -71,17 +69,18 @@ def count_files(files: DataFrame, by: str) -> DataFrame:
     return files.groupBy(by).agg(F.count("*").alias("files"))
 
 
-def nth_element(rows: DataFrame, by: str, value: str, share: float = 0.5) -> DataFrame:
-    """(by, value): the value at that share of the sorted ones, the lower of two; exact, partial counts before the shuffle."""
-    return rows.groupBy(by).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias(value))
-
-
 def find_by_name(rows: DataFrame, column: str, name: str | Column) -> DataFrame:
     """Rows of that name, capitals or not."""
     wanted = F.lit(name) if isinstance(name, str) else name
     return rows.where(F.lower(column) == F.lower(wanted))
 
 
+def join_by_name(left: DataFrame, left_name: str, right: DataFrame, right_name: str) -> DataFrame:
+    """Pairs of rows whose names are equal, capitals or not: a join on the lowered names. ``left`` and ``right`` share no column names."""
+    a, b = left.withColumn("_name", F.lower(left_name)), right.withColumn("_name", F.lower(right_name))
+    return a.join(b, "_name").drop("_name")
+
+
 def by_name(rows: DataFrame, column: str) -> DataFrame:
     """Rows in the order of their names, capitals or not; equal ones in code point order."""
     return rows.orderBy(F.lower(column), column)
@@ -107,10 +106,5 @@ def read_outcomes(loaded: DataFrame, unreadable: DataFrame, missing: DataFrame,
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def frame_index(files: DataFrame, by: str, path: str, loaded: str) -> DataFrame:
-    """files with ``frame_index``, from 0, by file name in code point order, then by the order of loading."""
-    return files.withColumn("frame_index", F.row_number().over(W.partitionBy(by).orderBy(basename(F.col(path)), loaded)) - 1)
-
-
 def clamped(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framesieve.functions import keywords as K
 from framesieve.operators import classify as C
 from framesieve.operators import grouping as G
+from framesieve.operators import ranges as RG
 from framesieve.operators import session_stats as S
 from framesieve.operators import tables as TB
 from framesieve.plans import sql
@@ -188,9 +189,8 @@ def q_master_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rotator_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame's turn against the frame before it, null if either angle is unknown."""
     h = headers(spark, sf_dir).select("event_id", "user_id", F.unix_timestamp("ts").alias("observed"), K.number(F.col("keywords"), "ROTATOR").alias("rotator"))
-    order = W.partitionBy("user_id").orderBy(F.col("observed").asc_nulls_first(), "event_id")
-    turned = h.withColumns({"turn": F.abs(F.col("rotator") - F.lag("rotator").over(order)), "n": F.row_number().over(order)})
-    return turned.where("n > 1").select("event_id", "user_id", "turn")
+    turned = RG.ranked(h, "user_id", [F.col("observed").asc_nulls_first(), F.col("event_id").asc()], "n", {"before": "rotator"})
+    return turned.where("n > 1").select("event_id", "user_id", F.abs(F.col("rotator") - F.col("before")).alias("turn"))
 
 
 @query(
@@ -212,7 +212,8 @@ def q_line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The FWHM's steps from frame to frame, outliers left out."""
     f = frames(spark, sf_dir).persist()
     clean = S.mark_outliers(f, S.session_stats(f)).where("NOT outlier")
-    return rounded(clean.select("session", "frame_id", (F.col("fwhm") - F.lag("fwhm").over(W.partitionBy("session").orderBy("frame_id"))).alias("step")))
+    placed = RG.ranked(clean.select("session", "frame_id", "fwhm"), "session", [F.col("frame_id").asc()], before={"before": "fwhm"})
+    return rounded(placed.select("session", "frame_id", (F.col("fwhm") - F.col("before")).alias("step")))
 
 
 @query(f"WITH {sql.CLASSIFIED} SELECT session, frame_id, star_count FROM classified QUALIFY row_number() OVER (PARTITION BY session ORDER BY star_count DESC, frame_id) <= 30")

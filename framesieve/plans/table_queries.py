@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framesieve.operators import classify as C
+from framesieve.operators import ranges as RG
 from framesieve.operators import session_stats as S
 from framesieve.operators import tables as TB
 from framesieve.plans import sql
@@ -91,14 +91,14 @@ def q_latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a session in the order of their file names; equal names keep the order in which they were loaded."""
     orders = _orders(spark, sf_dir).select("o_orderpriority", F.col("o_orderkey").alias("frame_id"), F.concat(F.lit("/data/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".fit")).alias("path"))
-    return TB.frame_index(orders, "o_orderpriority", "path", "frame_id").select("frame_id", F.col("frame_index").cast("long"))
+    return RG.frame_index(orders, "o_orderpriority", "path", "frame_id").select("frame_id", F.col("frame_index").cast("long"))
 
 
 @query("SELECT o_orderkey AS frame_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate::DATE::VARCHAR || '.fit', o_orderkey) = 8")
 def q_set_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame at index 7 of each session."""
     orders = _orders(spark, sf_dir).select("o_orderpriority", F.col("o_orderkey").alias("frame_id"), F.concat(F.lit("/data/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".fit")).alias("path"))
-    return TB.frame_index(orders, "o_orderpriority", "path", "frame_id").where("frame_index = 7").select("frame_id")
+    return RG.frame_index(orders, "o_orderpriority", "path", "frame_id").where("frame_index = 7").select("frame_id")
 
 
 @query("SELECT o_orderpriority AS session, count(*) AS files FROM orders GROUP BY 1")
@@ -140,9 +140,8 @@ def q_report_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON lower(r.r_name) = lower(CASE WHEN n_nationkey % 2 = 0 THEN 'Asia' ELSE 'euRope' END) WHERE r.r_regionkey >= 0")
 def q_find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles by name, capitals or not."""
-    nation, region = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
-    found = [nation.where(F.col("n_nationkey") % 2 == k).join(TB.find_by_name(region, "r_name", name)) for k, name in ((0, "Asia"), (1, "euRope"))]
-    return found[0].unionByName(found[1]).select("n_nationkey", "r_name")
+    asked = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "Asia").otherwise("euRope").alias("wanted"))
+    return TB.join_by_name(asked, "wanted", spark.read.parquet(f"{sf_dir}/region.parquet"), "r_name").select("n_nationkey", "r_name")
 
 
 @query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY lower(c_name), c_name) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS c_name FROM customer)")
@@ -156,11 +155,10 @@ def q_ordered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in a results table sorted by a column that some frames lack; those come last."""
     f = frames(spark, sf_dir).withColumn("shown", F.when(F.col("frame_id") % 5 != 0, F.col("star_count")))
-    order = W.partitionBy("session").orderBy(F.col("shown").desc_nulls_last(), "frame_id")
-    return f.select("session", "frame_id", F.row_number().over(order).cast("long").alias("place"))
+    return RG.ranked(f.select("session", "frame_id", "shown"), "session", [F.col("shown").desc_nulls_last(), F.col("frame_id").asc()], "place").drop("shown")
 
 
 @query("SELECT o_orderpriority AS session, quantile_disc(o_totalprice, 0.5) AS lower_middle FROM orders GROUP BY 1")
 def q_nth_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lower middle value of each session."""
-    return TB.nth_element(_orders(spark, sf_dir).select(F.col("o_orderpriority").alias("session"), F.col("o_totalprice").alias("lower_middle")), "session", "lower_middle")
+    return RG.nth_element(_orders(spark, sf_dir).select(F.col("o_orderpriority").alias("session"), F.col("o_totalprice").alias("lower_middle")), "session", "lower_middle")
