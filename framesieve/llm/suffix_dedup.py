@@ -457,7 +457,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rounds = max(1, -(-total * BITS_EACH // (8 * FILTER_BYTES)))
     words = max(1, -(-total * BITS_EACH // (64 * ranges * rounds)))
     hot_words = max(1, -(-n_hot * BITS_EACH // (64 * ranges * rounds)))
-    merges = segment_count(occurrences * (LENGTH + LENGTH // 3), spark, RANGE_BYTES)
+    merges = segment_count(min(occurrences * (LENGTH + LENGTH // 3), 4 * size), spark, RANGE_BYTES)  # a text of one sign has an anchor a byte, and few different segments
     buckets = segment_count(size, spark)
     parts = partition_count(max(merges, buckets))
     found = []
