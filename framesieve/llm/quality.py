@@ -3,7 +3,7 @@
 The text view is a logistic regression on the presence of hashed words and sign runs. The metadata view is one on
 language, source, length and layout counts (signs, digits, capitals, word lengths, repeats, lines). Both are
 fitted on a bounded sample of labelled documents. Then, for some rounds, each view scores all other documents, and of those it is
-surest of, of either kind, it labels a number for the other view to learn from. The views are calibrated on labelled
+surest of, of either kind, it labels a share of the corpus for the other view to learn from. The views are calibrated on labelled
 documents kept out of all that, and their combination fitted on other ones kept out. Every document is scored.
 
 A document is good if its label says quality and not toxic.
@@ -22,10 +22,14 @@ from pyspark.sql import types as T
 
 from framesieve.llm.common import durable, flat_text, lower_ascii, map_whole, mix64, small_batches, text_pieces, unused, word_hashes
 
-#: Most labelled documents fitted on (a sample by hash of the id), rounds, and pseudo-labels of a kind (good, bad) that a view gives in a round.
-LABELLED, ROUNDS, GIVEN = 12_000, 2, 400
+#: Most labelled documents fitted on (a sample by hash of the id), rounds, and which share of all documents a view labels in a round, as good and as bad.
+LABELLED, ROUNDS, GIVEN = 12_000, 3, 0.02
+#: Most pseudo-labels that one fit takes, of all rounds, views and kinds: the fit is on the driver, as that on LABELLED documents is.
+MOST_GIVEN = 12_000
 #: How sure a view must be to give a label, what such a label weighs, and the shares of labelled documents kept out for calibration and for combination.
-SURE, PSEUDO_WEIGHT, CALIBRATE, COMBINE = 0.97, 0.3, 0.15, 0.15
+SURE, PSEUDO_WEIGHT, CALIBRATE, COMBINE = 0.9, 0.3, 0.15, 0.15
+#: Steps of a logit by which documents are told surer than others.
+STEPS = 64
 #: Text features: hash buckets, in how many sampled documents a bucket must occur, and by how many standard errors its share among good and bad ones must differ.
 TEXT_BITS, LEAST_DOCS, LEAST_Z = 18, 4, 5.0
 #: Metadata features: hash buckets of languages and of sources.
@@ -237,30 +241,44 @@ def _rows(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _surest(given: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, view, good): labels that each view gives the other. Of all documents that a view is sure of, about GIVEN of each kind, picked by a hash
-    of the text; of equal texts one. The model is as in ``fit_views``."""
+    """(doc_id, view, good): labels that each view gives the other: of each kind the documents that it is surest of, GIVEN of all, as long as it is SURE; of equal texts one.
+
+    How sure is told by counts of steps of the logit; of the step in which the number is reached a hash of the text picks. At most MOST_GIVEN / (4 * ROUNDS) of a view and kind. The model is as in ``fit_views``.
+    """
     shared = given.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_pieces(batches):
-            text, meta, _ = shared.value.scores(*features(*batch.columns[2:]))
+            p = np.clip(np.stack(shared.value.scores(*features(*batch.columns[2:]))[:2]), 1e-12, 1 - 1e-12)
+            text, meta = np.log(p / (1 - p))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text), pa.array(meta)], names=["doc_id", "content", "text", "meta"])
 
     views = given.select("doc_id", "content", "text", "lang", "source").mapInArrow(scored, "doc_id long, content long, text double, meta double")
-    by_view = views.select("doc_id", "content", F.explode(F.array(*(F.struct(F.lit(of).alias("view"), F.col(by).alias("p")) for by, of in (("text", "meta"), ("meta", "text"))))).alias("v"))
-    sure = by_view.where((F.col("v.p") >= SURE) | (F.col("v.p") <= 1 - SURE)).select("doc_id", "content", "v.view", (F.col("v.p") >= 0.5).alias("good"))
-    once = durable(sure.groupBy("content", "view", "good").agg(F.min("doc_id").alias("doc_id")))
+    by_view = views.select("doc_id", "content", F.explode(F.array(*(F.struct(F.lit(of).alias("view"), F.col(by).alias("x")) for by, of in (("text", "meta"), ("meta", "text"))))).alias("v"))
+    told = by_view.groupBy("content", "v.view").agg(F.min("doc_id").alias("doc_id"), F.min_by("v.x", F.struct("doc_id", "v.x")).alias("x"))  # equal texts of other metadata may differ in x; one of them teaches
+    told = durable(told.select("doc_id", "content", "view", (F.col("x") > 0).alias("good"), F.floor(F.abs("x") * STEPS).cast("int").alias("step")))
+    most = min(int(np.ceil(GIVEN * told.where("view = 'text'").count())), MOST_GIVEN // (4 * ROUNDS))
+    least = int(np.ceil(np.log(SURE / (1 - SURE)) * STEPS))
+    counts: dict[tuple[str, bool], dict[int, int]] = {}
+    for r in told.where(F.col("step") >= least).groupBy("view", "good", "step").count().collect():  # steps of a logit up to 28
+        counts.setdefault((r["view"], r["good"]), {})[r["step"]] = r["count"]
     share = F.lit(0.0)
-    for r in once.groupBy("view", "good").count().collect():  # four rows
-        share = F.when((F.col("view") == r["view"]) & (F.col("good") == r["good"]), GIVEN / r["count"]).otherwise(share)
-    return once.where(_place("content") < share).select("doc_id", "view", "good")
+    for (view, good), steps in counts.items():
+        left, last = most, least
+        for last in sorted(steps, reverse=True):
+            if steps[last] >= left:
+                break
+            left -= steps[last]
+        part = F.when(F.col("step") > last, 1.0).when(F.col("step") == last, min(left / steps[last], 1.0)).otherwise(0.0)
+        share = F.when((F.col("view") == view) & (F.col("good") == good), part).otherwise(share)
+    return told.where((F.col("step") >= least) & (_place("content") < share)).select("doc_id", "view", "good")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """The model from documents (doc_id, text, lang, source) and labels (doc_id, quality, toxic).
 
     Labels of null quality are left out, a null toxic is 0, of repeated labels of an id, or of equal texts, the worst counts. LABELLED labelled
-    documents, picked by a hash of the id, come to the driver as features, and in each round about 4 * GIVEN others; these are chosen among all
+    documents, picked by a hash of the id, come to the driver as features, and in each round four times GIVEN of all, MOST_GIVEN in all rounds; these are chosen among all
     documents, labelled ones beyond LABELLED too. Null ids teach nothing. Without labels every document scores 0.5.
     """
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) <= 0)).cast("double").alias("good"))
@@ -287,7 +305,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     pseudo: dict[int, dict[str, float]] = {}
     held: dict[int, tuple] = {}
     for _ in range(ROUNDS):
-        chosen = durable(_surest(others, model))  # about 4 * GIVEN rows
+        chosen = durable(_surest(others, model))  # a bounded number
         found = _sample_features(others, chosen.select("doc_id").distinct())
         held |= dict(zip(found.column("doc_id").to_pylist(), _rows(found), strict=True))
         for r in chosen.collect():
