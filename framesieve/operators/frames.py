@@ -5,6 +5,7 @@ Nothing here is shuffled. Pixels are row-major; samples of colour frames are int
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -235,22 +236,38 @@ def frame_maxima(frames: DataFrame, keep: list[str], width: int, height: int, ra
 
 def moved(image: np.ndarray, a: float, b: float, tx: float, ty: float) -> np.ndarray:
     """An image (height, width, channels) under x' = a x - b y + tx, y' = b x + a y + ty: each output pixel is read bilinearly where it comes from, edges held."""
-    h, w = image.shape[:2]
+    return moved_rows(image, 0, image.shape[0], (0, image.shape[0]), a, b, tx, ty)
+
+
+def source_rows(rows: tuple[int, int], height: int, width: int, a: float, b: float, tx: float, ty: float) -> tuple[int, int]:
+    """The image's rows, from and to before, of which ``moved_rows`` reads for output ``rows``."""
+    scale = a * a + b * b
+    y = [(a * (j - ty) - b * (i - tx)) / scale for j in (rows[0], rows[1] - 1) for i in (0, width - 1)]
+    return min(max(math.floor(min(y)) - 1, 0), height - 1), min(max(math.floor(max(y)) + 3, 1), height)
+
+
+def moved_rows(image: np.ndarray, top: int, height: int, rows: tuple[int, int], a: float, b: float, tx: float, ty: float) -> np.ndarray:
+    """``rows``, from and to before, of ``moved``; ``image`` holds the rows from ``top`` on that they are read from, of an image of ``height`` rows."""
+    w = image.shape[1]
+
+    def ends(v: np.ndarray, n: int, first: int = 0) -> list[np.ndarray]:
+        return [np.clip(v + i, 0, n - 1) - first for i in (0, 1)]
+
     if a == 1 and b == 0:  # a shift: one row and one column of weights
-        (x0, fx), (y0, fy) = (_split(np.arange(n) - t) for n, t in ((w, tx), (h, ty)))
-        (left, right), (upper, lower) = ([np.clip(v + i, 0, n - 1) for i in (0, 1)] for v, n in ((x0, w), (y0, h)))
+        (x0, fx), (y0, fy) = _split(np.arange(w) - tx), _split(np.arange(*rows) - ty)
+        (left, right), (upper, lower) = ends(x0, w), ends(y0, height, top)
         across = image[:, left] * (1 - fx)[None, :, None] + image[:, right] * fx[None, :, None]
         return across[upper] * (1 - fy)[:, None, None] + across[lower] * fy[:, None, None]
-    out, scale = np.empty_like(image), a * a + b * b
+    out, scale = np.empty((rows[1] - rows[0], *image.shape[1:])), a * a + b * b
     x = np.arange(w)
-    for top in range(0, h, BAND):  # what a band needs stays in the cache
-        y = np.arange(top, min(top + BAND, h))[:, None]
+    for at in range(rows[0], rows[1], BAND):  # what a band needs stays in the cache
+        y = np.arange(at, min(at + BAND, rows[1]))[:, None]
         (x0, fx), (y0, fy) = _split((a * (x - tx) + b * (y - ty)) / scale), _split((a * (y - ty) - b * (x - tx)) / scale)
-        (left, right), (upper, lower) = ([np.clip(v + i, 0, n - 1) for i in (0, 1)] for v, n in ((x0, w), (y0, h)))
+        (left, right), (upper, lower) = ends(x0, w), ends(y0, height, top)
         fx, fy = fx[..., None], fy[..., None]
         above = image[upper, left] * (1 - fx) + image[upper, right] * fx
         below = image[lower, left] * (1 - fx) + image[lower, right] * fx
-        out[top : top + BAND] = above * (1 - fy) + below * fy
+        out[at - rows[0] : at - rows[0] + BAND] = above * (1 - fy) + below * fy
     return out
 
 
