@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framesieve.functions import geometry as GE
 from framesieve.operators import frames as FR
+from framesieve.operators import heat as H
 from framesieve.operators import matching as M
 from framesieve.operators import registration as R
 from framesieve.operators import stars as S
@@ -68,17 +69,51 @@ def q_heat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.heat_grid(_shapes(spark, sf_dir), "label", 7.0, 7.0, 5))
 
 
-@query(
-    f"""{_SHAPES}, hc AS (SELECT label, count(*) AS n, avg(fwhm) AS w, CASE WHEN count(*) >= 3600 THEN 15 WHEN count(*) >= 2500 THEN 13 WHEN count(*) >= 1600 THEN 11 WHEN count(*) >= 900 THEN 9 WHEN count(*) >= 400 THEN 7 ELSE 5 END AS g
+_HEAT = f"""{_SHAPES}, hc AS (SELECT label, count(*) AS n, avg(fwhm) AS w, CASE WHEN count(*) >= 3600 THEN 15 WHEN count(*) >= 2500 THEN 13 WHEN count(*) >= 1600 THEN 11 WHEN count(*) >= 900 THEN 9 WHEN count(*) >= 400 THEN 7 ELSE 5 END AS g
   FROM shapes GROUP BY 1 HAVING count(*) >= 25), hp AS (SELECT s.label, least(floor(cx / (7.0::DOUBLE / g)), g - 1)::INT AS gx, least(floor(cy / (7.0::DOUBLE / g)), g - 1)::INT AS gy, fwhm FROM shapes s JOIN hc ON hc.label = s.label), hm AS (
   SELECT label, gx, gy, avg(fwhm) AS f FROM hp GROUP BY ALL), he AS (
   SELECT hc.label, g, n, x.gx, y.gy, coalesce(f, w) AS fwhm FROM hc JOIN (SELECT unnest(range(15))::INT AS gx) x ON x.gx < g JOIN (SELECT unnest(range(15))::INT AS gy) y ON y.gy < g
-  LEFT JOIN hm ON hm.label = hc.label AND hm.gx = x.gx AND hm.gy = y.gy)
-SELECT label, g AS grid, gx, gy, round(fwhm, 6) AS fwhm, n < 75 AS few FROM he"""
-)
+  LEFT JOIN hm ON hm.label = hc.label AND hm.gx = x.gx AND hm.gy = y.gy), hr AS (SELECT label, min(fwhm) AS low, greatest(max(fwhm) - min(fwhm), 0.01) AS span FROM he GROUP BY 1)"""
+
+
+@query(f"{_HEAT} SELECT he.label, g AS grid, gx, gy, round(fwhm, 6) AS fwhm, n < 75 AS few, least(floor((fwhm - low) / (span / 11)), 10)::INT AS level FROM he JOIN hr ON hr.label = he.label")
 def q_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heat grids whose side follows the number of stars; labels of few stars are marked or left out."""
-    return rounded(S.heat_map(_shapes(spark, sf_dir), "label", 7.0, 7.0).drop("level"))
+    """Heat grids whose side follows the number of stars, with each cell's contour level; labels of few stars are marked or left out."""
+    return rounded(S.heat_map(_shapes(spark, sf_dir), "label", 7.0, 7.0))
+
+
+#: Size of the pictures drawn of heat maps.
+_WIDE, _HIGH = 24, 18
+_FIELD = f"""{_HEAT}, aa AS (SELECT DISTINCT label, g, x.x, y.y, (x.x + 0.5::DOUBLE) / ({_WIDE}.0::DOUBLE / g) - 0.5 AS ax, (y.y + 0.5::DOUBLE) / ({_HIGH}.0::DOUBLE / g) - 0.5 AS ay FROM he
+  CROSS JOIN (SELECT unnest(range({_WIDE}))::INT AS x) x CROSS JOIN (SELECT unnest(range({_HIGH}))::INT AS y) y), ce AS (
+  SELECT *, greatest(0, least(g - 1, floor(ax)))::INT AS x0, greatest(0, least(g - 1, floor(ay)))::INT AS y0 FROM aa), co AS (
+  SELECT ce.label, x, y, greatest(0, least(1, ax - x0)) AS tx, greatest(0, least(1, ay - y0)) AS ty, a.fwhm AS f00, b.fwhm AS f10, c.fwhm AS f01, d.fwhm AS f11 FROM ce
+  JOIN he a ON a.label = ce.label AND a.gx = x0 AND a.gy = y0 JOIN he b ON b.label = ce.label AND b.gx = least(x0 + 1, ce.g - 1) AND b.gy = y0
+  JOIN he c ON c.label = ce.label AND c.gx = x0 AND c.gy = least(y0 + 1, ce.g - 1) JOIN he d ON d.label = ce.label AND d.gx = least(x0 + 1, ce.g - 1) AND d.gy = least(y0 + 1, ce.g - 1)), field AS (
+  SELECT label, x, y, (f00 + (f10 - f00) * tx) + ((f01 + (f11 - f01) * tx) - (f00 + (f10 - f00) * tx)) * ty AS v FROM co)"""
+
+
+@query(
+    f"""{_FIELD}, li AS (SELECT label, i::INT AS level, low + span * i / 7 AS value FROM hr CROSS JOIN (SELECT unnest(range(1, 7)) AS i))
+SELECT DISTINCT f.label, level, round(value, 6) AS value, f.x, f.y FROM field f JOIN li ON li.label = f.label JOIN field n ON n.label = f.label AND abs(n.x - f.x) + abs(n.y - f.y) = 1
+WHERE f.x BETWEEN 1 AND {_WIDE - 2} AND f.y BETWEEN 1 AND {_HIGH - 2} AND (f.v - value) * (n.v - value) < 0"""
+)
+def q_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels on six contour lines of each label's heat map."""
+    cells = S.heat_map(_shapes(spark, sf_dir), "label", 7.0, 7.0).select("label", "grid", "gx", "gy", "fwhm")
+    return rounded(H.contours(cells, "label", _WIDE, _HIGH, 6))
+
+
+@query(
+    f"""{_FIELD}, sh AS (SELECT f.label, x, y, greatest(0, least(1, (v - low) / span)) * 4 AS s FROM field f JOIN hr ON hr.label = f.label), st AS (
+  SELECT *, least(floor(s), 3)::INT + 1 AS k, [[59, 76, 192], [124, 159, 234], [221, 221, 221], [229, 134, 107], [180, 4, 38]] AS p FROM sh)
+SELECT label, (y * {_WIDE} + x)::INT AS i, c.c AS channel, floor(p[k][c + 1] + (p[k + 1][c + 1] - p[k][c + 1]) * (s - (k - 1)) + 0.5)::INT AS v FROM st CROSS JOIN (SELECT unnest([0, 1, 2])::INT AS c) c"""
+)
+def q_heat_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's heat map as a picture in the colours of a palette."""
+    cells = S.heat_map(_shapes(spark, sf_dir), "label", 7.0, 7.0).select("label", "grid", "gx", "gy", "fwhm")
+    drawn = H.heat_pictures(cells, "label", _WIDE, _HIGH, "coolwarm").select("label", F.posexplode("pixels").alias("k", "v"))
+    return drawn.select("label", F.expr("k div 3").cast("int").alias("i"), (F.col("k") % 3).alias("channel"), "v")
 
 
 @query(f"{_SHAPES} SELECT vec_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(fwhm / 2, 6) AS r FROM shapes WHERE fwhm BETWEEN 0.5 AND 50")
