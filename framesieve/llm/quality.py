@@ -25,7 +25,7 @@ from framesieve.llm.common import durable, flat_text, lower_ascii, map_whole, mi
 #: Most labelled documents fitted on (a sample by hash of the id), rounds, and which share of all documents a view labels in a round, as good and as bad.
 LABELLED, ROUNDS, GIVEN = 12_000, 3, 0.02
 #: Most pseudo-labels that one fit takes, of all rounds, views and kinds: the fit is on the driver, as that on LABELLED documents is.
-MOST_GIVEN = 12_000
+MOST_GIVEN = 6_000
 #: How sure a view must be to give a label, what such a label weighs, and the shares of labelled documents kept out for calibration and for combination.
 SURE, PSEUDO_WEIGHT, CALIBRATE, COMBINE = 0.9, 0.3, 0.15, 0.15
 #: Steps of a logit by which documents are told surer than others.
