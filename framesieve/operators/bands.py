@@ -14,13 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesieve.functions.arrays import LUMA
-from framesieve.operators.frames import DEPTHS, debayered, debayered_luma, map_frames, moved_rows, source_rows
+from framesieve.operators.frames import DEPTHS, debayered, debayered_luma, display_step, map_frames, moved_rows, reduced_blocks, source_rows
 from framesieve.sources.files import ImageFile
 
 #: Border rows that debayering needs.
 HALO = 1
-#: Fixed value: the width to which images are reduced for display.
-DISPLAY_WIDTH = 1200
 
 
 def debayer_bands(bands: DataFrame, keep: list[str], pattern: str | Column = "RGGB", luma: bool = False) -> DataFrame:
@@ -49,19 +47,6 @@ def luma_bands(bands: DataFrame, keep: list[str]) -> DataFrame:
     return map_frames(bands, [*keep, "row0", "rows"], ["pixels", "width", "rows", "above", "channels", "bit_depth"], made, "values array<double>")
 
 
-def display_step(width: int, most: int = DISPLAY_WIDTH) -> int:
-    """Pixels a side of the blocks that bring a width to ``most`` or less."""
-    return -(-width // most) if width > most else 1
-
-
-def reduced_blocks(image: np.ndarray, step: int) -> np.ndarray:
-    """Means of blocks of ``step`` by ``step`` pixels of (height, width, channels): samples that are not finite are left out, a block without others is 0, a remainder at the right and lower edge is dropped."""
-    high, wide = image.shape[0] // step, image.shape[1] // step
-    blocks = image[: high * step, : wide * step].reshape(high, step, wide, step, image.shape[2])
-    good = np.isfinite(blocks)
-    return np.where(good, blocks, 0.0).sum(axis=(1, 3)) / np.maximum(good.sum(axis=(1, 3)), 1)
-
-
 def reduce_bands(bands: DataFrame, keep: list[str], step: int | None = None) -> DataFrame:
     """(keep, step, row0, rows, width, values): bands of images reduced by block means; row0, rows and width count blocks. Read the bands with ``align`` equal to the step.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framesieve.functions.paths import basename, frame_label
+from framesieve.operators.ranges import frame_index
 from framesieve.operators.session_stats import deviation, two_pass_stats
 from framesieve.operators.tables import small_table
 
@@ -51,3 +53,22 @@ def with_reference(classified: DataFrame, by: str = "session", order: str = "fra
     rank = F.struct((F.col("flag") == "PASS").alias("passes"), quality_score().alias("score"), F.coalesce("star_count", F.lit(0)).alias("stars"), F.col(order).alias("last"))
     best = small_table(classified.groupBy(by).agg(F.max(rank)["last"].alias("_reference")))
     return classified.join(best, by, "left").withColumn("is_reference", F.coalesce(F.col(order) == F.col("_reference"), F.lit(False))).drop("_reference")
+
+
+def results_view(files: DataFrame, results: DataFrame, key: str, by: str = "session", path: str = "path", imported: str = "imported", thresholds: dict[str, float] | None = None) -> DataFrame:
+    """(by, key, path, frame_index, label, short_name, metrics, flag, triggered_by, rejection_category) of all files of the sessions, with results where there are some.
+
+    files: by, key, path, imported; results: by, key, the metrics and, of imported sessions, their flag, triggered_by and rejection_category, which stand. Live sessions are classified anew against
+    the statistics of those results whose files are there, by the thresholds that were last used (``thresholds``). frame_index counts a session's files from 0 in the order of their names. A file
+    without result has an empty flag and no triggers.
+    """
+    metrics = ["background_median", "fwhm", "eccentricity", "star_count"]
+    verdicts = ["flag", "triggered_by", "rejection_category"]
+    listed = results.join(files.select(by, key, imported), [by, key])
+    live = classify_frames(listed.where(~F.col(imported)).select(by, key, *metrics), thresholds=thresholds, by=by)
+    given = listed.where(imported).select(by, key, *metrics, *verdicts)
+    indexed = frame_index(files, by, path, key)
+    joined = indexed.join(live.unionByName(given), [by, key], "left")
+    short = basename(F.col(path))
+    shown = {"flag": F.coalesce("flag", F.lit("")), "triggered_by": F.coalesce("triggered_by", F.array().cast("array<string>"))}
+    return joined.withColumns(shown | {"short_name": short, "label": frame_label(short)}).select(by, key, path, "frame_index", "label", "short_name", *metrics, *verdicts)

@@ -24,6 +24,8 @@ DEPTHS = {"u8": 255.0, "u16": 65535.0, "f32": 1.0}
 LEAST_FWHM, MOST_FWHM = 0.5, 50.0
 #: Deviations below the median where a stretch clips shadows, and what it brings the median to.
 SHADOW_CLIP, TARGET = -2.8, 0.15
+#: Fixed value: the width to which images are reduced for display.
+DISPLAY_WIDTH = 1200
 #: Rows that are resampled at a time.
 BAND = 32
 
@@ -317,6 +319,77 @@ def stretch_images(images: DataFrame, keep: list[str], channels: str | Column =
     return map_frames(images, keep, [pixels, channels], lambda v, n: (stretched(v.reshape(-1, n), clip, target).ravel(),), "pixels array<double>")
 
 
+def display_step(width: int, most: int = DISPLAY_WIDTH) -> int:
+    """Pixels a side of the blocks that bring a width to ``most`` or less."""
+    return -(-width // most) if width > most else 1
+
+
+def reduced_blocks(image: np.ndarray, step: int) -> np.ndarray:
+    """Means of blocks of ``step`` by ``step`` pixels of (height, width, channels): samples that are not finite are left out, a block without others is 0, a remainder at the right and lower edge is dropped."""
+    high, wide = image.shape[0] // step, image.shape[1] // step
+    blocks = image[: high * step, : wide * step].reshape(high, step, wide, step, image.shape[2])
+    good = np.isfinite(blocks)
+    return np.where(good, blocks, 0.0).sum(axis=(1, 3)) / np.maximum(good.sum(axis=(1, 3)), 1)
+
+
+def reduce_images(images: DataFrame, keep: list[str], most: int = DISPLAY_WIDTH, pixels: str = "pixels") -> DataFrame:
+    """(keep, step, reduced_width, reduced_height, reduced): images (width, height, channels, pixels) of a width of ``most`` or less, by block means; samples interleaved."""
+
+    def made(v: np.ndarray | None, width: int, height: int, channels: int) -> tuple:
+        if v is None:
+            return None, None, None, None
+        step = display_step(width, most)
+        out = reduced_blocks(v.astype(float).reshape(height, width, channels), step)
+        return step, out.shape[1], out.shape[0], out.ravel()
+
+    return map_frames(images, keep, [pixels, "width", "height", "channels"], made, "step int, reduced_width int, reduced_height int, reduced array<double>")
+
+
+def auto_stretch_images(images: DataFrame, keep: list[str], most: int = DISPLAY_WIDTH, clip: float = SHADOW_CLIP, target: float = TARGET) -> DataFrame:
+    """(keep, step, reduced_width, reduced_height, stretched) for display: images (width, height, channels, bit_depth, pixels) as fractions, reduced by block means, each channel
+    then stretched by its own parameters. Of images that have neither one nor three channels the first is shown."""
+
+    def made(v: np.ndarray | None, width: int, height: int, channels: int, depth: str) -> tuple:
+        if v is None:
+            return None, None, None, None
+        step = display_step(width, most)
+        out = reduced_blocks(_unit(v, depth).reshape(height, width, channels)[..., : 3 if channels == 3 else 1], step)
+        return step, out.shape[1], out.shape[0], stretched(out.reshape(-1, out.shape[2]), clip, target).ravel()
+
+    return map_frames(images, keep, ["pixels", "width", "height", "channels", "bit_depth"], made, "step int, reduced_width int, reduced_height int, stretched array<double>")
+
+
+#: Pixels between those that a background takes, the least background that divides, percentiles that a finished stack spans.
+EVERY, LEAST_LEVEL, LOW_PERCENT, HIGH_PERCENT = 8, 1.1920929e-07, 0.1, 99.99
+
+
+def channel_balance(image: np.ndarray, step: int = EVERY, sigma: float = 3.0, rounds: int = 5) -> np.ndarray:
+    """What brings the clipped backgrounds of the channels of (pixels, channels), of every ``step``-th pixel, to their mean; ones if a background is none to divide by."""
+    levels = np.array([clipped_background(image[::step, c], sigma, rounds)[0] for c in range(image.shape[1])]) if len(image) else np.zeros(image.shape[1])
+    return levels.mean() / levels if np.isfinite(levels).all() and (levels > LEAST_LEVEL).all() else np.ones(len(levels))
+
+
+def finished(image: np.ndarray) -> np.ndarray:
+    """A stack (pixels, channels) as it is kept: colours balanced, all channels together brought from LOW_PERCENT and HIGH_PERCENT, by nearest rank, to 0 and 1."""
+    balanced = image * channel_balance(image) if image.shape[1] == 3 else image
+    ordered = np.sort(balanced[np.isfinite(balanced)])
+    if not len(ordered):
+        return balanced
+    low, high = (ordered[min(int(len(ordered) * p / 100), len(ordered) - 1)] for p in (LOW_PERCENT, HIGH_PERCENT))
+    return np.clip((balanced - low) / max(high - low, 1e-6), 0.0, 1.0)
+
+
+def finish_stacks(images: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, width, height, channels, pixels): stacks (``tiles.whole_images``) balanced and brought to 0..1 (see ``finished``); crop them after that."""
+    return map_frames(images, [*keep, "width", "height", "channels"], ["pixels", "channels"], lambda v, n: (finished(v.reshape(-1, n)).ravel(),), "pixels array<double>")
+
+
+def balance_images(images: DataFrame, keep: list[str], step: int = EVERY, sigma: float = 3.0, pixels: str = "pixels") -> DataFrame:
+    """(keep, channel, coefficient): ``channel_balance`` of images of three interleaved channels."""
+    made = map_frames(images, keep, [pixels], lambda v: (channel_balance(v.astype(float).reshape(-1, 3), step, sigma),), "c array<double>")
+    return made.select(*keep, F.posexplode("c").alias("channel", "coefficient"))
+
+
 def with_inner_bounds(transforms: DataFrame, keep: list[str], width: int, height: int) -> DataFrame:
     """(keep, x0, y0, x1, y1), ends exclusive: of every transform (a, b, tx, ty) a rectangle of the output in which every pixel of a moved frame comes from inside the
     frame; zeros if there is none.

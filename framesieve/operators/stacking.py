@@ -71,19 +71,6 @@ def over_background(pixels: Column, level: Column) -> Column:
     return F.when(level > LEAST_BACKGROUND, F.transform(pixels, lambda v: v / level)).otherwise(pixels)
 
 
-def channel_coefficients(backgrounds: DataFrame, by: str, channel: str, level: str) -> DataFrame:
-    """(by, channel, coefficient): what brings every channel's background to their mean; 1 for all if a background is 0 or below."""
-    means = backgrounds.groupBy(by).agg(F.avg(level).alias("_mean"), F.min(level).alias("_least"))
-    joined = backgrounds.join(means, by)
-    return joined.select(by, channel, F.when(F.col("_least") > 1e-7, F.col("_mean") / F.col(level)).otherwise(1.0).alias("coefficient"))
-
-
-def box_downsample(pixels: DataFrame, keys: list[str], step: int, width: int, height: int, value: str = "v") -> DataFrame:
-    """(keys, x, y, v): means of blocks of ``step`` by ``step`` pixels; a remainder at the right and lower edge is dropped."""
-    inside = pixels.where((F.col("x") < width // step * step) & (F.col("y") < height // step * step))
-    return inside.groupBy(*keys, F.floor(F.col("x") / step).cast("int").alias("x"), F.floor(F.col("y") / step).cast("int").alias("y")).agg(F.avg(value).alias("v"))
-
-
 def overlap(bounds: DataFrame, by: str) -> DataFrame:
     """The rectangle that all frames of a group cover: (by, x0, y0, x1, y1), null ends where it is empty."""
     box = bounds.groupBy(by).agg(F.max("x0").alias("x0"), F.max("y0").alias("y0"), F.min("x1").alias("x1"), F.min("y1").alias("y1"))

@@ -162,9 +162,28 @@ def q_histogram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ST.histogram_statistics(pixels(spark, sf_dir).where(F.col("i") % ST.HISTOGRAM_STEP == 0), "label", clip=0.6))
 
 
-@query(f"{PX} SELECT vec_id, (x // 3)::INT AS x, (y // 3)::INT AS y, round(avg(v), 6) AS v FROM pixels WHERE x < 6 AND y < 6 GROUP BY ALL")
+@query(f"{PX}, h AS (SELECT *, (vec_id + i) % 5 = 0 OR (vec_id % 4 = 1 AND x < 3 AND y < 3) AS hole FROM pixels) SELECT vec_id, 3::INT AS step, ((y // 3) * 2 + x // 3)::INT AS i, round(coalesce(avg(v) FILTER (NOT hole), 0), 6) AS v FROM h WHERE x < 6 AND y < 6 GROUP BY ALL")
 def q_box_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ST.box_downsample(pixels(spark, sf_dir), ["vec_id"], 3, SIDE, SIDE))
+    """Images with holes reduced to a width of at most three pixels: the step follows from the width, holes do not count, a block of holes is 0."""
+    key, side = F.col("vec_id"), {c: F.lit(n) for c, n in (("width", SIDE), ("height", SIDE), ("channels", 1))}
+    hole = lambda v, i: F.when(((key + i) % 5 == 0) | ((key % 4 == 1) & (i % SIDE < 3) & (i < 3 * SIDE)), float("nan")).otherwise(v)
+    holes = images(spark, sf_dir).withColumn("pixels", F.transform("pixels", hole)).withColumns(side)
+    return rounded(FR.reduce_images(holes, ["vec_id"], 3).select("vec_id", "step", F.posexplode("reduced").alias("i", "v")))
+
+
+_COLOUR = f"""{PX.replace("pixels AS", "single AS", 1)}, pixels AS (SELECT (vec_id // 3) * 3 + vec_id % 3 AS vec_id, ((y // 2) * 4 + x // 2)::INT AS i, avg(v) AS v FROM single GROUP BY ALL){_STF.removeprefix(PX).replace("k = 33", "k = 9")}"""
+
+
+@query(
+    f"""{_COLOUR}, s AS (SELECT p.vec_id, i, greatest(0, least(1, (v - shadow) / (1 - shadow))) AS x, midtone AS m FROM pixels p JOIN stf ON stf.vec_id = p.vec_id), w AS (SELECT vec_id // 3 AS g FROM single GROUP BY 1 HAVING count(DISTINCT vec_id) = 3)
+SELECT vec_id // 3 AS image, i, (vec_id % 3)::INT AS channel, round(CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1 WHEN m = 0.5 THEN x ELSE (m - 1) * x / ((2 * m - 1) * x - m) END, 6) AS v FROM s JOIN w ON g = vec_id // 3"""
+)
+def q_display_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three images as the channels of one, reduced to four pixels a side and each channel stretched by its own parameters."""
+    planes = images(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 3).alias("image")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "pixels"))).alias("p")).where(F.size("p") == 3)  # three rows a group
+    colour = planes.withColumn("pixels", A.planar_to_interleaved(F.flatten(F.col("p.pixels")), 3)).withColumns({"width": F.lit(SIDE), "height": F.lit(SIDE), "channels": F.lit(3), "bit_depth": F.lit("f32")})
+    shown = FR.auto_stretch_images(colour.drop("p"), ["image"], 4).select("image", F.posexplode("stretched").alias("k", "v"))
+    return rounded(shown.select("image", F.expr("k div 3").cast("int").alias("i"), (F.col("k") % 3).alias("channel"), "v"))
 
 
 @query(
@@ -176,10 +195,24 @@ def q_percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_long(images(spark, sf_dir).select("vec_id", A.percentile_stretch(F.col("pixels"), 5, 95).alias("v")), "v"))
 
 
-@query(f"{PX}, b AS (SELECT label, i % 3 AS ch, median(v) AS m FROM pixels GROUP BY ALL) SELECT label, ch, round(CASE WHEN min(m) OVER w > 1e-7 THEN avg(m) OVER w / m ELSE 1 END, 6) AS coefficient FROM b WINDOW w AS (PARTITION BY label)")
+_CHANNELS = f"{PX.replace('pixels AS', 'single AS', 1)}, pixels AS (SELECT vec_id * 3 + i % 3 AS vec_id, v FROM single WHERE i < 63 AND (i // 3) % 2 = 0)"
+
+
+@query(f"{_CHANNELS}, lv AS ({_clip_rounds(1.5, 5).join(['WITH ', '']).replace('round(median(v), 6) AS background', 'median(v) AS m')}) SELECT vec_id // 3 AS vec_id, (vec_id % 3)::INT AS channel, round(CASE WHEN min(m) OVER w > 1.1920929e-07 THEN avg(m) OVER w / m ELSE 1 END, 6) AS coefficient FROM lv WINDOW w AS (PARTITION BY vec_id // 3)")
 def q_channel_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = pixels(spark, sf_dir).groupBy("label", (F.col("i") % 3).alias("ch")).agg(F.median("v").alias("m"))
-    return rounded(ST.channel_coefficients(levels, "label", "ch", "m"))
+    """What balances the channels of each image (21 pixels of 3 samples), from the clipped medians of every second pixel."""
+    df = images(spark, sf_dir).select("vec_id", F.slice("pixels", 1, 63).alias("pixels"))
+    return rounded(FR.balance_images(df, ["vec_id"], 2, 1.5))
+
+
+@query(
+    f"""{PX}, b AS (SELECT label, i, avg(v) AS v FROM pixels GROUP BY ALL), o AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY v) - 1 AS k FROM b), s AS (SELECT label, max(v) FILTER (k = 0) AS lo, max(v) FILTER (k = 63) AS hi FROM o GROUP BY 1)
+SELECT b.label, i, round(greatest(0, least(1, (v - lo) / greatest(hi - lo, 1e-6))), 6) AS v FROM b JOIN s ON s.label = b.label"""
+)
+def q_finished_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean image of each label as a stack is kept: brought to 0..1 from its low and high percentiles."""
+    stacks = TI.whole_images(TI.stack_arrays(images(spark, sf_dir), ["label"], clip=1e9), ["label"], SIDE)
+    return rounded(FR.finish_stacks(stacks, ["label"]).select("label", F.posexplode("pixels").alias("i", "v")))
 
 
 @query(f"{PX}, b AS (SELECT vec_id, label, vec_id % 4 AS x0, vec_id % 3 AS y0, 8 - vec_id % 5 AS x1, 8 - vec_id % 2 AS y1 FROM embeddings), o AS (SELECT label, max(x0) AS x0, max(y0) AS y0, min(x1) AS x1, min(y1) AS y1 FROM b GROUP BY 1) SELECT vec_id, p.x, p.y, round(v, 6) AS v FROM pixels p JOIN o ON o.label = p.label WHERE p.x >= x0 AND p.x < x1 AND p.y >= y0 AND p.y < y1")

@@ -38,11 +38,22 @@ def q_export_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("frame_id")).join(results, "frame_id")
 
 
-@query(f"WITH {sql.CLASSIFIED} SELECT o_orderkey AS frame_id, flag FROM orders LEFT JOIN classified ON frame_id = o_orderkey")
+@query(
+    f"""WITH {sql.CLASSIFIED}, files AS (SELECT o_orderpriority AS session, o_orderkey AS frame_id, o_orderpriority < '3' AS imported, strftime(o_orderdate, '%Y-%m-%d') || '_' || lpad(o_orderkey::VARCHAR, 6, '0') || '.fit' AS short_name FROM orders)
+SELECT f.session, f.frame_id, row_number() OVER (PARTITION BY f.session ORDER BY short_name, f.frame_id) - 1 AS frame_index, short_name, (lpad(f.frame_id::VARCHAR, 6, '0'))::INT::VARCHAR AS label,
+  CASE WHEN c.frame_id IS NULL THEN '' WHEN NOT imported THEN flag WHEN f.frame_id % 5 = 0 THEN 'REJECT' ELSE 'PASS' END AS flag,
+  CASE WHEN c.frame_id IS NULL THEN '' WHEN NOT imported THEN triggered_by WHEN f.frame_id % 5 = 0 THEN 'FWHM,Clouds' ELSE '' END AS triggered_by,
+  CASE WHEN NOT imported THEN rejection_category WHEN c.frame_id IS NOT NULL AND f.frame_id % 5 = 0 THEN 'O' END AS rejection_category FROM files f LEFT JOIN classified c ON c.frame_id = f.frame_id"""
+)
 def q_results_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files of the session, with results where there are some."""
-    results = C.classify_frames(frames(spark, sf_dir).persist()).select("frame_id", "flag")
-    return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("frame_id")).join(results, "frame_id", "left")
+    """All files of all sessions with their place and label; live sessions are classified anew, the verdicts of imported ones stand."""
+    key, imported = F.col("frame_id"), F.col("session") < "3"
+    name = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit(".fit"))
+    files = _orders(spark, sf_dir).select(F.col("o_orderpriority").alias("session"), F.col("o_orderkey").alias("frame_id"), F.concat(F.lit("/data/"), name).alias("path")).withColumn("imported", imported)
+    out = imported & (key % 5 == 0)
+    verdicts = {"flag": F.when(out, "REJECT").otherwise("PASS"), "triggered_by": F.when(out, F.array(F.lit("FWHM"), F.lit("Clouds"))).otherwise(F.array().cast("array<string>")), "rejection_category": F.when(out, "O")}
+    view = C.results_view(files, frames(spark, sf_dir).withColumns(verdicts), "frame_id")
+    return view.select("session", "frame_id", "frame_index", "short_name", "label", "flag", F.array_join("triggered_by", ",").alias("triggered_by"), "rejection_category")
 
 
 @query("SELECT o_orderkey AS frame_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")

@@ -44,14 +44,14 @@ def test_luminance_and_blocks_in_bands(spark, tmp_path, channels):
     assert np.array_equal(joined(luma, "a.fit"), expected.ravel())
     for step in (1, 3, 4, 50):
         found = B.reduce_bands(DS.scan_images(spark, str(tmp_path), BAND, 6, 1, align=step), ["filename"], step).collect()
-        wanted = B.reduced_blocks(whole, step)
+        wanted = FR.reduced_blocks(whole, step)
         assert [r.width for r in found if r.filename == "a.fit"] == [23 // step] * len([r for r in found if r.filename == "a.fit"])
         assert not wanted.size or np.array_equal(joined(found, "a.fit"), wanted.ravel())
     by_hand = [[[whole[4 * j : 4 * j + 4, 4 * i : 4 * i + 4, c].mean() for c in range(channels)] for i in range(5)] for j in range(9)]
-    np.testing.assert_allclose(B.reduced_blocks(whole, 4), by_hand)
+    np.testing.assert_allclose(FR.reduced_blocks(whole, 4), by_hand)
     assert np.allclose(joined(found := B.reduce_bands(DS.scan_images(spark, str(tmp_path), BAND, 6, 0, align=4), ["filename"], 4).collect(), "holes.xisf"), 0.5) and found
-    assert B.reduced_blocks(np.full((2, 2, 1), np.nan), 2).tolist() == [[[0.0]]]
-    assert [B.display_step(w) for w in (1200, 1201, 3008, 2400)] == [1, 2, 3, 2]
+    assert FR.reduced_blocks(np.full((2, 2, 1), np.nan), 2).tolist() == [[[0.0]]]
+    assert [FR.display_step(w) for w in (1200, 1201, 3008, 2400)] == [1, 2, 3, 2]
     with pytest.raises(Exception, match="align=4"):
         B.reduce_bands(DS.scan_images(spark, str(tmp_path), BAND, 6), ["filename"], 4).collect()
 
