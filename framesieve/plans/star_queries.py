@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from framesieve.operators import heat as H
 from framesieve.operators import matching as M
 from framesieve.operators import registration as R
 from framesieve.operators import stars as S
+from framesieve.operators.tables import materialised
 from framesieve.plans import sql
 from framesieve.plans.session_queries import rounded
 from framesieve.sources.adapters import SIDE, images, pixels
@@ -328,5 +331,33 @@ def q_detected_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.detect_stars(_luma(spark, sf_dir)).withColumn("r", F.col("fwhm") / 2))
 
 
+#: How the copies of a sky are moved (turn, shift) before they are registered and stacked; the last is of another filter.
+COPIES = ((0.0, 0.0, 0.0, "Ha"), (0.0, 2.0, -1.0, " ha"), (0.012, -1.5, 2.0, None), (0.0, 1.0, 1.0, "OIII"))
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every sky of ``q_detected_stars`` in copies (tile, copy, filter, pixels), and how they enter the sky's stack, by their stars."""
+    skies = _luma(spark, sf_dir).select(F.col("frame").alias("tile"), F.col("luma").alias("pixels"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("copy"), F.lit(c[3]).cast("string").alias("filter"), *(F.lit(float(v)).alias(n) for n, v in zip(("a", "b", "tx", "ty"), (math.cos(c[0]), math.sin(c[0]), *c[1:3]), strict=True))) for k, c in enumerate(COPIES))))
+    spread = skies.withColumn("c", each).select("tile", "pixels", "c.*")
+    moved = materialised(FR.resample_frames(spread, ["tile", "copy", "filter"], ["a", "b", "tx", "ty"], 64, 64))
+    found = S.detect_stars(moved.select(F.concat_ws("/", "tile", "copy").alias("frame"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.col("pixels").alias("luma")))
+    name = F.split("frame", "/")
+    stars = materialised(found.select(name[0].cast("long").alias("tile"), name[1].cast("int").alias("copy"), "star_id", F.col("cx").alias("x"), F.col("cy").alias("y")))
+    first = skies.select("tile", F.lit(0).alias("copy"))
+    return moved, R.contributions(moved, first, "tile", "copy", 64, 64, stars)
+
+
+def q_star_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How moved and turned copies of each sky enter its stack: by matched stars, another filter left out."""
+    return rounded(_copies(spark, sf_dir)[1])
+
+
+def q_star_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of each sky registered by their stars, moved back, combined and cropped to what all cover."""
+    moved, contributed = _copies(spark, sf_dir)
+    return rounded(R.stack_frames(moved, contributed, "tile", "copy", 64, 64))
+
+
 #: Walks over whole images or over matches in order, which SQL cannot say; tests hold them against known shifts and loops.
-QUERIES |= {f.__name__: f for f in (q_phase_shift, q_one_to_one, q_contributions, q_stack_frames, q_analyze_images, q_detected_stars, q_star_profiles)}
+QUERIES |= {f.__name__: f for f in (q_phase_shift, q_one_to_one, q_contributions, q_stack_frames, q_star_contributions, q_star_stacks, q_analyze_images, q_detected_stars, q_star_profiles)}

@@ -7,7 +7,7 @@ from tests.conftest import plain
 
 
 def test_queries_have_sql():
-    assert registry.QUERIES.keys() - registry.ORACLE_SQL.keys() == {"q_phase_shift", "q_one_to_one", "q_contributions", "q_stack_frames", "q_analyze_images", "q_detected_stars", "q_star_profiles"}
+    assert registry.QUERIES.keys() - registry.ORACLE_SQL.keys() == {"q_phase_shift", "q_one_to_one", "q_contributions", "q_stack_frames", "q_star_contributions", "q_star_stacks", "q_analyze_images", "q_detected_stars", "q_star_profiles"}
     assert len(registry.QUERIES) >= 90
 
 

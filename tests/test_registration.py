@@ -177,3 +177,28 @@ def test_colour_stack(spark):
     assert len(rows) == 13 * 14 and all(r.kept == 2 for r in rows)
     for r in rows:
         assert (r.r, r.g, r.b) == pytest.approx(tuple(planes[r.y, r.x]))
+
+
+def test_skies_are_stacked_by_their_stars(spark, sf):
+    from framesieve.plans.star_queries import COPIES, _luma
+
+    rows = QUERIES["q_star_contributions"](spark, sf).collect()
+    skies = {r.frame: np.array(r.luma).reshape(64, 64) for r in _luma(spark, sf).collect()}
+    assert len(rows) == 4 * len(skies) and {r.exclusion_reason for r in rows if r["copy"] == 3} == {"FilterMismatch"}
+    turned = [r for r in rows if r["copy"] in (1, 2) and r.included]
+    assert len(turned) >= len(skies)  # a sky of few clear stars may fail
+    for r in turned:
+        angle, tx, ty, _ = COPIES[r["copy"]]
+        x, y = np.array([20.0, 45.0]), np.array([15.0, 40.0])
+        there = np.cos(angle) * x - np.sin(angle) * y + tx, np.sin(angle) * x + np.cos(angle) * y + ty
+        back = r.a * there[0] - r.b * there[1] + r.tx, r.b * there[0] + r.a * there[1] + r.ty
+        assert np.hypot(back[0] - x, back[1] - y).max() < 0.6
+    stacked = {}
+    for r in QUERIES["q_star_stacks"](spark, sf).collect():
+        stacked.setdefault(r.tile, []).append(r)
+    used = {t: sum(r.included for r in rows if r.tile == t) for t in {r.tile for r in rows}}
+    for tile, own in stacked.items():
+        level = next(r.background_level for r in rows if r.tile == tile and r["copy"] == 0)
+        assert all(r.n == used[tile] for r in own) and 50 * 50 < len(own) <= 64 * 64
+        off = [abs(r.stacked - skies[int(tile)][r.y, r.x] / level) for r in own if int(tile) in skies]
+        assert not off or np.median(off) < 0.2
