@@ -22,6 +22,8 @@ from framesieve.llm.common import durable, mix64, segment_count, small_batches,
 KMER, PICKED, FUNCTIONS = 8, 2, 64
 #: Bytes of text in a range of documents that one task reads, in passing; places sampled for each range's bound.
 RANGE_BYTES, SAMPLED = 64 << 20, 20
+#: Most ranges: of each the driver sees SAMPLED places and a first one. It bounds no rows.
+MOST_RANGES = 8192
 #: Elements hashed by all functions at once.
 BLOCK = 1 << 13
 
@@ -105,12 +107,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Bounds come from a sample of (id, content), so rows of equal id are spread as well unless their texts are equal too. For each
     range its first place comes to the driver, and rows of that place go to the range before it as well, as guards; after the last document comes
-    the first again. That is a few bytes for each RANGE_BYTES of text. Texts are read twice: for their size and hash, and to be dealt.
+    the first again. There are MOST_RANGES at most, so sample and first places stay small; a larger range only means a longer sort, which spills. Texts are read twice: for their size and hash, and to be dealt.
     """
     keyed = docs.withColumns({"down": F.bitwise_not("id"), "content": F.xxhash64("text")})  # ascending ~id is descending id
     places = durable(keyed.select("down", "content", F.octet_length("text").alias("size")))
     size, count = places.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    ranges = segment_count(size, docs.sparkSession, RANGE_BYTES)
+    ranges = min(segment_count(size, docs.sparkSession, RANGE_BYTES), MOST_RANGES)
     every = max(1, count // (SAMPLED * ranges))
     sample = places.where(F.pmod(F.xxhash64("content", "down"), F.lit(every)) == 0).select("down", "content").toArrow()
     downs, contents = sample.column("down").to_numpy(), sample.column("content").to_numpy()

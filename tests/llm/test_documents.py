@@ -229,8 +229,8 @@ def test_order_minhash(spark, edges, empty):
         after = rows[(n + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        expected.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), O.as_hex(O.text_signature(t)), O.as_hex(O.text_signature(edited)), O.likeness(O.text_signature(t), O.text_signature(after))))
-    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in O.compare_with_edits(edges).collect()]
+        expected.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), O.as_hex(O.text_signature(t)), O.as_hex(O.text_signature(edited)), O.likeness(O.text_signature(t), O.text_signature(after)), O.likeness(O.text_signature(t), O.text_signature(edited))))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next, r.near_edited) for r in O.compare_with_edits(edges).collect()]
     assert sorted(got) == sorted(expected)
     many = [(i if i % 3 else (None if i % 2 else 7), f"text {i} " * (i % 5 + 1)) for i in range(1, 200)] + [(7, "same")] * 20
     got = O.compare_with_edits(frame(spark, many)).select("doc_id", "fingerprint", "near_next", "edited_sha256").collect()
@@ -445,3 +445,42 @@ def test_views_teach_each_other(spark):
 def test_rerun_gives_the_same_plan_of_copies(spark, sf):
     a, b = (QUERIES["op10_mixing"](spark, sf).agg(F.sum(F.hash("doc_id", "taken"))).first()[0] for _ in range(2))
     assert a == b
+
+
+def test_likeness_falls_with_edit_distance(spark, monkeypatch):
+    """Order MinHash is about order and edits: more edits are less alike, and moved blocks too, though they hold nearly the same k-mers."""
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(4)
+    falls = []
+    for _ in range(12):
+        text = "".join(rng.choices("abcdefghij ", k=400))
+        seen = []
+        for n in (0, 4, 16, 64, 300):
+            other = list(text)
+            for _ in range(n):
+                at = rng.randrange(len(other))
+                how = rng.randrange(3)
+                other[at : at + (how != 1)] = [rng.choice("abcdefghij ")] if how else []
+            other = "".join(other)
+            seen.append((edits(text, other), O.likeness(O.text_signature(text), O.text_signature(other))))
+        assert seen[0] == (0, 1.0) and [d for d, _ in seen] == sorted(d for d, _ in seen)
+        falls.append([s for _, s in seen])
+        half = text[200:] + text[:200]  # nearly all k-mers, another order
+        assert O.likeness(O.text_signature(text), O.text_signature(half)) < 0.8
+    means = np.mean(falls, axis=0)
+    assert (np.diff(means) < 0).all() and means[-1] < 0.05
+    monkeypatch.setattr(O, "RANGE_BYTES", 200)
+    monkeypatch.setattr(O, "MOST_RANGES", 3)
+    docs = frame(spark, [(i, "".join(rng.choices("abcde ", k=60))) for i in range(80)])
+    few = sorted(map(tuple, O.compare_with_edits(docs).collect()))
+    monkeypatch.setattr(O, "MOST_RANGES", 50)
+    assert sorted(map(tuple, O.compare_with_edits(docs).collect())) == few and len(few) == 80
