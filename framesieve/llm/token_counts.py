@@ -17,7 +17,11 @@ CALL_CHARS, CACHE_PIECES, CACHE_CHARS = 1 << 19, 300_000, 48
 #: Context length that ``over_limit`` compares with.
 LIMIT = 512
 
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Between a sign that is no white space and one that is; the second only where white space is the same for all libraries.
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
+#: Pieces from so many characters on are cut on, where a run of ASCII letters ends.
+LONG = 2048
+_LETTERS_END = re.compile(r"(?<=[A-Za-z])(?=[\x21-\x40\x5b-\x60\x7b-\x7e])")
 _loaded: dict[str, object] = {}
 _lengths: dict[str, dict[str, int]] = {}
 
@@ -29,13 +33,15 @@ def default_tokenizer() -> str:
 
 
 def safe_pieces(text: str) -> list[str]:
-    """``text`` cut before every single space that stands between two signs that are no white space.
+    """``text`` cut before white space behind other signs; pieces of LONG characters also where ASCII letters end.
 
-    A byte-level pre-tokeniser always starts a new token at such a space and no special token
-    holds one, so the pieces' token counts add up to the text's. A text without such a place
-    stays whole.
+    A byte-level pre-tokeniser always starts a new token there, whatever stands before (only its tokens of white space look ahead, and only at what follows
+    them), and no special token holds such a place, so the pieces' token counts add up to the text's. A text without such places stays whole.
     """
-    return _SAFE.split(text)
+    pieces = _SAFE.split(text)
+    if max(map(len, pieces)) < LONG:
+        return pieces
+    return [part for piece in pieces for part in ([piece] if len(piece) < LONG or "<|" in piece else _LETTERS_END.split(piece))]
 
 
 def _tokenizer(path: str):
