@@ -484,3 +484,37 @@ def test_likeness_falls_with_edit_distance(spark, monkeypatch):
     few = sorted(map(tuple, O.compare_with_edits(docs).collect()))
     monkeypatch.setattr(O, "MOST_RANGES", 50)
     assert sorted(map(tuple, O.compare_with_edits(docs).collect())) == few and len(few) == 80
+
+
+@pytest.mark.parametrize(("given", "most"), [(0.1, 10**6), (0.5, 96), (0.0001, 10**6)])
+def test_labels_that_views_give(spark, sf, monkeypatch, given, most):
+    """Of each view and kind the surest texts, a share of all, each once; surer ones before others."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(Q, "GIVEN", given)
+    monkeypatch.setattr(Q, "MOST_GIVEN", most)
+    monkeypatch.setattr(Q, "SURE", 0.6)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(0)
+    width = Q.features(pa.array([""]), pa.array([""]), pa.array([""]))[2].shape[1]
+    model = Q.QualityModel(np.arange(1 << Q.TEXT_BITS, dtype=np.int32) % 999, rng.normal(0, 0.1, 1000), rng.normal(0, 0.1, width + 1), np.zeros(width), np.ones(width), Q._PLAIN, Q._PLAIN, np.zeros(3))
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    text, meta, _ = model.scores(*Q.features(*(pa.array([r[c] for r in rows], pa.string()) for c in ("text", "lang", "source"))))
+    first = {}
+    for i, r in enumerate(rows):
+        first[r.text] = min(first.get(r.text, (r.doc_id, i)), (r.doc_id, i))
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text", "lang", "source")
+    got = {}
+    for r in Q._surest(taken, model).collect():
+        got.setdefault((r.view, r.good), set()).add(r.doc_id)
+    number = min(math.ceil(given * len(first)), most // (4 * Q.ROUNDS))
+    for view, p in (("meta", text), ("text", meta)):  # each view labels for the other
+        x = {d: np.log(p[i] / (1 - p[i])) for d, i in first.values()}
+        for good in (True, False):
+            sure = {d: int(abs(v) * Q.STEPS) for d, v in x.items() if (v > 0) == good and int(abs(v) * Q.STEPS) >= math.ceil(math.log(0.6 / 0.4) * Q.STEPS)}
+            own = got.get((view, good), set())
+            assert own <= sure.keys()
+            steps = sorted(sure.values(), reverse=True)
+            last = steps[min(number, len(steps)) - 1] if steps else 0
+            assert {d for d, s in sure.items() if s > last} <= own and all(sure[d] >= last for d in own)
+            assert abs(len(own) - min(number, len(steps))) <= sum(s == last for s in steps)
