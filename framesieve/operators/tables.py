@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framesieve.functions.paths import dirof, slug
+
 
 #: Rows up to which a table of statistics is taken into the plan as it is and broadcast; a larger one is joined by a shuffle.
 SMALL = 10_000
@@ -58,6 +60,35 @@ def latest(rows: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.max(F.struct(time, value)).alias("_last"), F.count("*").alias("versions")).select(*by, F.col(f"_last.{value}").alias(value), "versions")
 
 
+def restored(current: DataFrame, versions: DataFrame, chosen: DataFrame, key: str, value: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(current, versions) once the ``chosen`` versions (key, saved_at; one a key) are current again.
+
+    current: key, value, updated_at; versions: key, value, saved_at. What was current is kept as a version saved ``at`` that time, and ``updated_at`` is that time. A chosen version
+    that is not there changes nothing.
+    """
+    found = versions.join(chosen.select(key, "saved_at"), [key, "saved_at"]).groupBy(key).agg(F.max(value).alias("_old"))
+    met = current.join(found, key, "left")
+    back = F.col("_old").isNotNull()
+    kept = met.where(back).select(key, value, at.alias("saved_at"))
+    now = met.withColumns({value: F.coalesce("_old", value), "updated_at": F.when(back, at).otherwise(F.col("updated_at"))}).select(*current.columns)
+    return now, versions.select(key, value, "saved_at").unionByName(kept)
+
+
+def counted(rows: DataFrame, runs: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with their ``count`` raised by the number of their ``runs`` (one row a run); a null count is 0."""
+    done = runs.groupBy(key).agg(F.count("*").alias("_runs"))
+    return rows.join(done, key, "left").withColumn(count, F.coalesce(F.col(count), F.lit(0)) + F.coalesce("_runs", F.lit(0))).select(*rows.columns)
+
+
+def renamed(rows: DataFrame, given: DataFrame, key: str, name: str = "name", display: str = "display_name") -> DataFrame:
+    """``rows`` with the display names of ``given`` (key, display; one a key) and the names derived from them, and ``error``: set, and the row as it was, where a name would be empty."""
+    met = rows.join(given.select(key, F.col(display).alias("_new")), key, "left")
+    derived = slug(F.col("_new"))
+    good = F.coalesce(derived != "", F.lit(False))
+    changed = {name: F.when(good, derived).otherwise(F.col(name)), display: F.when(good, F.col("_new")).otherwise(F.col(display))}
+    return met.withColumn("error", F.when(F.col("_new").isNotNull() & ~good, "the display name gives an empty name")).withColumns(changed).select(*rows.columns, "error")
+
+
 def overridden(results: DataFrame, by_hand: DataFrame, key: str, column: str) -> DataFrame:
     """``results`` with the values of ``column`` that ``by_hand`` (key, column; one row a key) gives instead of their own."""
     given = by_hand.select(key, F.col(column).alias("_by_hand"))
@@ -69,6 +100,12 @@ def count_files(files: DataFrame, by: str) -> DataFrame:
     return files.groupBy(by).agg(F.count("*").alias("files"))
 
 
+def common_directory(files: DataFrame, by: str, path: str) -> DataFrame:
+    """(by, directories, common): how many folders a session's files are in, and the folder if it is one."""
+    folders = files.groupBy(by, dirof(F.col(path)).alias("_dir")).agg(F.count("*"))
+    return folders.groupBy(by).agg(F.count("*").alias("directories"), F.when(F.count("*") == 1, F.max("_dir")).alias("common"))
+
+
 def find_by_name(rows: DataFrame, column: str, name: str | Column) -> DataFrame:
     """Rows of that name, capitals or not."""
     wanted = F.lit(name) if isinstance(name, str) else name

@@ -9,6 +9,7 @@ from framesieve.functions import cameras as CA
 from framesieve.functions import keywords as K
 from framesieve.functions import paths as P
 from framesieve.functions import values as V
+from framesieve.operators import tables as TB
 from framesieve.plans import sql
 from framesieve.plans.session_queries import rounded
 from framesieve.sources.adapters import headers, page_paths
@@ -129,6 +130,17 @@ def q_source_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_paths(spark, sf_dir).groupBy(P.dirof(F.col("url")).alias("dir")).agg(F.count("*").alias("files"))
 
 
+@query(
+    """WITH d AS (SELECT DISTINCT page_id // 2 AS pair, CASE WHEN page_id % 6 < 2 THEN '/data/' || (page_id // 2) ELSE regexp_extract(url, '^(.*)/[^/]*$', 1) END AS dir FROM pages)
+SELECT pair, count(*) AS directories, CASE WHEN count(*) = 1 THEN max(dir) END AS common FROM d GROUP BY 1"""
+)
+def q_common_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of every two pages if they have one in common; of each third pair the pages lie in one folder."""
+    pair = F.expr("page_id div 2")
+    path = F.when(F.col("page_id") % 6 < 2, F.concat(F.lit("/data/"), pair.cast("string"), F.lit("/a.fit"))).otherwise(F.col("url"))
+    return TB.common_directory(page_paths(spark, sf_dir).select(pair.alias("pair"), path.alias("path")), "pair", "path")
+
+
 @query(
     """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN right('light_' || event_type || '_x', 8) ELSE event_id::VARCHAR END AS label FROM events"""
 )

@@ -98,6 +98,40 @@ def q_latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.latest(spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "name"), ["user_id", "name"], "ts", "event_id").withColumnRenamed("event_id", "version")
 
 
+@query(
+    """WITH v AS (SELECT user_id, event_id, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS m, max(event_id) OVER (PARTITION BY user_id) AS last FROM events)
+SELECT user_id, event_id AS saved_at, props AS script, false AS is_current FROM v WHERE n < m UNION ALL SELECT user_id, last + 1, max(props) FILTER (n = CASE WHEN m >= 3 THEN 2 ELSE m END), true FROM v GROUP BY user_id, last, m HAVING m >= 3
+UNION ALL SELECT user_id, last, max(props) FILTER (n = m), true FROM v GROUP BY user_id, last, m HAVING m < 3 UNION ALL SELECT user_id, last + 1, max(props) FILTER (n = m), false FROM v GROUP BY user_id, last, m HAVING m >= 3"""
+)
+def q_restored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macros (the last of each user's events) and their versions once the second version of each is restored; macros with one version or none stay."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("saved_at"), F.col("props").alias("script"))
+    last = events.groupBy("user_id").agg(F.max_by("script", "saved_at").alias("script"), F.max("saved_at").alias("updated_at"))
+    versions = events.join(last.select("user_id", "updated_at"), "user_id").where("saved_at < updated_at").drop("updated_at")
+    chosen = RG.ranked(versions.select("user_id", "saved_at"), "user_id", [F.col("saved_at").asc()], "n").where("n = 2")
+    now, kept = TB.restored(last, versions, chosen, "user_id", "script", F.col("updated_at") + 1)
+    return kept.withColumn("is_current", F.lit(False)).unionByName(now.select("user_id", "script", F.col("updated_at").alias("saved_at"), F.lit(True).alias("is_current")))
+
+
+@query("SELECT c_custkey, (c_nationkey + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey))::BIGINT AS run_count FROM customer")
+def q_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run counters raised by the runs of each macro."""
+    macros = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_nationkey").cast("long").alias("run_count"))
+    return TB.counted(macros, _orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "run_count")
+
+
+@query(
+    r"""WITH g AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' no. ' || p_size WHEN p_partkey % 3 = 1 THEN '?!' END AS d FROM part), s AS (
+  SELECT *, regexp_replace(replace(d, ' ', '-'), '[^\p{L}\p{N}_-]', '', 'g') AS n FROM g)
+SELECT p_partkey, CASE WHEN n <> '' THEN n ELSE 'part' END AS name, CASE WHEN n <> '' THEN d ELSE p_name END AS display_name, CASE WHEN n = '' THEN 'the display name gives an empty name' END AS error FROM s"""
+)
+def q_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macros under new display names; a third keep theirs, a third are given one without a letter."""
+    part, key = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    given = part.where(key % 3 < 2).select("p_partkey", F.when(key % 3 == 0, F.concat("p_name", F.lit(" no. "), F.col("p_size").cast("string"))).otherwise("?!").alias("display_name"))
+    return TB.renamed(part.select("p_partkey", F.lit("part").alias("name"), F.col("p_name").alias("display_name")), given, "p_partkey")
+
+
 @query("SELECT o_orderkey AS frame_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate::DATE::VARCHAR || '.fit', o_orderkey) - 1 AS frame_index FROM orders")
 def q_frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a session in the order of their file names; equal names keep the order in which they were loaded."""

@@ -35,3 +35,9 @@ def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, timestamp, level, module, message) of all log files at a path or glob."""
     return parse_lines(spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")))
+
+
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, filename, modified, size) of the log files (.log) at a path or glob, the newest first, equal times by name. Only names, times and sizes are read."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    return files.where(F.col("filename").endswith(".log")).orderBy(F.col("modified").desc(), "filename")

@@ -87,3 +87,14 @@ def test_report(spark):
         assert [(r.filename, r.outlier, r.is_reference, r.imported, r.flag) for r in back.orderBy("filename").collect()] == [("1", False, True, True, "PASS"), ("2", True, False, True, "REJECT")]
     for given, column in ((whole, "report"), (lines, "line")):
         assert {(r.metric, r["mean"], r.stddev) for r in imported_statistics(given, column, ["session"]).collect()} == {("background_median", 0, 1), ("fwhm", 2, 3), ("eccentricity", 4, 5), ("star_count", 6, 7)}
+
+
+def test_log_files_come_newest_first(spark, tmp_path):
+    import os
+
+    from framesieve.sources.logs import log_files
+
+    for name, when in (("a.log", 100), ("b.log", 300), ("c.log", 200), ("d.log", 300), ("e.txt", 400)):
+        (tmp_path / name).write_text(name)
+        os.utime(tmp_path / name, (when, when))
+    assert [(r.filename, r.size) for r in log_files(spark, str(tmp_path)).collect()] == [("b.log", 5), ("d.log", 5), ("c.log", 5), ("a.log", 5)]
