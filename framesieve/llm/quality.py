@@ -167,7 +167,8 @@ def fit_views(sample: list[tuple[np.ndarray, np.ndarray]], labels: dict[str, np.
     used = np.flatnonzero(np.bincount(buckets, minlength=1 << TEXT_BITS) >= LEAST_DOCS)
     slot = np.full(1 << TEXT_BITS, len(used), np.int32)
     slot[used] = np.arange(len(used))
-    row, index = np.repeat(np.arange(len(sample)), lengths), slot[buckets]
+    row, index = np.repeat(np.arange(len(sample), dtype=np.int32), lengths), slot[buckets]
+    del buckets
     own = ~np.isnan(labels["meta"])
     center, spread = meta[own].mean(axis=0), meta[own].std(axis=0)
     spread = np.where(spread > 1e-9, spread, 1.0)
@@ -180,9 +181,8 @@ def fit_views(sample: list[tuple[np.ndarray, np.ndarray]], labels: dict[str, np.
     def rows(keep: np.ndarray, column: np.ndarray, width: int) -> _Sparse:
         return _Sparse(column[index[keep]], np.append(0, np.cumsum(np.bincount(number[row[keep]], minlength=len(y)))).astype(np.int64), width)
 
-    x = rows(keep, np.arange(len(used) + 1), len(used))
     good_docs, bad_docs = max((w * y).sum(), 1e-9), max((w * (1 - y)).sum(), 1e-9)
-    in_good, in_bad = x.turned(w * y), x.turned(w * (1 - y))
+    in_good, in_bad = (np.bincount(index[keep], (w * v)[number[row[keep]]], len(used)) for v in (y, 1 - y))
     both = (in_good + in_bad) / (good_docs + bad_docs)
     z = (in_good / good_docs - in_bad / bad_docs) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / good_docs + 1 / bad_docs))
     telling = np.append(np.abs(z) >= LEAST_Z, False)
