@@ -1,8 +1,8 @@
 """Near-duplicate documents by word shingles: SimHash candidates, exact Jaccard similarity, one document kept of each group.
 
 Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in any common order, n being
-a set's size. These shingles are the upper nodes here, rare ones first in the order (as counted in a sample,
-which decides on cost alone), so no pair is missed for its size or the table's. Fingerprints that
+a set's size. These shingles are the upper nodes here, rare ones first in the order (by how many shingles of all texts
+their bucket of hashes holds), so no pair is missed for its size or the table's. Fingerprints that
 share an upper node and are close by all 128 bits of their SimHashes are candidates, by operator 7's tree; the
 limit of bits is one that a pair of similarity t exceeds with probability LOST. Connected candidates
 form a cluster, and within a cluster the shingle sets themselves decide.
@@ -24,8 +24,8 @@ from framesieve.llm.simhash import Forest, link_nodes
 
 WORDS, SIMILARITY, LOST = 5, 0.8, 1e-9
 BITS = 128
-#: About so many documents are counted for the order of shingles; so many of the most frequent shingles come last in it.
-SAMPLE, FREQUENT = 20_000, 100_000
+#: Leading bits of a shingle's hash that name its bucket: 2 MB of counts, whatever the table.
+BUCKET_BITS = 18
 #: Members of a cluster that one task compares with as many others; shingles compared at a time.
 MEMBERS, COLUMNS = 400, 4096
 #: Tables of ids up to so many rows are broadcast; beyond, Spark joins them by a shuffle.
@@ -92,32 +92,30 @@ def most_bits(similarity: float) -> int:
     return most
 
 
-def frequent_shingles(given: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, ranks): the shingles most frequent in a sample of given (doc_id, content, text), the rarest ranked 1."""
-    every = max(1, given.count() // SAMPLE)
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bucket_counts(given: DataFrame, words: int) -> np.ndarray:
+    """How many distinct shingles of all texts of given (doc_id, content, text) fall into each bucket of hashes."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in text_pieces(batches):
-            hashes, counts = np.unique(distinct_shingles(batch.column(0), words)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"])
-
-    sample = given.where(F.pmod(F.xxhash64("doc_id", "content"), F.lit(every)) == 0).select("text")
-    counted = sample.mapInArrow(found, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    hashes = top.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
-
-
-def prefix_shingles(hashes: np.ndarray, at: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> pa.Array:
-    """Of each text's distinct shingles the first n - ceil(similarity n) + 1, the frequent ones being last in order."""
-    known, ranks = frequent
-    rank = np.zeros(len(hashes), np.int64)
-    if len(known):
-        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        rank = np.where(known[place] == hashes, ranks[place], 0)
+            counts += np.bincount(_bucket(distinct_shingles(batch.column(0), words)[0]), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+    found = given.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def prefix_shingles(hashes: np.ndarray, at: np.ndarray, counts: np.ndarray, similarity: float) -> pa.Array:
+    """Of each text's distinct shingles the first n - ceil(similarity n) + 1, those of buckets of few shingles being first in order."""
     sizes = np.diff(at)
-    order = np.lexsort((hashes, rank, np.repeat(np.arange(len(sizes)), sizes)))
+    order = np.lexsort((hashes, counts[_bucket(hashes)], np.repeat(np.arange(len(sizes)), sizes)))
     some = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1, 0)
     kept = hashes[order][np.arange(len(hashes)) - np.repeat(at[:-1], sizes) < np.repeat(some, sizes)]
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some)).astype(np.int32)), pa.array(kept.view(np.int64)))
@@ -213,7 +211,7 @@ def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SI
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(np.ascontiguousarray(fps[:, 0])), pa.array(np.ascontiguousarray(fps[:, 1])), keys], names=["doc_id", "content", "node", "f0", "f1", "keys"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(given, words))
+    shared = docs.sparkSession.sparkContext.broadcast(bucket_counts(given, words))
     printed = durable(given.mapInArrow(made, "doc_id long, content long, node long, f0 long, f1 long, keys array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "f0", "f1", "keys"))
     nodes = durable(printed.groupBy("node").agg(first.alias("x")).select("node", "x.doc_id", "x.content", "x.f0", "x.f1", F.xxhash64("x.f0", "x.f1").alias("print"), "x.keys"))

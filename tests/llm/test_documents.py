@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -136,6 +137,15 @@ def test_near_copies(spark, sf, edges, empty):
     assert left.columns == edges.columns and sorted(str(i) for i in ids) == sorted(map(str, [1, 2, None, 5, 7, 8, 9, 10, -5])) and N.keep_one_of_each(empty).count() == 0
 
 
+def test_shingles_of_all_texts_are_counted(spark):
+    given = spark.range(41_000).selectExpr("id AS doc_id", "id AS content", "CASE WHEN id % 41 = 0 THEN 'one license line of all texts here' WHEN id % 41 < 40 THEN concat('text number ', id) END AS text")
+    counts = N.bucket_counts(given, 5)
+    often, _ = N.distinct_shingles(pa.array(["one license line of all texts here"]), 5)
+    assert counts.sum() == 39_000 + 3 * 1_000 and (counts[(often >> np.uint64(64 - N.BUCKET_BITS)).astype(int)] >= 1_000).all()
+    first = N.prefix_shingles(*N.distinct_shingles(pa.array(["one license line of all texts here and four words more"]), 5), counts, 0.5).to_pylist()[0]
+    assert len(first) == 4 and not set(first) & set(often.view(np.int64).tolist())
+
+
 def near_groups(spark, texts):
     """(groups by near_copy_groups, groups by brute force) of texts with ids 0, 1, ..."""
     sets = [shingles(t) for t in texts]
