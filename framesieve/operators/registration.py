@@ -6,6 +6,7 @@ A pair of frames is one row or one small group, so pairs are the unit of work an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -154,9 +155,14 @@ def robust_similarity(stars: np.ndarray, references: np.ndarray, dx: float, dy:
     return a, b, tx - (a * dx - b * dy), ty - (b * dx + a * dy), int(best.sum())
 
 
+@cache
+def _triples(n: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), 3)), int).reshape(-1, 3)
+
+
 def _corners(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All triangles with sides of LEAST_SIDE or more: corners (their opposite sides descending), the two lesser sides over the greatest, and handedness."""
-    corners = np.array(list(combinations(range(len(points)), 3)), int).reshape(-1, 3)
+    corners = _triples(len(points))
     at = points[corners]
     opposite = np.abs((at[:, [1, 2, 0]] - at[:, [2, 0, 1]]) @ [1, 1j])
     order = np.argsort(-opposite, axis=1, kind="stable")
@@ -229,31 +235,35 @@ def one_to_one(stars: DataFrame, references: DataFrame, by: str, radius: float =
 def estimate_transforms(stars: DataFrame, references: DataFrame, shifts: DataFrame, by: str) -> DataFrame:
     """(by, a, b, tx, ty, inliers) of every pair of frames that can be registered; shifts: by, dx, dy (a missing one is 0)."""
     moved = stars.join(shifts.select(by, "dx", "dy"), by, "left").fillna(0.0, ["dx", "dy"])
+    return _solve_pairs(moved, references, by, robust_similarity, "a double, b double, tx double, ty double, inliers int", ["dx", "dy"])
 
-    def solved(left: pd.DataFrame, right: pd.DataFrame) -> tuple | None:
-        return robust_similarity(_places(left), _places(right), left["dx"].iloc[0], left["dy"].iloc[0])
-
-    return _solve_pairs(moved, references, by, solved, "a double, b double, tx double, ty double, inliers int")
 
+def _solve_pairs(stars: DataFrame, references: DataFrame, by: str, solve: Callable[..., tuple | None], added: str, also: list[str] | None = None) -> DataFrame:
+    """(by, added): what ``solve`` finds from the places of the stars of each pair of frames, in the order of star_id, and the columns ``also`` of the first frame; pairs without stars
+    on a side, or for which it finds nothing, have no row.
 
-def _places(stars: pd.DataFrame) -> np.ndarray:
-    return stars[["x", "y"]].to_numpy(float)
-
+    A pair is one row of two arrays, so a batch holds many pairs. Both sides are dealt into as many parts as shuffles have: small as their rows are, they are dear to solve.
+    """
+    also = also or []
+    parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c.split()[0] for c in added.split(", ")]
 
-def _solve_pairs(stars: DataFrame, references: DataFrame, by: str, solve: Callable[[pd.DataFrame, pd.DataFrame], tuple | None], added: str) -> DataFrame:
-    """(by, added): what ``solve`` finds from the stars of each pair of frames, in the order of star_id; pairs without stars on a side, or for which it finds nothing, have no row."""
-    names = [by, *(c.split()[0] for c in added.split(", "))]
+    def gathered(df: DataFrame, side: str, more: list[str]) -> DataFrame:
+        place = F.struct("star_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        rows = df.repartition(parts, by).groupBy(by).agg(F.array_sort(F.collect_list(place)).alias("_s"), *(F.first(c).alias(c) for c in more))
+        return rows.select(by, *(F.col(f"_s.{c}").alias(f"_{side}{c}") for c in "xy"), *more)
 
-    def solved(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = solve(left.sort_values("star_id"), right.sort_values("star_id")) if len(left) and len(right) else None
-        return pd.DataFrame([(key[0], *found)] if found else [], columns=names)
+    def solved(lx: np.ndarray, ly: np.ndarray, rx: np.ndarray, ry: np.ndarray, *more) -> tuple:
+        return solve(np.stack([lx, ly], axis=1), np.stack([rx, ry], axis=1), *more) or (None,) * len(names)
 
-    return stars.groupBy(by).cogroup(references.groupBy(by)).applyInPandas(solved, f"{by} long, {added}")
+    pairs = gathered(stars, "l", also).join(gathered(references, "r", []).hint("merge"), by).withColumn(by, F.col(by).cast("long"))
+    found = map_frames(pairs, [by], ["_lx", "_ly", "_rx", "_ry", *also], solved, added)
+    return found.where(F.col(names[0]).isNotNull())
 
 
 def triangle_transforms(stars: DataFrame, references: DataFrame, by: str) -> DataFrame:
     """(by, a, b, tx, ty, inliers) of every pair of frames that triangles register; star_id counts from the brightest star, as ``detect_stars`` does."""
-    return _solve_pairs(stars, references, by, lambda left, right: triangle_similarity(_places(left), _places(right)), "a double, b double, tx double, ty double, inliers int")
+    return _solve_pairs(stars, references, by, triangle_similarity, "a double, b double, tx double, ty double, inliers int")
 
 
 def matched_turns(frames: DataFrame, stars: DataFrame, by: str, key: str, observed: str, rotator: str) -> DataFrame:
@@ -353,13 +363,12 @@ def cross_transforms(frames: DataFrame, stars: DataFrame, references: DataFrame,
     left = own.join(pairs.select(group, "pair", "dx", "dy"), group).select("pair", "star_id", "x", "y", "dx", "dy").toDF("pair", "star_id", "x", "y", "dx", "dy")
     right = own.withColumnRenamed(group, "_master").join(pairs.select("_master", "pair"), "_master").select("pair", "star_id", "x", "y").toDF("pair", "star_id", "x", "y")
 
-    def solved(mine: pd.DataFrame, other: pd.DataFrame) -> tuple:
-        f, r = _places(mine), _places(other)
+    def solved(f: np.ndarray, r: np.ndarray, dx: float, dy: float) -> tuple:
         found = triangle_similarity(f, r)
-        how = found[:4] if found else (1.0, 0.0, -mine["dx"].iloc[0], -mine["dy"].iloc[0])
+        how = found[:4] if found else (1.0, 0.0, -dx, -dy)
         return *how, *residual(f, r, *how)
 
-    found = _solve_pairs(left, right, "pair", solved, "a double, b double, tx double, ty double, matched int, mean_residual double")
+    found = _solve_pairs(left, right, "pair", solved, "a double, b double, tx double, ty double, matched int, mean_residual double", ["dx", "dy"])
     sure = F.coalesce((F.col("matched") >= VERIFY_STARS) & (F.col("mean_residual") <= VERIFY_RESIDUAL), F.lit(False))
     others = pairs.select(by, group, "pair").join(found, "pair", "left").withColumn("solved", sure)
     columns = [by, group, "a", "b", "tx", "ty", "matched", "mean_residual", "solved"]

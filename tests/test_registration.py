@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framesieve.operators import registration as R
 from framesieve.plans.star_queries import QUERIES, _peaks
@@ -202,3 +203,13 @@ def test_skies_are_stacked_by_their_stars(spark, sf):
         assert all(r.n == used[tile] for r in own) and 50 * 50 < len(own) <= 64 * 64
         off = [abs(r.stacked - skies[int(tile)][r.y, r.x] / level) for r in own if int(tile) in skies]
         assert not off or np.median(off) < 0.2
+
+
+def test_pairs_are_solved_in_batches_and_parts(spark):
+    x = spark.range(4_000).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("star_id")).selectExpr("id AS pair", "star_id", "(star_id * 37 % 11) * 20.0 AS x", "(star_id * 23 % 13 + id % 3) * 20.0 AS y").repartition(3)
+    moved = x.selectExpr("pair", "star_id", "0.8 * x - 0.6 * y + 31 AS x", "0.6 * x + 0.8 * y - 17 AS y")
+    found = R.triangle_transforms(x, moved, "pair")
+    rows = found.withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == 4_000 and all((r.a, r.b, r.tx, r.ty) == pytest.approx((0.8, 0.6, 31, -17)) and r.inliers == 8 for r in rows)
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and len({r.part for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
