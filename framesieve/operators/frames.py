@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from framesieve.functions.arrays import LUMA, MAD_SIGMA
 from framesieve.operators.classify import classify_frames, with_reference
 from framesieve.operators.stars import clipped_background, star_table
+from framesieve.operators.tiles import frame_pieces, small_batches
 
 #: What samples of a depth are divided by; FWHM range of stars that count in a frame's median.
 DEPTHS = {"u8": 255.0, "u16": 65535.0, "f32": 1.0}
@@ -34,7 +35,8 @@ def _cells(column: pa.Array) -> list:
     """A column's values; lists as numpy arrays."""
     if not pa.types.is_list(column.type):
         return column.to_pylist()
-    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    offsets = column.offsets.to_numpy()
+    values, offsets = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False), offsets - offsets[0]
     return [values[s:e] if valid else None for s, e, valid in zip(offsets, offsets[1:], column.is_valid().to_pylist(), strict=False)]
 
 
@@ -46,12 +48,12 @@ def map_frames(frames: DataFrame, keep: list[str], given: list[str | Column], fu
     out = T.StructType([*plain.select(*keep).schema.fields, *schema.fields])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = [function(*row) for row in zip(*map(_cells, batch.columns[len(keep) :]), strict=True)]
-                made = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=out.names)
+        for batch in frame_pieces(batches):
+            rows = [function(*row) for row in zip(*map(_cells, batch.columns[len(keep) :]), strict=True)]
+            made = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=out.names)
 
+    small_batches(frames.sparkSession)
     return plain.mapInArrow(mapped, out)
 
 

@@ -6,11 +6,12 @@ what is left. How large a tile is follows from how many frames a group has, so t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,24 @@ from pyspark.sql import types as T
 CLIP, LEAST_SIGMA = 2.5, 1e-10
 #: Bytes of samples that a task holds at a time; pixels of the largest and smallest tile.
 TASK_BYTES, MOST_PIXELS, LEAST_PIXELS = 48 << 20, 1 << 16, 16
+#: Bytes of frames that a worker is sent, and takes up, at a time; one frame at least.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of frames of about ``size`` bytes, as a task has several workers with a batch, its results and those of others at once; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    count, unit = re.match(r"(-?\d+)([bkmgt]?)", spark.conf.get(name).lower()).groups()
+    if not 0 < int(count) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0) <= size:
+        spark.conf.set(name, str(size))
+
+
+def frame_pieces(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, whatever their size, cut between rows into pieces of about ``size`` bytes; none is empty."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def tile_pixels(frames: int, channels: int = 1) -> int:
@@ -36,7 +55,7 @@ def cut_tiles(frames: DataFrame, by: list[str], size: int, channels: int = 1, pi
     step = size * channels
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frame_pieces(batches):
             column = batch.column(len(by))
             offsets = column.offsets.to_numpy().astype(np.int64)
             values = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False) if len(offsets) else np.zeros(0)
@@ -50,6 +69,7 @@ def cut_tiles(frames: DataFrame, by: list[str], size: int, channels: int = 1, pi
                 [*(batch.column(i).take(pa.array(owner)) for i in range(len(by))), pa.array(at // channels), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(held)).cast(pa.list_(pa.float64()))], names=schema.names
             )
 
+    small_batches(frames.sparkSession)
     tiles = given.mapInArrow(cut, schema)
     return tiles.toDF(*by, "first", "samples")
 

@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from framesieve.operators import frames as FR
 from framesieve.operators import registration as R
 from framesieve.operators import tiles as TI
 
@@ -57,3 +60,21 @@ def test_references_beyond_the_broadcast_limit(spark, monkeypatch):
     want = sorted(map(tuple, R.contributions(df, first, "grp", "frame", 24, 24).collect()))
     monkeypatch.setattr(R, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, R.contributions(df, first, "grp", "frame", 24, 24).collect())) == want and len(want) == 12
+
+
+def test_frames_are_taken_up_in_small_pieces(spark):
+    frames = spark.range(0, 600, 1, 1).select("id", F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda v: F.when((v == 7) & (F.col("id") % 50 == 3), None).otherwise(v + F.col("id")).cast("double")).alias("pixels"))
+    made = FR.map_frames(frames, ["id"], ["pixels"], lambda v: (v * 2,), "twice array<double>")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    for df in (frames, TI.cut_tiles(frames, ["id"], 4096)):
+        rows = df.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in rows) == 600 and max(r.size for r in rows) < 2 * TI.BATCH_BYTES
+    table = pa.record_batch({"id": pa.array(range(600)), "v": pa.array([[float(i)] * 4096 for i in range(600)])})
+    pieces = list(TI.frame_pieces([table, table.slice(0, 0)]))
+    assert len(pieces) > 3 and pa.Table.from_batches(pieces).to_batches()[0].schema == table.schema and sum((p.column(0).to_pylist() for p in pieces), []) == list(range(600))
+    got = {r.id: (r.a, r.b, r.n) for r in made.selectExpr("id", "twice[7] AS a", "twice[4095] AS b", "size(twice) AS n").collect()}
+    assert all(b == 2 * (4095 + i) and n == 4096 and (a != a if i % 50 == 3 else a == 2 * (7 + i)) for i, (a, b, n) in got.items()) and len(got) == 600
