@@ -61,10 +61,12 @@ def results_view(files: DataFrame, results: DataFrame, key: str, by: str = "sess
     files: by, key, path, imported; results: by, key, the metrics and, of imported sessions, their flag, triggered_by and rejection_category, which stand. Live sessions are classified anew against
     the statistics of those results whose files are there, by the thresholds that were last used (``thresholds``). frame_index counts a session's files from 0 in the order of their names. A file
     without result has an empty flag and no triggers.
+
+    The results of the files that are there, a few numbers a frame, are persisted for the passes over their session's statistics.
     """
     metrics = ["background_median", "fwhm", "eccentricity", "star_count"]
     verdicts = ["flag", "triggered_by", "rejection_category"]
-    listed = results.join(files.select(by, key, imported), [by, key])
+    listed = results.select(by, key, *metrics, *verdicts).join(files.select(by, key, imported), [by, key]).persist()
     live = classify_frames(listed.where(~F.col(imported)).select(by, key, *metrics), thresholds=thresholds, by=by)
     given = listed.where(imported).select(by, key, *metrics, *verdicts)
     indexed = frame_index(files, by, path, key)

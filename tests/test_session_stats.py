@@ -85,3 +85,19 @@ def test_groups(spark):
     groups = {r.i: r.frame_group for r in G.assign_groups(df, "u", "t", "r", "i").collect()}
     assert groups == {6: 0, 0: 0, 1: 0, 2: 0, 3: 1, 4: 2, 5: 3}
     assert G.master_group(G.assign_groups(df, "u", "t", "r", "i"), "u").first().master == 0
+
+
+def test_results_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 300, 1, 3).selectExpr("cast(id % 3 AS string) AS session", "id AS frame_id", "(id % 7) / 10.0D AS background_median", "(id % 11) * 1.0D AS fwhm", "(id % 5) / 10.0D AS eccentricity", "cast(id % 13 AS int) AS star_count", "'PASS' AS flag", "array('x') AS triggered_by", "'O' AS rejection_category")
+    results = rows.mapInArrow(counted, rows.schema)
+    files = spark.range(0, 330, 1, 2).selectExpr("cast(id % 3 AS string) AS session", "id AS frame_id", "concat('/d/', lpad(id, 4, '0'), '.fit') AS path", "id % 3 = 0 AS imported")
+    view = C.results_view(files, results, "frame_id").collect()
+    assert len(view) == 330 and sum(r.flag == "" for r in view) == 30 and all(r.triggered_by == ["x"] for r in view if r.session == "0" and r.frame_id < 300)
+    assert seen.value == 300
