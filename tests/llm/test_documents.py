@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -315,6 +316,82 @@ def test_filter_levels():
     assert (filter_.levels(rng.integers(2**62, 2**63, 20000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.03
 
 
+def shuffled_rows(spark, after):
+    """(rows that stages numbered above ``after`` sent to shuffles, the last stage's number)."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    found = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteRecords()) for i in range(stages.size())]
+    return sum(n for k, n in found if k > after), max(k for k, _ in found)
+
+
+@pytest.mark.parametrize("head", [0, 1 << 22])
+def test_probes_do_not_multiply_with_segments(spark, monkeypatch, head):
+    """A batch of texts asks ranges of segments: more segments make no more messages, and the scores stay."""
+    rng = np.random.default_rng(8)
+    docs = frame(spark, [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 40) % 5000)) for i in range(300)]).repartition(4).localCheckpoint()
+    monkeypatch.setattr(L, "FILTER_BYTES", 0)
+    monkeypatch.setattr(L, "HEAD_WORDS", 50)
+    monkeypatch.setattr(L, "HEAD_PAIRS", head, raising=False)
+    monkeypatch.setattr(L, "TOGETHER", 1000)
+    scores, rows = {}, {}
+    for segments in (8, 100):
+        monkeypatch.setattr(L, "segment_count", lambda *_, n=segments: n)
+        scored = L.score_documents(docs, bits=64)
+        _, last = shuffled_rows(spark, -1)
+        scores[segments] = scored.toPandas().sort_values("doc_id").reset_index(drop=True)
+        rows[segments], _ = shuffled_rows(spark, last)
+    assert rows[100] - rows[8] <= 92 * 2  # the model's rows, one for each n and segment
+    assert (scores[8].n_known == scores[100].n_known).all() and np.allclose(scores[8].base_score, scores[100].base_score, rtol=1e-12) and np.allclose(scores[8].score, scores[100].score, rtol=1e-4)
+
+
+@pytest.mark.parametrize("at_once", [L.AT_ONCE, 40])
+def test_parts_look_up_many_batches_at_once(monkeypatch, at_once):
+    rng = np.random.default_rng(2)
+    hashes = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    counts = rng.integers(1, 100, len(hashes))
+    edges, rows, sent = L.segment_edges(hashes, 6), [], {}
+    for n in (1, 2):
+        for s in range(6):
+            own, c = hashes[edges[s] : edges[s + 1]], counts[edges[s] : edges[s + 1]]
+            exact = (L.pack(own), L.pack(c)) if n == 1 else (None, None)
+            rows.append((-1, n, s // 3, exact[0], s, exact[1], L.LogFrequencyFilter.part(own, L.levels_of(c), 64).tobytes()))
+        for b in range(200):
+            probes = np.append(rng.choice(hashes, 10), rng.integers(0, 2**64, 3, dtype=np.uint64))
+            for r in range(2):
+                sent[b, n, r] = probes[L._ranges_of(probes, 6, 2) == r]
+                rows.append((b, n, r, L.pack(sent[b, n, r]), None, None, None))
+    rows.append((5, 0, 5, b"own", None, None, None))
+    rows.sort(key=lambda r: (r[1], r[2], r[0]))
+    schema = pa.schema([("batch", pa.int64()), ("n", pa.int32()), ("range", pa.int64()), ("packed", pa.binary()), ("segment", pa.int32()), ("counts", pa.binary()), ("part", pa.binary())])
+    table = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+    calls, look_up = [], L.LogFrequencyFilter.levels
+    monkeypatch.setattr(L, "AT_ONCE", at_once)
+    monkeypatch.setattr(L.LogFrequencyFilter, "levels", lambda self, x: calls.append(len(x)) or look_up(self, x))
+    answers = [r for batch in L._answered(iter(table.to_batches(max_chunksize=90)), 6) for r in batch.to_pylist()]
+    assert [r["packed"] for r in answers if r["n"] == 0] == [b"own"]
+    got = {(r["batch"], r["n"], r["range"]): pickle.loads(r["packed"]) for r in answers if r["n"]}
+    held = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
+    assert got.keys() == sent.keys() and len(calls) <= 4 + 2 * 200 * 13 // at_once
+    for (_, n, _), (key, probes) in zip(sent, sent.items(), strict=True):
+        exact, levels = got[key]
+        known = np.array([held.get(h, 0) for h in probes.tolist()], np.int64)
+        assert L.unpack(exact, np.int64).tolist() == (known.tolist() if n == 1 else [])
+        assert (L.unpack(levels, np.uint8) == L.levels_of(known)).all()
+
+
+def test_frequent_pairs():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    counts = rng.permutation(len(hashes)) + 1
+    pairs = L.FrequentPairs(hashes, counts, L.levels_of(counts).astype(np.uint8))
+    found = pairs.levels(hashes)
+    here = found != L.ASKED
+    assert (found[here] == L.levels_of(counts)[here]).all() and here.mean() > 0.7 and counts[here].mean() > counts[~here].mean()
+    assert (pairs.levels(rng.integers(0, 2**64, 1000, dtype=np.uint64)) == L.ASKED).all()
+    assert (L.FrequentPairs(hashes[:0], counts[:0], np.zeros(0, np.uint8)).levels(hashes) == L.ASKED).all()
+
+
 def test_model_beats_base_on_held_out(spark, sf):
     r = QUERIES["op8_bloom_lm"](spark, sf).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
